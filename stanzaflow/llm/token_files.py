@@ -10,6 +10,7 @@ memory-mapped file gives any sequence without a copy.
 from __future__ import annotations
 
 import functools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,46 +26,89 @@ from tokenizers import Tokenizer
 from . import blocks as B
 from .shared import cut, fresh_dir
 
+# a task has one core: more threads only wait for each other
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+os.environ.setdefault("RAYON_NUM_THREADS", "1")
+
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 256
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: Words in each of the two generations of words whose ids a worker remembers.
+CACHE = 250_000
+#: Bytes of text whose words are looked up at once.
+PIECE = 4 << 20
 END = 1
 
 
 class WordCoder:
-    """Ids of texts by a tokenizer that drops white space and never joins across it.
+    """Ids of texts by a tokenizer that lower-cases, drops white space and never joins across it.
 
-    Texts are cut at ASCII white space and each distinct piece is encoded once.
+    Texts are cut at ASCII white space and each distinct word is encoded once; words
+    remembered are those of the last two generations. A comma or full stop after an ASCII
+    letter or digit is a token's end for this kind of tokenizer, so such words are encoded
+    without it.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
+    def _learn(self, words: list[bytes]) -> None:
         got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         for w, e in zip(words, got, strict=True):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            distinct = list(dict.fromkeys(words))
-            if len(distinct) > CACHE // 2:  # a very long text, part by part
-                half = len(words) // 2
-                return b"".join(self.encode(b" ".join(p)) for p in (words[:half], words[half:]))
-            self.learn([w for w in distinct if w not in self.known])
-            if any(w not in self.known for w in distinct):
-                self.learn(distinct)
-            return b"".join([self.known[w] for w in words])
+            self.new[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _know(self, words: set[bytes]) -> None:
+        new, old, miss, cut = self.new, self.old, [], []
+        for w in words:
+            if w not in new:
+                if (ids := old.get(w)) is not None:
+                    new[w] = ids
+                elif w[-1] in b",." and w[:-1][-1:].isalnum():
+                    cut.append(w)
+                else:
+                    miss.append(w)
+        bare = {w[:-1] for w in cut} | {b",", b"."}
+        self._learn([*miss, *(w for w in bare.difference(miss) if w not in new)])
+        for w in cut:
+            new[w] = new[w[:-1]] + new[w[-1:]]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, little-endian."""
+        out, group, size = [], [], 0
+        for text in texts:
+            if len(text) > PIECE:
+                out += self._group(group) + [b"".join(x for p in _pieces(text) for x in self._group([p]))]
+                group, size = [], 0
+                continue
+            group.append(text)
+            size += len(text)
+            if size > PIECE:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        lists = [t.lower().split() for t in texts]
+        self._know(set().union(*lists))
+        get = self.new.__getitem__
+        out = [b"".join(map(get, words)) for words in lists]
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        return out
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text cut at spaces or line ends."""
+    at = 0
+    while at < len(text):
+        ends = [x for x in (text.find(b" ", at + PIECE), text.find(b"\n", at + PIECE)) if x >= 0]
+        end = min(ends, default=len(text))
+        yield text[at:end]
+        at = end
 
 
 @functools.lru_cache(maxsize=2)
@@ -124,7 +168,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, sequence: int = S
     def write(key: tuple, table: pa.Table) -> pa.Table:
         coder, rows = _coder(tokenizer), B.unpack(table)
         end = np.array([END], coder.kind)
-        ids = [np.concatenate([np.frombuffer(coder.encode(body), coder.kind), end]) for _, body in rows]
+        ids = [np.concatenate([np.frombuffer(x, coder.kind), end]) for x in coder.encode_all([body for _, body in rows])]
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
         name = f"block-{key[0].as_py():08d}.arrow"
