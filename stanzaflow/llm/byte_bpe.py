@@ -12,17 +12,19 @@ from __future__ import annotations
 import base64
 import functools
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Pre-tokens whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 #: Texts longer than this are matched piece by piece instead of in one list.
 LONG = 1 << 22
 
@@ -122,29 +124,64 @@ def _arrays(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
-def _udf(work: Callable[[ByteBpe, pa.Array], pa.Array], kind: str, ranks: str, pattern: str):
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = _coder(ranks, pattern)
-        for b in batches:
-            yield work(coder, b)
+#: Bytes of text or ids in one output batch.
+STEP = 2 << 20
+
+
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about STEP bytes, so that neither side holds all results of a large batch."""
+    turns = np.flatnonzero(np.diff(np.cumsum(sizes) // STEP, prepend=0)).tolist()
+    for a, b in zip([0, *turns], [*turns, batch.num_rows]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def _encode_slice(coder: ByteBpe, part: pa.RecordBatch, text: str) -> pa.ListArray:
+    return _arrays([coder.encode(t or "") for t in part.column(part.schema.get_field_index(text)).to_pylist()])
+
+
+def _decode_column(coder: ByteBpe, ids: pa.ListArray) -> pa.Array:
+    return pa.array([coder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x.values) else b"" for x in ids], pa.binary())
+
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind)
+def _put(part: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    at = part.schema.get_field_index(name)
+    return part.append_column(name, column) if at < 0 else part.set_column(at, name, column)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _schema(rows: DataFrame, **new: str) -> StructType:
+    """The rows' schema with the new columns in the place of old ones of that name, or at the end."""
+    kinds = {k: StructField(k, _parse_datatype_string(v)) for k, v in new.items()}
+    return StructType([kinds.pop(f.name, f) for f in rows.schema.fields] + [kinds[k] for k in new if k in kinds])
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the column ``ids`` (array<int>) of each whole text; null text counts as empty, [].
 
-    No string of the text is a special token. A column of that name is replaced.
+    No string of the text is a special token. With ``decoded``, a column of that name gets
+    the bytes that the ids stand for, decoded from them in the same pass. Columns that have
+    these names are replaced.
     """
-    made = _udf(lambda c, b: _arrays([c.encode(t or "") for t in b.to_pylist()]), "array<int>", ranks, pattern)
-    return docs.withColumn(ids, made(F.col(text).cast("string")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(ranks, pattern)
+        for b in batches:
+            for part in _slices(b, pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)):
+                made = _encode_slice(coder, part, text)
+                part = _put(part, ids, made)
+                yield _put(part, decoded, _decode_column(coder, made)) if decoded else part
+
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+    return docs.mapInArrow(run, _schema(docs, **{ids: "array<int>"}, **({decoded: "binary"} if decoded else {})))
 
 
 def decode(rows: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the bytes that ``ids`` stand for; null or empty ids give empty bytes."""
+    """``rows`` with the bytes that ``ids`` stand for; null or empty ids give empty bytes. A column of that name is replaced."""
 
-    def bytes_of(c: ByteBpe, b: pa.ListArray) -> pa.Array:
-        return pa.array([c.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x.values) else b"" for x in b], pa.binary())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(ranks, pattern)
+        for b in batches:
+            for part in _slices(b, 4 * pc.fill_null(pc.list_value_length(b.column(b.schema.get_field_index(ids))), 0).to_numpy(zero_copy_only=False)):
+                yield _put(part, out, _decode_column(coder, part.column(part.schema.get_field_index(ids))))
 
-    return rows.withColumn(out, _udf(bytes_of, "binary", ranks, pattern)(F.col(ids)))
+    return rows.mapInArrow(run, _schema(rows, **{out: "binary"}))

@@ -50,8 +50,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), *vocabulary).select("doc_id", "ids")
-    return byte_bpe.decode(ids, *vocabulary).select(
+    return byte_bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), *vocabulary, decoded="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -258,6 +258,9 @@ def test_byte_bpe_is_the_rank_tokenizer(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "LONG", 3)
     assert coder.encode("some words here") == want
     assert byte_bpe.encode(frame(spark, []), RANKS, PATTERN).count() == 0
+    monkeypatch.setattr(byte_bpe, "STEP", 100)
+    both = {r.doc_id: r for r in byte_bpe.encode(frame(spark, texts), RANKS, PATTERN, ids="key", decoded="spans").collect()}
+    assert all(both[i].key == got[i].ids and bytes(both[i].spans) == bytes(got[i].decoded) for i in range(len(texts)))
 
 
 def brute_simhash(t):
