@@ -56,8 +56,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of each document, and the digest of what they decode to."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(docs.select("doc_id", "source", "text"), *vocabulary).select("doc_id", "source", "ids")
-    return byte_bpe.decode(ids, *vocabulary).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = byte_bpe.encode(docs.select("doc_id", "source", "text"), *vocabulary, decoded="decoded")
+    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mixed), ("byte_bpe", tokens)]
