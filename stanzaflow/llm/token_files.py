@@ -10,6 +10,7 @@ memory-mapped file gives any sequence without a copy.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import uuid
 import zlib
@@ -52,15 +53,41 @@ class WordCoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: for lower-case ASCII letters, which the normaliser leaves as they are
+        self.bare = Tokenizer.from_str(self.tokenizer.to_str())
+        self.bare.normalizer = None
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, got, strict=True):
+        """Words of letters alone are one pre-token, so many are encoded as one text and parted at the ends of words."""
+        plain, letters, rest = [], [], []
+        for w in words:
+            (plain if w.isalpha() else letters if w.decode().isalpha() else rest).append(w)
+        rest += self._joined(self.bare, plain) + self._joined(self.tokenizer, letters)
+        got = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        for w, e in zip(rest, got, strict=True):
             self.new[w] = np.array(e.ids, self.kind).tobytes()
 
+    def _joined(self, tokenizer: Tokenizer, words: list[bytes]) -> list[bytes]:
+        """Encodes the words as one text; returns them if they weren't one pre-token each after all."""
+        if not words:
+            return []
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return words
+        flat, at, new = ids.tobytes(), 0, self.new
+        for w, end in zip(words, (ends * self.kind.itemsize).tolist(), strict=True):
+            new[w] = flat[at:end]
+            at = end
+        return []
+
     def _know(self, words: set[bytes]) -> None:
         new, old, miss, cut = self.new, self.old, [], []
         for w in words:
