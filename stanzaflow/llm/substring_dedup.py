@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .words import word_names
 
 #: Words of the string whose hash anchors a window.
 ANCHOR = 4
@@ -38,39 +39,6 @@ SPANS = "array<struct<start:long,stop:long>>"
 OUT = f"doc_id long, n_words long, spans {SPANS}, kept string"
 CELL = "shard int, block int, body binary"
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
-
-
-def _power(sign: int, n: int) -> np.ndarray:
-    """The first n powers of the base (1) or of its inverse (-1) modulo 2 ** 64."""
-    if len(_powers[sign]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        steps = np.full(size, _BASE if sign > 0 else _INVERSE, np.uint64)
-        steps[0] = 1
-        made = np.multiply.accumulate(steps)
-        if size > 1 << 22:
-            return made[:n]
-        _powers[sign] = made
-    return _powers[sign][:n]
-
-
-def word_names(body: bytes) -> np.ndarray:
-    """A 64-bit name of each word between ASCII white space."""
-    a = np.frombuffer(body, np.uint8)
-    word = ~_SPACE[a]
-    turns = np.flatnonzero(np.diff(word, prepend=False, append=False))
-    s, e = turns[::2], turns[1::2]
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _power(1, len(a)), out=sums[1:])
-    return B.mix((sums[e] - sums[s]) * _power(-1, len(a))[s], (e - s).astype(np.uint64))
-
-
 def window_names(names: np.ndarray, length: int) -> np.ndarray:
     h, have = names, 1
     while have * 2 <= length:
@@ -93,7 +61,7 @@ def _anchors(names: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 class _Block:
     def __init__(self, table: pa.Table, length: int, buckets: int):
         self.docs, self.length, self.buckets = B.unpack(table), length, buckets
-        self.names = [word_names(body) for _, body in self.docs]
+        self.names = [word_names(body)[0] for _, body in self.docs]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = [np.zeros(0, np.uint64)]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from tokenizers import Tokenizer
 
 from . import blocks as B
 from .shared import cut, fresh_dir
+from .words import word_names
 
 # a task has one core: more threads only wait for each other
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,20 +36,52 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 256
-#: Words in each of the two generations of words whose ids a worker remembers.
-CACHE = 250_000
+#: Words whose ids a worker remembers at most, and those that it adds to the sorted table at once.
+CACHE, YOUNG = 1_500_000, 150_000
 #: Bytes of text whose words are looked up at once.
 PIECE = 4 << 20
 END = 1
 
 
+class _Table:
+    """Ids by word name in flat arrays: names sorted, where each one's ids lie, and how many."""
+
+    def __init__(self, kind: np.dtype):
+        self.names, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each name, and whether it is there."""
+        if not len(self.names):
+            return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+        row = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return row, self.names[row] == names
+
+    def add(self, names: np.ndarray, at: np.ndarray, n: np.ndarray, flat: np.ndarray) -> None:
+        both = np.concatenate([self.names, names])
+        order = np.argsort(both, kind="stable")
+        self.names = both[order]
+        self.at = np.concatenate([self.at, at + len(self.flat)])[order]
+        self.n = np.concatenate([self.n, n])[order]
+        self.flat = np.concatenate([self.flat, flat])
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[at[i] : at[i] + n[i]] of all i, joined."""
+    ends = np.cumsum(n)
+    return flat[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+_PARTS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
+
+
 class WordCoder:
     """Ids of texts by a tokenizer that lower-cases, drops white space and never joins across it.
 
-    Texts are cut at ASCII white space and each distinct word is encoded once; words
-    remembered are those of the last two generations. A comma or full stop after an ASCII
-    letter or digit is a token's end for this kind of tokenizer, so such words are encoded
-    without it.
+    Texts are cut at ASCII white space, words named by 64-bit hashes, and each distinct
+    word is encoded once; a worker remembers CACHE words. Words of letters alone are one
+    pre-token, so many of them are encoded as one text that is parted at the ends of words.
+    Letters, single digits and runs of ASCII punctuation without an apostrophe are
+    pre-tokens of their own, so other words are cut into those first, or else encoded alone.
     """
 
     def __init__(self, path: str):
@@ -61,20 +95,31 @@ class WordCoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.old, self.young = _Table(self.kind), _Table(self.kind)
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Words of letters alone are one pre-token, so many are encoded as one text and parted at the ends of words."""
-        plain, letters, rest = [], [], []
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct lower-case words, each encoded by the library."""
+        known: dict[bytes, bytes] = {}
+        plain, letters, alone, cut = {}, {}, {}, {}
         for w in words:
-            (plain if w.isalpha() else letters if w.decode().isalpha() else rest).append(w)
-        rest += self._joined(self.bare, plain) + self._joined(self.tokenizer, letters)
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        for w, e in zip(rest, got, strict=True):
-            self.new[w] = np.array(e.ids, self.kind).tobytes()
-
-    def _joined(self, tokenizer: Tokenizer, words: list[bytes]) -> list[bytes]:
+            for p in _PARTS.findall(w) if b"'" not in w and not w.isalpha() else (w,):
+                if p.isalpha():
+                    plain[p] = None
+                elif p[0] > 127 and p.decode().isalpha() or (p[0] < 128 and not p.isascii() and p.decode().isalpha()):
+                    letters[p] = None
+                elif p.isascii() and p is not w:
+                    alone[p] = None
+                else:
+                    alone[w] = None
+                    break
+            else:
+                cut[w] = None
+        alone |= dict.fromkeys(self._joined(self.bare, list(plain), known) + self._joined(self.tokenizer, list(letters), known))
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, self.kind).tobytes()
+        return [known[w] if w in known else b"".join([known[p] for p in _PARTS.findall(w)]) for w in words]
+
+    def _joined(self, tokenizer: Tokenizer, words: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
         """Encodes the words as one text; returns them if they weren't one pre-token each after all."""
         if not words:
             return []
@@ -82,33 +127,18 @@ class WordCoder:
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             return words
-        flat, at, new = ids.tobytes(), 0, self.new
+        flat, at = ids.tobytes(), 0
         for w, end in zip(words, (ends * self.kind.itemsize).tolist(), strict=True):
-            new[w] = flat[at:end]
+            known[w] = flat[at:end]
             at = end
         return []
 
-    def _know(self, words: set[bytes]) -> None:
-        new, old, miss, cut = self.new, self.old, [], []
-        for w in words:
-            if w not in new:
-                if (ids := old.get(w)) is not None:
-                    new[w] = ids
-                elif w[-1] in b",." and w[:-1][-1:].isalnum():
-                    cut.append(w)
-                else:
-                    miss.append(w)
-        bare = {w[:-1] for w in cut} | {b",", b"."}
-        self._learn([*miss, *(w for w in bare.difference(miss) if w not in new)])
-        for w in cut:
-            new[w] = new[w[:-1]] + new[w[-1:]]
-
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, little-endian."""
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
         out, group, size = [], [], 0
         for text in texts:
             if len(text) > PIECE:
-                out += self._group(group) + [b"".join(x for p in _pieces(text) for x in self._group([p]))]
+                out += self._group(group) + [np.concatenate([x for p in _pieces(text) for x in self._group([p])])]
                 group, size = [], 0
                 continue
             group.append(text)
@@ -118,14 +148,35 @@ class WordCoder:
                 group, size = [], 0
         return out + self._group(group)
 
-    def _group(self, texts: list[bytes]) -> list[bytes]:
-        lists = [t.lower().split() for t in texts]
-        self._know(set().union(*lists))
-        get = self.new.__getitem__
-        out = [b"".join(map(get, words)) for words in lists]
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        return out
+    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        body = b"\n".join(texts).lower()
+        names, s, e = word_names(body)
+        name, first, which = np.unique(names, return_index=True, return_inverse=True)
+        (row, hit), (row_, hit_) = self.young.find(name), self.old.find(name)
+        at, n, flat = np.zeros(len(name), np.int64), np.zeros(len(name), np.int64), [self.young.flat, self.old.flat]
+        at[hit], n[hit] = self.young.at[row[hit]], self.young.n[row[hit]]
+        hit_ &= ~hit
+        at[hit_], n[hit_] = self.old.at[row_[hit_]] + len(self.young.flat), self.old.n[row_[hit_]]
+        if len(miss := np.flatnonzero(~hit & ~hit_)):
+            made = self.encode_words([body[a:b] for a, b in zip(s[first[miss]].tolist(), e[first[miss]].tolist())])
+            n[miss] = np.array([len(x) for x in made]) // self.kind.itemsize
+            new_at, new = np.cumsum(n[miss]) - n[miss], np.frombuffer(b"".join(made), self.kind)
+            at[miss] = new_at + len(flat[0]) + len(flat[1])
+            flat.append(new)
+        ids = _gather(np.concatenate(flat), at[which], n[which])
+        if len(miss):
+            self.young.add(name[miss], new_at, n[miss], new)
+            if len(self.young.names) > YOUNG:
+                if len(self.old.names) > CACHE:
+                    self.old = _Table(self.kind)
+                self.old.add(self.young.names, self.young.at, self.young.n, self.young.flat)
+                self.young = _Table(self.kind)
+        ends = np.concatenate([[0], np.cumsum(n[which])])
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        turn = ends[np.searchsorted(s, starts)]
+        return [ids[a:b] for a, b in zip(turn[:-1], turn[1:])]
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -195,7 +246,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, sequence: int = S
     def write(key: tuple, table: pa.Table) -> pa.Table:
         coder, rows = _coder(tokenizer), B.unpack(table)
         end = np.array([END], coder.kind)
-        ids = [np.concatenate([np.frombuffer(x, coder.kind), end]) for x in coder.encode_all([body for _, body in rows])]
+        ids = [np.concatenate([x, end]) for x in coder.encode_all([body for _, body in rows])]
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
         name = f"block-{key[0].as_py():08d}.arrow"
