@@ -1,11 +1,695 @@
-"""The library's own queries and their SQL."""
+"""The library's own queries over the test tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stanzaflow.functions import similarity as S
+from stanzaflow.functions import text as T
+from stanzaflow.operators import authors, curate, dedup, enrich, pages
+from stanzaflow.operators import recommend as R
+from stanzaflow.plans import repair, views
+from stanzaflow.plans.views import INTERACTIONS, POEMS, interactions, poems, table
+from stanzaflow.sources import readers, tables
 
-def oracle_sql() -> dict:
-    return {}
+READER = 10
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---- SQL shared by several queries ----
+
+STATE = """
+saves as (select user_id, poem_id, arg_max(action, (created_at, id)) as a from interactions where action in ('save', 'unsave', 'super_like') group by all),
+likes as (select user_id, poem_id, arg_max(action, (created_at, id)) as a from interactions where action in ('like', 'unlike') group by all),
+dislikes as (select user_id, poem_id, arg_max(action, (created_at, id)) as a from interactions where action in ('dislike', 'undislike') group by all),
+shares as (select distinct user_id, poem_id from interactions where action = 'share'),
+state as (
+  select p.user_id, p.poem_id, coalesce(s.a in ('save', 'super_like'), false) as saved, coalesce(l.a = 'like', false) as liked,
+    coalesce(d.a = 'dislike', false) as disliked, h.poem_id is not null as shared
+  from (select distinct user_id, poem_id from interactions) p
+  left join saves s using (user_id, poem_id) left join likes l using (user_id, poem_id)
+  left join dislikes d using (user_id, poem_id) left join shares h using (user_id, poem_id)
+)"""
+WEIGHTS = """
+weights as (
+  select user_id, poem_id, case when disliked then -0.5 else greatest(case when saved then 1.0 else 0.0 end, case when shared then 1.0 else 0.0 end, case when liked then 0.5 else 0.0 end) end::double as weight
+  from state
+)"""
+TASTE = f"""
+parts as (
+  select user_id, pos, sum(x * weight) as x from (
+    select w.user_id, w.weight, unnest(p.embedding)::double as x, unnest(range(len(p.embedding))) as pos
+    from weights w join poems p on p.id = w.poem_id where w.weight <> 0 and p.embedding is not null and w.user_id = {READER}
+  ) group by all
+),
+taste as (select list(x order by pos) as v from parts)"""
+UNSEEN = f"unseen as (select * from poems where id not in (select poem_id from interactions where user_id = {READER}))"
+NEAR = """near as (
+  select id, author, corpus, round(1 - list_cosine_similarity(list_transform(embedding, lambda x: x::double), v), 6) as dist
+  from unseen, taste where embedding is not null order by dist, id limit 1000
+)"""
+BASE = f"with {POEMS}, {INTERACTIONS}"
+SPLIT = r"string_split(body, chr(10))"
+FULL = f"list_filter({SPLIT}, lambda x: {views.NONBLANK})"
+
+
+def key_sql(seed: str) -> str:
+    return f"md5(id::varchar || ':{seed}')"
+
+
+def level0_sql(pool: str, n: int, seed: str, where: str = "true") -> str:
+    k = key_sql(seed)
+    return f"""(select id, row_number() over (order by turn, {k}, id)::int as ord from (
+    select id, row_number() over (partition by coalesce(corpus, '__none__') order by {k}, id) as turn from (
+      select *, row_number() over (partition by author order by {k}, id) as k from {pool}
+    ) where k = 1 and {where}
+  ) order by ord limit {n})"""
+
+
+# ---- recommender ----
+
+
+@query(f"{BASE}, {STATE} select * from state")
+def reaction_state(spark, d):
+    return R.reaction_state(interactions(spark, d))
+
+
+@query(f"{BASE}, {STATE}, {WEIGHTS} select * from weights")
+def poem_weights(spark, d):
+    return R.poem_weights(interactions(spark, d))
+
+
+@query(f"""{BASE}, {STATE}, {WEIGHTS}, parts as (
+  select user_id, pos, sum(x * weight) as x from (
+    select w.user_id, w.weight, unnest(p.embedding)::double as x, unnest(range(len(p.embedding))) as pos
+    from weights w join poems p on p.id = w.poem_id where w.weight <> 0 and p.embedding is not null
+  ) group by all) select user_id, pos::int as pos, round(x, 5) + 0.0 as x from parts""")
+def taste_vector(spark, d):
+    t = R.taste_vector(R.poem_weights(interactions(spark, d)), poems(spark, d))
+    return t.select("user_id", F.posexplode("taste").alias("pos", "x")).select("user_id", "pos", (F.round("x", 5) + 0.0).alias("x"))
+
+
+@query(f"""{BASE} select user_id, count(distinct case when action in ('save', 'super_like', 'like', 'share') then poem_id end) as n_positive,
+  count(distinct case when action in ('save', 'super_like', 'like', 'share') then poem_id end) >= 15 as warm from interactions group by user_id""")
+def signal_gate(spark, d):
+    return R.signal_gate(interactions(spark, d))
+
+
+@query(f"{BASE}, {STATE}, {WEIGHTS}, {TASTE}, {UNSEEN}, {NEAR} select id, dist from near order by dist, id limit 20")
+def taste_topk(spark, d):
+    return R.taste_topk(poems(spark, d), interactions(spark, d), READER)
+
+
+@query(f"{BASE}, {UNSEEN} select id from unseen where line_count <= 40 order by {key_sql('s:random')}, id limit 1000")
+def random_pool(spark, d):
+    p = R.unseen(poems(spark, d), interactions(spark, d), READER).where(R.in_buckets(True, True, False))
+    return R.random_pool(p, "s:random").select("id")
+
+
+@query(f"{BASE}, {STATE}, {WEIGHTS}, {TASTE}, {UNSEEN}, {NEAR} select id from unseen where id not in (select id from near) order by {key_sql('s:explore')}, id limit 1000")
+def explore_pool(spark, d):
+    p, log = poems(spark, d), interactions(spark, d)
+    fresh = R.unseen(p, log, READER)
+    row = R.taste_vector(R.poem_weights(log.where(F.col("user_id") == READER)), p).first()
+    near = R.taste_pool(fresh, row["taste"]) if row else fresh.limit(0)
+    return R.random_pool(fresh.join(near.select("id"), "id", "left_anti"), "s:explore").select("id")
+
+
+_POOL = f"{BASE}, pool as (select * from poems where id % 3 = 0)"
+
+
+def _pool(spark, d):
+    return poems(spark, d).where("id % 3 = 0")
+
+
+@query(f"{_POOL} select * from {level0_sql('pool', 9, 'p', where=chr(10).join(['author not in (', chr(39) + 'A00' + chr(39) + ')']))}")
+def pick_level0(spark, d):
+    return R.pick_levels(_pool(spark, d), 9, ["A00", None], "p")[0]
+
+
+@query(f"{_POOL} select id, row_number() over (order by author)::int as ord from (select *, row_number() over (partition by author order by {key_sql('p')}, id) as k from pool) where k = 1 order by author limit 9")
+def pick_level2(spark, d):
+    return R.pick_levels(_pool(spark, d), 9, ["A00"], "p")[1]
+
+
+@query(f"{_POOL} select id, row_number() over (order by {key_sql('p')}, id)::int as ord from pool order by ord limit 40")
+def pick_level3(spark, d):
+    return R.pick_levels(_pool(spark, d), 40, None, "p")[2]
+
+
+_FIRST, _SECOND = level0_sql("near", 2, "s:taste"), level0_sql("rest", 3, "s:explore", "author not in (select author from poems join first using (id))")
+
+
+@query(f"""{BASE}, {STATE}, {WEIGHTS}, {TASTE}, {UNSEEN}, {NEAR}, first as {_FIRST},
+rest as (select * from unseen where id not in (select id from near) order by {key_sql('s:explore')}, id limit 1000),
+second as {_SECOND}, mixed as (select 0 as slice, * from first union all select 1 as slice, * from second)
+select row_number() over (order by slice, b.ord)::int as ord, id, title, author, body, line_count, slice::int as slice from mixed b join poems using (id)""")
+def recommend_full(spark, d):
+    return R.recommend(poems(spark, d), interactions(spark, d), READER)
+
+
+@query(f"""{BASE}, {UNSEEN}, pool as (select * from unseen where line_count <= 40 order by {key_sql('s:random')}, id limit 1000)
+select ord, id, title, author, body, line_count, 0 as slice from {level0_sql('pool', 5, 's:random')} join poems using (id)""")
+def recommend_random(spark, d):
+    return R.recommend(poems(spark, d), interactions(spark, d), READER, long=False, force_random=True)
+
+
+@query(f"""{BASE}, last as (select user_id, poem_id, arg_max(action, (created_at, id)) as a from interactions where action in ('save', 'super_like', 'dislike', 'unsave') group by all),
+weights as (select user_id, poem_id, case a when 'super_like' then 3.0 when 'save' then 1.0 when 'dislike' then -0.5 else 0.0 end::double as weight from last),
+{TASTE}, {UNSEEN}, {NEAR} select row_number() over (order by dist, near.id)::int as ord, near.id, title, poems.author, body, line_count, 0 as slice from near join poems using (id) order by dist, near.id limit 5""")
+def recommend_v12(spark, d):
+    return R.recommend(poems(spark, d), interactions(spark, d), READER, version=R.VERSIONS["v12"])
+
+
+@query(f"""{BASE}, {STATE}, {WEIGHTS}, {TASTE}, unseen as (select * from poems where line_count <= 10 and id not in (select poem_id from interactions where user_id = {READER})), {NEAR}
+select row_number() over (order by dist, near.id)::int as ord, near.id, title, poems.author, body, line_count, 0 as slice from near join poems using (id) order by dist, near.id limit 5""")
+def recommend_linemax(spark, d):
+    return R.recommend(poems(spark, d), interactions(spark, d), READER, line_max=10, version=R.VERSIONS["v16"])
+
+
+@query(f"""{BASE}, {STATE}, {WEIGHTS}, parts as (
+  select user_id, pos, sum(x * weight) as x from (
+    select w.user_id, w.weight, unnest(p.embedding)::double as x, unnest(range(len(p.embedding))) as pos
+    from weights w join poems p on p.id = w.poem_id where w.weight <> 0 and p.embedding is not null
+  ) group by all), taste as (select user_id, list(x order by pos) as v from parts group by user_id),
+scored as (select t.user_id, p.id, round(1 - list_cosine_similarity(list_transform(p.embedding, lambda x: x::double), v), 6) as dist from taste t, poems p
+  where p.embedding is not null and (t.user_id, p.id) not in (select (user_id, poem_id) from interactions))
+select user_id, id, dist, (row_number() over (partition by user_id order by dist, id))::int as rank from scored qualify rank <= 5""")
+def recommend_all(spark, d):
+    return R.recommend_all(poems(spark, d), interactions(spark, d))
+
+
+# ---- library ----
+
+_SAVED = "newest as (select user_id, poem_id, arg_max(action, (created_at, id)) as action, max(created_at) as created_at, arg_max(id, (created_at, id)) as iid from interactions where action in ('save', 'unsave') group by all)"
+
+
+@query(f"{BASE}, {_SAVED} select user_id, row_number() over (partition by user_id order by created_at desc, iid desc)::int as pos, poem_id, title, author, created_at from newest join poems on poems.id = poem_id where action = 'save'")
+def library_saved(spark, d):
+    return R.library(interactions(spark, d), poems(spark, d))
+
+
+@query(f"{BASE}, {_SAVED} select user_id, count(*) filter (action = 'save') as n_saved from newest group by user_id")
+def library_saved_count(spark, d):
+    return R.saved_count(interactions(spark, d))
+
+
+@query(f"{BASE} select user_id, poem_id, max(created_at) as skipped_at from interactions where action = 'dislike' group by all")
+def skipped_list(spark, d):
+    return R.skipped(interactions(spark, d))
+
+
+@query(f"{BASE} select o.ord::int as ord, id, title, author from poems join (values (0, 7), (1, 3), (2, 999999999), (3, 120)) o(ord, x) on o.x = id")
+def lookup_by_ids(spark, d):
+    return R.by_ids(poems(spark, d), [7, 3, 999999999, 120])
+
+
+@query(f"{BASE}, names as (select distinct coalesce(corpus, '__null__') as c, corpus is null as last from poems) select array_to_string(list(c order by last, c), ',') as corpora from names")
+def list_corpora(spark, d):
+    return R.corpora(poems(spark, d)).select(F.array_join("corpora", ",").alias("corpora"))
+
+
+@query(f"{BASE} select id, case when user_id = 3 then {READER} else user_id end as user_id, poem_id, action, created_at from interactions")
+def migrate_anon(spark, d):
+    return R.migrate_reader(interactions(spark, d), 3, READER)
+
+
+@query(f"{BASE} select count(*) as n from interactions where not (user_id = {READER} and poem_id = 0 and action not in ('save', 'super_like', 'like', 'share'))")
+def unskip_delete(spark, d):
+    return R.unskip(interactions(spark, d), READER, 0).agg(F.count("*").alias("n"))
+
+
+@query(f"""{BASE}, shown as (select user_id, author, row_number() over (partition by user_id order by created_at desc, i.id desc) as k from interactions i join poems p on p.id = poem_id)
+select user_id, array_to_string(list(author order by k), ',') as authors from shown where k <= 10 group by user_id""")
+def last_authors(spark, d):
+    return R.recent_authors(interactions(spark, d), poems(spark, d)).select("user_id", F.array_join("authors", ",").alias("authors"))
+
+
+@query(f"{BASE}, {_SAVED}, n as (select user_id, count(*) filter (action = 'save') as n from newest group by user_id) select user_id, case when n >= 10 then 3 when n >= 5 then 2 when n >= 1 then 1 else 0 end::int as level from n")
+def signup_nudge(spark, d):
+    return R.saved_count(interactions(spark, d)).select("user_id", R.nudge(F.col("n_saved")).alias("level"))
+
+
+@query(f"{BASE} select id from poems where line_count <= 14 or line_count >= 41")
+def length_buckets(spark, d):
+    return poems(spark, d).where(R.in_buckets(True, False, True)).select("id")
+
+
+@query(f"{BASE} select id from poems where corpus in ('src3') or corpus is null")
+def corpus_filter(spark, d):
+    return poems(spark, d).where(R.in_corpora(["src3", "__null__"])).select("id")
+
+
+@query(f"{BASE} select distinct user_id as id, null::varchar as display_name, true as is_anonymous from interactions")
+def missing_profiles(spark, d):
+    log = interactions(spark, d)
+    none = spark.createDataFrame([], "id long, display_name string, is_anonymous boolean")
+    return tables.missing_profiles(log.select(F.col("user_id").alias("id")).distinct(), none)
+
+
+# ---- text ----
+
+
+def _texts(name: str, sql: str, made: Callable[[Column], Column]):
+    """A query ``id, value`` of a text function over all poems."""
+
+    def run(spark, d):
+        return poems(spark, d).select("id", made(F.col("body")).alias("value"))
+
+    run.__name__ = name
+    query(f"{BASE} select id, {sql} as value from poems")(run)
+
+
+_texts("line_count", "line_count", T.line_count)
+_texts("stanza_count", f"len(list_filter(regexp_split_to_array(body, '\\n\\n+'), lambda x: {views.NONBLANK}))::int", T.stanza_count)
+_texts("newline_density", "round(case when body = '' then 0 else (length(body) - length(replace(body, chr(10), ''))) * 1000.0::double / length(body) end, 6)", lambda c: F.round(T.newline_density(c), 6))
+_texts("footnote_strip", r"regexp_replace(body || ' end[3] [4] x[15]', '(\S)(\[\d+\])+', '\1', 'g')", lambda c: T.strip_footnotes(F.concat(c, F.lit(" end[3] [4] x[15]"))))
+_texts("c1_remap", "replace(replace(replace(body || chr(133), chr(133), '…'), chr(146), '’'), chr(151), '—')", lambda c: T.repair_c1(F.concat(c, F.lit("\x85"))))
+_texts("near_dup_key", r"regexp_replace(lower(regexp_replace(substr(body, 1, 200), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')", T.near_dup_key)
+_texts("preview_text", f"(select case when length(t) > 240 then regexp_replace(substr(t, 1, 240), '\\s+\\S*$', '') || '…' else t end from (select array_to_string(({FULL})[1:4], chr(10)) as t))", T.preview)
+_texts("social_description", f"substr(array_to_string(list_transform(({FULL})[1:2], lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), ' / '), 1, 160)", T.social)
+_texts("head_lines", f"array_to_string(({SPLIT})[1:3], chr(10))", lambda c: T.first_lines(c, 3))
+_texts("body_key", r"regexp_replace(lower(body), '\s+', '', 'g')", T.body_key)
+_texts("prose_filter", "(length(body) >= 8000 and (length(body) - length(replace(body, chr(10), ''))) * 1000.0 / length(body) < 10)", T.looks_like_prose)
+_texts("english_filter", r"length(regexp_replace(body, '[\x00-\x7f‘’“”–—… ]', '', 'g')) <= 2", T.likely_english)
+_texts("stanza_breaks", "contains(body, chr(10) || chr(10))", T.has_stanza_breaks)
+_texts("title_preprocess", r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(string_split(body, chr(10))[1], 1, 40), '^\s+|\s+$', '', 'g'), '[.\s]*[\[\{]\d+[\]\}][^\p{L}\p{N}_]*$', ''), '[.,!?;:]+$', ''), '^\s+|\s+$', '', 'g'))", lambda c: T.match_title(F.substring(F.split(c, "\n")[0], 1, 40)))
+_texts("typography_chain", r"""replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(body || ' ''t -- don''t "q"', '´', '’'), '--', '—'), '(\s)"', '\1“', 'g'), '^"', '“'), '"', '”'), '([\p{L}\p{N}])''', '\1’', 'g'), '(\s)''([\p{L}])', '\1‘\2', 'g'), '^''([\p{L}])', '‘\1'), '''', '’')""", lambda c: T.typography(F.concat(c, F.lit(" 't -- don't \"q\""))))
+_texts("accent_snippet", r"case when contains(body, 'é') then regexp_extract(body, '(?s).{0,40}(?:é).{0,40}', 0) end", lambda c: T.snippet(c, "é"))
+
+
+@query(f"{BASE} select id, regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(l)), '[^a-z0-9_]', ' ', 'g'), '\\s+', ' ', 'g')), 'x^', '') as value from (select id, coalesce(list_filter(string_split(body, chr(10)), lambda x: {views.NONBLANK} and not regexp_matches(x, '(?i)^\\s*by\\s+\\S'))[1], '') as l from poems) where not contains(l, 'ß')")
+def first_line_key(spark, d):
+    return poems(spark, d).where(~F.contains(F.coalesce(F.get(F.filter(T.nonblank_lines(F.col("body")), lambda x: ~x.rlike(r"(?i)^\s*by\s+\S")), F.lit(0)), F.lit("")), F.lit("ß"))).select("id", T.first_line(F.col("body")).alias("value"))
+
+
+@query(f"""{BASE} select case when length(body) < 150 then '<150' when length(body) < 500 then '150-499' when length(body) < 2000 then '500-1999' when length(body) < 5000 then '2000-4999' else '>=5000' end as label, count(*) as n from poems group by all""")
+def length_distribution(spark, d):
+    return curate.length_profile(poems(spark, d))
+
+
+@query(f"{BASE} select count(*) as n, round(avg(length(body)), 6) as mean, round(median(length(body)), 6) as median, round(stddev_samp(length(body)), 4) as stdev, min(length(body))::int as least, max(length(body))::int as most from poems")
+def length_stats(spark, d):
+    return curate.length_stats(poems(spark, d))
+
+
+@query(rf"""{BASE} select issue, n from (select
+  count(*) filter (not regexp_matches(body, '\S')) as empty_text, count(*) filter (not regexp_matches(title, '\S')) as missing_title, count(*) filter (not regexp_matches(author, '\S')) as missing_author,
+  count(*) filter (regexp_matches(replace(replace(replace(body, chr(10), ''), chr(13), ''), chr(9), ''), '\p{{C}}')) as control_chars,
+  count(*) filter (length(body) >= 8000 and (length(body) - length(replace(body, chr(10), ''))) * 1000.0 / length(body) < 10) as possible_prose from poems) unpivot (n for issue in (empty_text, missing_title, missing_author, control_chars, possible_prose))""")
+def quality_issues(spark, d):
+    return curate.quality_issues(poems(spark, d))
+
+
+@query(f"{BASE} select id as rid, f as first_rid from (select id, min(id) over (partition by body) as f from poems) where id <> f")
+def first_seen_duplicates(spark, d):
+    return curate.first_seen(poems(spark, d), "body", rid="id")
+
+
+@query(f"{BASE}, g as (select author, count(*) as n, min(id) as f from poems group by author) select (row_number() over (order by n desc, f))::int as rank, author, n from g order by n desc, f limit 20")
+def author_counts(spark, d):
+    return curate.top_values(poems(spark, d), "author", 20, "id")
+
+
+@query("select lang, count(*) as total, count(*) filter (source = 'src0') as src0, count(*) filter (source = 'src1') as src1, count(*) filter (source = 'src2') as src2 from documents group by lang")
+def author_source_pivot(spark, d):
+    return curate.source_pivot(table(spark, d, "documents"), "lang", "source", ["src0", "src1", "src2"])
+
+
+_LS = "case when line_count < 5 then 0 when line_count < 10 then 1 when line_count <= 35 then 3 when line_count <= 45 then 2 else 1 end"
+_CS = "case when length(body) < 150 then 0 when length(body) < 400 then 1 when length(body) < 2000 then 3 when length(body) < 5000 then 2 else 1 end"
+
+
+@query(f"{BASE} select id, author, k from (select id, author, (row_number() over (partition by author order by -({_LS}), -({_CS}), id))::int as k from poems where author <> 'A07') where k <= 5")
+def cap_per_author(spark, d):
+    return curate.cap_per_author(poems(spark, d).withColumn("rid", F.col("id")), 5, dropped=("A07",)).select("id", "author", "k")
+
+
+_KEY = r"regexp_replace(lower(regexp_replace(substr(body, 1, 200), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')"
+
+
+@query(f"{BASE}, k as (select id, length(body) as n, {_KEY} as k from poems) select id from k qualify length(k) < 50 or row_number() over (partition by k order by n desc, id) = 1")
+def near_dup_keep_longest(spark, d):
+    return dedup.near_dup_longest(poems(spark, d).withColumn("rid", F.col("id"))).select("id")
+
+
+# ---- duplicates ----
+
+DEDUP = r"""docs as (
+  select doc_id as rid, text as body, source, lang || substr(text, 1, 2) as block,
+    regexp_replace(lower(substr(text, 1, 40)), '\s+', ' ', 'g') as title_norm, regexp_replace(lower(string_split(text, chr(10))[1]), '\s+', ' ', 'g') as first_line
+  from documents
+),
+edges as (
+  select min(rid) over (partition by block, title_norm) as a, rid as b, 'title' as kind from docs where title_norm <> '' union all
+  select min(rid) over (partition by block, first_line) as a, rid as b, 'firstline' as kind from docs where length(first_line) > 10
+),
+star as (select a, b, kind from edges where a < b)"""
+COMP = """comp as (
+  select rid, min(c) as comp from (
+    with recursive reach(rid, c) as (
+      select rid, rid from docs union select e.y, r.c from reach r join (select a as x, b as y from star union select b, a from star) e on e.x = r.rid
+    ) select rid, c from reach
+  ) group by rid
+)"""
+
+
+def _dedup_rows(spark: SparkSession, d: str) -> DataFrame:
+    squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("rid"), F.col("text").alias("body"), "source", F.concat("lang", F.substring("text", 1, 2)).alias("block"),
+        squeeze(F.substring("text", 1, 40)).alias("title_norm"), squeeze(F.split("text", "\n")[0]).alias("first_line"),
+    )
+
+
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
+    rows = _dedup_rows(spark, d)
+    return rows.join(dedup.components(rows.select("rid"), dedup.exact_edges(rows)), "rid")
+
+
+@query(f"with {DEDUP} select * from star")
+def exact_edges(spark, d):
+    return dedup.exact_edges(_dedup_rows(spark, d))
+
+
+@query(f"with {DEDUP}, {COMP} select * from comp")
+def dup_components(spark, d):
+    return _clustered(spark, d).select("rid", "comp")
+
+
+def _signals(rows: DataFrame) -> DataFrame:
+    """Cluster signals; bodies agree when their SHA-256 occurs twice in a cluster (ratio 1), else the ratio counts as 0."""
+    by = rows.groupBy("comp", F.sha2("body", 256).alias("h")).agg(F.count("*").alias("same"), F.collect_set("source").alias("sources"), F.max("title_norm").alias("t"), F.max("first_line").alias("f"))
+    g = by.groupBy("comp").agg(
+        F.sum("same").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("n_sources"), F.when(F.max("same") > 1, 1.0).otherwise(0.0).alias("max_ratio"),
+        (F.count_distinct("t") == 1).alias("any_title_first"), (F.count_distinct("t") > 1).alias("any_first_only"),
+    ).where("n > 1")
+    none = {c: F.lit(False) for c in ("any_encore", "confirmed", "keep_newer")}
+    return dedup.classify(g.withColumns(none))
+
+
+@query(f"""with {DEDUP}, {COMP}, j as (select * from docs join comp using (rid)),
+g as (select comp, count(*) as n, count(*) - count(distinct body) > 0 as same, count(distinct t) as nt from (select *, max(title_norm) over (partition by comp, body) as t from j) group by comp having count(*) > 1)
+select comp, n, case when same then 'body_match' when nt > 1 then 'not_dupe_firstline_only' else 'ambiguous' end as cls from g""")
+def cluster_classes(spark, d):
+    return _signals(_clustered(spark, d)).select("comp", F.col("n").cast("long").alias("n"), "cls")
+
+
+@query(f"""with {DEDUP}, {COMP}, j as (select * from docs join comp using (rid))
+select comp, arg_max(rid, (length(body), -rid)) as winner, count(*) as n, array_to_string(list(source order by rid), ',') as provenance from j group by comp having count(*) > 1""")
+def merge_clusters(spark, d):
+    rows = _clustered(spark, d).withColumn("score", F.length("body"))
+    return dedup.merge(rows, fields=()).where("n > 1").join(rows.select(F.col("rid").alias("winner"), "comp"), "winner").select("comp", "winner", "n", F.array_join("provenance", ",").alias("provenance"))
+
+
+@query("select doc_id from documents where not exists (select 1 from benchmark b where lower(substr(b.text, 1, 30)) = lower(substr(documents.text, 1, 30)))")
+def live_antijoin(spark, d):
+    live = table(spark, d, "benchmark").select(F.lower(F.substring("text", 1, 30)).alias("k"))
+    return table(spark, d, "documents").withColumn("k", F.lower(F.substring("text", 1, 30))).join(live, "k", "left_anti").select("doc_id")
+
+
+@query("select doc_id from documents where lower(substr(text, 1, 20)) in (select lower(substr(text, 1, 20)) from documents where source = 'src7')")
+def deleted_titles(spark, d):
+    t = table(spark, d, "documents").withColumn("k", F.lower(F.substring("text", 1, 20)))
+    return t.join(t.where("source = 'src7'").select("k"), "k", "left_semi").select("doc_id")
+
+
+@query()
+def body_fuzzy_edges(spark, d):
+    r = _dedup_rows(spark, d).withColumn("body_key", T.body_key(F.col("body"))).where(F.length("body_key") < 800)
+    return dedup.fuzzy_edges(r)
+
+
+@query()
+def live_dupes(spark, d):
+    row = lambda t, i: table(spark, d, t).select(F.col(i).alias("rid"), F.lower(F.substring("text", 1, 2)).alias("author_norm"), F.lower(F.substring("text", 1, 40)).alias("title_norm"), F.lower(F.split("text", "\n")[0]).alias("first_line"), T.body_key(F.col("text")).alias("body_key"))
+    return dedup.live_dupes(row("documents", "doc_id").where("rid % 5 = 0"), row("documents", "doc_id").where("rid % 5 = 1 and length(body_key) < 800"))
+
+
+@query("select b.item_id as probe_id, d.doc_id as text_id from (select item_id, substr(text, 1, 40) as p from benchmark) b join documents d on contains(d.text, b.p)")
+def probe_join(spark, d):
+    probes = table(spark, d, "benchmark").select(F.col("item_id").alias("probe_id"), F.substring("text", 1, 40).alias("probe"))
+    return dedup.containing(probes, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.col("text").alias("body")))
+
+
+# ---- names ----
+
+NAMES = """names as (select p_partkey as rid, p_name as name, lower(string_split(p_name, ' ')[-1]) as last_norm, lower(array_to_string(string_split(p_name, ' ')[1:-2], ' ')) as first_norm from part)"""
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("rid"), F.col("p_name").alias("name"))
+    return p.withColumn("last_norm", authors.last_norm(F.col("name"))).withColumn("first_norm", authors.first_norm(F.col("name")))
+
+
+@query(f"with {NAMES} select rid, regexp_replace(last_norm, '[^a-z]', '', 'g') as last_norm, regexp_replace(first_norm, '[^a-z ]', '', 'g') as first_norm from names")
+def name_parts(spark, d):
+    return _names(spark, d).select("rid", "last_norm", "first_norm")
+
+
+_DISTINCT = f"with {NAMES}, t as (select name, count(*) as count, min(rid) as rid, any_value(last_norm) as last_norm, any_value(first_norm) as first_norm from names group by name)"
+
+
+def _distinct(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, d).groupBy("name", "last_norm", "first_norm").agg(F.count("*").alias("count"), F.min("rid").alias("rid")).withColumn("sources", F.array(F.lit("part")))
+
+
+@query(f"{_DISTINCT} select rid, min(rid) over (partition by last_norm, first_norm) as comp from t")
+def name_groups(spark, d):
+    return authors.group_names(_distinct(spark, d)).select("rid", "comp")
+
+
+@query(f"{_DISTINCT} select last_norm as grp, arg_max(name, (count, -rid)) as canonical, count(*) as n_variants, sum(count)::bigint as count from t group by last_norm")
+def canonical_variant(spark, d):
+    named = _distinct(spark, d).withColumn("comp", F.col("last_norm"))
+    return authors.canonical(named).select(F.col("comp").alias("grp"), "canonical", "n_variants", "count")
+
+
+@query("""with w as (select doc_id, lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) as name from documents),
+u as (select name, min(doc_id) as rid, split_part(name, ' ', 2) as last_norm, replace(name, ' ', '') as full from w where regexp_full_match(name, '[a-z]+ [a-z]+') group by name)
+select a.rid as a, b.rid as b, a.name as name_a, b.name as name_b from u a join u b on a.rid < b.rid and a.last_norm <> b.last_norm and levenshtein(a.last_norm, b.last_norm) <= 2
+  and 1 - levenshtein(a.full, b.full) / greatest(length(a.full), length(b.full), 1) >= 0.6""")
+def name_fuzzy_flags(spark, d):
+    w = F.split("text", " ")
+    t = table(spark, d, "documents").select("doc_id", F.lower(F.concat(F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)))).alias("name")).where(F.col("name").rlike("^[a-z]+ [a-z]+$"))
+    u = t.groupBy("name").agg(F.min("doc_id").alias("rid")).withColumn("last_norm", F.split("name", " ")[1]).withColumn("full", F.replace("name", F.lit(" "), F.lit("")))
+    return authors.fuzzy_flags(u, 0.6)
+
+
+@query("select p_partkey, case p_brand when 'Brand#1' then 'Brand#2' else p_brand end as author from part")
+def variant_apply(spark, d):
+    v = spark.createDataFrame([("Brand#1", "Brand#2")], "variant string, canonical string")
+    return authors.apply_variants(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("author")), v)
+
+
+@query("select p_name as name, count(*) as count, array_to_string(list(distinct p_brand order by p_brand), ',') as sources from part group by p_name")
+def name_table(spark, d):
+    return authors.name_table(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("source"))).select("name", "count", F.array_join("sources", ",").alias("sources"))
+
+
+# ---- results, ids, table changes ----
+
+
+@query("select event_id, (props::json->>'k')::int as k from events where props is not null")
+def json_results(spark, d):
+    return table(spark, d, "events").where("props is not null").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("select d.doc_id, coalesce(l.quality, -1) as quality, coalesce(l.toxic, -1) as toxic from documents d left join labels l using (doc_id)")
+def score_join(spark, d):
+    scored = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    return scored.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+@query("""select 'labels' as part, count(*) as n_missing from documents where doc_id not in (select doc_id from labels) union all
+select 'embeddings', count(*) from documents where doc_id not in (select vec_id from embeddings)""")
+def completeness_gate(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return enrich.completeness(docs, labels=(table(spark, d, "labels"), "doc_id"), embeddings=(table(spark, d, "embeddings"), "vec_id"))
+
+
+@query("select doc_id, (row_number() over (order by doc_id) - 1) // 50 as chunk from documents")
+def chunks(spark, d):
+    return tables.chunks(table(spark, d, "documents").select("doc_id"), "doc_id", 50)
+
+
+@query("select max(regexp_extract(c_name, '(\\d+)$', 1)::bigint) as n from customer")
+def max_numeric_id(spark, d):
+    return table(spark, d, "customer").agg(F.max(tables.numeric_suffix(F.col("c_name"))).alias("n"))
+
+
+@query("""select doc_id, printf('poem_%04d', (select max(regexp_extract(c_name, '(\\d+)$', 1)::bigint) from customer) + row_number() over (order by doc_id)) as id from documents""")
+def assign_ids(spark, d):
+    return tables.assign_ids(table(spark, d, "customer").select(F.col("c_name").alias("id")), table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "id")
+
+
+@query("select doc_id as id, 'old' as v from documents where doc_id % 2 = 0 union all select doc_id, 'new' from documents where doc_id % 3 = 0 and doc_id % 2 <> 0")
+def insert_ignore(spark, d):
+    old = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("old").alias("v"))
+    return tables.insert_ignore(old, table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit("new").alias("v")))
+
+
+@query("select user_id as id, arg_max(event_type, event_id) as v from events group by user_id union all select c_custkey, 'old' from customer where c_custkey not in (select user_id from events)")
+def upsert_latest(spark, d):
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("old").alias("v"))
+    return tables.upsert(old, table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("v"), "event_id"), "id", "event_id")
+
+
+@query("select count(*) filter (replace(text, '.', '!') is distinct from text) as n_changed from documents")
+def update_distinct(spark, d):
+    return tables.update_distinct(table(spark, d, "documents"), F.replace("text", F.lit("."), F.lit("!")), "text")[1]
+
+
+@query("select d.doc_id, coalesce(case when l.quality = 1 then 'good' end, d.source) as source from documents d left join labels l using (doc_id)")
+def sparse_update(spark, d):
+    patch = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").alias("source"))
+    return tables.sparse_update(table(spark, d, "documents").select("doc_id", "source"), patch, "doc_id")
+
+
+@query("""select 'orders' as t, count(*) as n from orders where o_orderpriority <> '1-URGENT' union all
+select 'lineitem', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderpriority = '1-URGENT')""")
+def prune_rename(spark, d):
+    o = table(spark, d, "orders").withColumn("id", F.col("o_orderkey"))
+    kept = tables.delete_where(o, F.col("o_orderpriority") == "1-URGENT", (table(spark, d, "lineitem"), "l_orderkey"))
+    return kept[0].agg(F.lit("orders").alias("t"), F.count("*").alias("n")).unionByName(kept[1].agg(F.lit("lineitem").alias("t"), F.count("*").alias("n")))
+
+
+@query("select lang, case when source in ('src1', 'src2') then 'src0' else source end as source, count(*) as n from documents group by all")
+def rename_map(spark, d):
+    return tables.rename(table(spark, d, "documents"), "source", {"src1": "src0", "src2": "src0"}).groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def resume_remaining(spark, d):
+    return readers.remaining(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query("select distinct source from documents where source in (select source from documents where lang = 'fr')")
+def source_intersection(spark, d):
+    t = table(spark, d, "documents")
+    return t.select("source").intersect(t.where("lang = 'fr'").select("source"))
+
+
+@query("select 'http://x/' || (2000 + user_id % 20) || '/p' || user_id || '.shtml' as url, max(strftime(ts, '%Y%m%d%H%M%S')) as timestamp from events group by user_id")
+def latest_snapshot(spark, d):
+    e = table(spark, d, "events").select(F.concat(F.lit("http://x/"), 2000 + F.col("user_id") % 20, F.lit("/p"), "user_id", F.lit(".shtml")).alias("url"), F.date_format("ts", "yyyyMMddHHmmss").alias("timestamp"))
+    return readers.latest_snapshots(e)
+
+
+@query("select doc_id, quality, toxic from labels where (quality is null or quality between 0 and 10) and (toxic is null or toxic between 0 and 10)")
+def rubric_range_check(spark, d):
+    return table(spark, d, "labels").where(enrich.in_range("quality", "toxic")).select("doc_id", "quality", "toxic")
+
+
+@query("select sum(length(text))::bigint as tokens_in, count(*) as tokens_out, round(sum(length(text)) * 1.0::double / 1e6 + count(*) * 4.0::double / 1e6, 6) as price from documents")
+def cost_model(spark, d):
+    t = table(spark, d, "documents").select(F.length("text").cast("long").alias("a"), F.lit(1).cast("long").alias("b"))
+    return enrich.cost(t, "a", "b")
+
+
+# ---- pages ----
+
+
+@query(r"select page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') as title from pages where regexp_matches(html, '(?is)<h1[^>]*>.*?</h1>')")
+def page_title(spark, d):
+    return table(spark, d, "pages").where(F.col("html").rlike("(?is)<h1[^>]*>.*?</h1>")).select("page_id", pages.title(F.col("html")).alias("title"))
+
+
+@query("""select page_id, (unnest(range(len(hs))))::int as pos, unnest(hs) as href from (select page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) as hs from pages)""")
+def page_links(spark, d):
+    return pages.links(table(spark, d, "pages"))
+
+
+@query(r"select page_id, len(regexp_extract_all(html, '(?i)<p(?:\s[^>]*)?>'))::int as n from pages")
+def page_paragraphs(spark, d):
+    return table(spark, d, "pages").select("page_id", pages.paragraphs(F.col("html")).alias("n"))
+
+
+@query("select page_id, html not like '%<article%' as dropped from pages")
+def page_records(spark, d):
+    return pages.records(table(spark, d, "pages")).select("page_id", (F.col("drop_reason") == "no block").eqNullSafe(True).alias("dropped"))
+
+
+@query()
+def page_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.page_text("html").alias("text"))
+
+
+# ---- bilingual, back-fill, repairs ----
+
+_TURNS = "turns as (select conv_id::varchar || '-' || chr((65 + turn)::int) as group_id, 'u' || conv_id as url, role as title, case when role = 'user' then 'Translated by X' else '' end as translator, text as body, conv_id, turn from conversations where turn < 2)"
+
+
+@query(rf"""with {_TURNS}, t as (select *, length(regexp_replace(body, '[\x00-\x7f‘’“”–—… ]', '', 'g')) <= 2 as eng from turns),
+g as (select conv_id, any_value(url) as url, count(*) filter (translator <> '') as n, arg_min(eng, turn) filter (translator <> '') as eng, arg_min(title, turn) filter (translator <> '') as ct, arg_min(title, turn) filter (translator = '') as ut, count(*) filter (translator = '') as nu from t group by conv_id)
+select url, not (n = 1 and (eng or nu > 0)) as drop_all, case when n = 1 and eng then ct when n = 1 and nu > 0 then ut end as keep_title from g where n < 2""")
+def bilingual_decisions(spark, d):
+    c = table(spark, d, "conversations").where("turn < 2")
+    rows = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.char(65 + F.col("turn"))).alias("group_id"), F.concat(F.lit("u"), "conv_id").alias("url"), F.col("role").alias("title"), F.when(F.col("role") == "user", "Translated by X").otherwise("").alias("translator"), F.col("text").alias("body"))
+    return curate.bilingual_decisions(rows).select("url", "drop_all", "keep_title")
+
+
+@query(f"""{BASE}, k as (select id, lower(author) as ak, regexp_replace(lower(body), '\\s+', '', 'g') as bk from poems),
+m as (select ak, bk, count(*) as n from k group by all), h as (select ak, bk, count(distinct '<p>' || id) as nh from k where id % 4 <> 0 group by all)
+select id, case when nh is null then 'none' when n > 1 then 'ambiguous' when nh > 1 then 'conflict' else 'one' end as status from k join m using (ak, bk) left join h using (ak, bk)""")
+def backfill_match(spark, d):
+    p = poems(spark, d)
+    parsed = p.where("id % 4 <> 0").select("author", "body", F.concat(F.lit("<p>"), "id").alias("html"))
+    return repair.backfill(p, parsed).select("id", "status")
+
+
+@query()
+def charset_repair(spark, d):
+    return poems(spark, d).select("id", T.repair_charset("body").alias("value"))
+
+
+@query()
+def title_fuzzy_match(spark, d):
+    p = poems(spark, d).withColumn("rid", F.col("id"))
+    listed = p.where("id % 10 = 0").select("author", F.col("title").alias("listed"))
+    return curate.title_matches(p, listed)
+
+
+def _stanzas(spark: SparkSession, d: str) -> DataFrame:
+    p = poems(spark, d).where("line_count >= 3")
+    return p.select("id", F.col("body").alias("stored"), F.replace("body", F.lit(".\n"), F.lit(".\n\n")).alias("fetched"))
+
+
+@query()
+def match_grade(spark, d):
+    r = _stanzas(spark, d)
+    flat = lambda c: T.nonblank_lines(F.col(c))
+    return r.select("id", S.match_grade(F.size(flat("stored")), F.size(flat("fetched")), S.lines_ratio(flat("stored"), flat("fetched"))).alias("grade"))
+
+
+@query()
+def stanza_transplant(spark, d):
+    return repair.stanza_plan(_stanzas(spark, d).withColumn("grade", F.lit("near")))
+
+
+@query("select count(*) as n_before, count(*) as n_after from documents where length(text) > 0")
+def clean_chain(spark, d):
+    rows = table(spark, d, "documents").where(F.length("text") > 0).select("source", F.col("text").alias("body"))
+    return curate.clean_b(rows).agg(F.count("*").alias("n_before"), F.count("body").alias("n_after"))
