@@ -49,7 +49,8 @@ def vector_dedup(vectors: DataFrame, cosine: float = 0.93, seed: int = 7) -> Dat
     vec_id keeps its row and can't be a component's id).
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), "label")
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"), "label")
     fine = F.expr("label is not null and e is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(e, x -> x <> 0)")
     v = v.withColumn("cls", F.when(fine, F.xxhash64("label", "e"))).withColumn("cls2", F.when(fine, F.xxhash64("e", "label", F.lit("2"))))
     classes = cut(v.where("cls is not null").groupBy("cls", "cls2", "label").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"), F.first("e").alias("e")).select(F.xxhash64("cls", "cls2").alias("id"), "*"))
