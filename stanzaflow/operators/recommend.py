@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -152,6 +154,15 @@ def split_counts(limit: int, explore: float = 0.5) -> tuple[int, int]:
     return limit - n, n
 
 
+def fixed(pool: DataFrame) -> DataFrame:
+    """A pool as constant rows ``id, author, corpus``: it has at most the recommender's pool size (1000), so the driver may hold it.
+
+    The reference keeps its pools as arrays of ids for the same reason: later steps must not choose them anew.
+    """
+    small = pool.select("id", "author", "corpus")
+    return pool.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
 def recommend(
     poems: DataFrame, log: DataFrame, user: int, limit: int = 5, corpora: list[str | None] | None = None, short: bool = True, medium: bool = True, long: bool = True,
     recent: list[str | None] | None = None, force_random: bool | None = False, seed: str = "s", version: Version = CURRENT, line_max: int | None = None,
@@ -163,7 +174,7 @@ def recommend(
     """
     if user is None:
         raise PermissionError("a reader is needed")
-    mine = log.where(F.col("user_id") == user)
+    log = mine = log.where(F.col("user_id") == user)
     fits = poems.where(in_buckets(short, medium, long) & in_corpora(corpora) & under_cap(line_max))
     fresh = unseen(fits, log, user)
     taste = None
@@ -173,16 +184,17 @@ def recommend(
             row = taste_vector(poem_weights(mine, version), poems).first()
             taste = row["taste"] if row else None
     if taste is None:
-        pool = random_pool(fresh if version.exclude_seen_when_cold else fits, f"{seed}:random", version.pool)
+        pool = fixed(random_pool(fresh if version.exclude_seen_when_cold else fits, f"{seed}:random", version.pool))
         picked = pick_diverse(pool, limit, recent, f"{seed}:random").withColumn("slice", F.lit(0))
         return _shaped(picked, poems)
     near = taste_pool(fresh, taste, version.pool)
     if not version.explore:
         return _shaped(near.limit(limit).select("id", F.row_number().over(Window.orderBy("dist", "id")).alias("ord")).withColumn("slice", F.lit(0)), poems)
     taste_n, explore_n = split_counts(limit, version.explore)
+    near = fixed(near)
     first = pick_diverse(near, taste_n, recent, f"{seed}:taste")
-    authors = [r["author"] for r in first.join(poems.select("id", "author"), "id").select("author").distinct().collect()] if taste_n > 0 else []
-    rest = random_pool(fresh.join(near.select("id"), "id", "left_anti"), f"{seed}:explore", version.pool)
+    authors = [r["author"] for r in first.join(near, "id").select("author").distinct().collect()] if taste_n > 0 else []
+    rest = fixed(random_pool(fresh.join(near.select("id"), "id", "left_anti"), f"{seed}:explore", version.pool))
     second = pick_diverse(rest, explore_n, [*(recent or []), *authors], f"{seed}:explore")
     return _shaped(first.where(F.lit(taste_n > 0)).withColumn("slice", F.lit(0)).unionByName(second.withColumn("slice", F.lit(1))), poems)
 
@@ -200,17 +212,38 @@ def taste_topk(poems: DataFrame, log: DataFrame, user: int, k: int = 20) -> Data
     return taste_pool(unseen(poems, log, user), row["taste"], k).select("id", "dist")
 
 
-def recommend_all(poems: DataFrame, log: DataFrame, k: int = 5) -> DataFrame:
+def recommend_all(poems: DataFrame, log: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """For every reader with a taste, the ``k`` nearest unseen poems: ``user_id, id, dist, rank`` (an extension).
 
-    Readers are spread over the cluster and the embedded poems are broadcast by the caller's choice;
-    the ranking window keeps k rows of a reader before the shuffle.
+    Readers and poems are dealt into blocks of about ``block`` rows; each pair of blocks is one
+    matrix product that keeps ``k`` rows of a reader, so scores of all pairs are never rows.
     """
-    taste = taste_vector(poem_weights(log), poems)
-    seen = log.select("user_id", F.col("poem_id").alias("id")).distinct()
-    pairs = taste.join(poems.where("embedding is not null").select("id", "embedding"), F.lit(True)).join(seen, ["user_id", "id"], "left_anti")
-    scored = pairs.select("user_id", "id", F.round(cosine_distance(F.col("embedding"), F.col("taste")), 6).alias("dist"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("dist", "id"))).where(F.col("rank") <= k)
+    log_ = log.select("user_id", "poem_id").distinct().groupBy("user_id").agg(F.collect_list("poem_id").alias("seen"))
+    taste = taste_vector(poem_weights(log), poems).join(log_, "user_id")
+    known = poems.where("embedding is not null").select("id", "embedding")
+    n_u, n_p = (max(1, -(-d.count() // block)) for d in (log_, known))
+    deal = lambda d, key, n, other, own, copy: d.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+    readers, items = deal(taste, "user_id", n_u, n_p, "ub", "pb"), deal(known, "id", n_p, n_u, "pb", "ub")
+
+    def score(u: pa.Table, p: pa.Table) -> pa.Table:
+        out = []
+        if u.num_rows and p.num_rows:
+            ids = p["id"].to_numpy()
+            order = np.argsort(ids)
+            ids, e = ids[order], np.stack(p["embedding"].to_pylist()).astype(np.float64)[order]
+            norm = np.linalg.norm(e, axis=1)
+            for user, t, seen in zip(u["user_id"].to_pylist(), u["taste"].to_pylist(), u["seen"].to_pylist()):
+                t = np.array(t)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    dist = np.round(1 - (e @ t) / (norm * np.linalg.norm(t)), 6)
+                new = np.flatnonzero(~np.isin(ids, seen))
+                best = new[np.argsort(dist[new], kind="stable")[:k]]
+                out += [(user, int(ids[i]), float(dist[i])) for i in best]
+        cols = list(zip(*out)) or [[], [], []]
+        return pa.table({"user_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
+
+    best = readers.groupBy("ub", "pb").cogroup(items.groupBy("ub", "pb")).applyInArrow(score, "user_id long, id long, dist double")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("dist", "id"))).where(F.col("rank") <= k)
 
 
 def _newest(log: DataFrame, *actions: str) -> DataFrame:
