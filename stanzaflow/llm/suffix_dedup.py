@@ -34,7 +34,7 @@ COVER_PERIOD = 57
 #: A perfect difference set: each remainder but 0 is one difference of two members.
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 #: Keys in a bucket, about.
-BUCKET_KEYS = 2 << 20
+BUCKET_KEYS = 4 << 20
 #: Bits of a key inside its bucket: ranks and suffixes.
 RANK_BITS, SUFFIX_BITS = 32, 56
 
@@ -112,8 +112,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     if length < COVER_PERIOD + 7:
         raise ValueError(f"length must be at least {COVER_PERIOD + 7}")
     base = B.deal(docs)
-    n_ranks = max(4, min(1 << 16, base.total_bytes * len(COVER) // COVER_PERIOD // BUCKET_KEYS))
-    n_suffix = max(4, min(1 << 8, base.total_bytes // 3 // BUCKET_KEYS))
+    # bucket counts are only tuning; about a fifth of all suffixes is unsettled in texts with many copies
+    n_ranks = max(12, min(1 << 16, base.total_bytes * len(COVER) // COVER_PERIOD // BUCKET_KEYS))
+    n_suffix = max(12, min(1 << 8, base.total_bytes // 5 // BUCKET_KEYS))
 
     def send_ranks(key: tuple, table: pa.Table) -> pa.Table:
         keys, _, n = _Block(table, length, n_ranks).ranks()
