@@ -16,9 +16,9 @@ strings of 100 bytes hold two samples whose next 100 - 57 + 1 = 44 bytes are equ
 
 A bucket holds about ``BUCKET_KEYS`` keys and a block a few MB of text, so memory is
 bounded. Order among names isn't alphabetical, which the removal doesn't need. A rank
-that collides by chance only adds a suffix to the sort. Suffixes are compared by 56 bits
-of a 64-bit name and the bucket; two different strings of a corpus of n suffixes meet with
-probability near bucket size / 2 ** 56 each.
+that collides by chance only adds a suffix to the sort. Suffixes are compared by 64-bit
+names (the bucket and the key in it), so among n unsettled suffixes one is taken for
+another with probability near n / 2 ** 64.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ COVER_PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 #: Keys in a bucket, about.
 BUCKET_KEYS = 4 << 20
-#: Bits of a key inside its bucket: ranks and suffixes.
-RANK_BITS, SUFFIX_BITS = 32, 56
+#: Bits of a rank inside its bucket. Suffix keys have what 64 bits leave beside the bucket.
+RANK_BITS = 32
 
 _COVERED = np.zeros(COVER_PERIOD, bool)
 _COVERED[list(COVER)] = True
@@ -76,7 +76,7 @@ class _Block:
         keys, which, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
         return keys, which, n
 
-    def suffixes(self, tied: np.ndarray, buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    def suffixes(self, tied: np.ndarray, buckets: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Places of the unsettled suffixes by document; their distinct keys, the first of each, and the key number of each."""
         at, places, found = 0, [], [np.zeros(0, np.uint64)]
         for _, body in self.docs:
@@ -94,7 +94,7 @@ class _Block:
             p = np.flatnonzero(np.cumsum(open_[:m]) > 0)
             places.append(p)
             if len(p):
-                found.append(B.split_buckets(_names(body, self.tie, self.length)[1][p], buckets, SUFFIX_BITS))
+                found.append(B.split_buckets(_names(body, self.tie, self.length)[1][p], buckets, bits))
         keys, first, which = np.unique(np.concatenate(found), return_index=True, return_inverse=True)
         return places, keys, first, which
 
@@ -114,7 +114,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     base = B.deal(docs)
     # bucket counts are only tuning; about a fifth of all suffixes is unsettled in texts with many copies
     n_ranks = max(12, min(1 << 16, base.total_bytes * len(COVER) // COVER_PERIOD // BUCKET_KEYS))
-    n_suffix = max(12, min(1 << 8, base.total_bytes // 5 // BUCKET_KEYS))
+    n_suffix = max(12, min(1 << 24, base.total_bytes // 5 // BUCKET_KEYS))
+    bits = 64 - max(8, (n_suffix - 1).bit_length())
 
     def send_ranks(key: tuple, table: pa.Table) -> pa.Table:
         keys, _, n = _Block(table, length, n_ranks).ranks()
@@ -126,16 +127,16 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def send_suffixes(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return B.cells(0, np.zeros(0, np.uint64), np.zeros(0, bool), n_suffix, SUFFIX_BITS)
+            return B.cells(0, np.zeros(0, np.uint64), np.zeros(0, bool), n_suffix, bits)
         block = _Block(table, length, n_ranks)
-        _, keys, _, _ = block.suffixes(tied(block, replies), n_suffix)
-        return B.cells(key[0].as_py(), keys, np.zeros(len(keys), bool), n_suffix, SUFFIX_BITS)
+        _, keys, _, _ = block.suffixes(tied(block, replies), n_suffix, bits)
+        return B.cells(key[0].as_py(), keys, np.zeros(len(keys), bool), n_suffix, bits)
 
     def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         block, rows = _Block(table, length, n_ranks), []
         about = replies["about"].to_numpy()
-        places, keys, first, which = block.suffixes(tied(block, replies.filter(pa.array(about == 0))), n_suffix)
-        again = B.heard(replies.filter(pa.array(about == 1)), keys, n_suffix, SUFFIX_BITS)[which]
+        places, keys, first, which = block.suffixes(tied(block, replies.filter(pa.array(about == 0))), n_suffix, bits)
+        again = B.heard(replies.filter(pa.array(about == 1)), keys, n_suffix, bits)[which]
         fresh = np.zeros(len(which), bool)
         fresh[first] = True
         again |= ~fresh
