@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,27 @@ def spread_hot(rows: DataFrame, key: str, item: str, limit: int) -> DataFrame:
 class Forest:
     """Union-find over small integers; ``join`` tells whether two sets became one."""
 
+    def labels(self) -> np.ndarray:
+        up = np.array(self.up, np.int64)
+        while True:
+            top = up[up]
+            if (top == up).all():
+                self.up = up.tolist()
+                return up
+            up = top
+
+    def connect(self, p: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
+        """Joins all pairs (p[i], q[i]) and returns those that joined two sets; at most a pair for each member is looked at singly in a round."""
+        out = []
+        while len(p):
+            label = self.labels()
+            open_ = label[p] != label[q]
+            p, q = p[open_], q[open_]
+            for side in (p, q):
+                first = np.unique(side, return_index=True)[1]
+                out += [(x, y) for x, y in zip(p[first].tolist(), q[first].tolist()) if self.join(x, y)]
+        return out
+
     def __init__(self, n: int):
         self.up = list(range(n))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import Forest, components, cut, partitions, spread_hot
 
 #: Fingerprints of one tile that one task compares with each other; rows of a block inside it.
-TILE, ROWS = 8192, 512
+TILE, ROWS = 8192, 128
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles whose hashes are counted at once.
 PIECE = 1 << 16
@@ -79,9 +79,7 @@ def _compare(fp: np.ndarray, side: np.ndarray, radius: int, forest: Forest, whic
         b = right if cross else right[i:]
         b = b[(ones[b] >= int(ones[a[0]]) - radius) & (ones[b] <= int(ones[a[-1]]) + radius)]
         p, q = np.nonzero(np.bitwise_count(fp[a][:, None] ^ fp[b]) <= radius)
-        for x, y in zip(which[a[p]].tolist(), which[b[q]].tolist()):
-            if x != y and forest.join(x, y):
-                out.append((x, y))
+        out += forest.connect(which[a[p]], which[b[q]])
     return out
 
 
