@@ -23,6 +23,8 @@ MISS = 0.002
 MAX_TABLES = 48
 #: Vectors of one key that one task compares with each other.
 TILE = 2048
+#: Rows of a tile that are multiplied at once.
+ROWS = 128
 
 
 def collision(cosine: float, width: float = WIDTH) -> float:
@@ -69,7 +71,7 @@ def vector_dedup(vectors: DataFrame, cosine: float = 0.93, seed: int = 7) -> Dat
 
     def keys(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
         q = np.floor((x @ a + b) / WIDTH).astype(np.int64).reshape(len(x), tables, k).astype(np.uint64)
-        h = np.repeat(salt[:, None], tables, 1) + np.arange(tables, dtype=np.uint64)
+        h = salt[:, None] + np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)  # tables far apart, so that keys of two don't meet
         for i in range(k):
             h = (h ^ q[:, :, i]) * np.uint64(0x9E3779B185EBCA87)
             h ^= h >> np.uint64(31)
@@ -99,6 +101,8 @@ def vector_dedup(vectors: DataFrame, cosine: float = 0.93, seed: int = 7) -> Dat
         key_, tile_ = key[order], tile[order]
         ends = np.flatnonzero(np.r_[True, (key_[1:] != key_[:-1]) | (tile_[1:] != tile_[:-1]), True])
         names, which = np.unique(ids, return_inverse=True)
+        size_of = np.zeros(len(names), np.int64)
+        size_of[which] = size
         links, forest, edges = np.zeros(len(names), np.int64), Forest(len(names)), []
         for s, t in zip(ends[:-1], ends[1:]):
             rows = order[s:t]
@@ -106,23 +110,20 @@ def vector_dedup(vectors: DataFrame, cosine: float = 0.93, seed: int = 7) -> Dat
             left, right = (rows[side[rows] == 0], rows[side[rows] == 1]) if cross else (rows, rows)
             if len(left) == 0 or len(right) == 0 or (not cross and len(rows) < 2):
                 continue
-            for i in range(0, len(left), 512):
-                l = left[i : i + 512]
+            before = int(tab[rows[0]])  # rows of one key are of one table
+            for i in range(0, len(left), ROWS):
+                l = left[i : i + ROWS]
                 close = x[l] @ x[right].T >= cosine
                 if not cross:
                     close &= np.arange(len(right)) > np.arange(i, i + len(l))[:, None]
                 p, q = np.nonzero(close)
-                if not len(p):
-                    continue
                 p, q = l[p], right[q]
-                same = sig[p] == sig[q]
-                first = same.argmax(1) == tab[p]
-                p, q = p[first], q[first]
-                np.add.at(links, which[p], size[q])
-                np.add.at(links, which[q], size[p])
-                for f, g in np.unique(np.stack([which[p], which[q]], 1), axis=0).tolist():
-                    if forest.join(f, g):
-                        edges.append((names[f], names[g]))
+                for t_ in range(before):  # a pair counts in the first table in which it meets
+                    new = sig[p, t_] != sig[q, t_]
+                    p, q = p[new], q[new]
+                p, q = which[p], which[q]
+                links += np.bincount(p, size_of[q], len(names)).astype(np.int64) + np.bincount(q, size_of[p], len(names)).astype(np.int64)
+                edges += [(names[f], names[g]) for f, g in forest.connect(p, q)]
         at = np.flatnonzero(links)
         src, dst = (np.array(z, np.int64) for z in (zip(*edges, strict=True) if edges else ([], [])))
         return pa.table({
