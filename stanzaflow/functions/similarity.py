@@ -2,19 +2,125 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: Cells (length times length) up to which difflib finds matches; beyond them an automaton does, in linear time.
+SMALL = 1 << 14
+
+
+class _Automaton:
+    """The suffix automaton of a string: for any other string the longest common block, earliest in it and then in this one."""
+
+    def __init__(self, s: str) -> None:
+        self.step, self.link, self.size, self.first = [{}], [-1], [0], [-1]
+        last = 0
+        for i, c in enumerate(s):
+            last = self._extend(last, i, c)
+
+    def _state(self, size: int, first: int, step: dict, link: int) -> int:
+        self.size.append(size), self.first.append(first), self.step.append(step), self.link.append(link)
+        return len(self.size) - 1
+
+    def _extend(self, last: int, i: int, c: str) -> int:
+        step, link = self.step, self.link
+        new, p = self._state(i + 1, i, {}, 0), last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = new
+            p = link[p]
+        if p < 0:
+            return new
+        q = step[p][c]
+        if self.size[q] == self.size[p] + 1:
+            link[new] = q
+            return new
+        twin = self._state(self.size[p] + 1, self.first[q], dict(step[q]), link[q])
+        link[q] = link[new] = twin
+        while p >= 0 and step[p].get(c) == q:
+            step[p][c] = twin
+            p = link[p]
+        return new
+
+    def longest(self, s: str) -> tuple[int, int, int]:
+        """Where the block starts in ``s`` and in the automaton's string, and its length."""
+        step, link, size = self.step, self.link, self.size
+        at = n = best = 0
+        found = 0, 0, 0
+        for i, c in enumerate(s):
+            while at and c not in step[at]:
+                at = link[at]
+                n = size[at]
+            if c in step[at]:
+                at, n = step[at][c], n + 1
+            if n > best:
+                best, found = n, (i + 1 - n, self.first[at] + 1 - n, n)
+        return found
+
+
+def _matched(a: str, b: str) -> int:
+    """Characters in the blocks that Ratcliff and Obershelp's method matches."""
+    total, todo = 0, [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if not x or not y:
+            continue
+        if len(x) * len(y) <= SMALL:
+            total += sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+            continue
+        i, j, n = _Automaton(y).longest(x)
+        if n:
+            total += n
+            todo += [(x[:i], y[:j]), (x[i + n :], y[j + n :])]
+    return total
+
+
+def _ratio(a: str, b: str) -> float:
+    return 2.0 * _matched(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def _subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit of one integer for each character of ``b``."""
+    at: dict[str, int] = {}
+    for j, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    free = full
+    for c in a:
+        hit = free & at.get(c, 0)
+        free = (free + hit | free - hit) & full
+    return len(b) - free.bit_count()
+
+
+def _ratio_from(a: str, b: str, least: float) -> float | None:
+    """The ratio if it is ``least`` or more; two bounds, counts of characters and the common subsequence, settle most pairs."""
+    total = len(a) + len(b)
+    need = least * total / 2 - 1e-6
+    if (Counter(a) & Counter(b)).total() < need or _subsequence(a, b) < need:
+        return None
+    r = _ratio(a, b)
+    return r if r >= least else None
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings; the order of the arguments can matter."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def sequence_ratio_from(a: Column | str, b: Column | str, least: float) -> Column:
+    """The same ratio where it is ``least`` or more, else null; most pairs below are settled by bounds."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _ratio_from(x, y, least) for x, y in zip(a, b)], dtype="float64")
+
+    return ratio(a, b)
 
 
 @F.pandas_udf(DoubleType())
@@ -28,18 +134,6 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)), F.lit(1.0))
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    if not a or not b:
-        return 0
-    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    row = np.zeros(len(y) + 1, np.int32)
-    for c in a:
-        step = np.where(y == ord(c), row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(np.maximum(step, row[1:]))
-    return int(row[-1])
-
-
 @F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 to 100: the strings' words are sorted, then 200 * LCS / total length."""
@@ -48,7 +142,7 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         if x is None or y is None:
             return None
         x, y = " ".join(sorted(x.split())), " ".join(sorted(y.split()))
-        return 100.0 if not x and not y else 200.0 * _common(x, y) / (len(x) + len(y))
+        return 100.0 if not x and not y else 200.0 * _subsequence(x, y) / (len(x) + len(y))
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 

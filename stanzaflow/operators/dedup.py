@@ -38,7 +38,7 @@ def fuzzy_edges(rows: DataFrame, least: float = FUZZY) -> DataFrame:
     b = r.select(F.col("rid").alias("b"), "block", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("body_key").alias("y"), F.col("title_norm").alias("tb"), F.col("first_line").alias("fb"))
     cheap = F.coalesce((F.col("ta") != "") & (F.col("ta") == F.col("tb")), F.lit(False)) | F.coalesce((F.length("fa") > LEAST_LINE) & (F.col("fa") == F.col("fb")), F.lit(False))
     pairs = a.join(b, ["block", "band"]).where((F.col("a") < F.col("b")) & ~cheap & (S.ratio_bound(F.col("x"), F.col("y")) >= least))
-    return pairs.select("a", "b", S.sequence_ratio("x", "y").alias("ratio")).where(F.col("ratio") >= least)
+    return pairs.select("a", "b", S.sequence_ratio_from("x", "y", least).alias("ratio")).where("ratio is not null")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def live_dupes(live: DataFrame, scraped: DataFrame, least: float = FUZZY) -> Dat
     possible = (F.least(F.length("s.body_key"), F.length("l.body_key")) >= LEAST_BODY) & (S.ratio_bound(F.col("s.body_key"), F.col("l.body_key")) >= least)
     cols = [F.col("s.rid").alias("rid"), F.col("l.rid").alias("live_id")]
     exact = j.where(title | first).select(*cols, F.when(title, "title").otherwise("firstline").alias("why"))
-    fuzzy = j.where(~F.coalesce(title | first, F.lit(False)) & possible).select(*cols, S.sequence_ratio("s.body_key", "l.body_key").alias("r")).where(F.col("r") >= least).select("rid", "live_id", F.lit("body").alias("why"))
+    fuzzy = j.where(~F.coalesce(title | first, F.lit(False)) & possible).select(*cols, S.sequence_ratio_from("s.body_key", "l.body_key", least).alias("r")).where("r is not null").select("rid", "live_id", F.lit("body").alias("why"))
     return exact.unionByName(fuzzy)
 
 

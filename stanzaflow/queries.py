@@ -137,26 +137,22 @@ def explore_pool(spark, d):
     return R.random_pool(fresh.join(near.select("id"), "id", "left_anti"), "s:explore").select("id")
 
 
-_POOL = f"{BASE}, pool as (select * from poems where id % 3 = 0)"
-
-
-def _pool(spark, d):
-    return poems(spark, d).where("id % 3 = 0")
+_POOL = f"{BASE}, pool as (select * from poems)"
 
 
 @query(f"{_POOL} select * from {level0_sql('pool', 9, 'p', where=chr(10).join(['author not in (', chr(39) + 'A00' + chr(39) + ')']))}")
 def pick_level0(spark, d):
-    return R.pick_levels(_pool(spark, d), 9, ["A00", None], "p")[0]
+    return R.pick_levels(poems(spark, d), 9, ["A00", None], "p")[0]
 
 
 @query(f"{_POOL} select id, row_number() over (order by author)::int as ord from (select *, row_number() over (partition by author order by {key_sql('p')}, id) as k from pool) where k = 1 order by author limit 9")
 def pick_level2(spark, d):
-    return R.pick_levels(_pool(spark, d), 9, ["A00"], "p")[1]
+    return R.pick_levels(poems(spark, d), 9, ["A00"], "p")[1]
 
 
 @query(f"{_POOL} select id, row_number() over (order by {key_sql('p')}, id)::int as ord from pool order by ord limit 40")
 def pick_level3(spark, d):
-    return R.pick_levels(_pool(spark, d), 40, None, "p")[2]
+    return R.pick_levels(poems(spark, d), 40, None, "p")[2]
 
 
 _FIRST, _SECOND = level0_sql("near", 2, "s:taste"), level0_sql("rest", 3, "s:explore", "author not in (select author from poems join first using (id))")
@@ -438,14 +434,17 @@ def deleted_titles(spark, d):
 
 @query()
 def body_fuzzy_edges(spark, d):
-    r = _dedup_rows(spark, d).withColumn("body_key", T.body_key(F.col("body"))).where(F.length("body_key") < 800)
+    r = _dedup_rows(spark, d).withColumn("body_key", T.body_key(F.col("body")))
     return dedup.fuzzy_edges(r)
 
 
 @query()
 def live_dupes(spark, d):
-    row = lambda t, i: table(spark, d, t).select(F.col(i).alias("rid"), F.lower(F.substring("text", 1, 2)).alias("author_norm"), F.lower(F.substring("text", 1, 40)).alias("title_norm"), F.lower(F.split("text", "\n")[0]).alias("first_line"), T.body_key(F.col("text")).alias("body_key"))
-    return dedup.live_dupes(row("documents", "doc_id").where("rid % 5 = 0"), row("documents", "doc_id").where("rid % 5 = 1 and length(body_key) < 800"))
+    r = table(spark, d, "documents").select(
+        F.col("doc_id").alias("rid"), F.lower(F.substring("text", 1, 2)).alias("author_norm"), F.lower(F.substring("text", 1, 40)).alias("title_norm"),
+        F.lower(F.split("text", "\n")[0]).alias("first_line"), T.body_key(F.col("text")).alias("body_key"), (F.col("source") == "src0").eqNullSafe(True).alias("live"),
+    )
+    return dedup.live_dupes(r.where("live"), r.where("not live"))
 
 
 @query("select b.item_id as probe_id, d.doc_id as text_id from (select item_id, substr(text, 1, 40) as p from benchmark) b join documents d on contains(d.text, b.p)")
@@ -545,10 +544,10 @@ def assign_ids(spark, d):
     return tables.assign_ids(table(spark, d, "customer").select(F.col("c_name").alias("id")), table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "id")
 
 
-@query("select doc_id as id, 'old' as v from documents where doc_id % 2 = 0 union all select doc_id, 'new' from documents where doc_id % 3 = 0 and doc_id % 2 <> 0")
+@query("select doc_id as id, 'old' as v from labels union all select doc_id, 'new' from documents where doc_id not in (select doc_id from labels)")
 def insert_ignore(spark, d):
-    old = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("old").alias("v"))
-    return tables.insert_ignore(old, table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit("new").alias("v")))
+    old = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("old").alias("v"))
+    return tables.insert_ignore(old, table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("new").alias("v")))
 
 
 @query("select user_id as id, arg_max(event_type, event_id) as v from events group by user_id union all select c_custkey, 'old' from customer where c_custkey not in (select user_id from events)")
@@ -639,24 +638,24 @@ def page_text(spark, d):
 
 # ---- bilingual, back-fill, repairs ----
 
-_TURNS = "turns as (select conv_id::varchar || '-' || chr((65 + turn)::int) as group_id, 'u' || conv_id as url, role as title, case when role = 'user' then 'Translated by X' else '' end as translator, text as body, conv_id, turn from conversations where turn < 2)"
+_TURNS = "turns as (select conv_id::varchar || '-' || chr((65 + turn)::int) as group_id, 'u' || conv_id as url, role as title, case when role = 'user' then 'Translated by X' else '' end as translator, text as body, conv_id, turn from conversations)"
 
 
 @query(rf"""with {_TURNS}, t as (select *, length(regexp_replace(body, '[\x00-\x7f‘’“”–—… ]', '', 'g')) <= 2 as eng from turns),
 g as (select conv_id, any_value(url) as url, count(*) filter (translator <> '') as n, arg_min(eng, turn) filter (translator <> '') as eng, arg_min(title, turn) filter (translator <> '') as ct, arg_min(title, turn) filter (translator = '') as ut, count(*) filter (translator = '') as nu from t group by conv_id)
 select url, not (n = 1 and (eng or nu > 0)) as drop_all, case when n = 1 and eng then ct when n = 1 and nu > 0 then ut end as keep_title from g where n < 2""")
 def bilingual_decisions(spark, d):
-    c = table(spark, d, "conversations").where("turn < 2")
+    c = table(spark, d, "conversations")
     rows = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.char(65 + F.col("turn"))).alias("group_id"), F.concat(F.lit("u"), "conv_id").alias("url"), F.col("role").alias("title"), F.when(F.col("role") == "user", "Translated by X").otherwise("").alias("translator"), F.col("text").alias("body"))
     return curate.bilingual_decisions(rows).select("url", "drop_all", "keep_title")
 
 
-@query(f"""{BASE}, k as (select id, lower(author) as ak, regexp_replace(lower(body), '\\s+', '', 'g') as bk from poems),
-m as (select ak, bk, count(*) as n from k group by all), h as (select ak, bk, count(distinct '<p>' || id) as nh from k where id % 4 <> 0 group by all)
+@query(f"""{BASE}, k as (select id, lower(author) as ak, regexp_replace(lower(body), '\\s+', '', 'g') as bk, corpus from poems),
+m as (select ak, bk, count(*) as n from k group by all), h as (select ak, bk, count(distinct '<p>' || id) as nh from k where corpus is not null group by all)
 select id, case when nh is null then 'none' when n > 1 then 'ambiguous' when nh > 1 then 'conflict' else 'one' end as status from k join m using (ak, bk) left join h using (ak, bk)""")
 def backfill_match(spark, d):
     p = poems(spark, d)
-    parsed = p.where("id % 4 <> 0").select("author", "body", F.concat(F.lit("<p>"), "id").alias("html"))
+    parsed = p.where("corpus is not null").select("author", "body", F.concat(F.lit("<p>"), "id").alias("html"))
     return repair.backfill(p, parsed).select("id", "status")
 
 
@@ -668,7 +667,7 @@ def charset_repair(spark, d):
 @query()
 def title_fuzzy_match(spark, d):
     p = poems(spark, d).withColumn("rid", F.col("id"))
-    listed = p.where("id % 10 = 0").select("author", F.col("title").alias("listed"))
+    listed = p.where("corpus is null").select("author", F.col("title").alias("listed"))
     return curate.title_matches(p, listed)
 
 

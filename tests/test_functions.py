@@ -2,7 +2,9 @@
 
 import difflib
 import html
+import random
 import re
+from itertools import accumulate
 
 import pytest
 from hypothesis import given, settings
@@ -125,3 +127,17 @@ def test_transplant():
 def test_extraction_leaves_plain_text(t):
     got = T.extract_text(html.escape(t))
     assert re.sub(r"\s", "", got) == re.sub(r"\s", "", t)
+
+
+def test_ratio_by_automaton_is_that_of_difflib(monkeypatch):
+    monkeypatch.setattr(S, "SMALL", 0)
+    r = random.Random(5)
+    for k in range(400):
+        a = "".join(r.choice("abc") for _ in range(r.randrange(25)))
+        b = "".join(r.choice("abc") for _ in range(r.randrange(25))) if k % 2 else a[:5] + a[7:] + "ab"
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+        assert S._ratio(a, b) == want and S._ratio_from(a, b, 0.6) == (want if want >= 0.6 else None)
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *accumulate((row[j] + 1 if x == y else row[j + 1] for j, y in enumerate(b)), max)]
+        assert S._subsequence(a, b) == row[-1]
