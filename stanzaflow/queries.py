@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stanzaflow.functions import markup
 from stanzaflow.functions import similarity as S
 from stanzaflow.functions import text as T
 from stanzaflow.operators import authors, curate, dedup, enrich, pages
@@ -636,6 +637,21 @@ def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.page_text("html").alias("text"))
 
 
+@query()
+def page_poems(spark, d):
+    return table(spark, d, "pages").select("page_id", markup.page_poem("html", pages.title(F.col("html"))).alias("body"))
+
+
+@query()
+def card_poems(spark, d):
+    return table(spark, d, "pages").select("page_id", markup.card_poem("html").alias("body"))
+
+
+@query()
+def book_poems(spark, d):
+    return table(spark, d, "documents").select("doc_id", markup.book_poem("text", F.split("text", "\n")[0]).alias("body"))
+
+
 # ---- bilingual, back-fill, repairs ----
 
 _TURNS = "turns as (select conv_id::varchar || '-' || chr((65 + turn)::int) as group_id, 'u' || conv_id as url, role as title, case when role = 'user' then 'Translated by X' else '' end as translator, text as body, conv_id, turn from conversations)"
