@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .shared import free_names
+
 #: Buckets of the hashed 1-, 2- and 3-grams.
 FEATURES = 1 << 16
 #: Most training rows of each language, about: rows whose hashed id is below a threshold.
@@ -120,7 +122,8 @@ def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", sco
 
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     said = F.pandas_udf(predict, kind)
-    return docs.withColumn("_said", said(F.col("text").cast("string"))).withColumns({lang: F.col("_said.lang_pred"), score: F.col("_said.score")}).drop("_said")
+    (both,) = free_names(docs, "_said")
+    return docs.withColumn(both, said(F.col("text").cast("string"))).withColumns({lang: F.col(f"{both}.lang_pred"), score: F.col(f"{both}.score")}).drop(both)
 
 
 def held_out() -> Column:

@@ -47,7 +47,7 @@ def line_dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     p = pages.select("page_id", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"), page_lines(F.col("html")).alias("lines"))
     keyed = p.select("host", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b"))).alias("keys"))
     total = keyed.groupBy("host").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= least_pages)
-    on = keyed.select("host", F.explode(F.array_distinct("keys")).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1")
+    on = keyed.select("host", F.explode(F.array_distinct("keys")).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > ratio * least_pages)
     common = on.join(total, "host").where(F.col("n") > ratio * F.col("n_pages")).groupBy("host").agg(F.collect_list("key").alias("gone"))
     spread = common.select("host", "gone", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     marked = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
