@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from stanzaflow.llm import byte_bpe, language_id
 from stanzaflow.llm.exact_dedup import exact_dedup
 from stanzaflow.llm.mixing import WORDS, mix
-from stanzaflow.llm.shared import fresh_dir
+from stanzaflow.llm.shared import free_names, fresh_dir
 from stanzaflow.llm.simhash_dedup import simhash_dedup
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id, null included, is among ``ids(doc_id)``."""
-    wanted = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    (wanted,) = free_names(docs, "_id")
+    return docs.join(ids.select(F.col("doc_id").alias(wanted)), F.col("doc_id").eqNullSafe(F.col(wanted)), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +29,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the labelled documents of the stage's own input, but for the held-out fold.
     """
     model = language_id.train(docs.where(~language_id.held_out()))
-    return language_id.identify(docs, model, "_lang", "_score").where(F.col("_lang") != language_id.UNKNOWN).select(*docs.columns)
+    said, score = free_names(docs, "_lang", "_score")
+    return language_id.identify(docs, model, said, score).where(F.col(said) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the largest doc_id; rows that repeat both count once."""
     kept = _only(docs, exact_dedup(docs).where("kept"))
-    return kept.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    (digest,) = free_names(docs, "_text")
+    return kept.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", digest]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +47,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows that agree in doc_id, source and size get the same number."""
-    taken = mix(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    each = docs.withColumn("_words", size).join(taken, same)
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    doc_id, source, size, copies, words, copy = free_names(docs, "_id", "_source", "_size", "_copies", "_words", "_copy")
+    taken = mix(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0").toDF(doc_id, source, size, copies)
+    counted = docs.withColumn(words, F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    return counted.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
