@@ -346,6 +346,7 @@ def test_line_dedup(spark):
     got = {r.page_id: r for r in line_dedup.line_dedup(d).collect()}
     assert (got[0].host, got[0].n_lines, got[0].n_removed, got[0].kept) == ("big.example", 3, 2, "Own 0")
     assert got[9].kept == "Home\nOwn 9\nx y" and got[10].n_lines == 0 and got[11].host == ""
+    assert [r.kept for r in line_dedup.line_dedup(d, ratio=0.1).where("host = 'big.example'").collect()] == [""] * 8
     assert line_dedup.line_dedup(d.where("false")).count() == 0
     assert not re.search("Python|Arrow|Pandas", line_dedup.line_dedup(d)._jdf.queryExecution().toString())
 
