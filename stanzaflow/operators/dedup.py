@@ -60,6 +60,41 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = new
 
 
+def cluster_signals(rows: DataFrame, fuzzy: DataFrame) -> DataFrame:
+    """The signals of each cluster of two rows or more, as ``classify`` takes them, with ``n``.
+
+    ``rows(rid, comp, source, title_norm, first_line, body_key)``; ``fuzzy(a, b, ratio)`` are
+    the pairs without a cheaper signal (``fuzzy_edges``). A cluster's ratio is the largest of
+    its pairs with a signal. Equal bodies and fuzzy pairs are taken first, then each row with
+    the first of its key, then all pairs of a key; a cluster leaves once a ratio reaches
+    ``BODY``, so ``max_ratio`` says on which side of it the largest one lies. Boolean columns
+    ``encore``, ``confirmed`` and ``keep_newer`` of the rows hold for their cluster.
+    """
+    keep = (lambda d: d.checkpoint()) if rows.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    title = F.when(F.col("title_norm") != "", F.col("title_norm"))
+    r = rows.withColumn("t", title).withColumn("f", F.when(F.length("first_line") > LEAST_LINE, F.col("first_line")))
+    both = r.where("t is not null and f is not null").groupBy("comp", "t", "f").count().where("count > 1").select("comp").distinct().withColumn("any_title_first", F.lit(True))
+    same_line = r.where("f is not null").groupBy("comp", "f").agg(F.count("*").alias("k"), F.count("t").alias("some"), F.count_distinct("t").alias("titles"))
+    first = same_line.where("k > 1 and (titles > 1 or some < k)").select("comp").distinct().withColumn("any_first_only", F.lit(True))
+
+    by = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("f").alias("key"))))
+    m = r.where("body_key is not null").select("rid", "comp", "t", "body_key", by.alias("k")).select("rid", "comp", "t", "body_key", "k.*").where("key is not null")
+    equal = m.groupBy("comp", "kind", "key", F.sha2("body_key", 256)).count().where("count > 1").select("comp", F.lit(1.0).alias("ratio"))
+    found = keep(equal.unionByName(fuzzy.join(rows.select(F.col("rid").alias("a"), "comp"), "a").select("comp", "ratio")).groupBy("comp").agg(F.max("ratio").alias("ratio")))
+    m = m.withColumn("least", F.min("rid").over(Window.partitionBy("comp", "kind", "key")))
+    for a in (m.where("rid = least"), m.where("rid > least")):
+        open_ = a.join(found.where(F.col("ratio") >= BODY), "comp", "left_anti")
+        a, b = (d.select(F.col("rid").alias(i), "comp", "kind", "key", F.col("t").alias(f"t{i}"), F.col("body_key").alias(f"x{i}")) for d, i in ((open_, "a"), (m, "b")))
+        new = F.expr("a < b and (kind = 0 or not coalesce(ta = tb, false))")
+        pairs = a.join(b, ["comp", "kind", "key"]).where(new & (S.ratio_bound(F.col("xa"), F.col("xb")) >= BODY))
+        ratios = pairs.select("comp", S.sequence_ratio_from("xa", "xb", BODY).alias("ratio")).where("ratio is not null")
+        found = keep(found.unionByName(ratios).groupBy("comp").agg(F.max("ratio").alias("ratio")))
+    said = [(F.bool_or(c) if c in rows.columns else F.lit(False)).alias(c) for c in ("encore", "confirmed", "keep_newer")]
+    g = rows.groupBy("comp").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), *said).where("n > 1").withColumnRenamed("encore", "any_encore")
+    g = g.join(both, "comp", "left").join(first, "comp", "left").join(found.withColumnRenamed("ratio", "max_ratio"), "comp", "left")
+    return g.fillna(False, ["any_title_first", "any_first_only", "any_encore", "confirmed", "keep_newer"]).fillna(0.0, ["max_ratio"])
+
+
 def classify(clusters: DataFrame) -> DataFrame:
     """The class of each cluster, from aggregated signals, by the first rule that fits.
 

@@ -414,6 +414,13 @@ def cluster_classes(spark, d):
     return _signals(_clustered(spark, d)).select("comp", F.col("n").cast("long").alias("n"), "cls")
 
 
+@query()
+def cluster_classes_ratio(spark, d):
+    """The classes by the signals and body ratios of pairs; ``cluster_classes`` is the form on equal bodies that SQL can express."""
+    rows = _clustered(spark, d).withColumn("body_key", T.body_key(F.col("body")))
+    return dedup.classify(dedup.cluster_signals(rows, dedup.fuzzy_edges(rows))).select("comp", "n", "cls")
+
+
 @query(f"""with {DEDUP}, {COMP}, j as (select * from docs join comp using (rid))
 select comp, arg_max(rid, (length(body), -rid)) as winner, count(*) as n, array_to_string(list(source order by rid), ',') as provenance from j group by comp having count(*) > 1""")
 def merge_clusters(spark, d):

@@ -118,6 +118,67 @@ def test_classes(spark):
     assert [r.cls for r in dedup.classify(spark.createDataFrame(rows, cols)).orderBy("comp").collect()] == ["encore", "body_match", "not_dupe_firstline_only", "ambiguous", "fuzzy_confirmed", "keep_newer"]
 
 
+def plain_classes(rows):
+    """The reference's clusters and classes, pair by pair: (ids, class)."""
+    from difflib import SequenceMatcher
+
+    comp, pairs = {r[0]: r[0] for r in rows}, []
+    for p, q in itertools.combinations(rows, 2):
+        if p[1] != q[1]:
+            continue
+        x, y = p[5], q[5]
+        sigs = ({"t"} if p[3] and p[3] == q[3] else set()) | ({"f"} if p[4] == q[4] and len(p[4]) > 10 else set())
+        ratio = SequenceMatcher(None, x, y, autojunk=False).ratio()
+        if not sigs and min(len(x), len(y)) >= 100 and ratio >= 0.85:
+            sigs = {"b"}
+        if sigs:
+            pairs.append((p[0], sigs, ratio))
+            old, new = comp[q[0]], comp[p[0]]
+            comp = {k: new if c == old else c for k, c in comp.items()}
+    out = set()
+    for c in set(comp.values()):
+        ids = sorted(i for i in comp if comp[i] == c)
+        mine = [(s, r) for i, s, r in pairs if comp[i] == c]
+        if len(ids) > 1:
+            first_only, both = any("f" in s and "t" not in s for s, _ in mine), any({"t", "f"} <= s for s, _ in mine)
+            out.add((tuple(ids), "body_match" if max(r for _, r in mine) >= 0.9 else "not_dupe_firstline_only" if first_only and not both else "ambiguous"))
+    return out
+
+
+def signal_rows():
+    import random
+
+    rng, rows = random.Random(4), []
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    for block in map(str, range(40)):
+        body, other = text(200), text(200)
+        for i in range(rng.randint(2, 5)):
+            b = rng.choice([body, body, other, text(200)])
+            cuts = set(rng.sample(range(200), rng.choice([0, 4, 15, 24, 35])))
+            b = "".join("#" if j in cuts else c for j, c in enumerate(b))
+            rows.append((len(rows), block, rng.choice("xy"), rng.choice(["", "t1", "t2", f"own {i}"]), rng.choice(["short", "a long first line", "another first line", f"first line of {i}"]), b))
+    return rows
+
+
+SIGNALS = "rid long, block string, source string, title_norm string, first_line string, body_key string"
+
+
+def test_cluster_signals_are_those_of_the_pairs(spark):
+    near = "a body of some fifty characters that was typed in"
+    rows = [
+        (1, "p", "x", "t", "a long first line", near), (2, "p", "y", "u", "a long first line", near.replace("fifty", "forty")),
+        (3, "q", "x", "t", "a long first line", "abc" * 9), (4, "q", "x", "t", "a long first line", "xyz" * 9), (5, "q", "x", "u", "a long first line", "klm" * 9),
+        (6, "r", "x", "t", "short", "abc" * 9), (7, "r", "x", "t", "short", "xyz" * 9), (8, "r", "x", "t", "short", "xyz" * 9 + "w"),
+    ]
+    for r, want in ((rows, {((1, 2), "body_match"), ((3, 4, 5), "ambiguous"), ((6, 7, 8), "body_match")}), (signal_rows(), None)):
+        d = spark.createDataFrame(r, SIGNALS)
+        exact, fuzzy = dedup.exact_edges(d), dedup.fuzzy_edges(d)
+        comp = d.join(dedup.components(d.select("rid"), exact.select("a", "b").unionByName(fuzzy.select("a", "b"))), "rid")
+        ids = {x.comp: tuple(sorted(x.ids)) for x in comp.groupBy("comp").agg(F.collect_list("rid").alias("ids")).collect()}
+        got = {(ids[x.comp], x.cls) for x in dedup.classify(dedup.cluster_signals(comp, fuzzy)).collect()}
+        assert got == plain_classes(r) and (want is None or got == want) and len({c for _, c in got}) > 1
+
+
 def test_merge_takes_the_first_of_the_richest(spark):
     rows = spark.createDataFrame([(1, 1, "s1", "a", 1.0), (1, 2, "s2", "b", 2.0), (1, 3, "s3", "c", 2.0)], "comp int, rid long, source string, title string, score double")
     r = dedup.merge(rows).first()
