@@ -386,6 +386,15 @@ def _clustered(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(dedup.components(rows.select("rid"), dedup.exact_edges(rows)), "rid")
 
 
+def _clustered_whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with the components of all three signals, titles, first lines and body ratios, and the fuzzy edges."""
+    rows = _dedup_rows(spark, d).withColumn("body_key", T.body_key(F.col("body")))
+    keep = (lambda x: x.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda x: x.persist())
+    fuzzy = keep(dedup.fuzzy_edges(rows))
+    edges = dedup.exact_edges(rows).select("a", "b").unionByName(fuzzy.select("a", "b"))
+    return rows.join(dedup.components(rows.select("rid"), edges), "rid"), fuzzy
+
+
 @query(f"with {DEDUP} select * from star")
 def exact_edges(spark, d):
     return dedup.exact_edges(_dedup_rows(spark, d))
@@ -396,6 +405,12 @@ def dup_components(spark, d):
     return _clustered(spark, d).select("rid", "comp")
 
 
+@query()
+def dup_components_fuzzy(spark, d):
+    """The components of exact and fuzzy edges; ``dup_components`` is the form on exact edges alone that SQL can express."""
+    return _clustered_whole(spark, d)[0].select("rid", "comp")
+
+
 def _signals(rows: DataFrame) -> DataFrame:
     """Cluster signals; bodies agree when their SHA-256 occurs twice in a cluster (ratio 1), else the ratio counts as 0."""
     by = rows.groupBy("comp", F.sha2("body", 256).alias("h")).agg(F.count("*").alias("same"), F.collect_set("source").alias("sources"), F.max("title_norm").alias("t"), F.max("first_line").alias("f"))
@@ -416,16 +431,25 @@ def cluster_classes(spark, d):
 
 @query()
 def cluster_classes_ratio(spark, d):
-    """The classes by the signals and body ratios of pairs; ``cluster_classes`` is the form on equal bodies that SQL can express."""
-    rows = _clustered(spark, d).withColumn("body_key", T.body_key(F.col("body")))
-    return dedup.classify(dedup.cluster_signals(rows, dedup.fuzzy_edges(rows))).select("comp", "n", "cls")
+    """The classes by the signals and body ratios of pairs; ``cluster_classes`` is the form on exact edges and equal bodies that SQL can express."""
+    return dedup.classify(dedup.cluster_signals(*_clustered_whole(spark, d))).select("comp", "n", "cls")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("score", F.length("body"))
+    return dedup.merge(rows, fields=()).where("n > 1").join(rows.select(F.col("rid").alias("winner"), "comp"), "winner").select("comp", "winner", "n", F.array_join("provenance", ",").alias("provenance"))
 
 
 @query(f"""with {DEDUP}, {COMP}, j as (select * from docs join comp using (rid))
 select comp, arg_max(rid, (length(body), -rid)) as winner, count(*) as n, array_to_string(list(source order by rid), ',') as provenance from j group by comp having count(*) > 1""")
 def merge_clusters(spark, d):
-    rows = _clustered(spark, d).withColumn("score", F.length("body"))
-    return dedup.merge(rows, fields=()).where("n > 1").join(rows.select(F.col("rid").alias("winner"), "comp"), "winner").select("comp", "winner", "n", F.array_join("provenance", ",").alias("provenance"))
+    return _merged(_clustered(spark, d))
+
+
+@query()
+def merge_clusters_fuzzy(spark, d):
+    """The merged records of ``dup_components_fuzzy``."""
+    return _merged(_clustered_whole(spark, d)[0])
 
 
 @query("select doc_id from documents where not exists (select 1 from benchmark b where lower(substr(b.text, 1, 30)) = lower(substr(documents.text, 1, 30)))")

@@ -48,3 +48,16 @@ def test_entry_without_the_llm_subpackage(spark, monkeypatch):
     monkeypatch.setattr(e, "HAS_PIPELINE", False)
     assert set(e.queries()) == set(queries()) and set(e.oracle_sql()) == set(oracle_sql())
     assert e.entry(spark).count() > 0
+
+
+def test_near_copies_without_a_cheaper_signal_are_one_cluster(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    body = " ".join(f"word{i * i % 89} and so" for i in range(20))
+    texts = [f"on a first title of its own\n{body}", f"on some other heading\n{body} more", "on quite another matter, with nothing in common\nshort"]
+    spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    flat = ["".join(t.split()) for t in texts]
+    assert SequenceMatcher(None, flat[0], flat[1], autojunk=False).ratio() >= 0.9
+    rows = lambda name: sorted(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect())
+    assert rows("dup_components") == [(0, 0), (1, 1), (2, 2)] and rows("dup_components_fuzzy") == [(0, 0), (1, 0), (2, 2)]
+    assert rows("merge_clusters_fuzzy") == [(0, max((0, 1), key=lambda i: len(texts[i])), 2, "s0,s1")] and rows("cluster_classes_ratio") == [(0, 2, "body_match")]
