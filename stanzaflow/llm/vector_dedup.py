@@ -35,10 +35,14 @@ def collision(cosine: float, width: float = WIDTH) -> float:
 
 
 def plan_tables(classes: int, cosine: float) -> tuple[int, int]:
-    """Projections in a table and tables. A projection of width 2 tells about 1.3 bits of unrelated vectors."""
+    """Projections in a table and tables. A projection of width 2 tells about 1.3 bits of unrelated vectors.
+
+    Where MISS would need more than MAX_TABLES tables, fewer projections are taken: buckets get larger, the miss doesn't.
+    """
     k = min(14, max(6, math.ceil(math.log2(max(2, classes) / 16) / 1.3)))
-    p = collision(cosine) ** k
-    return k, min(MAX_TABLES, math.ceil(math.log(MISS) / math.log(1 - p)))
+    while (tables := math.ceil(math.log(MISS) / math.log(1 - collision(cosine) ** k))) > MAX_TABLES:
+        k -= 1
+    return k, tables
 
 
 def vector_dedup(vectors: DataFrame, cosine: float = 0.93, seed: int = 7) -> DataFrame:

@@ -190,6 +190,13 @@ def test_vector_plan_misses_little():
         assert (1 - vector_dedup.collision(0.93) ** k) ** tables <= 0.1
 
 
+@pytest.mark.parametrize("cosine", [0.5, 0.8, 0.93, 0.99])
+def test_vector_plan_keeps_its_miss_at_every_size(cosine):
+    for n in (1, 10, 10**5, 2 * 10**6, 10**7, 10**9):
+        k, tables = vector_dedup.plan_tables(n, cosine)
+        assert k >= 1 and tables <= vector_dedup.MAX_TABLES and (1 - vector_dedup.collision(cosine) ** k) ** tables <= vector_dedup.MISS
+
+
 @pytest.mark.parametrize("texts", [corpus(6), *EMPTY])
 def test_exact_dedup(spark, texts):
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(frame(spark, texts)).collect()}
