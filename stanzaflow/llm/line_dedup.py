@@ -32,11 +32,12 @@ def page_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def line_dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, salts: int = SALTS) -> DataFrame:
+def line_dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, salts: int = SALTS, least_copies: int = 1) -> DataFrame:
     """One row for each row of ``pages(page_id, url, html)``: ``page_id, host, n_lines, n_removed, kept``.
 
     A line goes if more than ``ratio`` of its host's pages hold it, on hosts of
-    ``least_pages`` pages or more. Repeats within a page count once. ``kept`` holds the
+    ``least_pages`` pages or more, and at least ``least_copies`` do; 1 and 2 take every host
+    that has two pages, with no line gone for being on a single page. Repeats within a page count once. ``kept`` holds the
     remaining lines joined by newlines. A url without scheme and host, or null, belongs to
     the host ''; null html has no lines. Repeated rows count as pages of their own.
 
@@ -47,7 +48,7 @@ def line_dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     p = pages.select("page_id", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"), page_lines(F.col("html")).alias("lines"))
     keyed = p.select("host", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b"))).alias("keys"))
     total = keyed.groupBy("host").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= least_pages)
-    on = keyed.select("host", F.explode(F.array_distinct("keys")).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > ratio * least_pages)
+    on = keyed.select("host", F.explode(F.array_distinct("keys")).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where((F.col("n") > ratio * least_pages) & (F.col("n") >= least_copies))
     common = on.join(total, "host").where(F.col("n") > ratio * F.col("n_pages")).groupBy("host").agg(F.collect_list("key").alias("gone"))
     spread = common.select("host", "gone", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     marked = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")

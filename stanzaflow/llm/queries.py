@@ -73,8 +73,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_line_dedup_every_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio on every host, small ones included; a line on one page alone stays."""
+    out = line_dedup.line_dedup(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_pages=1, least_copies=2)
+    return out.select("page_id", "host", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_suffix_dedup, op2_language_id, op3_vector_dedup, op4_exact_dedup, op5_mixing, op6_byte_bpe, op7_simhash_dedup, op8_substring_dedup, op9_token_files, op10_line_dedup]
+    made = [op1_suffix_dedup, op2_language_id, op3_vector_dedup, op4_exact_dedup, op5_mixing, op6_byte_bpe, op7_simhash_dedup, op8_substring_dedup, op9_token_files, op10_line_dedup, op10_line_dedup_every_host]
     return {f.__name__: f for f in made}
 
 
