@@ -485,6 +485,41 @@ def probe_join(spark, d):
     return dedup.containing(probes, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.col("text").alias("body")))
 
 
+@query()
+def live_antijoin_whole(spark, d):
+    """Documents that agree with no benchmark text by title, first line or body ratio; ``live_antijoin`` compares 30 characters."""
+    def rows(name, rid):
+        body = F.coalesce("text", F.lit(""))
+        return table(spark, d, name).select(
+            F.col(rid).alias("rid"), F.lit("").alias("author_norm"), F.lower(F.substring(F.split(body, "\n")[0], 1, 40)).alias("title_norm"),
+            T.first_line(body).alias("first_line"), T.body_key(body).alias("body_key"),
+        )
+
+    docs = rows("documents", "doc_id")
+    found = dedup.live_dupes(F.broadcast(rows("benchmark", "item_id")), docs)
+    return docs.join(found.select("rid"), "rid", "left_anti").select(F.col("rid").alias("doc_id"))
+
+
+_TITLES = "titles as (select doc_id, source, lower(substr(string_split(text, chr(10))[1], 1, 40)) as t from documents)"
+
+
+@query(f"with {_TITLES} select doc_id from titles where t <> '' and t in (select t from titles where source = 'src7')")
+def deleted_titles_whole(spark, d):
+    """By the title of the poems view, the first line up to 40 characters; ``deleted_titles`` compares 20 of the text."""
+    t = table(spark, d, "documents").select("doc_id", "source", F.lower(F.substring(F.split("text", "\n")[0], 1, 40)).alias("k")).where("k <> ''")
+    return t.join(t.where("source = 'src7'").select("k"), "k", "left_semi").select("doc_id")
+
+
+@query("""with lines as (select item_id, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x))) as p from benchmark)
+select distinct item_id as probe_id, doc_id as text_id from lines join documents d on length(p) >= 20 and contains(d.text, p)""")
+def probe_join_whole(spark, d):
+    """Which documents hold any line of 20 characters or more of which benchmark text; ``probe_join`` looks for its first 40 characters."""
+    lines = table(spark, d, "benchmark").select(F.col("item_id").alias("i"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("probe", F.trim("line"))
+    probes = lines.where(F.length("probe") >= 20).select(F.struct("i", "pos").alias("probe_id"), "probe")
+    found = dedup.containing(probes, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.col("text").alias("body")))
+    return found.select(F.col("probe_id.i").alias("probe_id"), "text_id").distinct()
+
+
 # ---- names ----
 
 NAMES = """names as (select p_partkey as rid, p_name as name, lower(string_split(p_name, ' ')[-1]) as last_norm, lower(array_to_string(string_split(p_name, ' ')[1:-2], ' ')) as first_norm from part)"""

@@ -61,3 +61,18 @@ def test_near_copies_without_a_cheaper_signal_are_one_cluster(spark, tmp_path):
     rows = lambda name: sorted(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect())
     assert rows("dup_components") == [(0, 0), (1, 1), (2, 2)] and rows("dup_components_fuzzy") == [(0, 0), (1, 0), (2, 2)]
     assert rows("merge_clusters_fuzzy") == [(0, max((0, 1), key=lambda i: len(texts[i])), 2, "s0,s1")] and rows("cluster_classes_ratio") == [(0, 2, "body_match")]
+
+
+def test_whole_forms_compare_more_than_openings(spark, tmp_path):
+    passage = "an opening of over thirty chars, first line\nand then a second line of the passage, which is much longer than the first line of it"
+    tail = " ".join(f"word{i * i % 89}" for i in range(40))
+    texts = {
+        0: ("an opening of over thirty chars; another text " + tail, "src1"), 1: ("x" + passage[1:], "src1"), 2: ("nothing\n" + passage.split("\n")[1] + " " + tail, "src1"),
+        3: ("one title of twenty characters and A\nsome", "src7"), 4: ("one title of twenty characters and B\nmore", "src1"), 5: ("One title of twenty characters and a\nother", "src1"),
+    }
+    spark.createDataFrame([(i, t, s) for i, (t, s) in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = lambda name: sorted(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect())
+    assert rows("live_antijoin") == [(1,), (2,), (3,), (4,), (5,)] and rows("live_antijoin_whole") == [(0,), (2,), (3,), (4,), (5,)]
+    assert rows("deleted_titles") == [(3,), (4,), (5,)] and rows("deleted_titles_whole") == [(3,), (5,)]
+    assert rows("probe_join") == [] and rows("probe_join_whole") == [(7, 1), (7, 2)]
