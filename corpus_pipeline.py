@@ -17,10 +17,11 @@ from stanzaflow.llm.shared import free_names, fresh_dir
 from stanzaflow.llm.simhash_dedup import simhash_dedup
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id, null included, is among ``ids(doc_id)``."""
-    (wanted,) = free_names(docs, "_id")
-    return docs.join(ids.select(F.col("doc_id").alias(wanted)), F.col("doc_id").eqNullSafe(F.col(wanted)), "left_semi")
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id, null included, and text are among ``rows(doc_id, text_sha256)``."""
+    wanted, digest, own = free_names(docs, "_id", "_digest", "_text")
+    same = F.col("doc_id").eqNullSafe(F.col(wanted)) & (F.col(own) == F.col(digest))
+    return docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256)).join(rows.select("doc_id", "text_sha256").toDF(wanted, digest), same, "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +36,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the largest doc_id; rows that repeat both count once."""
-    kept = _only(docs, exact_dedup(docs).where("kept"))
     (digest,) = free_names(docs, "_text")
-    return kept.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", digest]).select(*docs.columns)
+    return _only(docs, exact_dedup(docs).where("kept")).dropDuplicates(["doc_id", digest]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, the one with the smallest doc_id."""
-    return _only(docs, simhash_dedup(docs).where("kept")).select(*docs.columns)
+    """One document of each component of near copies, the one with the smallest doc_id and of its texts that with the least SHA-256."""
+    rows = simhash_dedup(docs, by_row=True).where("kept")
+    chosen = rows.groupBy("root").agg(F.min(F.struct("text_sha256", "doc_id")).alias("row")).select("row.*")
+    return _only(docs, chosen).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

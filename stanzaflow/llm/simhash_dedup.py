@@ -47,15 +47,17 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return sum(1 << i for i in np.flatnonzero(ones * 2 > len(h)).tolist())
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, digest: bool = False) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed long; with ``digest`` also ``text_sha256``, null texts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, words, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    more = [F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_sha256")] if digest else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *more).mapInArrow(run, "doc_id long, fp long" + ", text_sha256 string" * digest)
 
 
 def _bands(bits: int, parts: int) -> list[int]:
@@ -114,7 +116,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return tiles.select("part", "key", "tile", "side", "fp").groupBy("part").applyInArrow(run, "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, by_row: bool = False) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: ``doc_id, fingerprint, component_id, kept``.
 
     ``fingerprint`` is 16 hex digits; ``component_id`` the smallest doc_id reachable by
@@ -122,13 +124,16 @@ def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = 2, seed: int =
     Texts without words have fingerprint zero and are linked like any other; a text of
     fewer words than a shingle is one shingle. Rows that repeat a doc_id are separate rows
     with one id. A null doc_id keeps its row; a component of null ids alone has a null id.
+    ``by_row`` adds ``text_sha256`` and ``root``, which tell rows of one doc_id and
+    components of one id apart.
     """
-    prints = cut(fingerprints(docs, words, seed))
+    prints = cut(fingerprints(docs, words, seed, by_row))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = components(links(least.select("fp"), radius))
     each = least.join(comp, least.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    each = each.join(named, "root").select("fp", "component_id")
+    more = ["text_sha256", "root"] if by_row else []
+    each = each.join(named, "root").select("fp", "component_id", *more[1:])
     return prints.join(each, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *more
     )

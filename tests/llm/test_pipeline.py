@@ -72,6 +72,17 @@ def test_odd_rows(spark):
     assert P.tokens(spark, docs, SF).count() == 5
 
 
+def test_rows_of_one_id_are_decided_by_their_text(spark):
+    text = lambda i: " ".join(f"w{i}x{j * j % 97}" for j in range(60))
+    rows = [(5, text(1)), (5, text(2)), (9, text(1)), (None, text(3)), (None, text(2)), (None, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda stage, d: sorted((r.doc_id or 0, r.text) for r in stage(spark, d, SF).collect())
+    assert kept(P.exact, docs) == sorted([(5, text(2)), (9, text(1)), (0, text(3)), (0, text(4))])
+    near = [(1, text(1)), (2, text(1)), (2, text(2)), (None, text(2)), (None, text(3)), (None, text(4))]
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    assert kept(P.near, docs) == sorted([(1, text(1)), (2, text(2)), (0, text(3)), (0, text(4))])
+
+
 def test_run(spark, sf):
     out = P.run(spark, sf)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"] and out.count() > 0
