@@ -774,3 +774,11 @@ def stanza_transplant(spark, d):
 def clean_chain(spark, d):
     rows = table(spark, d, "documents").where(F.length("text") > 0).select("source", F.col("text").alias("body"))
     return curate.clean_b(rows).agg(F.count("*").alias("n_before"), F.count("body").alias("n_after"))
+
+
+@query()
+def clean_chain_rows(spark, d):
+    """The cleaned bodies and change logs themselves, two sources standing for those with rules of their own; ``clean_chain`` counts rows."""
+    source = F.when(F.col("source") == "src1", "podcast").when(F.col("source") == "src2", "daily").otherwise(F.col("source")).alias("source")
+    rows = table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", source, F.col("text").alias("body"))
+    return curate.clean_b(rows).select("doc_id", F.sha2("body", 256).alias("body_sha256"), "changes")

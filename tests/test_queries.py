@@ -76,3 +76,31 @@ def test_whole_forms_compare_more_than_openings(spark, tmp_path):
     assert rows("live_antijoin") == [(1,), (2,), (3,), (4,), (5,)] and rows("live_antijoin_whole") == [(0,), (2,), (3,), (4,), (5,)]
     assert rows("deleted_titles") == [(3,), (4,), (5,)] and rows("deleted_titles_whole") == [(3,), (5,)]
     assert rows("probe_join") == [] and rows("probe_join_whole") == [(7, 1), (7, 2)]
+
+
+def test_clean_chain_rows_against_plain_python(spark, tmp_path):
+    import hashlib
+
+    head, tail, memorial = "by A Poet\n\n", '\n\n"Song" from Book by A Poet. Copyright © 2001', "\n\n \n\n***\nIn Memoriam\nblurb"
+    body = "\n".join(f"line {i} of a poem" for i in range(30))
+    texts = [(i, t, s) for i, (t, s) in enumerate((t, s) for t in (body, head + body, body + tail, body + memorial, head + body + tail, "caf\u00c3\u00a9 " + body, "caf\u00c3\u00a9\u00a0" + body, "a\u00a0" + body) for s in ("src0", "src1", "src2"))]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def repaired(t):
+        try:
+            return t.encode("latin1").decode()
+        except UnicodeError:  # a lone no-break space
+            return t
+
+    def plain(t, s):
+        changes = []
+        for name, on, new in (
+            ("encoding", "Ã©" in t and repaired(t) != t, repaired), ("byline", s == "src1" and t.startswith("by "), lambda x: x.split("\n", 1)[1].strip()),
+            ("copyright", s == "src1" and "Copyright" in t, lambda x: x[: x.index('\n\n"Song"')]), ("memorial", s == "src2" and "Memoriam" in t, lambda x: x[: x.index("\n\n \n")]), ("nbsp", "\xa0" in t, lambda x: x.replace("\xa0", " ")),
+        ):
+            if on:
+                t, changes = new(t), [*changes, name]
+        return hashlib.sha256(t.encode()).hexdigest(), changes
+
+    got = {r.doc_id: (r.body_sha256, r.changes) for r in queries()["clean_chain_rows"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain(t, s) for i, t, s in texts} and {c for _, cs in got.values() for c in cs} == {"encoding", "byline", "copyright", "memorial", "nbsp"}
