@@ -65,7 +65,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_index(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.token_index(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), special_as_text=False)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and set.
+    Only where the session names none and runs on one machine (tests) a temporary folder
+    is made and set; a cluster without a shared folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_before = spark.sparkContext.getCheckpointDir()
     if set_before:
         return set_before.rstrip("/").rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="shared_")
     spark.sparkContext.setCheckpointDir(made)
     return f"file://{made}"

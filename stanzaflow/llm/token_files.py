@@ -4,15 +4,13 @@ A file holds the documents of one block, a range of doc_ids, as an Arrow IPC fil
 batches of ``tokens`` (fixed-size list of unsigned ids), ``mask`` (fixed-size list of
 booleans, false where the last sequence is padded) and ``docs`` (which documents begin in
 the sequence, where in the file and with how many ids). Buffers aren't compressed, so a
-memory-mapped file gives any sequence without a copy.
+memory-mapped file gives any sequence without a copy (``TokenFile``).
 """
 
 from __future__ import annotations
 
 import functools
-import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +25,6 @@ from tokenizers import Tokenizer
 
 from . import blocks as B
 from .shared import cut, fresh_dir
-from .words import word_names
 
 # a task has one core: more threads only wait for each other
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,147 +33,61 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 256
-#: Words whose ids a worker remembers at most, and those that it adds to the sorted table at once.
-CACHE, YOUNG = 1_500_000, 150_000
-#: Bytes of text whose words are looked up at once.
-PIECE = 4 << 20
+#: Words of a generation that a worker remembers: at most the smaller number, but for the words of one piece.
+CACHE, YOUNG = 300_000, 300_000
+#: Bytes of text whose words are looked up at once, and words that the library gets at once.
+PIECE, STEP = 4 << 20, 4096
 END = 1
 
 
-class _Table:
-    """Ids by word name in flat arrays: names sorted, where each one's ids lie, and how many."""
-
-    def __init__(self, kind: np.dtype):
-        self.names, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
-
-    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row of each name, and whether it is there."""
-        if not len(self.names):
-            return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
-        row = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return row, self.names[row] == names
-
-    def add(self, names: np.ndarray, at: np.ndarray, n: np.ndarray, flat: np.ndarray) -> None:
-        both = np.concatenate([self.names, names])
-        order = np.argsort(both, kind="stable")
-        self.names = both[order]
-        self.at = np.concatenate([self.at, at + len(self.flat)])[order]
-        self.n = np.concatenate([self.n, n])[order]
-        self.flat = np.concatenate([self.flat, flat])
-
-
-def _gather(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """flat[at[i] : at[i] + n[i]] of all i, joined."""
-    ends = np.cumsum(n)
-    return flat[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-
-
-_PARTS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
-
-
 class WordCoder:
-    """Ids of texts by a tokenizer that lower-cases, drops white space and never joins across it.
-
-    Texts are cut at ASCII white space, words named by 64-bit hashes, and each distinct
-    word is encoded once; a worker remembers CACHE words. Words of letters alone are one
-    pre-token, so many of them are encoded as one text that is parted at the ends of words.
-    Letters, single digits and runs of ASCII punctuation without an apostrophe are
-    pre-tokens of their own, so other words are cut into those first, or else encoded alone.
+    """Ids of texts by the library; words between ASCII white space are remembered by their bytes.
+
+    The tokenizers meant here (NFC, lower case, white space dropped) never join across ASCII
+    white space and nothing composes with it, so a text's ids are those of its words. Each
+    distinct word goes to the library once, unchanged and whole. A text that spells out an
+    added token goes to the library as one text, unless ``special_as_text`` says that such
+    spellings are ordinary text. Two generations of words are remembered: the young one
+    replaces the old one when it holds ``YOUNG`` words, or fewer if CACHE is smaller.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        #: for lower-case ASCII letters, which the normaliser leaves as they are
-        self.bare = Tokenizer.from_str(self.tokenizer.to_str())
-        self.bare.normalizer = None
-        vocabulary = self.tokenizer.get_vocab()
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.old, self.young = _Table(self.kind), _Table(self.kind)
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of distinct lower-case words, each encoded by the library."""
-        known: dict[bytes, bytes] = {}
-        plain, letters, alone, cut = {}, {}, {}, {}
-        for w in words:
-            for p in _PARTS.findall(w) if b"'" not in w and not w.isalpha() else (w,):
-                if p.isalpha():
-                    plain[p] = None
-                elif p[0] > 127 and p.decode().isalpha() or (p[0] < 128 and not p.isascii() and p.decode().isalpha()):
-                    letters[p] = None
-                elif p.isascii() and p is not w:
-                    alone[p] = None
-                else:
-                    alone[w] = None
-                    break
-            else:
-                cut[w] = None
-        alone |= dict.fromkeys(self._joined(self.bare, list(plain), known) + self._joined(self.tokenizer, list(letters), known))
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, self.kind).tobytes()
-        return [known[w] if w in known else b"".join([known[p] for p in _PARTS.findall(w)]) for w in words]
-
-    def _joined(self, tokenizer: Tokenizer, words: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
-        """Encodes the words as one text; returns them if they weren't one pre-token each after all."""
-        if not words:
-            return []
-        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return words
-        flat, at = ids.tobytes(), 0
-        for w, end in zip(words, (ends * self.kind.itemsize).tolist(), strict=True):
-            known[w] = flat[at:end]
-            at = end
-        return []
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.marks = [] if special_as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not special_as_text and any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("an added token that is sought in normalised text can't be found word by word")
+        self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab().values()) < 1 << 16 else np.dtype("<u4")
+        self.old: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        out, group, size = [], [], 0
-        for text in texts:
-            if len(text) > PIECE:
-                out += self._group(group) + [np.concatenate([x for p in _pieces(text) for x in self._group([p])])]
-                group, size = [], 0
-                continue
-            group.append(text)
-            size += len(text)
-            if size > PIECE:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        body = b"\n".join(texts).lower()
-        names, s, e = word_names(body)
-        name, first, which = np.unique(names, return_index=True, return_inverse=True)
-        (row, hit), (row_, hit_) = self.young.find(name), self.old.find(name)
-        at, n, flat = np.zeros(len(name), np.int64), np.zeros(len(name), np.int64), [self.young.flat, self.old.flat]
-        at[hit], n[hit] = self.young.at[row[hit]], self.young.n[row[hit]]
-        hit_ &= ~hit
-        at[hit_], n[hit_] = self.old.at[row_[hit_]] + len(self.young.flat), self.old.n[row_[hit_]]
-        if len(miss := np.flatnonzero(~hit & ~hit_)):
-            made = self.encode_words([body[a:b] for a, b in zip(s[first[miss]].tolist(), e[first[miss]].tolist())])
-            n[miss] = np.array([len(x) for x in made]) // self.kind.itemsize
-            new_at, new = np.cumsum(n[miss]) - n[miss], np.frombuffer(b"".join(made), self.kind)
-            at[miss] = new_at + len(flat[0]) + len(flat[1])
-            flat.append(new)
-        ids = _gather(np.concatenate(flat), at[which], n[which])
-        if len(miss):
-            self.young.add(name[miss], new_at, n[miss], new)
-            if len(self.young.names) > YOUNG:
-                if len(self.old.names) > CACHE:
-                    self.old = _Table(self.kind)
-                self.old.add(self.young.names, self.young.at, self.young.n, self.young.flat)
-                self.young = _Table(self.kind)
-        ends = np.concatenate([[0], np.cumsum(n[which])])
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        turn = ends[np.searchsorted(s, starts)]
-        return [ids[a:b] for a, b in zip(turn[:-1], turn[1:])]
+        return [self._whole(t) if any(m in t for m in self.marks) else self._by_words(t) for t in texts]
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.kind)
+
+    def _by_words(self, text: bytes) -> np.ndarray:
+        found = [self._ids(p.split()) for p in (_pieces(text) if len(text) > PIECE else (text,))]
+        return np.frombuffer(b"".join(found), self.kind)
+
+    def _ids(self, words: list[bytes]) -> bytes:
+        young, old = self.young, self.old
+        new = []
+        for w in set(words).difference(young):
+            if w in old:
+                young[w] = old[w]
+            else:
+                new.append(w)
+        for at in range(0, len(new), STEP):
+            step = new[at : at + STEP]
+            for w, e in zip(step, self.tokenizer.encode_batch_fast([w.decode() for w in step], add_special_tokens=False), strict=True):
+                young[w] = np.array(e.ids, self.kind).tobytes()
+        out = b"".join([young[w] for w in words])
+        if len(young) > min(YOUNG, CACHE):
+            self.old, self.young = young, {}
+        return out
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -190,8 +101,8 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 
 @functools.lru_cache(maxsize=2)
-def _coder(path: str) -> WordCoder:
-    return WordCoder(path)
+def _coder(path: str, special_as_text: bool) -> WordCoder:
+    return WordCoder(path, special_as_text)
 
 
 DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())]))
@@ -220,20 +131,58 @@ def write_file(sink, doc_ids: list[int | None], ids: list[np.ndarray], kind: np.
     return total
 
 
+class TokenFile:
+    """Random access to the sequences of one file; what it returns are views of the file's bytes.
+
+    ``source`` is a path, which is mapped into memory, or an Arrow buffer or file. Batches
+    are found by the footer, so sequence ``i`` costs one look-up and no copy.
+    """
+
+    def __init__(self, source):
+        self.reader = pa.ipc.open_file(pa.memory_map(source) if isinstance(source, str) else source)
+        self.sequence_length = self.reader.schema.field("tokens").type.list_size
+        batches = self.reader.num_record_batches
+        self.full = self.reader.get_batch(0).num_rows if batches else 1
+        self.rows = (batches - 1) * self.full + self.reader.get_batch(batches - 1).num_rows if batches else 0
+
+    def __len__(self) -> int:
+        return self.rows
+
+    def _part(self, i: int, column: str) -> pa.Array:
+        if not 0 <= i < self.rows:
+            raise IndexError(i)
+        return self.reader.get_batch(i // self.full).column(column).slice(i % self.full, 1).flatten()
+
+    def tokens(self, i: int) -> np.ndarray:
+        """The ids of sequence ``i``, padding included, as a read-only view."""
+        return self._part(i, "tokens").to_numpy(zero_copy_only=True)
+
+    def mask(self, i: int) -> pa.Array:
+        """Which of them count, as a view of the file's bits."""
+        return self._part(i, "mask")
+
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id, start in the file, ids) of each document; only one that crosses batches is joined by a copy."""
+        if not self.rows:
+            return
+        batches = [self.reader.get_batch(k) for k in range(self.reader.num_record_batches)]
+        flat = [b.column("tokens").flatten().to_numpy(zero_copy_only=True) for b in batches]
+        step = self.full * self.sequence_length
+        for b in batches:
+            docs = b.column("docs").flatten()
+            start, n = docs.field(1).to_numpy(), docs.field(2).to_numpy()
+            for doc_id, s, k in zip(docs.field(0).to_pylist(), start.tolist(), n.tolist(), strict=True):
+                first, last = s // step, max(s, s + k - 1) // step
+                parts = [flat[j][max(0, s - j * step) : s + k - j * step] for j in range(first, last + 1) if j < len(flat)]
+                yield doc_id, s, parts[0] if len(parts) == 1 else np.concatenate(parts or [flat[0][:0]])
+
+
 def read_file(content) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, start in the file, ids) of each document of a file."""
-    table = pa.ipc.open_file(content).read_all()
-    if not table.num_rows:
-        return
-    flat = table["tokens"].combine_chunks().flatten().to_numpy()
-    mask = table["mask"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    flat = flat[mask]
-    for docs in table["docs"].to_pylist():
-        for d in docs:
-            yield d["doc_id"], d["start"], flat[d["start"] : d["start"] + d["n"]]
-
-
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, sequence: int = SEQUENCE) -> DataFrame:
+    return TokenFile(content).documents()
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, sequence: int = SEQUENCE, special_as_text: bool = True) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` and writes ``folder/block-NNNNNNNN.arrow``; returns ``block, n_tokens`` of each file.
 
     Files follow each other in ascending doc_id (null ids first, repeated ids ordered by
@@ -244,7 +193,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, sequence: int = S
     base = B.deal(docs)
 
     def write(key: tuple, table: pa.Table) -> pa.Table:
-        coder, rows = _coder(tokenizer), B.unpack(table)
+        coder, rows = _coder(tokenizer, special_as_text), B.unpack(table)
         end = np.array([END], coder.kind)
         ids = [np.concatenate([x, end]) for x in coder.encode_all([body for _, body in rows])]
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
@@ -260,16 +209,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, sequence: int = S
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """``block, doc_id, local_start, n_tokens, ids_crc32`` of each document of a folder's files."""
-    from pyspark.errors import AnalysisException
+    """``block, doc_id, local_start, n_tokens, ids_crc32`` of each document of a folder's files.
 
+    A folder without files is an error: what was written isn't where this session looks.
+    """
     kind = "block int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
-    try:
-        files = spark.read.format("binaryFile").load(f"{folder}/block-*.arrow")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":  # of an empty table no file is written
-            return spark.createDataFrame([], kind)
-        raise
+    files = spark.read.format("binaryFile").load(f"{folder}/block-*.arrow")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,14 +226,20 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"block-(\d+)\.arrow$", 1).cast("int").alias("block"), "content").mapInArrow(read, kind)
 
 
-def token_index(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
+def token_index(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, special_as_text: bool = True) -> DataFrame:
     """Writes token files to the shared folder and returns ``doc_id, start, n_tokens, ids_crc32`` read back from them.
 
-    ``start`` counts the ids of all documents before. An empty table gives an empty result.
+    ``start`` counts the ids of all documents before. ``special_as_text``: spellings of
+    special tokens in a text are ordinary text, so that a text can't forge a mark; if
+    false, they become the tokens' ids, as the library does unless told otherwise. A null
+    text is empty; very long texts are encoded in pieces cut at white space. An empty table
+    gives an empty result; files that were written but aren't found are an error.
     """
     spark = docs.sparkSession
     folder = fresh_dir(spark, "tokens")
-    files = write_tokens(docs, tokenizer, folder, sequence)
+    files = write_tokens(docs, tokenizer, folder, sequence, special_as_text)
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
     starts = files.select("block", before.alias("before"))
+    if files.isEmpty():
+        return starts.select(F.lit(0).cast("long").alias("doc_id"), F.col("before").alias("start"), F.col("before").alias("n_tokens"), F.col("before").alias("ids_crc32"))
     return read_tokens(spark, folder).join(starts, "block").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
