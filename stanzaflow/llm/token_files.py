@@ -10,6 +10,7 @@ memory-mapped file gives any sequence without a copy (``TokenFile``).
 from __future__ import annotations
 
 import functools
+import json
 import os
 import uuid
 import zlib
@@ -34,10 +35,12 @@ SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 256
 #: Words of a generation that a worker remembers: at most the smaller number, but for the words of one piece.
-CACHE, YOUNG = 300_000, 300_000
+CACHE, YOUNG = 1_000_000, 1_000_000
 #: Bytes of text whose words are looked up at once, and words that the library gets at once.
 PIECE, STEP = 4 << 20, 4096
 END = 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 class WordCoder:
@@ -54,40 +57,90 @@ class WordCoder:
     def __init__(self, path: str, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # no word comes twice
         self.marks = [] if special_as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if not special_as_text and any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("an added token that is sought in normalised text can't be found word by word")
         self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab().values()) < 1 << 16 else np.dtype("<u4")
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.old: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        return [self._whole(t) if any(m in t for m in self.marks) else self._by_words(t) for t in texts]
+        out, group, size = [], [], 0
+        for text in texts:
+            if any(m in text for m in self.marks):
+                out += self._by_words(group) + [self._whole(text)]
+                group, size = [], 0
+            elif len(text) > PIECE:
+                out += self._by_words(group) + [np.concatenate([x for p in _pieces(text) for x in self._by_words([p])])]
+                group, size = [], 0
+            else:
+                group.append(text)
+                size += len(text)
+                if size > PIECE:
+                    out += self._by_words(group)
+                    group, size = [], 0
+        return out + self._by_words(group)
 
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.kind)
 
-    def _by_words(self, text: bytes) -> np.ndarray:
-        found = [self._ids(p.split()) for p in (_pieces(text) if len(text) > PIECE else (text,))]
-        return np.frombuffer(b"".join(found), self.kind)
-
-    def _ids(self, words: list[bytes]) -> bytes:
-        young, old = self.young, self.old
+    def _by_words(self, texts: list[bytes]) -> list[np.ndarray]:
+        body = b"\n".join(texts)
+        word = ~_SPACE[np.frombuffer(body, np.uint8)]
+        starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+        if not len(starts):
+            return [np.zeros(0, self.kind)] * len(texts)
+        # a word with the white space behind it; Arrow finds the distinct ones by their bytes
+        cut_at = pa.py_buffer(np.append(starts, len(body)).astype(np.int32))
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, cut_at, pa.py_buffer(body)]).dictionary_encode()
+        coded = self._coded([w.rstrip() for w in found.dictionary.to_pylist()])
+        which = found.indices.to_numpy()
+        n = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
+        flat, at, n, begins = np.frombuffer(b"".join(coded), self.kind), (np.cumsum(n) - n)[which], n[which], np.concatenate([[0], np.cumsum(n[which])])
+        ids = flat[np.repeat(at - begins[:-1], n) + np.arange(begins[-1])]
+        turns = begins[np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))]
+        return [ids[a:b] for a, b in zip(turns[:-1].tolist(), turns[1:].tolist())]
+
+    def _coded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as bytes."""
+        young = self.young
+        coded = list(map(young.get, words))
         new = []
-        for w in set(words).difference(young):
-            if w in old:
-                young[w] = old[w]
+        for w in dict.fromkeys([w for w, x in zip(words, coded, strict=True) if x is None]):
+            if w in self.old:
+                young[w] = self.old[w]
             else:
                 new.append(w)
-        for at in range(0, len(new), STEP):
-            step = new[at : at + STEP]
+        letters = [w for w in new if w.isalpha()]  # of bytes: ASCII letters only
+        alone = [w for w in new if not w.isalpha()]
+        for at in range(0, len(letters), STEP):
+            alone += self._letters(letters[at : at + STEP])
+        for at in range(0, len(alone), STEP):
+            step = alone[at : at + STEP]
             for w, e in zip(step, self.tokenizer.encode_batch_fast([w.decode() for w in step], add_special_tokens=False), strict=True):
                 young[w] = np.array(e.ids, self.kind).tobytes()
-        out = b"".join([young[w] for w in words])
+        coded = [young[w] if x is None else x for w, x in zip(words, coded, strict=True)]
         if len(young) > min(YOUNG, CACHE):
             self.old, self.young = young, {}
-        return out
+        return coded
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Encodes words of ASCII letters, each one pre-token, as one text parted at the ends of words; returns them if that isn't so."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return words
+        flat, at = ids.tobytes(), 0
+        for w, end in zip(words, (ends * self.kind.itemsize).tolist(), strict=True):
+            self.young[w] = flat[at:end]
+            at = end
+        return []
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
