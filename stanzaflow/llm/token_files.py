@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,10 +36,13 @@ SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 256
 #: Words of a generation that a worker remembers: at most the smaller number, but for the words of one piece.
-CACHE, YOUNG = 1_000_000, 1_000_000
+CACHE, YOUNG = 500_000, 500_000
 #: Bytes of text whose words are looked up at once, and words that the library gets at once.
 PIECE, STEP = 4 << 20, 4096
 END = 1
+#: The tokenizer's own pattern of pre-tokens, and what it comes to on lower-case ASCII without an apostrophe.
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -48,7 +52,9 @@ class WordCoder:
 
     The tokenizers meant here (NFC, lower case, white space dropped) never join across ASCII
     white space and nothing composes with it, so a text's ids are those of its words. Each
-    distinct word goes to the library once, unchanged and whole. A text that spells out an
+    distinct word goes to the library once, whole; where the tokenizer has the pattern
+    ``_PATTERN``, ASCII words without an apostrophe go as the pre-tokens that it makes of
+    them in lower case, which share more. Words with other characters are never changed. A text that spells out an
     added token goes to the library as one text, unless ``special_as_text`` says that such
     spellings are ordinary text. Two generations of words are remembered: the young one
     replaces the old one when it holds ``YOUNG`` words, or fewer if CACHE is smaller.
@@ -66,6 +72,7 @@ class WordCoder:
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.parts = json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"]).find(json.dumps(_PATTERN)) >= 0 and bool(suffix)
         self.old: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
 
@@ -109,14 +116,20 @@ class WordCoder:
 
     def _coded(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as bytes."""
-        young = self.young
+        young, new, parted = self.young, {}, {}
+        if self.parts:
+            words = [w.lower() if w.isalpha() else w for w in words]
         coded = list(map(young.get, words))
-        new = []
-        for w in dict.fromkeys([w for w, x in zip(words, coded, strict=True) if x is None]):
-            if w in self.old:
-                young[w] = self.old[w]
-            else:
-                new.append(w)
+        for i, w in enumerate(words):
+            if coded[i] is None:
+                if self.parts and w.isascii() and not w.isalpha() and b"'" not in w:
+                    parted[i] = (w[:-1].lower(), w[-1:]) if w[:-1].isalpha() and not w[-1:].isdigit() else _PARTS.findall(w.lower())
+                    new |= dict.fromkeys([p for p in parted[i] if p not in young])
+                else:
+                    new[w] = None
+        for w in [w for w in new if w in self.old]:
+            young[w] = self.old[w]
+            del new[w]
         letters = [w for w in new if w.isalpha()]  # of bytes: ASCII letters only
         alone = [w for w in new if not w.isalpha()]
         for at in range(0, len(letters), STEP):
@@ -125,6 +138,8 @@ class WordCoder:
             step = alone[at : at + STEP]
             for w, e in zip(step, self.tokenizer.encode_batch_fast([w.decode() for w in step], add_special_tokens=False), strict=True):
                 young[w] = np.array(e.ids, self.kind).tobytes()
+        for i, p in parted.items():
+            coded[i] = b"".join([young[x] for x in p])
         coded = [young[w] if x is None else x for w, x in zip(words, coded, strict=True)]
         if len(young) > min(YOUNG, CACHE):
             self.old, self.young = young, {}
