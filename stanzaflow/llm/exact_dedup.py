@@ -12,12 +12,16 @@ PREFIX = 256
 def exact_dedup(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    Rows are grouped by the length of the text in bytes; groups of two or more by a hash
-    of the first ``prefix`` characters; and what survives by the SHA-256 of the full text.
-    Only groups that survive the first two steps enter the third. Texts aren't normalised;
-    null counts as empty. Of equal texts the row with the largest doc_id stays (of repeated
-    rows with that doc_id too, one is counted as kept by its id, so all of them read
-    ``kept``); null doc_ids are smaller than all others.
+    1. Rows are counted by the length of the text in bytes; only rows whose length recurs go on.
+    2. Those are counted by length and a hash of the first ``prefix`` characters; only rows whose pair recurs go on.
+    3. Those are grouped by the SHA-256 of the full text as well.
+
+    The digest of every text is part of the result, so it is computed once for each row, and
+    only survivors are grouped by it. Texts aren't normalised; null counts as empty; a very
+    long text is only hashed, never shuffled. Of equal texts the row with the largest doc_id
+    stays (of repeated rows with that doc_id too, one is counted as kept by its id, so all
+    of them read ``kept``); null doc_ids are smaller than all others. An empty table gives
+    an empty result; other columns are ignored.
 
     Each step is a map-side combined count, and rows look their group up in a join whose
     large partitions Spark can split, so a group that holds a third of all rows is never
@@ -25,14 +29,10 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     narrow = docs.select("doc_id", F.octet_length(text).alias("len"), F.xxhash64(F.substring(text, 1, prefix)).alias("head"), F.sha2(text, 256).alias("text_sha256"))
-    by_length = docs.select(F.octet_length(text).alias("len")).groupBy("len").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    by_head = (
-        docs.select(F.octet_length(text).alias("len"), F.xxhash64(F.substring(text, 1, prefix)).alias("head"))
-        .groupBy("len", "head").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        .join(by_length, "len", "left_semi")
-    )
-    partial = narrow.groupBy("len", "head", "text_sha256").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
-    groups = partial.join(by_head, ["len", "head"], "left_semi").where("n > 1").select("text_sha256", "n", "keep")
+    again = lambda rows, *by: rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    by_length = narrow.join(again(narrow, "len"), "len", "left_semi")
+    by_head = by_length.join(again(by_length, "len", "head"), ["len", "head"], "left_semi")
+    groups = by_head.groupBy("len", "head", "text_sha256").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where("n > 1").select("text_sha256", "n", "keep")
     return narrow.join(groups, "text_sha256", "left").select(
         "doc_id",
         F.coalesce("keep", "doc_id").alias("keep_id"),

@@ -22,6 +22,10 @@ TRAIN_ROWS = 5_000
 PIECE = 1 << 20
 #: Added to every count.
 SMOOTHING = 0.5
+#: Bounds the model, FEATURES x languages 4-byte numbers, to 128 MB.
+MOST_LANGUAGES = 512
+#: Entries of the sparse count matrix that are multiplied at once.
+ENTRIES = 1 << 18
 UNKNOWN = "und"
 
 _ODD = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917)]
@@ -50,7 +54,40 @@ def _buckets(text: str) -> Iterator[np.ndarray]:
             if len(h):
                 m = (h + np.uint32(n)) * _ODD[0]
                 m = (m ^ (m >> np.uint32(15))) * _ODD[2]
-                yield (m >> _SHIFT)[-new:]
+                yield (m >> _SHIFT).astype(np.uint16)[-new:]
+
+
+def _row(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's row of the sparse count matrix: its buckets in order, and how often each occurs."""
+    buckets, counts, held, size = [], [], [], 0
+    for h in [*_buckets(text), None]:
+        if h is not None:
+            held.append(h)
+            size += len(h)
+        if held and (h is None or size > PIECE):
+            run = np.sort(np.concatenate(held), kind="stable")  # of 16 bits: by radix
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            buckets.append(run[first])
+            counts.append(np.diff(first, append=len(run)))
+            held, size = [], 0
+    if len(buckets) == 1:
+        return buckets[0], counts[0]
+    total = np.zeros(FEATURES, np.int64)
+    for b, n in zip(buckets, counts, strict=True):
+        total[b] += n
+    b = np.flatnonzero(total)
+    return b.astype(np.uint16), total[b]
+
+
+def scores(rows: list[tuple[np.ndarray, np.ndarray]], logp: np.ndarray) -> np.ndarray:
+    """The product of a sparse count matrix, given by rows, with ``logp``: log likelihoods, a row for each text."""
+    out = np.zeros((len(rows), logp.shape[1]))
+    full = [i for i, (b, _) in enumerate(rows) if len(b)]
+    if full:
+        n = [len(rows[i][0]) for i in full]
+        cells = logp[np.concatenate([rows[i][0] for i in full])] * np.concatenate([rows[i][1] for i in full])[:, None]
+        out[full] = np.add.reduceat(cells, np.cumsum(n) - n, axis=0)
+    return out
 
 
 def _has_letter(text: str) -> bool:
@@ -62,10 +99,14 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
 
     Rows without text or lang don't count. At most about ``train_rows`` rows of each
     language are read, chosen by a hash of doc_id, so that what reaches the driver
-    (counts of FEATURES x languages) doesn't grow with the corpus.
+    (counts of FEATURES x languages) doesn't grow with the corpus. The priors are the shares
+    of all labelled rows. More than ``MOST_LANGUAGES`` languages are an error. Null or
+    repeated ids are rows like any other; an empty table gives a model without languages.
     """
     rows = labelled.where("lang is not null and text is not null")
-    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(held) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would outgrow a broadcast")
     languages = sorted(held)
     if not languages:
         return LanguageModel([], np.zeros((FEATURES, 0), np.float32), np.zeros(0))
@@ -90,7 +131,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     col = np.array([languages.index(x) for x in lang.dictionary.to_pylist()], np.int64)
     if len(lang):
         np.add.at(table, (counts["bucket"].to_numpy(), col[lang.indices.to_numpy()]), counts["n"].to_numpy())
-    total = np.array([min(held[k], train_rows) for k in languages], float)
+    total = np.array([held[k] for k in languages], float)
     return LanguageModel(languages, np.log(table / table.sum(0)).astype(np.float32), np.log(total / total.sum()))
 
 
@@ -99,7 +140,9 @@ def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", sco
 
     Only ``text`` is read, all of it. A null text, or one without a letter, gets ``und``
     and 0; so does any text if the model knows no language. Columns that already have
-    these names are replaced. Of equal posteriors the first language by name wins.
+    these names are replaced. Of equal posteriors the first language by name wins. Texts of a
+    batch form a sparse matrix of counts, which is multiplied with the log probabilities; a
+    very long text is counted in pieces.
     """
     kind = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -107,17 +150,18 @@ def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", sco
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            out = []
-            for text in texts:
-                if text is None or not m.languages or not _has_letter(text):
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                p = m.prior.copy()
-                for h in _buckets(text):
-                    p += m.logp[h].sum(0, dtype=np.float64)
-                p -= p.max()
-                best = int(p.argmax())
-                out.append((m.languages[best], float(1 / np.exp(p).sum())))
+            out, rows, at, size = [(UNKNOWN, 0.0)] * len(texts), [], [], 0
+            for i, text in enumerate([*texts, None]):
+                if text is not None and m.languages and _has_letter(text):
+                    rows.append(_row(text))
+                    at.append(i)
+                    size += len(rows[-1][0])
+                if rows and (i == len(texts) or size > ENTRIES):
+                    p = scores(rows, m.logp) + m.prior
+                    p -= p.max(1, keepdims=True)
+                    for k, best, top in zip(at, p.argmax(1).tolist(), (1 / np.exp(p).sum(1)).tolist(), strict=True):
+                        out[k] = (m.languages[best], top)
+                    rows, at, size = [], [], 0
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
