@@ -1,11 +1,12 @@
-"""SimHash near-duplicates: exact comparison of fingerprints in tiles.
-
-Fingerprints within ``radius`` bits of each other agree in at least one of ``radius + 1``
-bands, and in the rest again in at least one of as many sub-bands. Tiles are the
-fingerprints that share a band and a sub-band, sorted by population count. Inside a tile
-all pairs are compared by exclusive-or and bit counts, and blocks of a large tile whose
-population counts differ by more than the radius are skipped, since they can't hold a
-link. So every pair within the radius is compared, and nothing is missed.
+"""SimHash near-duplicates: exact comparison of fingerprints in tiles by population count.
+
+A tile holds fingerprints of one population count. Two tiles are compared, all pairs by
+exclusive-or and bit counts, only if their population counts differ by the radius at most;
+other pairs of tiles can't hold a link and are skipped. To keep the number of tile pairs
+in proportion to the corpus, tiles are laid inside *strips*: fingerprints within ``radius``
+bits of each other agree in one of ``radius + 1`` bands, and in the rest again in one of as
+many sub-bands, and a strip holds those that share a band and a sub-band. So every pair
+within the radius meets in a strip, and nothing is missed; links come from the tiles alone.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import Forest, components, cut, partitions, spread_hot
 
-#: Fingerprints of one tile that one task compares with each other; rows of a block inside it.
-TILE, ROWS = 8192, 128
+#: Fingerprints of one strip that one task lays into tiles; pairs of fingerprints that are compared at once.
+TILE, PAIRS = 8192, 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles whose hashes are counted at once.
 PIECE = 1 << 16
@@ -71,18 +72,52 @@ def tile_masks(radius: int) -> list[int]:
     return [band | sub for band in _bands(full, radius + 1) for sub in _bands(full ^ band, radius + 1)]
 
 
-def _compare(fp: np.ndarray, side: np.ndarray, radius: int, forest: Forest, which: np.ndarray) -> list[tuple[int, int]]:
-    """Links of one tile that join two trees; rows come sorted by population count."""
-    ones, out = np.bitwise_count(fp), []
-    cross = bool(side.any())
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(fp)),) * 2
-    for i in range(0, len(left), ROWS):
-        a = left[i : i + ROWS]
-        b = right if cross else right[i:]
-        b = b[(ones[b] >= int(ones[a[0]]) - radius) & (ones[b] <= int(ones[a[-1]]) + radius)]
-        p, q = np.nonzero(np.bitwise_count(fp[a][:, None] ^ fp[b]) <= radius)
-        out += forest.connect(which[a[p]], which[b[q]])
-    return out
+def tile_pairs(strip: np.ndarray, ones: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tiles of rows sorted by ``strip`` and population count, and the pairs of tiles to compare.
+
+    Returns where each tile starts (and the end of the last), and the two tiles of each
+    pair: of one strip, with population counts at most ``radius`` apart.
+    """
+    name = strip.astype(np.int64) * 128 + ones
+    bounds = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]])) if len(name) else np.zeros(1, np.int64)
+    held = name[bounds[:-1]]
+    first, second = [], []
+    for apart in range(radius + 1):
+        at = np.searchsorted(held, held + apart)
+        at[at == len(held)] = 0
+        met = np.flatnonzero(held[at] == held + apart) if len(held) else at
+        first.append(met)
+        second.append(at[met])
+    return bounds, np.concatenate(first), np.concatenate(second)
+
+
+def compare(strip: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius, from tiles that may hold any. Rows are sorted by strip and population count.
+
+    A strip with rows of both sides pairs those of one side with those of the other only.
+    """
+    bounds, a, b = tile_pairs(strip, np.bitwise_count(fp), radius)
+    size = np.diff(bounds)
+    crossed = np.zeros(int(strip.max(initial=0)) + 1, bool)
+    crossed[strip[side == 1]] = True
+    # rows of a tile against another tile, many at once as far as PAIRS allows
+    rows = np.repeat(bounds[a], size[a]) + np.arange(size[a].sum()) - np.repeat(np.cumsum(size[a]) - size[a], size[a])
+    start, width = np.repeat(bounds[b], size[a]), np.repeat(size[b], size[a])
+    own = np.repeat(a == b, size[a])
+    width = np.where(own, start + width - rows - 1, width)
+    start = np.where(own, rows + 1, start)
+    ends = np.cumsum(width)
+    at = 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        n = width[at:upto]
+        p = np.repeat(rows[at:upto], n)
+        q = np.repeat(start[at:upto], n) + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+        close = np.bitwise_count(fp[p] ^ fp[q]) <= radius
+        p, q = p[close], q[close]
+        fit = ~crossed[strip[p]] | (side[p] != side[q])
+        yield p[fit], q[fit]
+        at = upto
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -94,26 +129,22 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = prints.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    tiles = spread_hot(rows.join(shared, "key"), "key", "fp", TILE).withColumn("part", F.pmod(F.xxhash64("key", "tile"), F.lit(4 * partitions(spark))).cast("int"))
+    strips = spread_hot(rows.join(shared, "key"), "key", "fp", TILE).withColumn("part", F.pmod(F.xxhash64("key", "tile"), F.lit(4 * partitions(spark))).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         key, tile, side = (table[c].to_numpy() for c in ("key", "tile", "side"))
         fp = table["fp"].to_numpy().view(np.uint64)
         order = np.lexsort((fp, np.bitwise_count(fp), tile, key))
         key, tile, side, fp = key[order], tile[order], side[order], fp[order]
+        strip = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
         names, which = np.unique(fp, return_inverse=True)
         forest, edges = Forest(len(names)), []
-        ends = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), True]).tolist()
-        for s, t in zip(ends[:-1], ends[1:]):
-            if t - s == 2:
-                if int(fp[s] ^ fp[s + 1]).bit_count() <= radius and forest.join(int(which[s]), int(which[s + 1])):
-                    edges.append((int(which[s]), int(which[s + 1])))
-            elif t - s > 2:
-                edges += _compare(fp[s:t], side[s:t], radius, forest, which[s:t])
+        for p, q in compare(strip, side, fp, radius):
+            edges += forest.connect(which[p], which[q])
         a, b = (np.array(x, np.int64) for x in (zip(*edges, strict=True) if edges else ([], [])))
         return pa.table({"a": pa.array(names[a].view(np.int64)), "b": pa.array(names[b].view(np.int64))})
 
-    return tiles.select("part", "key", "tile", "side", "fp").groupBy("part").applyInArrow(run, "a long, b long")
+    return strips.select("part", "key", "tile", "side", "fp").groupBy("part").applyInArrow(run, "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, by_row: bool = False) -> DataFrame:
@@ -124,7 +155,8 @@ def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = 2, seed: int =
     Texts without words have fingerprint zero and are linked like any other; a text of
     fewer words than a shingle is one shingle. Rows that repeat a doc_id are separate rows
     with one id. A null doc_id keeps its row; a component of null ids alone has a null id.
-    ``by_row`` adds ``text_sha256`` and ``root``, which tell rows of one doc_id and
+    A very long text is hashed in pieces; an empty table gives an empty result; other columns
+    are ignored. ``by_row`` adds ``text_sha256`` and ``root``, which tell rows of one doc_id and
     components of one id apart.
     """
     prints = cut(fingerprints(docs, words, seed, by_row))

@@ -72,3 +72,37 @@ def test_language_id_odd_tables(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
     with pytest.raises(ValueError, match="languages"):
         language_id.train(frame(spark, ["a b", "c d"], langs=["en", "fr"]))
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 20])
+def test_tiles_skip_by_population_count_and_lose_nothing(pairs, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "PAIRS", pairs)
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 63, 20, np.uint64)
+    fp = np.concatenate([fp, fp ^ np.uint64(1), fp ^ np.uint64(5), fp ^ np.uint64(21)])
+    strip = rng.integers(0, 2, len(fp))
+    order = np.lexsort((fp, np.bitwise_count(fp), strip))
+    fp, strip, ones = fp[order], strip[order], np.bitwise_count(fp[order]).astype(int)
+    bounds, a, b = simhash_dedup.tile_pairs(strip, ones, 2)
+    met = {(strip[bounds[x]], ones[bounds[x]], strip[bounds[y]], ones[bounds[y]]) for x, y in zip(a, b)}
+    held = sorted(set(zip(strip.tolist(), ones.tolist())))
+    assert met == {(s, m, s, n) for s, m in held for t, n in held if s == t and 0 <= n - m <= 2}
+    for side in (np.zeros(len(fp), int), rng.integers(0, 2, len(fp))):
+        got = {(int(x), int(y)) for p, q in simhash_dedup.compare(strip, side, fp, 2) for x, y in zip(p, q)}
+        cross = {s for s, d in zip(strip.tolist(), side.tolist()) if d}
+        want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if strip[i] == strip[j] and int(fp[i] ^ fp[j]).bit_count() <= 2 and (strip[i] not in cross or side[i] != side[j])}
+        assert {tuple(sorted(x)) for x in got} == want
+    assert list(simhash_dedup.compare(strip[:0], strip[:0], fp[:0], 2)) == []
+
+
+def test_links_come_from_the_tiles(spark, monkeypatch):
+    prints = spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long")
+    assert {(r.a, r.b) for r in simhash_dedup.links(prints, 2).collect()} != set()
+    monkeypatch.setattr(simhash_dedup, "compare", lambda *_: [])
+    assert simhash_dedup.links(prints, 2).count() == 0
+
+
+def test_simhash_odd_rows(spark):
+    rows = simhash_dedup.simhash_dedup(frame(spark, ["a b c d", "a b c d", None, "", "x y z"], ids=[None, 4, 4, None, None])).collect()
+    assert sorted((r.fingerprint == "0" * 16, r.doc_id or -1, r.component_id or -1, r.kept) for r in rows)[-2:] == [(True, -1, 4, False), (True, 4, 4, True)]
+    assert [(r.component_id, r.kept) for r in rows if r.doc_id is None and r.component_id is None] == [(None, True)]
