@@ -21,47 +21,109 @@ from pyspark.sql import functions as F
 
 #: Text bytes in a block: the corpus over AIM_BLOCKS, within these bounds.
 LEAST_BLOCK, MOST_BLOCK, AIM_BLOCKS = 2 << 20, 32 << 20, 512
+#: Ranges of doc_id whose text bytes are counted before they are joined or cut into blocks.
+CELLS = 2048
 
 
 @dataclass
 class Blocks:
-    rows: DataFrame  # block int, doc_id long, body binary (zstd)
+    rows: DataFrame  # block int, doc_id long, turn long, body binary (zstd)
     count: int
     total_bytes: int
 
 
+@dataclass
+class Ranges:
+    """Cells of doc_id (number 0: null ids; number k: up to ``upto[k - 1]``; last: above) and the blocks they belong to."""
+
+    upto: np.ndarray
+    first: np.ndarray  # block of a cell, or the first of its blocks
+    parts: np.ndarray  # how many blocks a large cell is cut into
+
+    def cell(self, ids: np.ndarray, null: np.ndarray) -> np.ndarray:
+        return np.where(null, 0, np.searchsorted(self.upto, ids, side="left") + 1)
+
+    def block(self, ids: np.ndarray, null: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Blocks in the order of (doc_id, turn): a large cell is cut evenly by id, or by turn if it has one id only."""
+        cell = self.cell(ids, null)
+        ends = np.concatenate([[0.0], self.upto.astype(np.float64), [2.0**63]])
+        low, high = np.concatenate([[0.0], [-(2.0**63)], ends[1:-1]])[cell], ends[cell]
+        one = null | (high - low <= 1)
+        share = np.where(one, (turn.astype(np.float64) + 2.0**63) / 2.0**64, (ids.astype(np.float64) - low - 1) / np.maximum(1.0, high - low))
+        return self.first[cell] + np.clip((share * self.parts[cell]).astype(np.int64), 0, self.parts[cell] - 1)
+
+
+def plan_ranges(quantiles: list[int], least: int, most: int) -> np.ndarray:
+    """Upper bounds of the cells. An id that fills several quantiles gets a cell of its own."""
+    q = np.array(quantiles, np.int64)
+    values, n = np.unique(q, return_counts=True)
+    own = values[n > 1]
+    return np.unique(np.concatenate([values, own[own > np.iinfo(np.int64).min] - 1, np.array([least - 1, most], np.int64)]))
+
+
+def lay_out(upto: np.ndarray, held: np.ndarray, size: int) -> Ranges:
+    """Blocks of about ``size`` bytes from the bytes of each cell: small neighbours are joined, large cells cut."""
+    first, parts, at, room = np.zeros(len(held), np.int64), np.ones(len(held), np.int64), 0, size
+    fresh = True
+    for k, n in enumerate(held.tolist()):
+        if not fresh and n > room:
+            at, room, fresh = at + 1, size, True
+        first[k] = at
+        if n > size:
+            parts[k] = -(-n // size)
+            at, room, fresh = at + int(parts[k]), size, True
+        else:
+            room, fresh = room - n, False
+    return Ranges(upto, first, parts)
+
+
 def deal(docs: DataFrame) -> Blocks:
-    """Blocks of ``docs(doc_id, text)``; null texts count as empty, null ids come first.
+    """Blocks of ``docs(doc_id, text)`` by text bytes; null texts count as empty, null ids come first.
 
-    The bounds between blocks are one long for each block; they travel in the closure.
+    Rows that repeat a doc_id follow each other by ``turn``, a hash of the text, so an id
+    with very many rows is cut into blocks too; one text is never cut. What travels to the
+    driver and in closures is a few numbers for each of about CELLS ranges.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n, total = d.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    text = F.col("text").cast("string")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("turn"), text.alias("text"))
+    narrow = d.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    cuts = [k / CELLS for k in range(1, CELLS)]
+    total, least, most, found = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", cuts, 10 * CELLS)).first()
     size = min(MOST_BLOCK, max(LEAST_BLOCK, total // AIM_BLOCKS))
-    count = max(1, -(-total // size))
-    bounds = np.zeros(0, np.int64)
-    if count > 1:
-        cuts = [k / count for k in range(1, count)]
-        found = d.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * count))).first()[0]
-        bounds = np.unique(np.array(found or [], np.int64))
+    upto = plan_ranges(found or [], least or 0, most or 0)
+    blank = Ranges(upto, np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(upto) + 2, np.int64)
+        for b in batches:
+            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            np.add.at(held, blank.cell(b.column(0).fill_null(0).to_numpy(), null), b.column(1).to_numpy())
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["cell", "n"])
+
+    held = np.zeros(len(upto) + 2, np.int64)
+    if total > size:
+        for r in narrow.mapInArrow(weigh, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            held[r["cell"]] = r["n"]
+    ranges = lay_out(upto, held, size)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            ids = b.column(0)
-            at = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
-            bodies = [press.compress(x.as_buffer()) if x.is_valid else press.compress(b"") for x in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), ids, pa.array(bodies, pa.binary())], ["block", "doc_id", "body"])
+            ids, turn = b.column(0), b.column(1).to_numpy()
+            at = ranges.block(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), turn)
+            bodies = [press.compress(x.as_buffer()) if x.is_valid else press.compress(b"") for x in b.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), ids, b.column(1), pa.array(bodies, pa.binary())], ["block", "doc_id", "turn", "body"])
 
-    return Blocks(d.mapInArrow(pack, "block int, doc_id long, body binary"), len(bounds) + 1, int(total))
+    return Blocks(d.mapInArrow(pack, "block int, doc_id long, turn long, body binary"), int((ranges.first + ranges.parts).max()), int(total))
 
 
 def unpack(table: pa.Table) -> list[tuple[int | None, bytes]]:
-    """The documents of a block in order: by id, then by text; null ids first."""
+    """The documents of a block in order: by id, then by turn and text; null ids first."""
     press = zstandard.ZstdDecompressor()
-    docs = [(i, press.decompress(x.as_buffer(), max_output_size=1 << 31)) for i, x in zip(table["doc_id"].to_pylist(), table["body"], strict=True)]
-    docs.sort(key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
-    return docs
+    docs = [(i, t, press.decompress(x.as_buffer(), max_output_size=1 << 31)) for i, t, x in zip(table["doc_id"].to_pylist(), table["turn"].to_pylist(), table["body"], strict=True)]
+    docs.sort(key=lambda d: (d[0] is not None, d[0] or 0, d[1:]))
+    return [(i, body) for i, _, body in docs]
 
 
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))

@@ -140,7 +140,7 @@ def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     removed runs of words) and ``kept`` (remaining words joined by one space). Earlier means
     a smaller doc_id, or the same document and an earlier start. A null text has no words;
     documents under ``length`` words lose nothing. Rows that repeat a doc_id are separate
-    documents, ordered by their text; null ids come first. An empty table gives an empty
+    documents, ordered by a hash of their text; null ids come first. An empty table gives an empty
     result.
     """
     base = B.deal(docs)

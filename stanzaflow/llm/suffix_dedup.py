@@ -106,8 +106,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     ``n_bytes``, ``spans`` (maximal removed runs as byte offsets) and ``kept`` (remaining
     bytes, which may cut a character). Earlier means a smaller doc_id, or the same document
     and an earlier start. A null text is empty; texts under ``length`` bytes lose nothing.
-    Rows that repeat a doc_id are separate documents, ordered by their text; null ids come
-    first. An empty table gives an empty result.
+    Rows that repeat a doc_id are separate documents, ordered by a hash of their text; null ids
+    come first. An empty table gives an empty result.
     """
     if length < COVER_PERIOD + 7:
         raise ValueError(f"length must be at least {COVER_PERIOD + 7}")

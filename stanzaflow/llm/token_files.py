@@ -254,7 +254,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, sequence: int = S
     """Encodes ``docs(doc_id, text)`` and writes ``folder/block-NNNNNNNN.arrow``; returns ``block, n_tokens`` of each file.
 
     Files follow each other in ascending doc_id (null ids first, repeated ids ordered by
-    text). Every document ends with id 1; a null text is empty and has that id alone. The
+    a hash of the text). Every document ends with id 1; a null text is empty and has that id alone. The
     folder is a URI that every executor reaches. A file is written under another name and
     renamed, so a repeated task replaces it by the same bytes.
     """
