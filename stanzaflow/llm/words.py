@@ -37,3 +37,16 @@ def word_names(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _power(1, len(a)), out=sums[1:])
     return mix((sums[e] - sums[s]) * _power(-1, len(a))[s], (e - s).astype(np.uint64)), s, e
+
+
+class Sums:
+    """64-bit names of strings at any places of a text, from running sums over it."""
+
+    def __init__(self, body: bytes):
+        a = np.frombuffer(body, np.uint8)
+        self.sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _power(1, len(a)), out=self.sums[1:])
+
+    def names(self, places: np.ndarray, length: int) -> np.ndarray:
+        h = (self.sums[places + length] - self.sums[places]) * _power(-1, len(self.sums))[places]
+        return mix(h, h >> np.uint64(31))

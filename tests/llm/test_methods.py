@@ -5,9 +5,9 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from stanzaflow.llm import language_id, simhash_dedup
+from stanzaflow.llm import language_id, simhash_dedup, suffix_dedup
 from stanzaflow.llm.exact_dedup import exact_dedup
-from test_llm import DOCS, corpus, frame, prose
+from test_llm import DOCS, brute_bytes, corpus, frame, prose
 
 
 def test_full_hashes_are_grouped_for_survivors_only(spark):
@@ -106,3 +106,51 @@ def test_simhash_odd_rows(spark):
     rows = simhash_dedup.simhash_dedup(frame(spark, ["a b c d", "a b c d", None, "", "x y z"], ids=[None, 4, 4, None, None])).collect()
     assert sorted((r.fingerprint == "0" * 16, r.doc_id or -1, r.component_id or -1, r.kept) for r in rows)[-2:] == [(True, -1, 4, False), (True, 4, 4, True)]
     assert [(r.component_id, r.kept) for r in rows if r.doc_id is None and r.component_id is None] == [(None, True)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bucket_sorts_suffixes_by_their_bytes(seed):
+    rng = random.Random(seed)
+    letters = [b"ab", b"a", bytes(range(256)), b"\0\1", b"abc", b"ab"][seed]
+    unit = bytes(rng.choice(letters) for _ in range(150))
+    body = b"".join(rng.choice([unit, unit[: rng.randrange(150)], bytes(rng.choice(letters) for _ in range(60))]) for _ in range(25))
+    place = np.array(sorted(rng.sample(range(len(body) - 99), min(len(body) - 99, 900))))
+    order = suffix_dedup.suffix_order(body, place, 100)
+    strings = [body[p : p + 100] for p in place[order]]
+    assert sorted(order.tolist()) == list(range(len(place))) and strings == sorted(strings)
+    seen, want = set(), []
+    for p in place:
+        want.append(body[p : p + 100] in seen)
+        seen.add(body[p : p + 100])
+    assert suffix_dedup.repeats(body, place, 100).tolist() == want
+
+
+def test_ranks_end_long_ties(monkeypatch):
+    unit = np.random.default_rng(0).integers(0, 256, 300, np.uint8).tobytes()
+    body, place = unit * 3, np.arange(0, 800)
+    assert suffix_dedup.repeats(body, place, 100).tolist() == [p >= 300 for p in place]
+    monkeypatch.setattr(suffix_dedup.SortCover, "compare", lambda self, a, b: np.sign(b - a))  # an order that isn't the bytes'
+    assert suffix_dedup.repeats(unit[:150] + b"x" + unit[:150] + b"y" + unit[:150], np.arange(0, 350), 100).sum() < 102
+
+
+@pytest.mark.parametrize("cover,period", [(suffix_dedup.COVER, suffix_dedup.COVER_PERIOD), (suffix_dedup.SORT_COVER, suffix_dedup.SORT_PERIOD)])
+def test_covers(cover, period):
+    assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+def test_suffix_dedup_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 57 * 4)
+    texts = corpus(7)[:45]
+    got = {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in suffix_dedup.suffix_dedup(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_bytes(texts)
+
+
+def test_names_never_remove(spark, monkeypatch):
+    """Every name alike: all suffixes reach the sort, and nothing else changes."""
+    from stanzaflow.llm import words
+
+    monkeypatch.setattr(words.Sums, "names", lambda self, places, length: np.zeros(len(places), np.uint64))
+    texts = corpus(7)[:20]
+    docs = frame(spark, texts)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [x[3] for x in brute_bytes(texts)]
