@@ -5,18 +5,24 @@
    documents and buckets of names.
 2. Confirm. A document's nominated windows are cut into passages of windows that share an
    anchor (the least hash of four words inside the window, so equal windows have equal
-   anchors) and passages go to the shard of their anchor. A shard keeps the first of equal
-   passages and confirms the phrases of ``length`` words that recur in what it keeps.
-3. Locate. It compiles the confirmed phrases into an Aho-Corasick automaton, words as
-   single characters, streams its passages through it in document order and marks every
-   occurrence of a phrase but the first.
-4. Words that a marked window covers are removed.
+   anchors) and passages go to the shard of their anchor, equal ones of a block once. A
+   shard numbers its windows word by word (by prefix doubling on the words' own numbers,
+   without hashes) and confirms the phrases that recur; it tells each block which of the
+   phrases it sent are confirmed, and in which block a phrase stands first. It tells no
+   places.
+3. Locate. A block compiles its confirmed phrases into Aho-Corasick automata, words as
+   single characters, one for the phrases of every ``CHUNK`` words of text or so, and streams
+   all its documents whole through them. Every occurrence that an automaton finds is
+   marked, but for the first one in the block where the phrase stands first.
+4. Words that a marked occurrence covers are removed.
 
 Names only nominate; what is removed was compared word by word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,8 @@ ANCHOR = 4
 #: Text bytes of the corpus for one shard and one bucket of names.
 SHARD_BYTES, BUCKET_KEYS = 4 << 20, 2 << 20
 NAME_BITS = 32
+#: Words of documents whose phrases share an automaton, about.
+CHUNK = 300_000
 #: Characters that stand for words: the supplementary planes.
 FIRST_CHAR, CHARS = 0x10000, 0x100000
 
@@ -39,6 +47,7 @@ SPANS = "array<struct<start:long,stop:long>>"
 OUT = f"doc_id long, n_words long, spans {SPANS}, kept string"
 CELL = "shard int, block int, body binary"
 
+
 def window_names(names: np.ndarray, length: int) -> np.ndarray:
     h, have = names, 1
     while have * 2 <= length:
@@ -70,8 +79,8 @@ class _Block:
                 found.append(B.split_buckets(window_names(names, self.length), self.buckets, NAME_BITS))
         return np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
 
-    def passages(self, replies: pa.Table, shards: int):
-        """(document, first window, windows, shard, passage) of each nominated passage."""
+    def passages(self, replies: pa.Table, shards: int) -> Iterator[tuple[int, int, bytes]]:
+        """(document, shard, passage) of each nominated passage."""
         keys, which, _ = self.windows()
         named = B.heard(replies, keys, self.buckets, NAME_BITS)[which]
         at = 0
@@ -89,59 +98,144 @@ class _Block:
             shard = ((g[place[turn]] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
             words = self.docs[doc][1].split()
             for s, t, k in zip(turn.tolist(), stop.tolist(), shard.tolist(), strict=True):
-                yield doc, s, t - s, k, b" ".join(words[s : t + self.length - 1])
+                yield doc, k, b" ".join(words[s : t + self.length - 1])
 
 
-def _judge(cells: list[bytes], length: int) -> list[np.ndarray]:
-    """For each cell of a shard, in block order: a bool of each window of its passages, True if its words came before."""
-    kept: dict[bytes, np.ndarray] = {}
-    said: list[list[np.ndarray]] = []
-    press = zstandard.ZstdDecompressor()
-    for x in cells:
-        said.append([])
-        for p in press.decompress(x, max_output_size=1 << 31).split(b"\n"):
-            n = p.count(b" ") + 2 - length
-            if p in kept:
-                said[-1].append(np.ones(n, bool))
-            else:
-                kept[p] = np.zeros(n, bool)
-                said[-1].append(kept[p])
+def window_numbers(words: np.ndarray, length: int) -> np.ndarray:
+    """A number for each string of ``length`` of the numbers ``words``, equal for equal strings only."""
+    number, have, parts = words, 1, {}
+    while True:
+        parts[have] = number
+        if have * 2 > length:
+            break
+        number = _paired(number[:-have], number[have:])
+        have *= 2
+    at, out = have, number
+    while at < length:
+        step = max(k for k in parts if k <= length - at)
+        n = len(words) - at - step + 1
+        out = _paired(out[:n], parts[step][at : at + n])
+        at += step
+    return out
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
+def confirm(cells: list[list[tuple[bytes, bool]]], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which windows of each cell's passages are phrases that recur, and which stand in this cell first.
+
+    ``cells`` are those of one shard in block order; a passage comes with whether its block
+    has it more than once.
+    """
     number: dict[bytes, int] = {}
-    coded = [[number.setdefault(w, len(number)) for w in p.split(b" ")] for p in kept]
-    wide = 1 if len(number) <= CHARS else 2
-    texts = ["".join([chr(FIRST_CHAR + i) if wide == 1 else chr(FIRST_CHAR + i // CHARS) + chr(FIRST_CHAR + i % CHARS) for i in c]) for c in coded]
-    size, seen = length * wide, {}
-    for t in texts:
-        for i in range(0, len(t) - size + 1, wide):
-            w = t[i : i + size]
-            seen[w] = seen.get(w, 0) + 1
-    recurs = [w for w, n in seen.items() if n > 1]
-    if recurs:
+    times: list[int] = []
+    first: list[int] = []
+    held: list[list[int]] = []
+    for k, cell in enumerate(cells):
+        held.append([])
+        for p, repeated in cell:
+            i = number.setdefault(p, len(number))
+            if i == len(times):
+                times.append(0)
+                first.append(k)
+            times[i] += 1 + repeated
+            held[-1].append(i)
+    code: dict[bytes, int] = {}
+    split = [p.split(b" ") for p in number]
+    size = np.array([len(p) for p in split], np.int64)
+    words = np.array([code.setdefault(w, len(code)) for p in split for w in p], np.int64)
+    n = size - length + 1
+    begin = np.cumsum(n) - n
+    place = np.repeat(np.cumsum(size) - size - begin, n) + np.arange(int(n.sum()))
+    phrase = window_numbers(words, length)[place]
+    owner = np.repeat(np.arange(len(size)), n)
+    recurs = np.bincount(phrase, np.array(times, float)[owner]) > 1
+    stands = np.full(len(recurs), len(cells))
+    np.minimum.at(stands, phrase, np.array(first)[owner])
+    confirmed, stands = recurs[phrase], stands[phrase]
+    out = []
+    for k, mine in enumerate(held):
+        at = np.concatenate([np.arange(begin[i], begin[i] + n[i]) for i in mine])
+        out.append((confirmed[at], stands[at] == k))
+    return out
+
+
+class Phrases:
+    """Automata of phrases over whole documents; words are single characters, or two each where there are very many."""
+
+    def __init__(self, length: int, words: Iterable[bytes]):
+        known = dict.fromkeys(words)
+        self.wide = 1 if len(known) < CHARS else 2
+        self.span, self.other, self.met = length * self.wide, self._letter(0), set()
+        self.letters = {w: self._letter(i + 1) for i, w in enumerate(known)}
+
+    def _letter(self, i: int) -> str:
+        return chr(FIRST_CHAR + i) if self.wide == 1 else chr(FIRST_CHAR + i // CHARS) + chr(FIRST_CHAR + i % CHARS)
+
+    def of(self, passage: bytes, confirmed: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[str, bool]]:
+        """The confirmed phrases of a passage, and whether each stands in this block first."""
+        text = "".join([self.letters[w] for w in passage.split(b" ")])
+        for i, new in zip(np.flatnonzero(confirmed).tolist(), fresh[confirmed].tolist(), strict=True):
+            yield text[i * self.wide : i * self.wide + self.span], new
+
+    def locate(self, phrases: dict[str, bool], documents: list[list[bytes]]) -> list[np.ndarray]:
+        """Where phrases to remove start in each document. Call it with a block's documents in order: phrases met before are remembered."""
+        if not phrases:
+            return [np.zeros(0, np.int64)] * len(documents)
         automaton = ahocorasick.Automaton()
-        for k, w in enumerate(recurs):
-            automaton.add_word(w, k)
+        for text, fresh in phrases.items():
+            automaton.add_word(text, (text, fresh))
         automaton.make_automaton()
-        met = bytearray(len(recurs))
-        for t, marks in zip(texts, kept.values(), strict=True):
-            for end, k in automaton.iter(t):
-                if (end + 1) % wide == 0:
-                    if met[k]:
-                        marks[(end + 1 - size) // wide] = True
-                    else:
-                        met[k] = 1
-    return [np.concatenate(x) for x in said]
-
-
-def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
+        letter, other, met, wide, out = self.letters.get, self.other, self.met, self.wide, []
+        for words in documents:
+            found = []
+            for end, (text, fresh) in automaton.iter("".join([letter(w, other) for w in words])):
+                if (end + 1) % wide:  # between the two characters of a word
+                    continue
+                if fresh and text not in met:
+                    met.add(text)
+                else:
+                    found.append((end + 1 - self.span) // wide)
+            out.append(np.array(found, np.int64))
+        return out
+
+
+def _judge(cells: list[bytes], length: int) -> list[np.ndarray]:
+    """All steps on the cells of one shard as if they were one block: a bool of each window, True if its words came before."""
+    press = zstandard.ZstdDecompressor()
+    held = [press.decompress(x, max_output_size=1 << 31).split(b"\n") for x in cells]
+    automata = Phrases(length, (w for cell in held for p in cell for w in p.split(b" ")))
+    said, out = confirm([[(p, False) for p in cell] for cell in held], length), []
+    for cell, (confirmed, _) in zip(held, said, strict=True):
+        n = np.cumsum([0, *(p.count(b" ") + 2 - length for p in cell)])
+        phrases = {text: True for p, a, b in zip(cell, n, n[1:]) for text, _ in automata.of(p, confirmed[a:b], confirmed[a:b])}
+        marks = np.zeros(n[-1], bool)
+        for at, places in zip(n, automata.locate(phrases, [p.split(b" ") for p in cell])):
+            marks[at + places] = True
+        out.append(marks)
+    return out
+
+
+def _pack(passages: dict[bytes, bool]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join([(b"+" if again else b"-") + p for p, again in passages.items()]))
+
+
+def _unpack(cell: bytes) -> list[tuple[bytes, bool]]:
+    return [(x[1:], x[:1] == b"+") for x in zstandard.ZstdDecompressor().decompress(cell, max_output_size=1 << 31).split(b"\n")]
+
+
+def substring_dedup(docs: DataFrame, length: int = 20, chunk: int = CHUNK) -> DataFrame:
     """Cut from every document the words of ``length``-word windows that also start earlier.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Words are what ASCII
     white space separates, unchanged. Returns ``doc_id``, ``n_words``, ``spans`` (maximal
     removed runs of words) and ``kept`` (remaining words joined by one space). Earlier means
     a smaller doc_id, or the same document and an earlier start. A null text has no words;
-    documents under ``length`` words lose nothing. Rows that repeat a doc_id are separate
-    documents, ordered by a hash of their text; null ids come first. An empty table gives an empty
-    result.
+    documents under ``length`` words lose nothing; very long texts are named in pieces and
+    lie in one block. Rows that repeat a doc_id are separate documents, ordered by a hash of
+    their text; null ids come first. An empty table gives an empty result.
     """
     base = B.deal(docs)
     buckets = max(4, min(1 << 16, base.total_bytes // 6 // BUCKET_KEYS))
@@ -152,44 +246,50 @@ def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
         return B.cells(key[0].as_py(), keys, n > 1, buckets, NAME_BITS)
 
     def send(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        mine: dict[int, dict[bytes, None]] = {}
+        mine: dict[int, dict[bytes, bool]] = {}
         if table.num_rows:
-            for _, _, _, shard, p in _Block(table, length, buckets).passages(replies, shards):
-                mine.setdefault(shard, {})[p] = None
-        press = zstandard.ZstdCompressor(level=3)
+            for _, shard, p in _Block(table, length, buckets).passages(replies, shards):
+                cell = mine.setdefault(shard, {})
+                cell[p] = p in cell
         return pa.table({
             "shard": pa.array(list(mine), pa.int32()), "block": pa.array([key[0].as_py()] * len(mine), pa.int32()),
-            "body": pa.array([press.compress(b"\n".join(x)) for x in mine.values()], pa.binary()),
+            "body": pa.array([_pack(x) for x in mine.values()], pa.binary()),
         })
 
-    def locate(table: pa.Table) -> pa.Table:
+    def check(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        bits = [np.packbits(x).tobytes() for x in _judge([x.as_py() for x in table["body"]], length)]
+        bits = [np.packbits(np.concatenate(x)).tobytes() for x in confirm([_unpack(x.as_py()) for x in table["body"]], length)]
         return pa.table({"block": table["block"], "bucket": table["shard"], "bits": pa.array(bits, pa.binary())})
 
     def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         block = _Block(table, length, buckets)
         about = replies["about"].to_numpy()
-        said = replies.filter(pa.array(about == 1))
-        bits = {k: np.unpackbits(np.frombuffer(x.as_py(), np.uint8)).astype(bool) for k, x in zip(said["bucket"].to_pylist(), said["bits"], strict=True)}
-        used, met = dict.fromkeys(bits, 0), set()
-        edges = [np.zeros(len(n) + 1, np.int32) for n in block.names]
-        for doc, s, n, shard, p in block.passages(replies.filter(pa.array(about == 0)), shards):
-            if (shard, p) in met:
-                again = np.arange(s, s + n)
-            else:
-                met.add((shard, p))
-                again = s + np.flatnonzero(bits[shard][used[shard] : used[shard] + n])
-                used[shard] += n
-            edges[doc][again] += 1
-            edges[doc][again + length] -= 1
-        rows = []
-        for (doc_id, body), edge in zip(block.docs, edges, strict=True):
-            gone = np.cumsum(edge[:-1]) > 0
-            turns = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
-            words = body.split()
-            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode()
-            rows.append((doc_id, len(words), [{"start": a, "stop": b} for a, b in zip(turns[::2], turns[1::2])], kept))
+        found = list(block.passages(replies.filter(pa.array(about == 0)), shards))
+        sent: dict[int, dict[bytes, int]] = {}
+        for _, shard, p in found:
+            sent.setdefault(shard, {}).setdefault(p, p.count(b" ") + 2 - length)
+        said: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        answers = replies.filter(pa.array(about == 1))
+        for shard, x in zip(answers["bucket"].to_pylist(), answers["bits"], strict=True):
+            total = sum(sent[shard].values())
+            bits, at = np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=2 * total).astype(bool), 0
+            for p, n in sent[shard].items():
+                said[shard, p] = bits[at : at + n], bits[total + at : total + at + n]
+                at += n
+        automata = Phrases(length, (w for _, p in said for w in p.split(b" ")))
+        rows, turn = [], 0
+        for part in _chunks(block, chunk):
+            phrases: dict[str, bool] = {}
+            while turn < len(found) and found[turn][0] < part.stop:
+                phrases |= dict(automata.of(found[turn][2], *said[found[turn][1:]]))
+                turn += 1
+            documents = [block.docs[k][1].split() for k in part]
+            for k, words, s in zip(part, documents, automata.locate(phrases, documents), strict=True):
+                edge = np.flatnonzero(np.concatenate([[True], s[1:] > s[:-1] + length])) if len(s) else s
+                spans = list(zip(s[edge].tolist(), (s[np.append(edge[1:], len(s)) - 1] + length).tolist())) if len(s) else []
+                ends = [0, *(x for span in spans for x in span), len(words)]
+                kept = b" ".join([w for a, b in zip(ends[::2], ends[1::2]) for w in words[a:b]]).decode()
+                rows.append((block.docs[k][0], len(words), [{"start": a, "stop": b} for a, b in spans], kept))
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_words": pa.array(cols[1], pa.int64()), "spans": pa.array(cols[2], kind), "kept": pa.array(cols[3], pa.string())})
@@ -197,5 +297,15 @@ def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     by_block = base.rows.groupBy("block")
     named = B.answer(by_block.applyInArrow(name, B.CELL), B.recurring).withColumn("about", F.lit(0))
     passages = by_block.cogroup(named.groupBy("block")).applyInArrow(send, CELL)
-    replies = named.unionAll(passages.groupBy("shard").applyInArrow(locate, B.REPLY).withColumn("about", F.lit(1)))
+    replies = named.unionAll(passages.groupBy("shard").applyInArrow(check, B.REPLY).withColumn("about", F.lit(1)))
     return by_block.cogroup(replies.groupBy("block")).applyInArrow(remove, OUT)
+
+
+def _chunks(block: _Block, chunk: int) -> Iterator[range]:
+    """Numbers of neighbouring documents of about ``chunk`` words together."""
+    at = size = 0
+    for k, names in enumerate(block.names):
+        size += len(names)
+        if size >= chunk or k + 1 == len(block.names):
+            yield range(at, k + 1)
+            at, size = k + 1, 0

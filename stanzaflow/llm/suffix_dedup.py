@@ -187,12 +187,12 @@ def unpack_runs(x: bytes) -> Iterator[bytes]:
 class _Block:
     """One block's documents, cut into pieces, with the names that it exchanges."""
 
-    def __init__(self, table: pa.Table, length: int, buckets: int):
-        self.docs, self.length, self.buckets = B.unpack(table), length, buckets
-        self.pieces = [(k, at) for k, (_, body) in enumerate(self.docs) for at in range(0, len(body) - length + 1, PIECE)]
+    def __init__(self, table: pa.Table, length: int, buckets: int, piece: int):
+        self.docs, self.length, self.buckets, self.piece = B.unpack(table), length, buckets, piece
+        self.pieces = [(k, at) for k, (_, body) in enumerate(self.docs) for at in range(0, len(body) - length + 1, piece)]
 
     def body(self, k: int, at: int) -> bytes:
-        return self.docs[k][1][at : at + PIECE + self.length - 1]
+        return self.docs[k][1][at : at + self.piece + self.length - 1]
 
     def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct sorted names of the samples, the name number of each sample, and how often each name occurs here."""
@@ -206,7 +206,7 @@ class _Block:
         """The places of each piece's unsettled suffixes: those that a tied sample follows within the period."""
         tie, used, out = self.length - COVER_PERIOD + 1, 0, []
         for k, at in self.pieces:
-            n = min(len(self.docs[k][1]) - at, PIECE + self.length - 1)
+            n = min(len(self.docs[k][1]) - at, self.piece + self.length - 1)
             s = _samples(n - tie + 1)
             used += len(s)
             s = s[tied[used - len(s) : used]]
@@ -245,14 +245,14 @@ class _Block:
                     yield k, at + a + x, y - x, c, text[x : y + self.length - 1]
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, piece: int = PIECE) -> DataFrame:
     """Cut from every document the bytes of ``length``-byte strings that also start earlier.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Returns ``doc_id``,
     ``n_bytes``, ``spans`` (maximal removed runs as byte offsets) and ``kept`` (remaining
     bytes, which may cut a character). Earlier means a smaller doc_id, or the same document
     and an earlier start. A null text is empty; texts under ``length`` bytes lose nothing;
-    very long texts are handled in pieces. Rows that repeat a doc_id are separate documents,
+    very long texts are handled in pieces of ``piece`` bytes. Rows that repeat a doc_id are separate documents,
     ordered by a hash of their text; null ids come first. An empty table gives an empty
     result.
     """
@@ -268,7 +268,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
         return table.filter(pa.array(table["about"].to_numpy() == about))
 
     def send_samples(key: tuple, table: pa.Table) -> pa.Table:
-        keys, _, n = _Block(table, length, n_ranks).samples()
+        keys, _, n = _Block(table, length, n_ranks, piece).samples()
         return B.cells(key[0].as_py(), keys, n > 1, n_ranks, NAME_BITS)
 
     def open_places(block: _Block, table: pa.Table) -> list[np.ndarray]:
@@ -278,12 +278,12 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     def send_suffixes(key: tuple, table: pa.Table, heard: pa.Table) -> pa.Table:
         if not table.num_rows:
             return B.cells(0, np.zeros(0, np.uint64), np.zeros(0, bool), n_suffix, NAME_BITS)
-        block = _Block(table, length, n_ranks)
+        block = _Block(table, length, n_ranks, piece)
         keys, _, n = block.suffixes(open_places(block, heard), n_suffix)
         return B.cells(key[0].as_py(), keys, n > 1, n_suffix, NAME_BITS)
 
     def runs(table: pa.Table, heard: pa.Table) -> tuple[_Block, Iterator[tuple[int, int, int, int, bytes]]]:
-        block = _Block(table, length, n_ranks)
+        block = _Block(table, length, n_ranks, piece)
         places = open_places(block, replies(heard, 0))
         keys, which, _ = block.suffixes(places, n_suffix)
         return block, block.runs(places, B.heard(replies(heard, 1), keys, n_suffix, NAME_BITS)[which], n_sort)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .blocks import mix
 
+#: Bytes of a long text that are named at once, but for a longer word.
+PIECE = 2 << 20
+_GAP = re.compile(rb"[\t-\r ]")
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -27,7 +33,20 @@ def _power(sign: int, n: int) -> np.ndarray:
 
 
 def word_names(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit name of each word between ASCII white space, and where each starts and ends."""
+    """A 64-bit name of each word between ASCII white space, and where each starts and ends; long texts in pieces."""
+    if len(body) <= 2 * PIECE:
+        return _piece_names(body)
+    found, at = [], 0
+    while at < len(body):
+        gap = _GAP.search(body, at + PIECE)
+        end = gap.start() if gap else len(body)
+        name, s, e = _piece_names(body[at:end])
+        found.append((name, s + at, e + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _piece_names(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a = np.frombuffer(body, np.uint8)
     word = ~_SPACE[a]
     turns = np.flatnonzero(np.diff(word, prepend=False, append=False))

@@ -5,9 +5,9 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from stanzaflow.llm import language_id, simhash_dedup, suffix_dedup
+from stanzaflow.llm import language_id, simhash_dedup, substring_dedup, suffix_dedup
 from stanzaflow.llm.exact_dedup import exact_dedup
-from test_llm import DOCS, brute_bytes, corpus, frame, prose
+from test_llm import DOCS, brute_bytes, brute_words, corpus, frame, prose
 
 
 def test_full_hashes_are_grouped_for_survivors_only(spark):
@@ -138,19 +138,77 @@ def test_covers(cover, period):
     assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def test_suffix_dedup_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PIECE", 57 * 4)
+@pytest.mark.parametrize("piece", [57, 300])
+def test_suffix_dedup_in_pieces(spark, piece):
     texts = corpus(7)[:45]
-    got = {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in suffix_dedup.suffix_dedup(frame(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in suffix_dedup.suffix_dedup(frame(spark, texts), piece=piece).collect()}
     assert [got[i] for i in range(len(texts))] == brute_bytes(texts)
 
 
-def test_names_never_remove(spark, monkeypatch):
-    """Every name alike: all suffixes reach the sort, and nothing else changes."""
+def test_a_bucket_needs_no_names():
+    """Whole texts as runs: what is marked is what brute force finds, whatever was nominated."""
+    texts = [t.encode() for t in corpus(7) if t and 100 <= len(t.encode()) < 5000]
+    said = suffix_dedup.judge([suffix_dedup.pack_runs([t]) for t in texts], 100)
+    seen = set()
+    for t, marks in zip(texts, said, strict=True):
+        strings = [t[p : p + 100] for p in range(len(t) - 99)]
+        for x, marked in zip(strings, marks.tolist(), strict=True):
+            assert marked == (x in seen)
+            seen.add(x)
+
+
+def test_window_numbers_tell_windows_apart():
+    rng = np.random.default_rng(2)
+    for length in (1, 2, 3, 20, 31):
+        words = rng.integers(0, 2, 200 if length > 3 else 30)
+        numbers = substring_dedup.window_numbers(words, length)
+        strings = [tuple(words[i : i + length]) for i in range(len(words) - length + 1)]
+        assert len(numbers) == len(strings) and len(set(zip(numbers.tolist(), strings))) == len(set(strings)) == len(set(numbers.tolist()))
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 10**6])
+def test_substring_dedup_with_many_automata(spark, chunk):
+    texts = [t and " ".join(t.split(" ")[:2000]) for t in [*corpus(15), "a " * 90, "a b " * 60, "a " * 30, "b " + "a " * 30]]
+    got = {r.doc_id: (r.n_words, sum(s.stop - s.start for s in r.spans), r.kept) for r in substring_dedup.substring_dedup(frame(spark, texts), chunk=chunk).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_words(texts)
+
+
+@pytest.mark.parametrize("chars", [4, 16, 1 << 20])
+def test_places_come_from_the_automata(monkeypatch, chars):
+    import zstandard
+
+    class Deaf:
+        add_word = make_automaton = lambda self, *_: None
+
+        def iter(self, text):
+            return iter(())
+
+    monkeypatch.setattr(substring_dedup, "CHARS", max(chars, 8))
+    rng = random.Random(3)
+    passages = [" ".join(rng.choice("abc") for _ in range(rng.randrange(20, 60))) for _ in range(200)]
+    cells = [zstandard.ZstdCompressor().compress("\n".join(dict.fromkeys(passages[i : i + 20])).encode()) for i in range(0, 200, 20)]
+    seen, want = set(), []
+    for i in range(0, 200, 20):
+        for p in dict.fromkeys(passages[i : i + 20]):
+            w = p.split(" ")
+            for k in range(len(w) - 3):
+                want.append(tuple(w[k : k + 4]) in seen)
+                seen.add(tuple(w[k : k + 4]))
+    assert np.concatenate(substring_dedup._judge(cells, 4)).tolist() == want and any(want)
+    monkeypatch.setattr(substring_dedup, "ahocorasick", type("Module", (), {"Automaton": Deaf}))
+    assert not np.concatenate(substring_dedup._judge(cells, 4)).any()
+
+
+def test_substring_dedup_odd_rows(spark):
+    t = " ".join(f"w{i}" for i in range(25))
+    rows = substring_dedup.substring_dedup(frame(spark, [t, t, t, None], ids=[None, 7, 7, None])).collect()
+    assert sorted((r.doc_id or -1, r.n_words, r.kept == t) for r in rows) == [(-1, 0, False), (-1, 25, True), (7, 25, False), (7, 25, False)]
+
+
+def test_names_of_long_texts_in_pieces(monkeypatch):
     from stanzaflow.llm import words
 
-    monkeypatch.setattr(words.Sums, "names", lambda self, places, length: np.zeros(len(places), np.uint64))
-    texts = corpus(7)[:20]
-    docs = frame(spark, texts)
-    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.suffix_dedup(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == [x[3] for x in brute_bytes(texts)]
+    body = corpus(16)[20].encode() + b"  " + prose(random.Random(1), 3000).encode()
+    whole = words.word_names(body)
+    monkeypatch.setattr(words, "PIECE", 100)
+    assert all((a == b).all() for a, b in zip(words.word_names(body), whole))
