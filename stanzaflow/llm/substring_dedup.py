@@ -10,10 +10,10 @@
    without hashes) and confirms the phrases that recur; it tells each block which of the
    phrases it sent are confirmed, and in which block a phrase stands first. It tells no
    places.
-3. Locate. A block compiles its confirmed phrases into Aho-Corasick automata, words as
-   single characters, one for the phrases of every ``CHUNK`` words of text or so, and streams
-   all its documents whole through them. Every occurrence that an automaton finds is
-   marked, but for the first one in the block where the phrase stands first.
+3. Locate. A block compiles its passages with confirmed phrases into Aho-Corasick automata,
+   words as single characters, one for every ``CHUNK`` words of text or so, and streams all
+   its documents whole through them. Every phrase in an occurrence that an automaton finds
+   is marked, but for the first one in the block where the phrase stands first.
 4. Words that a marked occurrence covers are removed.
 
 Names only nominate; what is removed was compared word by word.
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .blocks import mix
 from .words import word_names
 
 #: Words of the string whose hash anchors a window.
@@ -95,7 +96,8 @@ class _Block:
             place, g = _anchors(names, self.length)
             turn = np.flatnonzero(np.r_[on[0], on[1:] & (~on[:-1] | (place[1:] != place[:-1]))])
             stop = np.flatnonzero(np.r_[on[:-1] & (~on[1:] | (place[1:] != place[:-1])), on[-1]]) + 1
-            shard = ((g[place[turn]] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+            anchor = g[place[turn]]  # least of its neighbours, so hashed once more
+            shard = ((mix(anchor, anchor) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
             words = self.docs[doc][1].split()
             for s, t, k in zip(turn.tolist(), stop.tolist(), shard.tolist(), strict=True):
                 yield doc, k, b" ".join(words[s : t + self.length - 1])
@@ -168,37 +170,44 @@ class Phrases:
     def __init__(self, length: int, words: Iterable[bytes]):
         known = dict.fromkeys(words)
         self.wide = 1 if len(known) < CHARS else 2
-        self.span, self.other, self.met = length * self.wide, self._letter(0), set()
+        self.span, self.other, self.met, self.turn = length * self.wide, self._letter(0), {}, 0
         self.letters = {w: self._letter(i + 1) for i, w in enumerate(known)}
 
     def _letter(self, i: int) -> str:
         return chr(FIRST_CHAR + i) if self.wide == 1 else chr(FIRST_CHAR + i // CHARS) + chr(FIRST_CHAR + i % CHARS)
 
-    def of(self, passage: bytes, confirmed: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[str, bool]]:
-        """The confirmed phrases of a passage, and whether each stands in this block first."""
-        text = "".join([self.letters[w] for w in passage.split(b" ")])
-        for i, new in zip(np.flatnonzero(confirmed).tolist(), fresh[confirmed].tolist(), strict=True):
-            yield text[i * self.wide : i * self.wide + self.span], new
+    def spell(self, passage: bytes) -> str:
+        return "".join([self.letters[w] for w in passage.split(b" ")])
 
-    def locate(self, phrases: dict[str, bool], documents: list[list[bytes]]) -> list[np.ndarray]:
-        """Where phrases to remove start in each document. Call it with a block's documents in order: phrases met before are remembered."""
-        if not phrases:
-            return [np.zeros(0, np.int64)] * len(documents)
+    def locate(self, passages: dict[str, tuple[np.ndarray, list[int]]], documents: list[list[bytes]]) -> list[np.ndarray]:
+        """Where phrases to remove start in each document.
+
+        A passage comes with a bool of each of its windows, true for a phrase that goes
+        wherever the passage is met, and the windows whose phrase stands in this block
+        first: such a phrase stays at the first place where it is met. Call it with a
+        block's documents in order: what was met before is remembered.
+        """
         automaton = ahocorasick.Automaton()
-        for text, fresh in phrases.items():
-            automaton.add_word(text, (text, fresh))
+        for text, (gone, fresh) in passages.items():
+            automaton.add_word(text, (text, gone, fresh))
+        if not len(automaton):
+            self.turn += len(documents)
+            return [np.zeros(0, np.int64)] * len(documents)
         automaton.make_automaton()
-        letter, other, met, wide, out = self.letters.get, self.other, self.met, self.wide, []
+        letter, other, met, wide, span, out = self.letters.get, self.other, self.met, self.wide, self.span, []
         for words in documents:
-            found = []
-            for end, (text, fresh) in automaton.iter("".join([letter(w, other) for w in words])):
+            marks = np.zeros(len(words) + 1, bool)
+            for end, (text, gone, fresh) in automaton.iter("".join([letter(w, other) for w in words])):
                 if (end + 1) % wide:  # between the two characters of a word
                     continue
-                if fresh and text not in met:
-                    met.add(text)
-                else:
-                    found.append((end + 1 - self.span) // wide)
-            out.append(np.array(found, np.int64))
+                at = (end + 1 - len(text)) // wide
+                marks[at : at + len(gone)] |= gone
+                for i in fresh:
+                    here = self.turn, at + i
+                    if met.setdefault(text[i * wide : i * wide + span], here) != here:
+                        marks[at + i] = True
+            self.turn += 1
+            out.append(np.flatnonzero(marks))
         return out
 
 
@@ -210,9 +219,9 @@ def _judge(cells: list[bytes], length: int) -> list[np.ndarray]:
     said, out = confirm([[(p, False) for p in cell] for cell in held], length), []
     for cell, (confirmed, _) in zip(held, said, strict=True):
         n = np.cumsum([0, *(p.count(b" ") + 2 - length for p in cell)])
-        phrases = {text: True for p, a, b in zip(cell, n, n[1:]) for text, _ in automata.of(p, confirmed[a:b], confirmed[a:b])}
+        passages = {automata.spell(p): (np.zeros(b - a, bool), np.flatnonzero(confirmed[a:b]).tolist()) for p, a, b in zip(cell, n, n[1:])}
         marks = np.zeros(n[-1], bool)
-        for at, places in zip(n, automata.locate(phrases, [p.split(b" ") for p in cell])):
+        for at, places in zip(n, automata.locate(passages, [p.split(b" ") for p in cell])):
             marks[at + places] = True
         out.append(marks)
     return out
@@ -279,12 +288,14 @@ def substring_dedup(docs: DataFrame, length: int = 20, chunk: int = CHUNK) -> Da
         automata = Phrases(length, (w for _, p in said for w in p.split(b" ")))
         rows, turn = [], 0
         for part in _chunks(block, chunk):
-            phrases: dict[str, bool] = {}
+            passages: dict[str, tuple[np.ndarray, list[int]]] = {}
             while turn < len(found) and found[turn][0] < part.stop:
-                phrases |= dict(automata.of(found[turn][2], *said[found[turn][1:]]))
+                confirmed, fresh = said[found[turn][1:]]
+                if confirmed.any():
+                    passages[automata.spell(found[turn][2])] = confirmed & ~fresh, np.flatnonzero(confirmed & fresh).tolist()
                 turn += 1
             documents = [block.docs[k][1].split() for k in part]
-            for k, words, s in zip(part, documents, automata.locate(phrases, documents), strict=True):
+            for k, words, s in zip(part, documents, automata.locate(passages, documents), strict=True):
                 edge = np.flatnonzero(np.concatenate([[True], s[1:] > s[:-1] + length])) if len(s) else s
                 spans = list(zip(s[edge].tolist(), (s[np.append(edge[1:], len(s)) - 1] + length).tolist())) if len(s) else []
                 ends = [0, *(x for span in spans for x in span), len(words)]

@@ -227,22 +227,33 @@ class _Block:
 
     def runs(self, places: list[np.ndarray], again: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int, int, bytes]]:
         """(document, first place, suffixes, bucket, text) of each run of recurring suffixes with one least string."""
-        used = 0
+        used, doc, first, last, texts = 0, [], [], [], []
         for (k, at), p in zip(self.pieces, places, strict=True):
             used += len(p)
             p = p[again[used - len(p) : used]]
-            if not len(p):
-                continue
-            body = self.body(k, at)
-            # only around the runs is the text hashed
-            turn = np.flatnonzero(np.concatenate([[True], p[1:] > p[:-1] + 1]))
-            for a, b in zip(p[turn].tolist(), p[np.append(turn[1:], len(p)) - 1].tolist()):
-                text = body[a : b + self.length]
-                least, h = least_places(text, self.length)
-                start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                bucket = (h[start] * np.uint64(buckets)) >> np.uint64(32)
-                for x, y, c in zip(start.tolist(), np.append(start[1:], len(least)).tolist(), bucket.tolist()):
-                    yield k, at + a + x, y - x, c, text[x : y + self.length - 1]
+            if len(p):
+                turn = np.flatnonzero(np.concatenate([[True], p[1:] > p[:-1] + 1]))
+                a, b = p[turn] + at, p[np.append(turn[1:], len(p)) - 1] + at
+                doc.append(np.full(len(a), k))
+                first.append(a)
+                last.append(b)
+                texts += [self.docs[k][1][x : y + self.length] for x, y in zip(a.tolist(), b.tolist())]
+        if not texts:
+            return
+        # neighbouring suffixes are hashed together; strings that cross from one text into the next are left out
+        body = b"".join(texts)
+        doc, first, n = np.concatenate(doc), np.concatenate(first), np.concatenate(last) - np.concatenate(first) + 1
+        least, h = least_places(body, self.length)
+        begin = np.cumsum(n + self.length - 1) - (n + self.length - 1)
+        inside = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        owner, least = np.repeat(np.arange(len(n)), n), least[inside]
+        start = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]))
+        size, at, owner = np.diff(start, append=len(least)), inside[start], owner[start]
+        h = h[at].astype(np.uint64)
+        bucket = ((B.mix(h, h) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        place = first[owner] + at - begin[owner]
+        for k, x, m, c, y in zip(doc[owner].tolist(), place.tolist(), size.tolist(), bucket.tolist(), at.tolist()):
+            yield k, x, m, c, body[y : y + m + self.length - 1]
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, piece: int = PIECE) -> DataFrame:

@@ -179,6 +179,7 @@ def test_places_come_from_the_automata(monkeypatch, chars):
 
     class Deaf:
         add_word = make_automaton = lambda self, *_: None
+        __len__ = lambda self: 1
 
         def iter(self, text):
             return iter(())
@@ -212,3 +213,18 @@ def test_names_of_long_texts_in_pieces(monkeypatch):
     whole = words.word_names(body)
     monkeypatch.setattr(words, "PIECE", 100)
     assert all((a == b).all() for a, b in zip(words.word_names(body), whole))
+
+
+def test_buckets_and_shards_are_even():
+    rng = np.random.default_rng(5)
+    import pyarrow as pa
+    import zstandard
+
+    body = rng.integers(97, 123, 200_000, np.uint8)
+    body[rng.integers(0, len(body), len(body) // 6)] = 32
+    table = pa.table({"doc_id": [1], "turn": [0], "body": pa.array([zstandard.ZstdCompressor().compress(body.tobytes())], pa.binary())})
+    block = suffix_dedup._Block(table, 100, 12, suffix_dedup.PIECE)
+    place = np.arange(len(body) - 99)
+    found = np.bincount([c for *_, c, _ in block.runs([place], np.ones(len(place), bool), 16)], minlength=16)
+    assert found.max() < 2 * found.min()
+    assert sum(n for _, _, n, _, _ in block.runs([place], np.ones(len(place), bool), 16)) == len(place)
