@@ -27,6 +27,7 @@ from tokenizers import Tokenizer
 
 from . import blocks as B
 from .shared import cut, fresh_dir
+from .words import word_names
 
 # a task has one core: more threads only wait for each other
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,16 +36,51 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 256
-#: Words of a generation that a worker remembers: at most the smaller number, but for the words of one piece.
-CACHE, YOUNG = 500_000, 500_000
+#: Words whose ids a worker remembers at most, but for the words of one piece, and those that it adds to the old ones at once.
+CACHE, YOUNG = 1_500_000, 150_000
 #: Bytes of text whose words are looked up at once, and words that the library gets at once.
 PIECE, STEP = 4 << 20, 4096
 END = 1
 #: The tokenizer's own pattern of pre-tokens, and what it comes to on lower-case ASCII without an apostrophe.
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Words:
+    """Known words in flat arrays, sorted by name: their bytes, their ids, and where both lie."""
+
+    def __init__(self, kind: np.dtype):
+        none = np.zeros(0, np.int64)
+        self.names, self.at, self.n, self.ids = np.zeros(0, np.uint64), none, none, np.zeros(0, kind)
+        self.text_at, self.size, self.text = none, none, np.zeros(8, np.uint8)
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each name, and whether it is there."""
+        if not len(self.names):
+            return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+        row = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return row, self.names[row] == names
+
+    def add(self, other: "_Words") -> None:
+        both = np.concatenate([self.names, other.names])
+        order = np.argsort(both, kind="stable")
+        join = lambda a, b, shift: np.concatenate([a, b + shift])[order]
+        self.names, self.n, self.size = both[order], join(self.n, other.n, 0), join(self.size, other.size, 0)
+        self.at, self.text_at = join(self.at, other.at, len(self.ids)), join(self.text_at, other.text_at, len(self.text) - 8)
+        self.ids, self.text = np.concatenate([self.ids, other.ids]), np.concatenate([self.text[:-8], other.text])
+
+
+def same_bytes(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[x : x + size] and b[y : y + size] are equal, for all x, y and sizes; both arrays have 8 bytes more."""
+    out, todo, at = np.ones(len(x), bool), np.arange(len(x)), 0
+    wa, wb = (np.ndarray((len(t) - 7,), "<u8", t, strides=(1,)) for t in (a, b))
+    while len(todo):
+        left = np.minimum(size[todo] - at, 8).astype(np.uint64)
+        differ = (wa[x[todo] + at] ^ wb[y[todo] + at]) << ((np.uint64(8) - left) * np.uint64(8))
+        out[todo[differ != 0]] = False
+        at += 8
+        todo = todo[(size[todo] > at) & (differ == 0)]
+    return out
 
 
 class WordCoder:
@@ -54,10 +90,12 @@ class WordCoder:
     white space and nothing composes with it, so a text's ids are those of its words. Each
     distinct word goes to the library once, whole; where the tokenizer has the pattern
     ``_PATTERN``, ASCII words without an apostrophe go as the pre-tokens that it makes of
-    them in lower case, which share more. Words with other characters are never changed. A text that spells out an
-    added token goes to the library as one text, unless ``special_as_text`` says that such
-    spellings are ordinary text. Two generations of words are remembered: the young one
-    replaces the old one when it holds ``YOUNG`` words, or fewer if CACHE is smaller.
+    them in lower case, which share more. Words with other characters are never changed. A
+    word is found by a 64-bit name and then compared by its bytes; texts in which two words
+    share a name go to the library whole, as do those that spell out an added token, unless
+    ``special_as_text`` says that such spellings are ordinary text. Two generations of words
+    are remembered: the young one, of up to YOUNG words, joins the old one, which starts
+    anew when it holds CACHE words.
     """
 
     def __init__(self, path: str, special_as_text: bool = True):
@@ -65,16 +103,17 @@ class WordCoder:
         self.tokenizer.encode_special_tokens = special_as_text
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # no word comes twice
-        self.marks = [] if special_as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if not special_as_text and any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.marks = [] if special_as_text else [t.content.encode() for t in added]
+        if not special_as_text and any(t.normalized for t in added):
             raise ValueError("an added token that is sought in normalised text can't be found word by word")
-        self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab().values()) < 1 << 16 else np.dtype("<u4")
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
-        self.parts = json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"]).find(json.dumps(_PATTERN)) >= 0 and bool(suffix)
-        self.old: dict[bytes, bytes] = {}
-        self.young: dict[bytes, bytes] = {}
+        vocabulary, said = self.tokenizer.get_vocab(), json.loads(self.tokenizer.to_str())
+        self.kind = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
+        suffix = said["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.parts = json.dumps(said["pre_tokenizer"]).find(json.dumps(_PATTERN)) >= 0 and bool(suffix)
+        self.old, self.young = _Words(self.kind), _Words(self.kind)
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -99,53 +138,74 @@ class WordCoder:
 
     def _by_words(self, texts: list[bytes]) -> list[np.ndarray]:
         body = b"\n".join(texts)
-        word = ~_SPACE[np.frombuffer(body, np.uint8)]
-        starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
-        if not len(starts):
+        names, s, e = word_names(body)
+        if not len(names):
             return [np.zeros(0, self.kind)] * len(texts)
-        # a word with the white space behind it; Arrow finds the distinct ones by their bytes
-        cut_at = pa.py_buffer(np.append(starts, len(body)).astype(np.int32))
-        found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, cut_at, pa.py_buffer(body)]).dictionary_encode()
-        coded = self._coded([w.rstrip() for w in found.dictionary.to_pylist()])
-        which = found.indices.to_numpy()
-        n = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
-        flat, at, n, begins = np.frombuffer(b"".join(coded), self.kind), (np.cumsum(n) - n)[which], n[which], np.concatenate([[0], np.cumsum(n[which])])
+        padded = np.frombuffer(body + bytes(8), np.uint8)
+        name, first, which = np.unique(names, return_index=True, return_inverse=True)
+        size, s1 = e - s, s[first]
+        alike = (size == size[first][which]) & same_bytes(padded, s, padded, s1[which], np.minimum(size, size[first][which]))
+        n, at, ids = np.zeros(len(name), np.int64), np.zeros(len(name), np.int64), []
+        missing, base = np.ones(len(name), bool), 0
+        for known in (self.young, self.old):
+            row, hit = known.find(name)
+            hit &= missing
+            row, hits = row[hit], np.flatnonzero(hit)
+            fits = known.size[row] == size[first[hits]]
+            fits &= same_bytes(known.text, known.text_at[row], padded, s1[hits], np.where(fits, known.size[row], 0))
+            alike &= ~np.isin(which, hits[~fits]) if not fits.all() else True
+            n[hits], at[hits] = known.n[row], known.at[row] + base
+            missing[hits] = False
+            ids.append(known.ids)
+            base += len(known.ids)
+        if missing.any():
+            new = np.flatnonzero(missing)
+            a, b = s1[new].tolist(), e[first[new]].tolist()
+            coded = self._coded([body[x:y] for x, y in zip(a, b)])
+            found = _Words(self.kind)
+            found.names, found.n, found.size = name[new], np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize, size[first[new]]
+            found.at, found.text_at = np.cumsum(found.n) - found.n, np.cumsum(found.size) - found.size
+            found.ids = np.frombuffer(b"".join(coded), self.kind)
+            found.text = np.frombuffer(b"".join([body[x:y] for x, y in zip(a, b)]) + bytes(8), np.uint8)
+            n[new], at[new] = found.n, found.at + base
+            ids.append(found.ids)
+        flat, n, at = np.concatenate(ids), n[which], at[which]
+        begins = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(at - begins[:-1], n) + np.arange(begins[-1])]
-        turns = begins[np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))]
-        return [ids[a:b] for a, b in zip(turns[:-1].tolist(), turns[1:].tolist())]
+        if missing.any():
+            self.young.add(found)
+            if len(self.young.names) > min(YOUNG, CACHE):
+                if len(self.old.names) > CACHE:
+                    self.old = _Words(self.kind)
+                self.old.add(self.young)
+                self.young = _Words(self.kind)
+        turns = np.searchsorted(s, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        out = [ids[a:b] for a, b in zip(begins[turns[:-1]].tolist(), begins[turns[1:]].tolist())]
+        for k in np.unique(np.searchsorted(turns, np.flatnonzero(~alike), side="right") - 1).tolist():
+            out[k] = self._whole(texts[k])
+        return out
 
     def _coded(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as bytes."""
-        young, new, parted = self.young, {}, {}
+        known: dict[bytes, bytes] = {}
+        parted = [None] * len(words)
         if self.parts:
             words = [w.lower() if w.isalpha() else w for w in words]
-        coded = list(map(young.get, words))
-        for i, w in enumerate(words):
-            if coded[i] is None:
-                if self.parts and w.isascii() and not w.isalpha() and b"'" not in w:
+            for i, w in enumerate(words):
+                if not w.isalpha() and w.isascii() and b"'" not in w:
                     parted[i] = (w[:-1].lower(), w[-1:]) if w[:-1].isalpha() and not w[-1:].isdigit() else _PARTS.findall(w.lower())
-                    new |= dict.fromkeys([p for p in parted[i] if p not in young])
-                else:
-                    new[w] = None
-        for w in [w for w in new if w in self.old]:
-            young[w] = self.old[w]
-            del new[w]
+        new = dict.fromkeys(x for w, p in zip(words, parted, strict=True) for x in (p or (w,)))
         letters = [w for w in new if w.isalpha()]  # of bytes: ASCII letters only
         alone = [w for w in new if not w.isalpha()]
         for at in range(0, len(letters), STEP):
-            alone += self._letters(letters[at : at + STEP])
+            alone += self._letters(letters[at : at + STEP], known)
         for at in range(0, len(alone), STEP):
             step = alone[at : at + STEP]
-            for w, e in zip(step, self.tokenizer.encode_batch_fast([w.decode() for w in step], add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, self.kind).tobytes()
-        for i, p in parted.items():
-            coded[i] = b"".join([young[x] for x in p])
-        coded = [young[w] if x is None else x for w, x in zip(words, coded, strict=True)]
-        if len(young) > min(YOUNG, CACHE):
-            self.old, self.young = young, {}
-        return coded
-
-    def _letters(self, words: list[bytes]) -> list[bytes]:
+            for w, x in zip(step, self.tokenizer.encode_batch_fast([w.decode() for w in step], add_special_tokens=False), strict=True):
+                known[w] = np.array(x.ids, self.kind).tobytes()
+        return [known[w] if p is None else b"".join([known[x] for x in p]) for w, p in zip(words, parted, strict=True)]
+
+    def _letters(self, words: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
         """Encodes words of ASCII letters, each one pre-token, as one text parted at the ends of words; returns them if that isn't so."""
         ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
@@ -153,7 +213,7 @@ class WordCoder:
             return words
         flat, at = ids.tobytes(), 0
         for w, end in zip(words, (ends * self.kind.itemsize).tolist(), strict=True):
-            self.young[w] = flat[at:end]
+            known[w] = flat[at:end]
             at = end
         return []
 

@@ -44,6 +44,22 @@ def test_random_texts(as_text, monkeypatch):
         assert g.tolist() == e.ids, repr(t)
 
 
+def test_words_of_one_name_are_told_apart(monkeypatch):
+    """Even if all names were equal."""
+    from stanzaflow.llm import words
+
+    plain = Tokenizer.from_file(WORDS)
+    texts = ["one two", "one", "two three, one", "", "long" * 9, "x " * 40, "long" * 8 + "lone", *AWKWARD]
+    for bits in (0, 1, 3):
+        monkeypatch.setattr(token_files, "word_names", lambda body, bits=bits: (lambda x: (x[0] & np.uint64(bits), *x[1:]))(words.word_names(body)))
+        coder = token_files.WordCoder(WORDS, False)
+        for _ in range(2):
+            for t in ([x] for x in texts), [texts]:
+                for part in t:
+                    got = coder.encode_all([x.encode() for x in part])
+                    assert [g.tolist() for g in got] == [plain.encode(x, add_special_tokens=False).ids for x in part]
+
+
 def test_sequences_are_views_of_the_mapped_file(tmp_path):
     path, ids = str(tmp_path / "x.arrow"), [np.arange(k, dtype="<u2") for k in (5, 0, 3000, 7, 1)]
     with pa.OSFile(path, "wb") as sink:
