@@ -11,8 +11,8 @@
    phrases it sent are confirmed, and in which block a phrase stands first. It tells no
    places.
 3. Locate. A block compiles its passages with confirmed phrases into Aho-Corasick automata,
-   words as single characters, one for every ``CHUNK`` words of text or so, and streams all
-   its documents whole through them. Every phrase in an occurrence that an automaton finds
+   words as a few characters each, one for every ``CHUNK`` words of text or so, and streams
+   all its documents whole through them. Every phrase in an occurrence that an automaton finds
    is marked, but for the first one in the block where the phrase stands first.
 4. Words that a marked occurrence covers are removed.
 
@@ -21,6 +21,7 @@ Names only nominate; what is removed was compared word by word.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -41,8 +42,9 @@ SHARD_BYTES, BUCKET_KEYS = 4 << 20, 2 << 20
 NAME_BITS = 32
 #: Words of documents whose phrases share an automaton, about.
 CHUNK = 300_000
-#: Characters that stand for words: the supplementary planes.
-FIRST_CHAR, CHARS = 0x10000, 0x100000
+#: The first character that stands for a part of a word, and how many characters each part has at most: an automaton
+#: looks through the letters behind a node one by one, so a node mustn't have one for each word.
+FIRST_CHAR, CHARS = 0x100, 64
 
 SPANS = "array<struct<start:long,stop:long>>"
 OUT = f"doc_id long, n_words long, spans {SPANS}, kept string"
@@ -165,16 +167,23 @@ def confirm(cells: list[list[tuple[bytes, bool]]], length: int) -> list[tuple[np
 
 
 class Phrases:
-    """Automata of phrases over whole documents; words are single characters, or two each where there are very many."""
+    """Automata of phrases over whole documents; a word is a few characters, each from an alphabet of its own place."""
 
     def __init__(self, length: int, words: Iterable[bytes]):
         known = dict.fromkeys(words)
-        self.wide = 1 if len(known) < CHARS else 2
-        self.span, self.other, self.met, self.turn = length * self.wide, self._letter(0), {}, 0
-        self.letters = {w: self._letter(i + 1) for i, w in enumerate(known)}
-
-    def _letter(self, i: int) -> str:
-        return chr(FIRST_CHAR + i) if self.wide == 1 else chr(FIRST_CHAR + i // CHARS) + chr(FIRST_CHAR + i % CHARS)
+        self.wide = 1
+        while CHARS**self.wide <= len(known):
+            self.wide += 1
+        self.base = math.ceil((len(known) + 1) ** (1 / self.wide))
+        self.span, self.other, self.met, self.turn = length * self.wide, self._letters(0), {}, 0
+        self.letters = {w: self._letters(i + 1) for i, w in enumerate(known)}
+
+    def _letters(self, i: int) -> str:
+        out = ""
+        for place in range(self.wide):
+            i, digit = divmod(i, self.base + 1)
+            out += chr(FIRST_CHAR + place * (self.base + 1) + digit)
+        return out
 
     def spell(self, passage: bytes) -> str:
         return "".join([self.letters[w] for w in passage.split(b" ")])
@@ -198,8 +207,6 @@ class Phrases:
         for words in documents:
             marks = np.zeros(len(words) + 1, bool)
             for end, (text, gone, fresh) in automaton.iter("".join([letter(w, other) for w in words])):
-                if (end + 1) % wide:  # between the two characters of a word
-                    continue
                 at = (end + 1 - len(text)) // wide
                 marks[at : at + len(gone)] |= gone
                 for i in fresh:
