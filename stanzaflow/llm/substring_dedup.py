@@ -188,34 +188,45 @@ class Phrases:
     def spell(self, passage: bytes) -> str:
         return "".join([self.letters[w] for w in passage.split(b" ")])
 
-    def locate(self, passages: dict[str, tuple[np.ndarray, list[int]]], documents: list[list[bytes]]) -> list[np.ndarray]:
+    def locate(self, passages: dict[str, tuple[np.ndarray, np.ndarray]], documents: list[list[bytes]]) -> list[np.ndarray]:
         """Where phrases to remove start in each document.
 
-        A passage comes with a bool of each of its windows, true for a phrase that goes
-        wherever the passage is met, and the windows whose phrase stands in this block
-        first: such a phrase stays at the first place where it is met. Call it with a
-        block's documents in order: what was met before is remembered.
+        A passage comes with its windows whose phrase goes wherever the passage is met, and
+        those whose phrase stands in this block first: such a phrase stays at the first
+        place where it is met. Call it with a block's documents in order: what was met
+        before is remembered.
         """
+        base = np.cumsum([0, *map(len, documents)])
+        marks = np.zeros(base[-1] + 1, bool)
+        texts, known = list(passages), list(passages.values())
         automaton = ahocorasick.Automaton()
-        for text, (gone, fresh) in passages.items():
-            automaton.add_word(text, (text, gone, fresh))
-        if not len(automaton):
-            self.turn += len(documents)
-            return [np.zeros(0, np.int64)] * len(documents)
-        automaton.make_automaton()
-        letter, other, met, wide, span, out = self.letters.get, self.other, self.met, self.wide, self.span, []
-        for words in documents:
-            marks = np.zeros(len(words) + 1, bool)
-            for end, (text, gone, fresh) in automaton.iter("".join([letter(w, other) for w in words])):
-                at = (end + 1 - len(text)) // wide
-                marks[at : at + len(gone)] |= gone
-                for i in fresh:
-                    here = self.turn, at + i
-                    if met.setdefault(text[i * wide : i * wide + span], here) != here:
-                        marks[at + i] = True
-            self.turn += 1
-            out.append(np.flatnonzero(marks))
-        return out
+        for k, text in enumerate(texts):
+            automaton.add_word(text, k)
+        found = []
+        if len(automaton):
+            automaton.make_automaton()
+            letter, other = self.letters.get, self.other
+            for at, words in zip(base.tolist(), documents):
+                hits = np.array(list(automaton.iter("".join([letter(w, other) for w in words]))), np.int64).reshape(-1, 2)
+                hits[:, 0] += at * self.wide + 1
+                found.append(hits)
+        if found:
+            end, k = np.concatenate(found).T
+            start = (end - np.array([len(t) for t in texts])[k]) // self.wide
+            n = np.array([len(gone) for gone, _ in known])
+            flat, upto = np.concatenate([gone for gone, _ in known]), np.cumsum(n)
+            times, ends = n[k], np.cumsum(n[k])
+            marks[np.repeat(start, times) + flat[np.repeat((upto - n)[k] - ends + times, times) + np.arange(int(times.sum()))]] = True
+            for j in np.flatnonzero(np.array([len(fresh) for _, fresh in known])[k]).tolist():
+                text, fresh, here = texts[k[j]], known[k[j]][1], int(start[j])
+                if self.met.setdefault(text, self.turn + here) != self.turn + here:  # the passage was met before, and so all its phrases
+                    marks[here + fresh] = True
+                    continue
+                for i in fresh.tolist():
+                    if self.met.setdefault(text[i * self.wide : i * self.wide + self.span], self.turn + here + i) != self.turn + here + i:
+                        marks[here + i] = True
+        self.turn += int(base[-1])
+        return [np.flatnonzero(marks[x:y]) for x, y in zip(base, base[1:])]
 
 
 def _judge(cells: list[bytes], length: int) -> list[np.ndarray]:
@@ -226,7 +237,7 @@ def _judge(cells: list[bytes], length: int) -> list[np.ndarray]:
     said, out = confirm([[(p, False) for p in cell] for cell in held], length), []
     for cell, (confirmed, _) in zip(held, said, strict=True):
         n = np.cumsum([0, *(p.count(b" ") + 2 - length for p in cell)])
-        passages = {automata.spell(p): (np.zeros(b - a, bool), np.flatnonzero(confirmed[a:b]).tolist()) for p, a, b in zip(cell, n, n[1:])}
+        passages = {automata.spell(p): (np.zeros(0, np.int64), np.flatnonzero(confirmed[a:b])) for p, a, b in zip(cell, n, n[1:])}
         marks = np.zeros(n[-1], bool)
         for at, places in zip(n, automata.locate(passages, [p.split(b" ") for p in cell])):
             marks[at + places] = True
@@ -284,22 +295,24 @@ def substring_dedup(docs: DataFrame, length: int = 20, chunk: int = CHUNK) -> Da
         sent: dict[int, dict[bytes, int]] = {}
         for _, shard, p in found:
             sent.setdefault(shard, {}).setdefault(p, p.count(b" ") + 2 - length)
-        said: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        automata = Phrases(length, (w for cell in sent.values() for p in cell for w in p.split(b" ")))
+        said: dict[bytes, tuple[str, np.ndarray, np.ndarray]] = {}  # equal passages are of one shard
         answers = replies.filter(pa.array(about == 1))
         for shard, x in zip(answers["bucket"].to_pylist(), answers["bits"], strict=True):
             total = sum(sent[shard].values())
             bits, at = np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=2 * total).astype(bool), 0
             for p, n in sent[shard].items():
-                said[shard, p] = bits[at : at + n], bits[total + at : total + at + n]
+                confirmed, fresh = bits[at : at + n], bits[total + at : total + at + n]
+                if confirmed.any():
+                    said[p] = automata.spell(p), np.flatnonzero(confirmed & ~fresh), np.flatnonzero(confirmed & fresh)
                 at += n
-        automata = Phrases(length, (w for _, p in said for w in p.split(b" ")))
         rows, turn = [], 0
         for part in _chunks(block, chunk):
-            passages: dict[str, tuple[np.ndarray, list[int]]] = {}
+            passages: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             while turn < len(found) and found[turn][0] < part.stop:
-                confirmed, fresh = said[found[turn][1:]]
-                if confirmed.any():
-                    passages[automata.spell(found[turn][2])] = confirmed & ~fresh, np.flatnonzero(confirmed & fresh).tolist()
+                if found[turn][2] in said:
+                    text, gone, fresh = said[found[turn][2]]
+                    passages[text] = gone, fresh
                 turn += 1
             documents = [block.docs[k][1].split() for k in part]
             for k, words, s in zip(part, documents, automata.locate(passages, documents), strict=True):
