@@ -25,6 +25,8 @@ from .shared import cut
 
 #: Documents in a group of the reduction tree, about.
 FAN = 2048
+#: Most sources: their sizes go to the driver and their targets into a broadcast.
+MOST_SOURCES = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,18 +69,22 @@ def pivot(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[n
     return p, a
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11, fan: int = FAN) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11, fan: int = FAN, by_row: bool = False) -> DataFrame:
     """For each row of ``docs(doc_id, text, source)``: ``doc_id, source, size, source_size, target, copies, taken``.
 
     Size is the number of words (null text: 0). Sources, by code point and null last, weigh
     ``weights`` in turn, share ``share`` times all words and get at most ``most`` times
     their own, the excess reshared. ``taken`` is ``copies * size``; copies is at most
-    ceil(most). Documents without words get no copies. Repeated doc_ids are rows like any
-    other. The number of sources is taken to be small: their sizes go to the driver.
+    ceil(most). Documents without words get no copies. Repeated or null doc_ids are rows like
+    any other: groups are dealt by a hash of id and text. A very long text is only counted.
+    An empty table gives an empty result; other columns are ignored. More than MOST_SOURCES
+    sources are an error. ``by_row`` adds ``text_hash``, which tells rows of one doc_id apart.
     """
     spark = docs.sparkSession
-    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
-    held = [(r["source"], r["n"], r["words"]) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()]
+    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")))
+    held = [(r["source"], r["n"], r["words"]) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()]
+    if len(held) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     held.sort(key=lambda x: (x[0] is None, [ord(c) for c in x[0] or ""]))
     targets = share_out([w for _, _, w in held], [weights[i % len(weights)] for i in range(len(held))], share * sum(w for _, _, w in held), most)
     plan = [(s, n, w, t, max(1, math.ceil(n / fan))) for (s, n, w), t in zip(held, targets, strict=True)]
@@ -89,14 +95,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         .withColumn("ratio", F.least(ratio, F.lit(float(most))))
         .withColumn("base", F.floor("ratio")).withColumn("p", F.col("ratio") - F.floor("ratio"))
         .withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
-        .withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("groups")))
+        .withColumn("grp", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.col("groups")))
         .drop("ratio", "groups")
     )
     schema = StructType([*rows.schema.fields, StructField("open", BooleanType())])
 
     def level(number: int, last: bool):
         def round_group(key: tuple, g: pa.Table) -> pa.Table:
-            g = g.take(pc.sort_indices(g, sort_keys=[("doc_id", "ascending"), ("size", "ascending")]))
+            g = g.take(pc.sort_indices(g, sort_keys=[("doc_id", "ascending"), ("size", "ascending"), ("text_hash", "ascending")]))
             size, p = g["size"].to_numpy().astype(float), g["p"].to_numpy()
             rng = np.random.default_rng([seed, number, key[1].as_py(), *(key[0].as_py() or "\0").encode()])
             # the last group ends with its smallest documents, so that the residual is small
@@ -122,4 +128,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         groups, number = math.ceil(groups / fan), number + 1
     copies = (F.col("base") + F.col("p").cast("long")).cast("long")
     copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    more = ["text_hash"] if by_row else []
+    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *more).withColumn("taken", F.col("copies") * F.col("size"))

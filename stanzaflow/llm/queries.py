@@ -146,6 +146,23 @@ with p as (
   select page_id, p.host, lines, list_filter(lines, lambda x: gone is null or not list_contains(gone, x)) as stays
   from p left join lists using (host)
 )
+select page_id, host, len(lines)::bigint as n_lines, (len(lines) - len(stays))::bigint as n_removed,
+  sha256(array_to_string(stays, chr(10))) as kept_sha256
+from each""",
+        "op10_line_dedup_every_host": f"""
+with p as (
+  select page_id, lower(coalesce(regexp_extract(url, '{line_dedup.HOST}', 1), '')) as host, {_lines_sql()} as lines from pages
+), totals as (
+  select host, count(*) as n_pages from p group by host
+), gone as (
+  select host, line from (select host, unnest(list_distinct(lines)) as line from p) join totals using (host)
+  group by host, line, n_pages having count(*) > 1 and count(*) > {line_dedup.RATIO} * n_pages
+), lists as (
+  select host, list(line) as gone from gone group by host
+), each as (
+  select page_id, p.host, lines, list_filter(lines, lambda x: gone is null or not list_contains(gone, x)) as stays
+  from p left join lists using (host)
+)
 select page_id, host, len(lines)::bigint as n_lines, (len(lines) - len(stays))::bigint as n_removed,
   sha256(array_to_string(stays, chr(10))) as kept_sha256
 from each""",

@@ -5,9 +5,9 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from stanzaflow.llm import language_id, simhash_dedup, substring_dedup, suffix_dedup
+from stanzaflow.llm import language_id, mixing, queries, simhash_dedup, substring_dedup, suffix_dedup, vector_dedup
 from stanzaflow.llm.exact_dedup import exact_dedup
-from test_llm import DOCS, brute_bytes, brute_words, corpus, frame, prose
+from test_llm import DOCS, brute_bytes, brute_vectors, brute_words, corpus, frame, prose
 
 
 def test_full_hashes_are_grouped_for_survivors_only(spark):
@@ -228,3 +228,86 @@ def test_buckets_and_shards_are_even():
     found = np.bincount([c for *_, c, _ in block.runs([place], np.ones(len(place), bool), 16)], minlength=16)
     assert found.max() < 2 * found.min()
     assert sum(n for _, _, n, _, _ in block.runs([place], np.ones(len(place), bool), 16)) == len(place)
+
+
+@pytest.mark.parametrize("known", [None, 7])
+def test_mixing_deals_rows_of_one_id(spark, known):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(1, 30)) for _ in range(300)]
+    rows = mixing.mix(frame(spark, texts, ids=[known] * 300), fan=10, by_row=True).collect()
+    assert len({r.text_hash for r in rows}) == len(set(texts)) and {r.copies for r in rows} == {1, 2}
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 30
+
+
+def plain_pivot(sizes, p, draws):
+    """Pairs in order: the open one and the next exchange words until one is 0 or 1."""
+    p, a = list(p), None
+    for b in range(len(p)):
+        if not 0 < p[b] < 1:
+            continue
+        if a is None:
+            a = b
+            continue
+        up, down = min((1 - p[a]) * sizes[a], p[b] * sizes[b]), min(p[a] * sizes[a], (1 - p[b]) * sizes[b])
+        words = up if draws[b] < down / (up + down) else -down
+        p[a], p[b] = p[a] + words / sizes[a], p[b] - words / sizes[b]
+        for k in (a, b):
+            p[k] = round(p[k]) if abs(p[k] - round(p[k])) < 1e-9 else p[k]
+        a = next((k for k in (a, b) if 0 < p[k] < 1), None)
+    return p, -1 if a is None else a
+
+
+def test_pivot_against_a_plain_one():
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(1, 9))
+        size, p = rng.integers(1, 30, n).astype(float), np.round(rng.random(n), 2)
+        draws = np.random.default_rng(seed).random(n)
+        got, left = mixing.pivot(size, p, np.random.default_rng(seed))
+        want, open_ = plain_pivot(size, p, draws)
+        assert np.allclose(got, want, atol=1e-6) and left == open_
+
+
+def test_vectors_at_the_threshold_are_found(spark):
+    """3,000 pairs just above the cosine of 0.93 in 64 dimensions, with unrelated vectors: the stated miss of 0.2 % holds."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((3000, 64))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = 0.9301
+    near = cosine * x + np.sqrt(1 - cosine**2) * y
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, near]))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.vector_dedup(d).collect()}
+    unit = np.concatenate([x, near])
+    true = sum(int((unit[i : i + 500] @ unit.T >= 0.93).sum()) for i in range(0, 6000, 500)) - 6000
+    found = sum(n for n, _ in got.values())
+    assert found <= true and true - found <= 2 * vector_dedup.MISS * true
+    assert all(c in (i, i % 3000) for i, (_, c) in got.items())
+
+
+def test_vectors_odd_rows(spark):
+    d = spark.createDataFrame([(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (3, [1.0, 0.001], 1), (None, [0.0, 1.0], 1), (9, [1.0, 0.0], None)], "vec_id long, embedding array<double>, label int")
+    rows = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in vector_dedup.vector_dedup(d).collect())
+    assert rows == [(-1, 0, -1, True), (-1, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (9, 0, 9, True)]
+
+
+def test_line_dedup_odd_rows(spark):
+    rows = [(None, "http://a/1", "<p>Home</p><p>x</p>"), (None, "http://a/1", "<p>Home</p><p>x</p>"), (1, "http://a/2", "<p>Home</p>" + "<p>long</p>" * 20_000), (2, "http://a/3", "")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("kept", F.lit("old")).withColumn("host", F.lit("old"))
+    from stanzaflow.llm import line_dedup
+
+    got = sorted((r.page_id or -1, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(d, least_pages=1, least_copies=2).collect())
+    assert got == [(-1, 2, 2), (-1, 2, 2), (1, 20_001, 1), (2, 0, 0)]
+
+
+def test_every_host_against_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    want = sorted(con.sql(queries.oracle_sql()["op10_line_dedup_every_host"]).fetchall())
+    got = queries.op10_line_dedup_every_host(spark, sf)
+    assert sorted(tuple(r) for r in got.collect()) == want and got.columns == ["page_id", "host", "n_lines", "n_removed", "kept_sha256"]
