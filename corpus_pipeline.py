@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stanzaflow.llm import byte_bpe, language_id
 from stanzaflow.llm.exact_dedup import exact_dedup
-from stanzaflow.llm.mixing import WORDS, mix
+from stanzaflow.llm.mixing import mix
 from stanzaflow.llm.shared import free_names, fresh_dir
 from stanzaflow.llm.simhash_dedup import simhash_dedup
 
@@ -24,14 +24,24 @@ def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256)).join(rows.select("doc_id", "text_sha256").toDF(wanted, digest), same, "left_semi")
 
 
+#: A document stays if its language is among LANGUAGES (None: any that the model knows) with at least this posterior
+#: probability: below one half, another language is likelier than not.
+LANGUAGES, LEAST_SCORE = None, 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are in some language; those without text or letters go.
+    """Documents that the model holds to be in a language wanted; ``lang`` is what it says.
 
-    The model learns from the labelled documents of the stage's own input, but for the held-out fold.
+    Those without text or letters go, those in other languages, and those of which it isn't
+    sure. The model learns from the labelled documents of the stage's own input, but for
+    the held-out fold.
     """
     model = language_id.train(docs.where(~language_id.held_out()))
     said, score = free_names(docs, "_lang", "_score")
-    return language_id.identify(docs, model, said, score).where(F.col(said) != language_id.UNKNOWN).select(*docs.columns)
+    stays = (F.col(said) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE)
+    if LANGUAGES is not None:
+        stays &= F.col(said).isin(list(LANGUAGES))
+    return language_id.identify(docs, model, said, score).where(stays).withColumn("lang", F.col(said)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +58,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that agree in doc_id, source and size get the same number."""
-    doc_id, source, size, copies, words, copy = free_names(docs, "_id", "_source", "_size", "_copies", "_words", "_copy")
-    taken = mix(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0").toDF(doc_id, source, size, copies)
-    counted = docs.withColumn(words, F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
-    return counted.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+    """Each document as often as the mix takes it; rows that agree in doc_id, source and text share what theirs take."""
+    doc_id, source, text, own, taken, rows, copy = free_names(docs, "_id", "_source", "_hash", "_own", "_taken", "_rows", "_copy")
+    mixed = mix(docs, by_row=True).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0").toDF(doc_id, source, text, taken, rows)
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(text))
+    more = F.pmod(F.xxhash64(*docs.columns), F.col(rows)) < F.col(taken) % F.col(rows)
+    copies = F.floor(F.col(taken) / F.col(rows)) + more.cast("long")
+    return hashed.join(mixed, same).withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,26 @@ def test_rows_of_one_id_are_decided_by_their_text(spark):
 def test_run(spark, sf):
     out = P.run(spark, sf)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"] and out.count() > 0
+
+
+def test_language_uses_its_prediction(spark, monkeypatch):
+    rng = __import__("random").Random(2)
+    words = {"xx": ["aba", "abba", "baab"], "yy": ["cdc", "ddc", "ccd"]}
+    text = lambda k, n=30: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(i, text(k), k) for i, k in enumerate(["xx", "yy"] * 40)] + [(100, text("xx"), None), (101, text("yy"), "xx"), (102, "123", "xx"), (103, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    after = {r.doc_id: r.lang for r in P.language(spark, docs, SF).collect()}
+    assert after == {**{i: k for i, _, k in rows[:80]}, 100: "xx", 101: "yy"}
+    monkeypatch.setattr(P, "LANGUAGES", ["yy"])
+    assert {r.doc_id for r in P.language(spark, docs, SF).collect()} == {i for i, k in after.items() if k == "yy"}
+    monkeypatch.setattr(P, "LANGUAGES", None)
+    monkeypatch.setattr(P, "LEAST_SCORE", 1.1)
+    assert P.language(spark, docs, SF).count() == 0
+
+
+def test_mixed_shares_copies_between_rows_of_one_id(spark):
+    rows = [(5, " ".join(f"w{i}" for i in range(k % 17 + 1)) + f" {k}", "s") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    after = P.mixed(spark, docs, SF).collect()
+    total, got = (sum(len(r[1].split()) for r in x) for x in (rows, after))
+    assert abs(got - 1.5 * total) < 20 and set(Counter(r.text for r in after).values()) == {1, 2}
