@@ -23,6 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from .shared import return_memory
+
+return_memory()
+
 #: Pre-tokens whose ids a worker remembers.
 CACHE = 200_000
 #: Texts longer than this are matched piece by piece instead of in one list.

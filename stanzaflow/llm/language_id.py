@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import free_names
+from .shared import free_names, return_memory
+
+return_memory()
 
 #: Buckets of the hashed 1-, 2- and 3-grams.
 FEATURES = 1 << 16

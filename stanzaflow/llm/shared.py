@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -10,6 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def return_memory() -> None:
+    """Lets this process give large freed arrays back to the system at once (glibc only), since a worker outlives its stage."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
