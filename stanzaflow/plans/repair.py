@@ -20,13 +20,15 @@ def _flat(body: str) -> list[str]:
 
 def breaks_after(body: str) -> list[int]:
     """Numbers of the non-blank lines that a blank line follows."""
-    out, at = [], -1
-    for line in body.split("\n"):
-        if line.strip():
-            at += 1
-        elif at >= 0 and (not out or out[-1] != at):
-            out.append(at)
-    return out
+    full = pd.Series([bool(x.strip()) for x in body.split("\n")])
+    number = full.cumsum() - 1
+    return sorted(number[~full & (number >= 0)].unique().tolist())
+
+
+def aligned(theirs: list[str], ours: list[str]) -> pd.Series:
+    """Our line number by theirs, for the folded lines that an alignment finds equal."""
+    runs = difflib.SequenceMatcher(a=[_fold(x, "NFKD") for x in theirs], b=[_fold(x, "NFKD") for x in ours]).get_matching_blocks()
+    return pd.concat([pd.Series(range(r.b, r.b + r.size), range(r.a, r.a + r.size), dtype="float") for r in runs])
 
 
 def transplant(stored: str, fetched: str, least_equal: float = 0.4) -> tuple[str | None, list[str]]:
@@ -35,28 +37,24 @@ def transplant(stored: str, fetched: str, least_equal: float = 0.4) -> tuple[str
     A break moves only if the line before it, or else the line after it, is one that an
     alignment of the folded lines finds equal. Lines never change.
     """
-    lines, theirs, notes = _flat(stored), _flat(fetched), []
-    if abs(len(lines) - len(theirs)) > 1:
-        return None, [f"line counts differ: {len(lines)} and {len(theirs)}"]
-    blocks = difflib.SequenceMatcher(a=[_fold(x, "NFKD") for x in theirs], b=[_fold(x, "NFKD") for x in lines]).get_matching_blocks()
-    place = {m.a + k: m.b + k for m in blocks for k in range(m.size)}
+    ours, theirs = _flat(stored), _flat(fetched)
+    apart = abs(len(ours) - len(theirs))
+    if apart > 1:
+        return None, [f"{len(ours)} lines here, {len(theirs)} there"]
+    place = aligned(theirs, ours)
     share = len(place) / max(1, len(theirs))
-    if len(lines) == len(theirs) and share < least_equal:
-        return None, [f"only {share:.2f} of the lines agree"]
-    if len(lines) != len(theirs):
-        notes.append(f"line counts differ by one, {share:.2f} of the lines agree")
-    wanted, lost = set(), 0
-    for k in breaks_after(fetched):
-        after = place[k] if k in place else place.get(k + 1, 0) - 1
-        if k not in place and place.get(k + 1, 0) <= 0:
-            lost += 1
-        elif after < len(lines) - 1:
-            wanted.add(after)
-    if lost:
-        notes.append(f"{lost} breaks have no place")
-    if not wanted:
+    if not apart and share < least_equal:
+        return None, [f"{share:.0%} of the lines are equal"]
+    # their breaks joined with our lines by the line before, else by the one after
+    breaks = pd.Index(breaks_after(fetched))
+    before, after = place.reindex(breaks), place.reindex(breaks + 1) - 1
+    moved = before.fillna(pd.Series(after.to_numpy(), breaks))
+    found = set(moved[moved.between(0, len(ours) - 2)].astype(int))
+    lost = int((moved.isna() | (moved < 0)).sum())
+    notes = [f"one line more or less, {share:.0%} of the lines are equal"] * apart + [f"{lost} breaks without a place"] * (lost > 0)
+    if not found:
         return None, [*notes, "no break to move"]
-    return "\n".join(x for k, line in enumerate(lines) for x in ([line, ""] if k in wanted else [line])), notes
+    return "".join(line + ("" if k + 1 == len(ours) else "\n\n" if k in found else "\n") for k, line in enumerate(ours)), notes
 
 
 def stanza_plan(rows: DataFrame) -> DataFrame:
