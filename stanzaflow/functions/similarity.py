@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from stanzaflow.functions.text import _fold
+
 
 #: Cells (length times length) up to which difflib finds matches; beyond them an automaton does, in linear time.
 SMALL = 1 << 14
@@ -183,6 +185,19 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(float("nan")))
 
 
+@F.pandas_udf("n_stored int, n_fetched int, ratio double")
+def folded_lines(stored: pd.Series, fetched: pd.Series) -> pd.DataFrame:
+    """Of two texts: the non-blank lines of each and the ratio of their lists of folded lines (no accents, marks or case)."""
+
+    def one(x, y):
+        if x is None or y is None:
+            return None, None, None
+        x, y = ([_fold(t, "NFKD") for t in z.split("\n") if t.strip()] for z in (x, y))
+        return len(x), len(y), SequenceMatcher(None, x, y).ratio()
+
+    return pd.DataFrame([one(x, y) for x, y in zip(stored, fetched)], columns=["n_stored", "n_fetched", "ratio"])
+
+
 def match_grade(stored_lines: Column, fetched_lines: Column, ratio: Column) -> Column:
     """'strict' (lines differ by one at most, ratio .92), 'near' (.55), else why not."""
     delta = F.abs(stored_lines - fetched_lines)

@@ -14,15 +14,17 @@ from pyspark.sql.types import StringType
 
 #: Line ends that str.splitlines() knows.
 ANY_LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-BLANK = r"^\s*$"
+#: The white space of Python's strings, of which Java's \\s knows the ASCII part only.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANK = f"^{SPACE}*$"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def lines(c: Column) -> Column:
@@ -72,7 +74,7 @@ def prose_block(c: Column) -> Column:
 
 def near_dup_key(c: Column) -> Column:
     """The first 200 characters, trimmed, lower-cased, white space collapsed."""
-    return F.regexp_replace(F.lower(strip(F.substring(c, 1, 200))), r"\s+", " ")
+    return collapse(F.lower(F.substring(c, 1, 200)))
 
 
 def drop_editor_line(c: Column) -> Column:
@@ -85,18 +87,26 @@ def plain_marks(c: Column) -> Column:
     return F.translate(c, "\xa0`", " '")
 
 
+def _footnoted(c: Column, after: str) -> tuple[Column, Column]:
+    """Whether a number in brackets or braces, and then only what ``after`` matches, ends the text; and what stands before it."""
+    mark = F.regexp_extract(c, rf"(?:\[\d+\]|\{{\d+\}}){after}*$", 0)
+    return mark != "", F.left(c, F.length(c) - F.length(mark))
+
+
 def clean_title(c: Column) -> Column:
     """Without a numbered footnote mark at the end; only then is other punctuation before it trimmed."""
-    cut = F.regexp_replace(c, r"[\s.,]*[\[\{]\d+[\]\}]\s*$", "")
-    return F.when(cut != c, F.regexp_replace(cut, r"[ ,.]+$", "")).otherwise(c)
+    marked, before = _footnoted(c, SPACE)
+    return F.when(marked, F.rtrim(before, F.lit(" ,.\t\n"))).otherwise(c)
 
 
 def match_title(c: Column) -> Column:
     """A title for comparison: trimmed, unquoted if quoted on both sides, no footnote mark or trailing punctuation, lower case."""
     t = strip(F.coalesce(c, F.lit("")))
-    t = F.when(t.rlike('(?s)^".*"$'), F.regexp_replace(t, '(?s)^"(.*?)"?$', "$1")).otherwise(t)
-    t = F.regexp_replace(t, r"[.\s]*[\[\{]\d+[\]\}][^\p{L}\p{N}_]*$", "")
-    return F.lower(strip(F.regexp_replace(t, "[.,!?;:]+$", "")))
+    quoted = F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"')) & (F.length(t) > 1)
+    t = F.when(quoted, t.substr(F.lit(2), F.length(t) - 2)).otherwise(t)
+    marked, before = _footnoted(t, r"[^\p{L}\p{N}_]")
+    t = F.when(marked, F.rtrim(before, F.lit(". \t\n"))).otherwise(t)
+    return F.lower(strip(F.rtrim(t, F.lit(".,!?;:"))))
 
 
 def typography(c: Column) -> Column:
@@ -161,18 +171,19 @@ def _cut(c: Column, pattern: str, least: float = 0.0) -> Column:
 
 def strip_copyright_tail(c: Column) -> Column:
     """Cut at a closing attribution with a copyright sign, if it starts after 70 % of the text."""
-    return _cut(c, r'(?s)\n+"[^"]+"\s+from\s+.*?by\s+\S.*?[Cc]opyright\s*©.*$', 0.7)
+    return _cut(c, r'\n"[^"]+"\s+from\b[^©]*\bby\b[^©]*[Cc]opyright\s*©', 0.7)
 
 
 def strip_memorial(c: Column) -> Column:
     """Cut at a starred editorial block that begins with "In Memoriam"."""
-    return _cut(c, r"(?i)\n\s*\n\s*[ ]*\n\s*\*{3,}\s*\n\s*In Memoriam\b")
+    return _cut(c, r"(?i)\n(?:[^\S\n]*\n){2,}[^\S\n]*[*]{3,}\s*\n\s*in memoriam\b")
 
 
 def leading_epigraph(c: Column) -> Column:
     """The attribution line of an epigraph (a dash within the first 15 lines), or null."""
-    first = F.slice(lines(strip_byline(c)), 1, 15)
-    return F.regexp_replace(F.get(F.filter(first, lambda x: x.rlike(r"^\s*—\s*[A-Za-z\[]")), F.lit(0)), r"^\s+|\s+$", "")
+    first = F.transform(F.slice(lines(strip_byline(c)), 1, 15), strip)
+    attribution = F.filter(first, lambda x: F.startswith(x, F.lit("—")) & F.ltrim(F.ltrim(x, F.lit("—"))).rlike("^[A-Za-z\\[]"))
+    return F.get(attribution, F.lit(0))
 
 
 def snippet(c: Column, pattern: str, around: int = 40) -> Column:

@@ -754,15 +754,13 @@ def title_fuzzy_match(spark, d):
 
 
 def _stanzas(spark: SparkSession, d: str) -> DataFrame:
-    p = poems(spark, d).where("line_count >= 3")
-    return p.select("id", F.col("body").alias("stored"), F.replace("body", F.lit(".\n"), F.lit(".\n\n")).alias("fetched"))
+    return poems(spark, d).select("id", F.col("body").alias("stored"), F.replace("body", F.lit(".\n"), F.lit(".\n\n")).alias("fetched"))
 
 
 @query()
 def match_grade(spark, d):
-    r = _stanzas(spark, d)
-    flat = lambda c: T.nonblank_lines(F.col(c))
-    return r.select("id", S.match_grade(F.size(flat("stored")), F.size(flat("fetched")), S.lines_ratio(flat("stored"), flat("fetched"))).alias("grade"))
+    r = _stanzas(spark, d).select("id", S.folded_lines("stored", "fetched").alias("x"))
+    return r.select("id", S.match_grade(F.col("x.n_stored"), F.col("x.n_fetched"), F.col("x.ratio")).alias("grade"))
 
 
 @query()
