@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from stanzaflow.functions.text import _fold
 
@@ -185,7 +185,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(float("nan")))
 
 
-@F.pandas_udf("n_stored int, n_fetched int, ratio double")
+@F.pandas_udf(StructType([StructField("n_stored", IntegerType()), StructField("n_fetched", IntegerType()), StructField("ratio", DoubleType())]))
 def folded_lines(stored: pd.Series, fetched: pd.Series) -> pd.DataFrame:
     """Of two texts: the non-blank lines of each and the ratio of their lists of folded lines (no accents, marks or case)."""
 

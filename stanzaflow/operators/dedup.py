@@ -13,9 +13,14 @@ FUZZY, BODY, LEAST_BODY, LEAST_LINE = 0.85, 0.90, 100, 10
 
 
 def star_edges(rows: DataFrame, key: str, kind: str, block: str = "block", rid: str = "rid") -> DataFrame:
-    """``a, b, kind``: each row with the first row of its block and key. The components are those of all pairs, with n edges."""
-    first = F.min(rid).over(Window.partitionBy(block, key))
-    return rows.where(F.col(key).isNotNull() & (F.col(key) != "")).select(first.alias("a"), F.col(rid).alias("b"), F.lit(kind).alias("kind")).where("a < b")
+    """``a, b, kind``: each row with the first row of its block and key. The components are those of all pairs, with n edges.
+
+    First rows come from an aggregate and return by a join, so a hot key is never gathered in one task.
+    """
+    held = rows.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col(rid).alias("b"), F.col(block).alias("_block"), F.col(key).alias("_key"))
+    first = held.groupBy("_block", "_key").agg(F.min("b").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    same = held["_block"].eqNullSafe(first["_block"]) & (held["_key"] == first["_key"])
+    return held.join(first, same).where("a < b").select("a", "b", F.lit(kind).alias("kind"))
 
 
 def exact_edges(rows: DataFrame, block: str = "block", rid: str = "rid") -> DataFrame:
@@ -47,17 +52,52 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round takes the least label of the neighbours and then the label of that label, so
     chains shorten by halves; rounds are written to the checkpoint folder if there is one.
     """
-    keep = (lambda d: d.checkpoint()) if nodes.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    reliable = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
+    keep = (lambda d: d.checkpoint()) if reliable else (lambda d: d.persist())
+    drop = (lambda d: None) if reliable else (lambda d: d.unpersist())
     both = keep(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = nodes.select("rid", F.col("rid").alias("comp"))
+    label, old = nodes.select("rid", F.col("rid").alias("comp")), None
     while True:
         near = both.join(label.select(F.col("rid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("rid")).agg(F.min("comp").alias("m"))
         new = label.join(near, "rid", "left").select("rid", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
         jump = new.select(F.col("rid").alias("comp"), F.col("comp").alias("to"))
         new = keep(new.join(jump, "comp").select("rid", F.col("to").alias("comp")))
-        if new.join(label.withColumnRenamed("comp", "old"), "rid").where("comp <> old").isEmpty():
+        done = new.join(label.withColumnRenamed("comp", "old"), "rid").where("comp <> old").isEmpty()
+        if old is not None:
+            drop(old)
+        if done:
+            drop(both)
             return new
-        label = new
+        old = label = new
+
+
+def merge_chain(rows: DataFrame, fuzzy: DataFrame, score: str = "score", fields: tuple[str, ...] = ()) -> DataFrame:
+    """The merged corpus: one record for each cluster whose class says that it is one text, and each other row by itself.
+
+    ``rows`` as ``cluster_signals`` and ``merge`` take them. Returns ``winner, n, provenance,
+    cls`` and the fields; clusters that only share a first line, are encores or ambiguous
+    stay single rows.
+    """
+    said = classify(cluster_signals(rows, fuzzy)).select("comp", "cls")
+    one = F.col("cls").isin("body_match", "fuzzy_confirmed", "keep_newer")
+    comp = F.when(F.coalesce(one, F.lit(False)), F.struct(F.col("comp").alias("c"), F.lit(0).alias("k"))).otherwise(F.struct(F.col("rid").alias("c"), F.lit(1).alias("k")))
+    classed = rows.join(said, "comp", "left").withColumn("cls", F.coalesce("cls", F.lit("single"))).withColumn("comp", comp)
+    return merge(classed, score=score, fields=(*fields, "cls"))
+
+
+def candidate_report(rows: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """Clusters of two rows or more for review: ``comp, n, authors, titles, sources, deleted``, the largest first.
+
+    ``rows(rid, comp, author, title, source)``; ``deleted(title_norm)`` are titles removed
+    before, and ``deleted`` says that the cluster has one of them (``rows.title_norm``).
+    """
+    if deleted is not None:
+        gone = deleted.select("title_norm").distinct().withColumn("_gone", F.lit(True))
+        rows = rows.join(gone, "title_norm", "left")
+    said = F.bool_or(F.coalesce("_gone", F.lit(False))) if deleted is not None else F.lit(False)
+    each = lambda c: F.sort_array(F.collect_set(c)).alias(f"{c}s")
+    g = rows.groupBy("comp").agg(F.count("*").alias("n"), each("author"), each("title"), each("source"), said.alias("deleted"))
+    return g.where("n > 1").orderBy(F.desc("n"), "comp")
 
 
 def cluster_signals(rows: DataFrame, fuzzy: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stanzaflow.functions import text as T
+
 RESULT = "struct<custom_id:string,response:struct<status_code:int,body:struct<choices:array<struct<message:struct<content:string>>>,data:array<struct<embedding:array<double>>>>>>"
 RUBRIC = "struct<mood:int,emotional_intensity:int,imagery:int,accessibility:int,formality:int,summary:string>"
 SCORES = ("mood", "emotional_intensity", "imagery", "accessibility", "formality")
@@ -25,13 +29,57 @@ def embedding_request(id_: Column, text: Column, model: str) -> Column:
 
 
 def parse_results(lines: DataFrame, value: str = "value", order: str | None = None) -> DataFrame:
-    """``custom_id, status, content, embedding, ord``; the line of an id that comes last counts. Broken lines drop out."""
+    """``custom_id, status, content, embedding, ord``; the line of an id that comes last counts. Broken lines drop out.
+
+    Give ``order`` wherever lines are read from more than one file or split: without it a
+    line's place in the scan counts, which depends on how the files are split.
+    """
     r = lines.select(F.from_json(value, RESULT).alias("r"), F.col(order).alias("ord") if order else F.monotonically_increasing_id().alias("ord")).where("r.custom_id is not null")
     r = r.select("r.custom_id", F.col("r.response.status_code").alias("status"), F.get(F.col("r.response.body.choices"), F.lit(0))["message"]["content"].alias("content"), F.get(F.col("r.response.body.data"), F.lit(0))["embedding"].alias("embedding"), "ord")
     last = F.max_by(F.struct("status", "content", "embedding", "ord"), "ord").alias("x")
     return r.groupBy("custom_id").agg(last).select("custom_id", "x.*")
 
 
+def result_line(id_: Column, content: Column, error: Column | None = None) -> Column:
+    """A result as its line: status 200 and the content, or 500 and the error where there is one."""
+    failed = F.lit(None).cast("string") if error is None else error
+    body = F.struct(F.when(failed.isNull(), F.array(F.struct(F.struct(content.alias("content")).alias("message")))).alias("choices"), failed.alias("error"))
+    return F.to_json(F.struct(id_.alias("custom_id"), F.struct(F.when(failed.isNull(), 200).otherwise(500).alias("status_code"), body.alias("body")).alias("response")))
+
+
+def succeeded(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """What a broken run has: the lines with status 200 (errors and broken lines are purged), and their distinct ids."""
+    r = lines.withColumn("_r", F.from_json(F.trim(value), RESULT)).where("_r.response.status_code = 200 and _r.custom_id is not null")
+    return r.drop("_r"), r.select("_r.custom_id").distinct()
+
+
+def chunk_states(chunks: DataFrame, events: DataFrame) -> DataFrame:
+    """What to do with each batch chunk: ``chunk, state, next``.
+
+    ``chunks(chunk)``, ``events(chunk, seq, state)`` with states submitted, running,
+    completed, failed, downloaded. The last event counts; a chunk without one is pending.
+    Next is poll for one in flight, download for a completed one, submit for the first
+    pending or failed one while none is in flight, else wait or, after the download, done.
+    """
+    last = events.groupBy("chunk").agg(F.max_by("state", "seq").alias("state"))
+    s = chunks.join(last, "chunk", "left").withColumn("state", F.coalesce("state", F.lit("pending")))
+    flight, open_ = F.col("state").isin("submitted", "running"), F.col("state").isin("pending", "failed")
+    front = s.agg(F.coalesce(F.max(flight.cast("int")), F.lit(0)).alias("busy"), F.min(F.when(open_, F.col("chunk"))).alias("first"))
+    step = F.when(flight, "poll").when(F.col("state") == "completed", "download").when(F.col("state") == "downloaded", "done").when((F.col("busy") == 0) & (F.col("chunk") == F.col("first")), "submit").otherwise("wait")
+    return s.join(F.broadcast(front), F.lit(True)).select("chunk", "state", step.alias("next"))
+
+
+def lookups(rows: DataFrame, *guesses: Column, most: int = 8) -> DataFrame:
+    """``id, ord, guess``: the distinct non-empty guesses of a row in the order given, ``most`` at most."""
+    made = F.array_distinct(F.filter(F.array(*[T.collapse(F.coalesce(g, F.lit(""))) for g in guesses]), lambda x: x != ""))
+    return rows.select("id", F.posexplode(F.slice(made, 1, most)).alias("ord", "guess"))
+
+
+def back_off(attempt: int, limited: bool) -> float:
+    """Seconds before the next attempt: 30 for each attempt where the service limits the rate, else doubled each time."""
+    return 30.0 * attempt if limited else 2.0**attempt
+
+
 def rubric(content: Column) -> Column:
     """The inner JSON as a struct, or null."""
     return F.from_json(content, RUBRIC)
@@ -78,23 +126,27 @@ def cost(rows: DataFrame, tokens_in: str, tokens_out: str, price_in: float = 1.0
     return rows.agg(a.alias("tokens_in"), b.alias("tokens_out"), F.round(a * price_in / 1e6 + b * price_out / 1e6, 6).alias("price"))
 
 
-def call_each(rows: DataFrame, client: Callable[[str], str], key: str, prompt: str, attempts: int = 8, wait: Callable[[int], None] = lambda k: None) -> DataFrame:
-    """One request for each row by an injected client, tried again on errors: ``key, ok, result, attempts``."""
+def call_each(rows: DataFrame, client: Callable[[str], str], key: str, prompt: str, attempts: int = 8, wait: Callable[[int], None] | None = None, at_once: int = 1) -> DataFrame:
+    """One request for each row by an injected client, tried again on errors: ``key, ok, result, attempts``.
+
+    A task has ``at_once`` requests open at most. Between attempts it waits as ``wait`` says,
+    or by ``back_off``: longer where the error's ``status_code`` is 429.
+    """
+
+    def one(k, p):
+        for n in range(1, attempts + 1):
+            try:
+                return k, True, client(p), n
+            except Exception as e:  # any failure of an outside service counts as one attempt
+                said = (k, False, str(e), n)
+                if n < attempts:
+                    (wait or (lambda n, e=e: time.sleep(back_off(n, getattr(e, "status_code", None) == 429))))(n)
+        return said
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, p in zip(b[key], b[prompt]):
-                said = None
-                for n in range(1, attempts + 1):
-                    try:
-                        said = (k, True, client(p), n)
-                        break
-                    except Exception as e:  # any failure of an outside service counts as one attempt
-                        said = (k, False, str(e), n)
-                        wait(n)
-                out.append(said)
-            yield pd.DataFrame(out, columns=[key, "ok", "result", "attempts"])
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                yield pd.DataFrame(list(pool.map(one, b[key], b[prompt])), columns=[key, "ok", "result", "attempts"])
 
     kind = dict(rows.dtypes)[key]
     return rows.select(key, prompt).mapInPandas(run, f"{key} {kind}, ok boolean, result string, attempts int")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzaflow.functions import markup
+from stanzaflow.functions import markup, sites
 from stanzaflow.functions import similarity as S
 from stanzaflow.functions import text as T
 from stanzaflow.operators import authors, curate, dedup, enrich, pages
@@ -780,3 +780,149 @@ def clean_chain_rows(spark, d):
     source = F.when(F.col("source") == "src1", "podcast").when(F.col("source") == "src2", "daily").otherwise(F.col("source")).alias("source")
     rows = table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", source, F.col("text").alias("body"))
     return curate.clean_b(rows).select("doc_id", F.sha2("body", 256).alias("body_sha256"), "changes")
+
+
+# ---- site pages, made from documents and read back ----
+
+
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+LINES_BACK = "list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(replace(x, chr(160), ' '), '\\s+$', ''))"
+
+
+@query(f"select doc_id, regexp_replace(array_to_string({LINES_BACK}, chr(10)), '\\n+$', '') as body, 'Title ' || doc_id as title, '2014' as year from documents")
+def daily_pages(spark, d):
+    """Documents as daily pages, a marked line each, and the poems that the parser finds."""
+    line = lambda x: F.concat(F.lit('<span class = "excerpt_line">'), _escaped(x), F.lit("</span>"))
+    spans = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
+    html = F.concat(
+        F.lit('<div class="daily_poem_title"><div class="elementor-shortcode">Title '), F.col("doc_id"), F.lit('</div></div><div id="daily-poem"><div class="elementor-widget-container">'), spans,
+        F.lit('</div></div><div data-widget_type="text-editor.default"><div class="elementor-widget-container">Copyright &copy; 2014 by A</div></div>'),
+    )
+    made = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return sites.site_records(made, "daily").select(F.col("page_id").alias("doc_id"), "body", "title", "year")
+
+
+@query(f"""with l as (select doc_id, list_filter({LINES_BACK}, lambda x: trim(x) <> '') as ls from documents)
+select doc_id, case when len(ls) > 0 then array_to_string(ls, chr(10)) else '' end as body, case when len(ls) > 0 then 'The Title' else '' end as title, case when len(ls) > 0 then 'A' || doc_id else '' end as poet,
+  case when len(ls) = 0 then 'no_poem_text' when len(ls) < 3 then 'very_short' else '' end as flags from l""")
+def episode_pages(spark, d):
+    """Documents as episodes in verse, and the poems that the parser finds."""
+    ls = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.replace(x, F.lit("\xa0"), F.lit(" "))) != "")
+    html = F.concat(F.lit("<p>talk</p><hr/><p><strong>The Title<br/>by A"), F.col("doc_id"), F.lit('</strong></p><pre class="verse">'), _escaped(F.array_join(ls, "\n")), F.lit("</pre>"))
+    made = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return sites.site_records(made, "episode").select(F.col("page_id").alias("doc_id"), "body", F.when(F.col("body") != "", F.col("title")).otherwise("").alias("title"), "poet", F.array_join("flags", ",").alias("flags"))
+
+
+# ---- results, batches, tables ----
+
+
+def _result_lines(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    error = F.when(F.col("event_type") == "error", F.lit("rate"))
+    line = F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(enrich.result_line(F.col("user_id").cast("string"), F.col("props"), error))
+    return e.select("event_id", line.alias("value"))
+
+
+@query("select user_id::varchar as custom_id, count(*) as n_lines from events where event_id % 7 <> 0 and event_type <> 'error' group by all")
+def result_resume_set(spark, d):
+    """Result lines written and read again: the ids that need no second request, and their lines."""
+    good, ids = enrich.succeeded(_result_lines(spark, d))
+    lines = good.select(F.get_json_object("value", "$.custom_id").alias("custom_id"))
+    return lines.join(ids, "custom_id", "left_semi").groupBy("custom_id").agg(F.count("*").alias("n_lines"))
+
+
+@query("""select user_id::varchar as custom_id, arg_max(case when event_type = 'error' then 500 else 200 end, event_id)::int as status,
+  nullif(arg_max(case when event_type = 'error' then '' else props end, event_id), '') as content from events where event_id % 7 <> 0 group by all""")
+def result_lines_parsed(spark, d):
+    return enrich.parse_results(_result_lines(spark, d), order="event_id").select("custom_id", "status", "content")
+
+
+@query("""with last as (select user_id as chunk, arg_max(case event_type when 'click' then 'submitted' when 'view' then 'running' when 'purchase' then 'completed' when 'error' then 'failed' else 'downloaded' end, event_id) as state from events where user_id < 40 group by all),
+s as (select r.range as chunk, coalesce(state, 'pending') as state from range(50) r left join last on last.chunk = r.range),
+f as (select max((state in ('submitted', 'running'))::int) as busy, min(case when state in ('pending', 'failed') then chunk end) as first from s)
+select chunk::bigint as chunk, state, case when state in ('submitted', 'running') then 'poll' when state = 'completed' then 'download' when state = 'downloaded' then 'done' when busy = 0 and chunk = first then 'submit' else 'wait' end as next from s, f""")
+def chunk_states(spark, d):
+    named = F.element_at(F.create_map(*[F.lit(x) for x in ("click", "submitted", "view", "running", "purchase", "completed", "error", "failed", "signup", "downloaded")]), F.col("event_type"))
+    events = table(spark, d, "events").where("user_id < 40").select(F.col("user_id").alias("chunk"), F.col("event_id").alias("seq"), named.alias("state"))
+    return enrich.chunk_states(spark.range(50).withColumnRenamed("id", "chunk"), events)
+
+
+@query("""select p_partkey as id, (ord - 1)::int as ord, guess from (select p_partkey, unnest(gs) as guess, generate_subscripts(gs, 1) as ord
+  from (select p_partkey, list_filter([p_name, p_name || ' (' || p_type || ')', case when p_brand <> 'Brand#1' then p_brand end], lambda x: x is not null) as gs from part))""")
+def lookup_guesses(spark, d):
+    p = table(spark, d, "part").withColumnRenamed("p_partkey", "id")
+    brand = F.when(F.col("p_brand") != "Brand#1", F.col("p_brand"))
+    return enrich.lookups(p, F.col("p_name"), F.concat(F.col("p_name"), F.lit(" ("), F.col("p_type"), F.lit(")")), F.col("p_name"), brand)
+
+
+@query(f"with {INTERACTIONS}, new as (select distinct user_id, poem_id from interactions where action = 'like') select (select max(id) from interactions) + row_number() over (order by user_id, poem_id) as id, user_id, poem_id, 'share' as action from new")
+def append_events(spark, d):
+    """What an append of a share for each liked poem adds to the log."""
+    log = interactions(spark, d)
+    new = log.where("action = 'like'").select("user_id", "poem_id").distinct().withColumn("action", F.lit("share"))
+    return tables.append_events(log, new, F.lit("2030-01-01").cast("timestamp_ntz")).where("year(created_at) = 2030").select("id", "user_id", "poem_id", "action")
+
+
+@query(f"with {INTERACTIONS} select id, poem_id, action from interactions where user_id = {READER}")
+def own_rows(spark, d):
+    return tables.own_rows(interactions(spark, d), READER).select("id", "poem_id", "action")
+
+
+@query("""with have as (select o_orderkey as id from orders where o_orderkey % 3 <> 0) select (select count(*) from orders) as n_batch, (select count(*) from have) as n_present,
+  (select max(id) from have) - (select count(*) from orders) as base, (select count(*) from orders) as n_after""")
+def insert_missing(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    after, n = tables.insert_missing(o.where("id % 3 <> 0"), o)
+    return n.join(after.agg(F.count("*").alias("n_after")), F.lit(True))
+
+
+@query("select l_orderkey, array_to_string(list(distinct l_shipdate::date::varchar order by l_shipdate::date::varchar), ',') as days from lineitem group by all")
+def distinct_days(spark, d):
+    days = F.array_sort(F.array_distinct(F.collect_list(F.col("l_shipdate").cast("date").cast("string"))))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(days, ",").alias("days"))
+
+
+@query(f"{BASE} select id, row_number() over (order by contains(body, chr(10) || chr(10)) desc, line_count desc, id) as place from poems")
+def preview_order(spark, d):
+    """Poems with stanza breaks first, then the longest: the order of a review list, as numbers of range partitions."""
+    p = poems(spark, d).select("id", F.struct((~T.has_stanza_breaks(F.col("body"))).alias("plain"), (-F.col("line_count")).alias("short"), "id").alias("by"))
+    return tables.numbered_rows(p, "by", "place").select("id", "place")
+
+
+@query(f"""with {DEDUP}, {COMP}, j as (select * from docs join comp using (rid)) select comp, count(*) as n, array_to_string(list_sort(list_distinct(list(source))), ',') as sources, bool_or(title_norm in (select title_norm from docs where source = 'src7')) as deleted
+from j group by comp having count(*) > 1""")
+def candidate_report(spark, d):
+    rows = _clustered(spark, d).withColumns({"author": F.col("block"), "title": F.col("title_norm")})
+    return dedup.candidate_report(rows, rows.where("source = 'src7'")).select("comp", "n", F.array_join("sources", ",").alias("sources"), "deleted")
+
+
+@query()
+def merge_chain(spark, d):
+    """The merged corpus by class: clusters of one text become one record, all other rows stay."""
+    rows, fuzzy = _clustered_whole(spark, d)
+    merged = dedup.merge_chain(rows.withColumn("score", F.length("body")), fuzzy)
+    return merged.select("winner", "n", "cls", F.array_join("provenance", ",").alias("provenance"))
+
+
+@query()
+def first_line_key_whole(spark, d):
+    """The key of every text; ``first_line_key`` leaves out those that SQL folds in another way."""
+    return poems(spark, d).select("id", T.first_line(F.col("body")).alias("value"))
+
+
+@query()
+def page_title_whole(spark, d):
+    """The title of every page, by heading or fallback; ``page_title`` reads those with a heading."""
+    return table(spark, d, "pages").select("page_id", pages.title(F.col("html")).alias("title"))
+
+
+@query()
+def name_fuzzy_flags_whole(spark, d):
+    """Doubtful pairs of the first two words of every text, folded; ``name_fuzzy_flags`` takes plain ASCII words."""
+    w = F.split(T.collapse(F.col("text")), " ")
+    t = table(spark, d, "documents").select("doc_id", T.collapse(F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1)))).alias("name")).where("name <> ''")
+    u = t.groupBy("name").agg(F.min("doc_id").alias("rid")).withColumn("last_norm", authors.last_norm(F.col("name"))).withColumn("full", F.concat(authors.first_norm(F.col("name")), F.col("last_norm")))
+    return authors.fuzzy_flags(u.where("last_norm <> ''"), 0.6)

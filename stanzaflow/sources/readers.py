@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +71,8 @@ def reachable(links: DataFrame, start: DataFrame, most: int = 200) -> DataFrame:
     while True:
         depth += 1
         nxt = links.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
-        front = nxt.limit(most).checkpoint() if nxt.sparkSession.sparkContext.getCheckpointDir() else nxt.limit(most).persist()
+        nxt = nxt.orderBy("url").limit(most)  # which pages stay doesn't depend on the partitioning
+        front = nxt.checkpoint() if nxt.sparkSession.sparkContext.getCheckpointDir() else nxt.persist()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -90,3 +94,45 @@ def author_rows(*sources: tuple[str, DataFrame]) -> DataFrame:
         part = df.where(T.nonempty(F.col("name")).isNotNull()).select(T.collapse(F.col("name")).alias("name"), F.lit(source).alias("source"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def paged(fetch: Callable[[int], list | None], most: int = 500, empty: int = 2) -> Iterator:
+    """The items of numbered pages: a page that fails (None) is asked for once more and then ends the scan, as ``empty`` empty pages in a row do."""
+    blank = 0
+    for page in range(1, most + 1):
+        items = fetch(page)
+        if items is None:
+            items = fetch(page)
+        if items is None:
+            return
+        blank = 0 if items else blank + 1
+        if blank == empty:
+            return
+        yield from items
+
+
+def series(fetch: Callable[[int], str | None], links: Callable[[str], list[str]], most: int = 50, stale: int = 2) -> list[str]:
+    """The links of numbered index pages, each once in order: ends at an empty page or after ``stale`` pages in a row without a new link."""
+    seen: dict[str, None] = {}
+    old = 0
+    for page in range(1, most + 1):
+        html = fetch(page)
+        if not html:
+            break
+        new = [u for u in links(html) if u not in seen]
+        old = 0 if new else old + 1
+        if old == stale:
+            break
+        seen |= dict.fromkeys(new)
+    return list(seen)
+
+
+def program_urls(html: str, base: str) -> list[str]:
+    """Absolute links to programs, without query, fragment and the slash at the end."""
+    paths = re.findall(r"""href=["'](?:https?://[^/"']+)?(/programs/[^"'?#]+)""", html)
+    return list(dict.fromkeys(base + p.rstrip("/") for p in paths))
+
+
+def values_table(spark, titles: dict[str, list[str]]) -> DataFrame:
+    """A table in code, ``author, title``, one row for each title: canonical titles or overrides."""
+    return spark.createDataFrame([(a, t) for a, ts in titles.items() for t in ts], "author string, title string")

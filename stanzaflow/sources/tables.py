@@ -76,21 +76,62 @@ def numeric_suffix(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(\d+)$", 1), F.lit("")).cast("long")
 
 
+def numbered_rows(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """The rows with their number from 1 on in the given order, from counts of range partitions: never in one task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    local = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    before = local.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_k")).drop("_p", "_k", "_before")
+
+
 def assign_ids(table: DataFrame, batch: DataFrame, order: str, prefix: str = "poem", width: int = 4) -> DataFrame:
     """The batch with ids that go on from the largest number in use, in the given order.
 
     Numbers come from counts of range partitions, so the batch is never in one task.
     """
-    spark = table.sparkSession
     base = table.agg(F.coalesce(F.max(numeric_suffix(F.col("id"))), F.lit(0)).alias("base"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = batch.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    before = local.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = local.join(F.broadcast(before), "_p").join(F.broadcast(base), F.lit(True))
-    return numbered.withColumn("id", F.format_string(f"{prefix}_%0{width}d", F.col("base") + F.col("_before") + F.col("_i"))).drop("_p", "_i", "_before", "base")
+    numbered = numbered_rows(batch, order, "_i").join(F.broadcast(base), F.lit(True))
+    return numbered.withColumn("id", F.format_string(f"{prefix}_%0{width}d", F.col("base") + F.col("_i"))).drop("_i", "base")
 
 
 def chunks(df: DataFrame, order: str, size: int) -> DataFrame:
     """The rows with the number of their chunk of ``size`` rows in the given order."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    return numbered_rows(df, order, "_row").withColumn("chunk", F.floor((F.col("_row") - 1) / size)).drop("_row")
+
+
+def insert_missing(table: DataFrame, batch: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The table with the batch's rows of new ids, and one row ``n_batch, n_present, base``: base is the largest number less the batch's size."""
+    new = batch.join(table.select(key), key, "left_anti").select(*table.columns)
+    n = batch.agg(F.count("*").alias("n_batch")).join(batch.join(table.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("n_present")), F.lit(True))
+    top = table.agg(F.coalesce(F.max(numeric_suffix(F.col(key).cast("string"))), F.lit(0)).alias("top"))
+    return table.unionByName(new), n.join(top, F.lit(True)).select("n_batch", "n_present", (F.col("top") - F.col("n_batch")).alias("base"))
+
+
+def append_events(log: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """The log with rows ``user_id, poem_id, action`` appended: ids go on from the largest, all at the time ``now``."""
+    base = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
+    rows = numbered_rows(new.withColumn("_order", F.struct("user_id", "poem_id", "action")), "_order", "_i").join(F.broadcast(base), F.lit(True))
+    return log.unionByName(rows.select((F.col("_base") + F.col("_i")).cast("long").alias("id"), "user_id", "poem_id", "action", now.alias("created_at")).select(*log.columns))
+
+
+def own_rows(table: DataFrame, reader: int | str, column: str = "user_id") -> DataFrame:
+    """What a reader may see of a table: the rows that are theirs; none without a reader."""
+    return table.where(F.col(column) == F.lit(reader)) if reader is not None else table.where(F.lit(False))
+
+
+def write_in_steps(rows: DataFrame, path: str, order: str, size: int = 100) -> int:
+    """Appends the rows that ``path`` doesn't hold yet, ``size`` at a time in order; a broken run goes on where it stopped. Returns the steps."""
+    from pyspark.errors import AnalysisException
+
+    spark = rows.sparkSession
+    try:
+        rows = rows.join(spark.read.schema(rows.schema).parquet(path).select(order), order, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # a write to the path makes Spark read it again, so each step takes its range of rows that are still missing
+    steps = chunks(rows, order, size).groupBy("chunk").agg(F.min(order).alias("least"), F.max(order).alias("most")).orderBy("chunk").collect()
+    for step in steps:
+        rows.where(F.col(order).between(step["least"], step["most"])).write.mode("append").parquet(path)
+    return len(steps)
