@@ -1,6 +1,6 @@
-"""Poems of two kinds of site pages: a daily page made of widgets, and an episode with a transcript.
+"""Poems of three kinds of site pages: daily pages of widgets, episodes with a transcript, archive pages with a quotation.
 
-Both are read from the tree of markup.py: a page's parts are found by their elements, and a
+All are read from the tree of markup.py: a page's parts are found by their elements, and a
 part is rendered as text once, with or without emphasis. Null pages give null.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.functions.markup import Node, tree
+from stanzaflow.functions.text import C1_FROM, C1_TO
 
 # The markup of the sites, and phrases of text widgets that hold no poem.
 WIDGET, WIDGET_KIND, NESTED = "data-widget_type", "text-editor.default", "wp-post"
@@ -23,6 +24,11 @@ EDITORIAL = (
     "All rights reserved", "Reproduced by Poetry Daily", "Reprinted with permission", "Reprinted by permission",
 )
 RIGHTS = ("copyright", "used by", "used with", "permission of")
+ARCHIVE_END, SHOP = ("Copyright ©", "Reprinted by Verse Daily"), "amazon.com/gp/product"
+#: The characters of code page 1252 that old pages give as U+0080 to U+009F.
+C1 = str.maketrans(C1_FROM, C1_TO)
+SOURCE_SPACE = str.maketrans("\r\n\t", "   ")
+TITLE_WITHIN = 800
 LEAST_TEXT, MOST_HEADER, LEAST_LINES = 10, 300, 3
 
 
@@ -182,11 +188,79 @@ def daily(page: str, emphasis: bool = False) -> dict[str, object]:
     return {"title": title, "poet": poet, "body": body, "publication": publication(root), "rights": note, "year": year and year[1], "flags": [] if body else ["no_poem_text"]}
 
 
-KINDS = {"daily": (daily, "title string, poet string, body string, publication string, rights string, year string, flags array<string>"), "episode": (episode, "title string, poet string, body string, flags array<string>")}
+# ---- archive pages ----
+
+
+def _numeral(text: str) -> bool:
+    first = text.strip().partition(".")
+    return bool(first[0]) and set(first[0]) <= set("IVXLC") and bool(first[1])
+
+
+def _ends(x: Node | str) -> bool:
+    """What follows a poem: embedded frames, share buttons, shop links, the rights."""
+    if isinstance(x, str):
+        return any(mark in x for mark in ARCHIVE_END)
+    return x.tag == "iframe" or any(c.startswith("twitter-share") for c in x.classes) or SHOP in (x.attrs.get("href") or "")
+
+
+def archive_body(root: Node, emphasis: bool = False) -> str:
+    """The poem of the outermost quotation: after its bold title, up to what ends it.
+
+    Only <br> and <p> end lines; a line end of the source is a space, but
+    no-break spaces at a line's start stay as its indent. A bold numeral is a stanza.
+    """
+    quote = next((x for x in nodes(root) if x.tag == "blockquote"), None)
+    if quote is None:
+        return ""
+    out: list[str] = []
+    size, titled = 0, False
+    todo: list[Node | str] = quote.inside[::-1]
+    while todo:
+        x = todo.pop()
+        if _ends(x):
+            if isinstance(x, str):
+                out.append(x[: min(x.find(m) for m in ARCHIVE_END if m in x)])
+            break
+        if isinstance(x, str):
+            out.append(x.translate(C1).translate(SOURCE_SPACE))
+            size += len(x)
+        elif isinstance(x, _Mark):
+            out.append(x.text)
+        elif x.tag == "br":
+            out.append("\n")
+        elif x.tag == "b" and not titled and size < TITLE_WITHIN:
+            out, titled = [], True
+        else:
+            text = x.text("")
+            edge = "\n\n" if x.tag == "p" or x.tag == "b" and _numeral(text) else ""
+            em = emphasis and x.tag in ("em", "i") and text.strip()
+            todo += [_Mark(("</em>" if em else "") + edge), *x.inside[::-1], _Mark(edge + ("<em>" if em else ""))]
+    lines = [x.strip(" ").replace("\xa0", " ").rstrip() for x in "".join(out).split("\n")]
+    return tidy("\n".join(lines))
+
+
+class _Mark(Node):
+    """A text that stands for the start or end of an element."""
+
+    __slots__ = ("text",)
+
+    def __init__(self, text: str) -> None:
+        super().__init__("")
+        self.text = text
+
+
+def archive(page: str, emphasis: bool = False) -> dict[str, object]:
+    root = tree(page)
+    title = next((one_line(b.text(" ")) for q in nodes(root) if q.tag == "blockquote" for b in nodes(q) if b.tag == "b"), "")
+    body = archive_body(root, emphasis)
+    return {"title": title, "body": body, "flags": [] if body else ["no_poem_text"]}
+
+
+KINDS = {"archive": (archive, "title string, body string, flags array<string>"), "daily": (daily, "title string, poet string, body string, publication string, rights string, year string, flags array<string>"), "episode": (episode, "title string, poet string, body string, flags array<string>")}
 
 
 def site_records(pages: DataFrame, kind: str, key: str = "page_id", html: str = "html", emphasis: bool = False) -> DataFrame:
-    """One row for each page with what its parser (``daily`` or ``episode``) finds, and ``has_poem``."""
+    """One row for each page with what its parser (``daily``, ``episode`` or ``archive``) finds, and ``has_poem``."""
     parse, schema = KINDS[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

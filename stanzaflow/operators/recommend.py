@@ -55,7 +55,9 @@ VERSIONS = {
     "v10": Version(like=0, share=0, super_like=2.0, dislike=-2.0, latest_action_only=True, min_signals=1, explore=0, exclude_seen_when_cold=False),
     "v11": Version(like=0, share=0, super_like=3.0, dislike=-2.0, latest_action_only=True, min_signals=1, explore=0, exclude_seen_when_cold=False),
     "v12": Version(like=0, share=0, super_like=3.0, dislike=-0.5, latest_action_only=True, min_signals=1, explore=0, exclude_seen_when_cold=False),
+    "v14": Version(like=0, share=0, super_like=3.0, dislike=-0.5, latest_action_only=True, min_signals=1, explore=0, exclude_seen_when_cold=False),  # with line_max
     "v16": Version(min_signals=1, explore=0, exclude_seen_when_cold=False),
+    "v19": Version(min_signals=1, explore=0, exclude_seen_when_cold=False),  # with length buckets
     "v21": Version(min_signals=5, pool=300, explore=0.28),
     "v30": CURRENT,
 }

@@ -926,3 +926,48 @@ def name_fuzzy_flags_whole(spark, d):
     t = table(spark, d, "documents").select("doc_id", T.collapse(F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1)))).alias("name")).where("name <> ''")
     u = t.groupBy("name").agg(F.min("doc_id").alias("rid")).withColumn("last_norm", authors.last_norm(F.col("name"))).withColumn("full", F.concat(authors.first_norm(F.col("name")), F.col("last_norm")))
     return authors.fuzzy_flags(u.where("last_norm <> ''"), 0.6)
+
+
+# ---- earlier forms of the recommender ----
+
+_LAST = "last as (select user_id, poem_id, arg_max(action, (created_at, id)) as a from interactions where action in ('save', 'super_like', 'dislike', 'unsave') group by all)"
+_NEAREST = "select row_number() over (order by dist, near.id)::int as ord, near.id, title, poems.author, body, line_count, 0 as slice from near join poems using (id) order by dist, near.id limit 5"
+
+
+def _last_weights(super_like: float, dislike: float) -> str:
+    return f"weights as (select user_id, poem_id, case a when 'super_like' then {super_like} when 'save' then 1.0 when 'dislike' then {dislike} else 0.0 end::double as weight from last)"
+
+
+def _unseen(where: str) -> str:
+    return f"unseen as (select * from poems where {where} and id not in (select poem_id from interactions where user_id = {READER}))"
+
+
+@query(f"{BASE}, {_LAST}, {_last_weights(2.0, -2.0)}, {TASTE}, {UNSEEN}, {NEAR} {_NEAREST}")
+def recommend_v10(spark, d):
+    return R.recommend(poems(spark, d), interactions(spark, d), READER, version=R.VERSIONS["v10"])
+
+
+@query(f"{BASE}, {_LAST}, {_last_weights(3.0, -2.0)}, {TASTE}, {UNSEEN}, {NEAR} {_NEAREST}")
+def recommend_v11(spark, d):
+    return R.recommend(poems(spark, d), interactions(spark, d), READER, version=R.VERSIONS["v11"])
+
+
+@query(f"{BASE}, {_LAST}, {_last_weights(3.0, -0.5)}, {TASTE}, {_unseen('line_count <= 10')}, {NEAR} {_NEAREST}")
+def recommend_v14(spark, d):
+    return R.recommend(poems(spark, d), interactions(spark, d), READER, line_max=10, version=R.VERSIONS["v14"])
+
+
+@query(f"{BASE}, {STATE}, {WEIGHTS}, {TASTE}, {_unseen('line_count <= 40')}, {NEAR} {_NEAREST}")
+def recommend_v19(spark, d):
+    return R.recommend(poems(spark, d), interactions(spark, d), READER, long=False, version=R.VERSIONS["v19"])
+
+
+ESCAPED_BACK = "list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(regexp_replace(replace(x, chr(9), ' '), '^ +', ''), '[ \u00a0]+$', ''))"
+
+
+@query(f"select doc_id, regexp_replace(regexp_replace(array_to_string({ESCAPED_BACK}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') as body from documents")
+def archive_pages(spark, d):
+    """Documents as archive pages, a quotation with line ends, and the poems that the parser finds."""
+    html = F.concat(F.lit("<blockquote><p><b>The Title</b></p>"), F.replace(_escaped(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit("<br>\n")), F.lit("<iframe></iframe>more</blockquote>"))
+    made = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return sites.site_records(made, "archive").select(F.col("page_id").alias("doc_id"), "body")

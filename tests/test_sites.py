@@ -59,3 +59,14 @@ def test_records(spark):
     assert [(r.page_id, r.body, r.has_poem) for r in S.site_records(rows, "daily").orderBy("page_id").collect()] == [(1, "one", True), (2, "", False)]
     c = spark.createDataFrame([(True, "a", "<em>a</em>"), (True, "a", "a"), (True, "a", None), (None, "a", "b")], "p boolean, b string, h string")
     assert [r.x for r in c.select(F.coalesce(S.is_candidate(F.col("p"), F.col("b"), F.col("h")), F.lit(False)).alias("x")).collect()] == [True, False, False, False]
+
+
+@pytest.mark.parametrize("page, em, want", [
+    ("<blockquote><p><b>The Sea</b></p><p>one\nmore<br>\ntwo&nbsp;</p><p>&nbsp;&nbsp;three<br><i>four</i></p>Copyright &copy; 2001<p>x</p></blockquote>", False, "one more\ntwo\n\n  three\nfour"),
+    ("<blockquote><b>T</b><blockquote><i>epigraph</i></blockquote><br>one <i>two</i><i> </i><iframe></iframe>three</blockquote>four", True, "<em>epigraph</em>\none <em>two</em>"),
+    ("<blockquote><b>T</b><p>one</p><b>II. More</b>two <b>bold</b><a href='http://amazon.com/gp/product/1'>shop</a>no</blockquote>", False, "one\n\nII. More\n\ntwo bold"),
+    ("<blockquote>it\x92s<br>" + "x" * 900 + "<b>late</b></blockquote>", False, "it\u2019s\n" + "x" * 900 + "late"),
+    ("<p>none</p>", False, ""), ("", False, ""),
+])
+def test_archive(page, em, want):
+    assert S.archive(page, em)["body"] == want
