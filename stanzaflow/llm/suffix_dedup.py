@@ -184,60 +184,83 @@ def unpack_runs(x: bytes) -> Iterator[bytes]:
         yield body[a:b]
 
 
+class _Batch:
+    """Pieces of a block that lie behind each other in one text, so that small documents are handled together."""
+
+    def __init__(self, pieces: list[tuple[int, int, bytes]], length: int):
+        self.length, self.tie = length, length - COVER_PERIOD + 1
+        self.doc, self.at = np.array([k for k, _, _ in pieces]), np.array([at for _, at, _ in pieces])
+        self.body = b"".join([x for _, _, x in pieces])
+        self.size = np.array([len(x) for _, _, x in pieces])
+        self.start = np.cumsum(self.size) - self.size
+
+    def samples(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the cover samples whose strings lie in one piece, and their pieces."""
+        s = _samples(len(self.body) - self.tie + 1)
+        owner = np.searchsorted(self.start, s, side="right") - 1
+        inside = s + self.tie <= (self.start + self.size)[owner]
+        return s[inside], owner[inside]
+
+    def names(self, places: np.ndarray, length: int) -> np.ndarray:
+        return Sums(self.body).names(places, length)
+
+
 class _Block:
     """One block's documents, cut into pieces, with the names that it exchanges."""
 
     def __init__(self, table: pa.Table, length: int, buckets: int, piece: int):
-        self.docs, self.length, self.buckets, self.piece = B.unpack(table), length, buckets, piece
-        self.pieces = [(k, at) for k, (_, body) in enumerate(self.docs) for at in range(0, len(body) - length + 1, piece)]
-
-    def body(self, k: int, at: int) -> bytes:
-        return self.docs[k][1][at : at + self.piece + self.length - 1]
+        self.docs, self.length, self.buckets, self.batches = B.unpack(table), length, buckets, []
+        pieces, size = [], 0
+        for k, (_, body) in enumerate(self.docs):
+            for at in range(0, len(body) - length + 1, piece):
+                pieces.append((k, at, body[at : at + piece + length - 1]))
+                size += len(pieces[-1][2])
+                if size >= piece:
+                    self.batches.append(_Batch(pieces, length))
+                    pieces, size = [], 0
+        if pieces:
+            self.batches.append(_Batch(pieces, length))
 
     def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct sorted names of the samples, the name number of each sample, and how often each name occurs here."""
-        tie, found = self.length - COVER_PERIOD + 1, [np.zeros(0, np.uint64)]
-        for k, at in self.pieces:
-            body = self.body(k, at)
-            found.append(B.split_buckets(Sums(body).names(_samples(len(body) - tie + 1), tie), self.buckets, NAME_BITS))
+        found = [np.zeros(0, np.uint64), *(B.split_buckets(b.names(b.samples()[0], b.tie), self.buckets, NAME_BITS) for b in self.batches)]
         return np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
 
     def open_places(self, tied: np.ndarray) -> list[np.ndarray]:
-        """The places of each piece's unsettled suffixes: those that a tied sample follows within the period."""
-        tie, used, out = self.length - COVER_PERIOD + 1, 0, []
-        for k, at in self.pieces:
-            n = min(len(self.docs[k][1]) - at, self.piece + self.length - 1)
-            s = _samples(n - tie + 1)
+        """The places of each batch's unsettled suffixes: those that a tied sample follows within the period."""
+        used, out = 0, []
+        for b in self.batches:
+            s, owner = b.samples()
             used += len(s)
-            s = s[tied[used - len(s) : used]]
-            m = n - self.length + 1
-            edge = np.zeros(m + 1, np.int32)
-            np.add.at(edge, np.minimum(np.maximum(s - COVER_PERIOD + 1, 0), m), 1)
-            np.add.at(edge, np.minimum(s + 1, m), -1)
-            out.append(np.flatnonzero(np.cumsum(edge[:m]) > 0))
+            on = tied[used - len(s) : used]
+            s, first = s[on], b.start[owner[on]]
+            last = first + b.size[owner[on]] - self.length + 1  # behind the last suffix of the piece
+            edge = np.zeros(len(b.body) + 1, np.int32)
+            np.add.at(edge, np.minimum(np.maximum(s - COVER_PERIOD + 1, first), last), 1)
+            np.add.at(edge, np.minimum(s + 1, last), -1)
+            out.append(np.flatnonzero(np.cumsum(edge[:-1]) > 0))
         return out
 
     def suffixes(self, places: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same as samples() for the unsettled suffixes, named by all their bytes."""
-        found = [np.zeros(0, np.uint64)]
-        for (k, at), p in zip(self.pieces, places, strict=True):
-            if len(p):
-                found.append(B.split_buckets(Sums(self.body(k, at)).names(p, self.length), buckets, NAME_BITS))
+        found = [np.zeros(0, np.uint64), *(B.split_buckets(b.names(p, self.length), buckets, NAME_BITS) for b, p in zip(self.batches, places, strict=True) if len(p))]
         return np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
 
     def runs(self, places: list[np.ndarray], again: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int, int, bytes]]:
         """(document, first place, suffixes, bucket, text) of each run of recurring suffixes with one least string."""
         used, doc, first, last, texts = 0, [], [], [], []
-        for (k, at), p in zip(self.pieces, places, strict=True):
+        for batch, p in zip(self.batches, places, strict=True):
             used += len(p)
             p = p[again[used - len(p) : used]]
             if len(p):
-                turn = np.flatnonzero(np.concatenate([[True], p[1:] > p[:-1] + 1]))
-                a, b = p[turn] + at, p[np.append(turn[1:], len(p)) - 1] + at
-                doc.append(np.full(len(a), k))
-                first.append(a)
-                last.append(b)
-                texts += [self.docs[k][1][x : y + self.length] for x, y in zip(a.tolist(), b.tolist())]
+                piece = np.searchsorted(batch.start, p, side="right") - 1
+                turn = np.flatnonzero(np.concatenate([[True], (p[1:] > p[:-1] + 1) | (piece[1:] != piece[:-1])]))
+                a, b = p[turn], p[np.append(turn[1:], len(p)) - 1]
+                texts += [batch.body[x : y + self.length] for x, y in zip(a.tolist(), b.tolist())]
+                shift = (batch.at - batch.start)[piece[turn]]
+                doc.append(batch.doc[piece[turn]])
+                first.append(a + shift)
+                last.append(b + shift)
         if not texts:
             return
         # neighbouring suffixes are hashed together; strings that cross from one text into the next are left out
