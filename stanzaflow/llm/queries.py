@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, language_id, line_dedup, token_files
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives, quantised
 from .mixing import mix
+from .periodic_runs import periodic_runs, plant_periods
 from .simhash_dedup import simhash_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -79,8 +81,24 @@ def op10_line_dedup_every_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(plant_periods(_documents(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", label.alias("label"), quantised(F.col("embedding")).alias("q")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_suffix_dedup, op2_language_id, op3_vector_dedup, op4_exact_dedup, op5_mixing, op6_byte_bpe, op7_simhash_dedup, op8_substring_dedup, op9_token_files, op10_line_dedup, op10_line_dedup_every_host]
+    made = [op1_suffix_dedup, op2_language_id, op3_vector_dedup, op4_exact_dedup, op5_mixing, op6_byte_bpe, op7_simhash_dedup, op8_substring_dedup, op9_token_files, op10_line_dedup, op10_line_dedup_every_host, op11_periodic_runs, op13_hard_negatives]
     return {f.__name__: f for f in made}
 
 
@@ -166,4 +184,20 @@ with p as (
 select page_id, host, len(lines)::bigint as n_lines, (len(lines) - len(stays))::bigint as n_removed,
   sha256(array_to_string(stays, chr(10))) as kept_sha256
 from each""",
+        "op13_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 100 = 0
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where label = anchor_label
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id, (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id))::int as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and s.label <> s.anchor_label and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+qualify rank <= 10""",
     }
