@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, line_dedup, token_files
+from . import byte_bpe, language_id, line_dedup, main_text, token_files
 from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives, quantised
 from .mixing import mix
@@ -91,6 +91,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = main_text.train(main_text.example_pages(spark))
+    return main_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), tree).select("page_id", "url", "text", "n_chars")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -98,7 +103,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_suffix_dedup, op2_language_id, op3_vector_dedup, op4_exact_dedup, op5_mixing, op6_byte_bpe, op7_simhash_dedup, op8_substring_dedup, op9_token_files, op10_line_dedup, op10_line_dedup_every_host, op11_periodic_runs, op13_hard_negatives]
+    made = [op1_suffix_dedup, op2_language_id, op3_vector_dedup, op4_exact_dedup, op5_mixing, op6_byte_bpe, op7_simhash_dedup, op8_substring_dedup, op9_token_files, op10_line_dedup, op10_line_dedup_every_host, op11_periodic_runs, op12_main_text, op13_hard_negatives]
     return {f.__name__: f for f in made}
 
 
