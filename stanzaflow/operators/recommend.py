@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stanzaflow.functions.similarity import cosine_distance
+from stanzaflow.operators.vectors import VectorIndex, nearest, nearest_all, vector_sum, write_index
 
 POSITIVE = ("save", "super_like", "like", "share")
 NULL_CORPUS, NO_CORPUS = "__null__", "__none__"
@@ -77,8 +78,7 @@ def poem_weights(log: DataFrame, version: Version = CURRENT, by: tuple[str, ...]
 def taste_vector(weights: DataFrame, poems: DataFrame, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Weighted sum of the embeddings for each reader; no row for a reader without a weighted, embedded poem."""
     w = weights.where("weight <> 0").join(poems.where("embedding is not null").select(F.col("id").alias("poem_id"), "embedding"), "poem_id")
-    parts = w.select(*by, "weight", F.posexplode("embedding").alias("pos", "x")).groupBy(*by, "pos").agg(F.sum(F.col("x").cast("double") * F.col("weight")).alias("x"))
-    return parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("taste"))
+    return vector_sum(w, by, "embedding", "weight", "taste")
 
 
 def signal_gate(log: DataFrame, min_signals: int = 15) -> DataFrame:
@@ -168,28 +168,30 @@ def fixed(pool: DataFrame) -> DataFrame:
 def recommend(
     poems: DataFrame, log: DataFrame, user: int, limit: int = 5, corpora: list[str | None] | None = None, short: bool = True, medium: bool = True, long: bool = True,
     recent: list[str | None] | None = None, force_random: bool | None = False, seed: str = "s", version: Version = CURRENT, line_max: int | None = None,
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """The next poems for a reader: ``ord, id, title, author, body, line_count, slice``.
 
-    The gate (one number) and the taste (one vector) come to the driver; everything else stays lazy.
-    ``force_random`` None counts as False.
+    The gate (one number) and the taste (one vector) come to the driver in one job; everything else stays lazy.
+    ``force_random`` None counts as False. With an ``index`` of ``id, author, corpus, line_count,
+    embedding`` the nearest poems are looked for in the probed cells instead of all poems.
     """
     if user is None:
         raise PermissionError("a reader is needed")
     log = mine = log.where(F.col("user_id") == user)
-    fits = poems.where(in_buckets(short, medium, long) & in_corpora(corpora) & under_cap(line_max))
+    wanted = lambda p: p.where(in_buckets(short, medium, long) & in_corpora(corpora) & under_cap(line_max))
+    fits = wanted(poems)
     fresh = unseen(fits, log, user)
     taste = None
     if not force_random:
-        n = mine.agg(F.count_distinct(F.when(F.col("action").isin(*POSITIVE), F.col("poem_id")))).first()[0]
-        if n >= version.min_signals:
-            row = taste_vector(poem_weights(mine, version), poems).first()
-            taste = row["taste"] if row else None
+        gate = mine.agg(F.count_distinct(F.when(F.col("action").isin(*POSITIVE), F.col("poem_id"))).alias("n"))
+        row = gate.join(taste_vector(poem_weights(mine, version), poems), F.lit(True), "left").first()  # one row beside one at most
+        taste = row["taste"] if row["n"] >= version.min_signals else None
     if taste is None:
         pool = fixed(random_pool(fresh if version.exclude_seen_when_cold else fits, f"{seed}:random", version.pool))
         picked = pick_diverse(pool, limit, recent, f"{seed}:random").withColumn("slice", F.lit(0))
         return _shaped(picked, poems)
-    near = taste_pool(fresh, taste, version.pool)
+    near = taste_pool(fresh, taste, version.pool) if index is None else nearest(poems.sparkSession, index, taste, version.pool, lambda p: unseen(wanted(p), log, user))
     if not version.explore:
         return _shaped(near.limit(limit).select("id", F.row_number().over(Window.orderBy("dist", "id")).alias("ord")).withColumn("slice", F.lit(0)), poems)
     taste_n, explore_n = split_counts(limit, version.explore)
@@ -248,6 +250,18 @@ def recommend_all(poems: DataFrame, log: DataFrame, k: int = 5, block: int = 409
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("dist", "id"))).where(F.col("rank") <= k)
 
 
+def index_poems(poems: DataFrame, path: str) -> VectorIndex:
+    """The index that ``recommend`` and ``recommend_all_indexed`` look poems up in, written to ``path``."""
+    return write_index(poems.select("id", "author", "corpus", "line_count", "embedding"), path)
+
+
+def recommend_all_indexed(index: VectorIndex, poems: DataFrame, log: DataFrame, k: int = 5) -> DataFrame:
+    """What ``recommend_all`` finds, from the probed cells of each reader's taste: ``user_id, id, dist, rank``."""
+    taste = taste_vector(poem_weights(log), poems).select(F.col("user_id").alias("query_id"), F.col("taste").alias("vector"))
+    seen = log.select(F.col("user_id").alias("query_id"), F.col("poem_id").alias("id"))
+    return nearest_all(index, taste, k, seen).withColumnRenamed("query_id", "user_id")
+
+
 def _newest(log: DataFrame, *actions: str) -> DataFrame:
     w = Window.partitionBy("user_id", "poem_id").orderBy(F.desc("created_at"), F.desc("id"))
     return log.where(F.col("action").isin(*actions)).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")

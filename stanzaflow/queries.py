@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stanzaflow.functions import markup, sites
 from stanzaflow.functions import similarity as S
 from stanzaflow.functions import text as T
-from stanzaflow.operators import authors, curate, dedup, enrich, pages
+from stanzaflow.operators import authors, curate, dedup, enrich, pages, vectors
 from stanzaflow.operators import recommend as R
 from stanzaflow.plans import repair, views
 from stanzaflow.plans.views import INTERACTIONS, POEMS, interactions, poems, table
@@ -198,6 +198,30 @@ def recommend_all(spark, d):
     return R.recommend_all(poems(spark, d), interactions(spark, d))
 
 
+def _index(spark: SparkSession, d: str):
+    return R.index_poems(poems(spark, d), tables.fresh_folder(spark, "poem-index"))
+
+
+@query()
+def recommend_indexed(spark, d):
+    """``recommend_full`` over a stored index: the nearest poems come from the cells nearest to the taste."""
+    return R.recommend(poems(spark, d), interactions(spark, d), READER, index=_index(spark, d))
+
+
+@query()
+def recommend_all_indexed(spark, d):
+    """``recommend_all`` over a stored index."""
+    return R.recommend_all_indexed(_index(spark, d), poems(spark, d), interactions(spark, d))
+
+
+@query()
+def nearest_indexed(spark, d):
+    """The ten poems nearest to every hundredth one, itself left out."""
+    p = poems(spark, d)
+    own = p.where("id % 100 = 0")
+    return vectors.nearest_all(_index(spark, d), own.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 10, own.select(F.col("id").alias("query_id"), "id"))
+
+
 # ---- library ----
 
 _SAVED = "newest as (select user_id, poem_id, arg_max(action, (created_at, id)) as action, max(created_at) as created_at, arg_max(id, (created_at, id)) as iid from interactions where action in ('save', 'unsave') group by all)"

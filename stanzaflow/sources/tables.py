@@ -6,11 +6,24 @@ what changed comes from ``changed``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def fresh_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="stanzaflow_")
+    return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
