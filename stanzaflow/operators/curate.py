@@ -113,3 +113,31 @@ def bilingual_filter(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     same = (F.col("title") == F.col("keep_title")) & (T.bare_translator(F.col("translator")) == T.bare_translator(F.col("keep_translator")))
     stays = F.col("_u").isNull() | (~F.col("drop_all") & same)
     return rows.join(d, F.col("url") == F.col("_u"), "left").where(F.coalesce(stays, F.lit(False))).drop("_u", "drop_all", "keep_title", "keep_translator")
+
+
+def pattern_hits(texts: DataFrame, patterns: DataFrame, context: int = 20, rid: str = "id", body: str = "body", most: int = 1_000) -> DataFrame:
+    """How often each of many patterns occurs in each text, and where first: ``rid, pattern_id, n, at, before``.
+
+    ``patterns(pattern_id, pattern)`` are plain strings, a list of at most ``most`` (more are
+    an error); ``at`` counts characters from 1, ``before`` is the context of the first hit.
+    The patterns become one alternation, the longest first, so one pass over a text finds
+    the hits of all, from left to right and without overlaps; a text without any has no row. Ids are unique.
+    """
+    import re
+
+    listed = patterns.where("pattern <> ''").select("pattern_id", "pattern").limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} patterns")
+    if not listed:
+        return texts.select(rid, F.lit(None).cast(patterns.schema["pattern_id"].dataType).alias("pattern_id"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("at"), F.lit("").alias("before")).where("false")
+    quote = lambda p: re.sub(r"([^\w\s])", r"\\\1", p)
+    words = "|".join(quote(p) for p in sorted({r["pattern"] for r in listed}, key=lambda p: (-len(p), p)))
+    pieces = texts.where(F.col(body).rlike(words)).select(rid, body, F.regexp_extract_all(body, F.lit(f"({words})"), F.lit(1)).alias("_hits"), F.split(body, words, -1).alias("_parts"))
+    steps = F.arrays_zip(F.col("_hits").alias("hit"), F.slice("_parts", F.lit(1), F.size("_hits")).alias("part"))
+    each = pieces.select(rid, F.posexplode(F.transform(steps, lambda e: F.struct(e["hit"].alias("hit"), F.length(e["part"]).alias("skip"))))).select(rid, "pos", "col.*")
+    upto = F.sum(F.col("skip") + F.length("hit")).over(Window.partitionBy(rid).orderBy("pos"))
+    first = each.withColumn("at", (upto - F.length("hit") + 1).cast("int")).groupBy(rid, "hit").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    names = patterns.sparkSession.createDataFrame(listed, patterns.select("pattern_id", "pattern").schema)
+    found = first.join(F.broadcast(names), F.col("hit") == F.col("pattern")).join(texts.select(rid, body), rid)  # names is the bounded list
+    start = F.greatest(F.lit(1), F.col("at") - context)
+    return found.select(rid, "pattern_id", "n", "at", F.substring(body, start, F.col("at") - start + F.length("hit") + context).alias("before"))

@@ -180,19 +180,39 @@ def live_dupes(live: DataFrame, scraped: DataFrame, least: float = FUZZY) -> Dat
     return exact.unionByName(fuzzy)
 
 
+#: Bytes of probes, about, up to which they are sent to every task.
+SMALL = 8 << 20
+
+
 def containing(probes: DataFrame, texts: DataFrame) -> DataFrame:
     """Which texts hold which probes, ``probe_id, text_id``, for ``probes(probe_id, probe)`` and ``texts(text_id, body)``.
 
-    Joined on three words in a row and then checked: a probe's second to fourth word are
-    whole words of any text that holds it. Probes of fewer than five words are looked for in
-    every text; they are expected to be few and short lists.
+    A probe is looked for by its rarest key: of the three-word keys inside it (its first and
+    last word may be parts of words), the one that fewest texts hold. Only keys of probes
+    are counted, and of a text only rows with a probe's rarest key are formed, so a key that
+    is common in the corpus is joined only where a probe has no other. What is found is then
+    checked. Probes of fewer than five words are compared with all texts in blocks; they
+    are a small table, an error beyond ``SMALL`` bytes.
     """
-    p = probes.withColumn("w", F.split("probe", r"\s+"))
-    key = lambda w: F.xxhash64(F.array_join(w, " "))
-    long = p.where(F.size("w") >= 5).select("probe_id", "probe", key(F.slice("w", 2, 3)).alias("k"))
-    w = texts.select("text_id", F.split("body", r"\s+").alias("w")).where(F.size("w") >= 3)
-    places = w.select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: key(F.slice("w", i, 3))))).alias("k"))
-    pairs = places.join(long, "k").select("probe_id", "probe", "text_id").dropDuplicates(["probe_id", "text_id"])
+    p = probes.where("probe is not null").withColumn("w", F.split("probe", r"\s+"))
+
+    def keys(w: Column, first: int, less: int) -> Column:
+        """Hashes of three words in a row, from the ``first`` place on, the last ``less`` places left out."""
+        shifted = [F.slice(w, F.lit(k + 1), F.greatest(F.lit(0), F.size(w) - k)).alias(f"w{k}") for k in range(3)]
+        places = F.slice(F.arrays_zip(*shifted), F.lit(first), F.greatest(F.lit(0), F.size(w) - 1 - first - less))
+        return F.transform(places, lambda e: F.xxhash64(e["w0"], e["w1"], e["w2"]))
+
+    long = p.where(F.size("w") >= 5).select("probe_id", "probe", F.explode_outer(F.array_distinct(keys(F.col("w"), 2, 1))).alias("k"))
+    asked = long.select("k").distinct()
+    places = texts.select("text_id", F.explode_outer(keys(F.split("body", r"\s+"), 1, 0)).alias("k")).join(asked, "k", "left_semi").dropDuplicates(["k", "text_id"]).repartition("k")
+    held = places.groupBy("k").agg(F.count("*").alias("held"))
+    rarest = long.join(held, "k").groupBy("probe_id").agg(F.min(F.struct("held", "k")).alias("r"), F.count("*").alias("found"))
+    # a probe with a key that no text holds is in no text
+    wanted = long.groupBy("probe_id").agg(F.count("*").alias("all"), F.first("probe").alias("probe")).join(rarest, "probe_id").where("found = all").select("probe_id", "probe", F.col("r.k").alias("k"))
+    pairs = places.join(wanted, "k").select("probe_id", "probe", "text_id")
     found = pairs.join(texts, "text_id").where(F.contains("body", "probe")).select("probe_id", "text_id")
     short = p.where(F.size("w") < 5).select("probe_id", "probe")
-    return found.unionByName(texts.join(short, F.contains(F.col("body"), F.col("probe"))).select("probe_id", "text_id"))
+    size = short.agg(F.coalesce(F.sum(F.octet_length("probe") + 16), F.lit(0))).first()[0]
+    if size > SMALL:
+        raise ValueError(f"{size} bytes of probes of fewer than five words; {SMALL} at most")
+    return found.unionByName(texts.join(F.broadcast(short), F.contains(F.col("body"), F.col("probe"))).select("probe_id", "text_id"))

@@ -314,6 +314,25 @@ def toggle(state: dict[str, bool], what: str) -> tuple[dict[str, bool], list[str
     return new, [*rows, what if new[on] else undo[what]]
 
 
+def toggle_rows(taps: DataFrame) -> DataFrame:
+    """The log rows that readers' taps make, ``user_id, poem_id, created_at, id, n, action``, for ``taps(id, user_id, poem_id, what, created_at)``.
+
+    ``what`` is like, dislike or save. A tap turns its state on or off; like and dislike
+    exclude each other, so a like on a disliked poem makes two rows, n 0 (undislike) and 1
+    (like). Within a stretch of equal taps on a poem the state is on after every odd one,
+    as the stretch before it was of the other kind: two windows tell every state, no row
+    waits for the one before. Taps at one time go by id; nulls in ``what`` aren't taps.
+    """
+    taps = taps.where(F.col("what").isin("like", "dislike", "save")).withColumn("_kind", F.col("what") == "save")
+    by = Window.partitionBy("user_id", "poem_id", "_kind").orderBy("created_at", "id")
+    fresh = taps.withColumn("_fresh", ~F.col("what").eqNullSafe(F.lag("what").over(by))).withColumn("_stretch", F.sum(F.col("_fresh").cast("int")).over(by))
+    on = fresh.withColumn("_on", F.row_number().over(Window.partitionBy("user_id", "poem_id", "_kind", "_stretch").orderBy("created_at", "id")) % 2 == 1)
+    both = on.withColumn("_other", F.when(F.col("_fresh") & F.lag("_on").over(by), F.lag("what").over(by)))
+    undo = lambda c: F.concat(F.lit("un"), F.col(c))
+    rows = F.array(F.when(F.col("_other").isNotNull(), F.struct(F.lit(0).alias("n"), undo("_other").alias("action"))), F.struct(F.lit(1).alias("n"), F.when(F.col("_on"), F.col("what")).otherwise(undo("what")).alias("action")))
+    return both.select("user_id", "poem_id", "created_at", "id", F.inline(F.filter(rows, lambda r: r.isNotNull())))
+
+
 def nudge(n: Column) -> Column:
     """Which reminder to sign up a count of saved poems brings."""
     return F.when(n >= 10, 3).when(n >= 5, 2).when(n >= 1, 1).otherwise(0)

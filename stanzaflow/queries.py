@@ -12,9 +12,9 @@ from stanzaflow.functions import similarity as S
 from stanzaflow.functions import text as T
 from stanzaflow.operators import authors, curate, dedup, enrich, pages, vectors
 from stanzaflow.operators import recommend as R
-from stanzaflow.plans import repair, views
+from stanzaflow.plans import repair, serving, views
 from stanzaflow.plans.views import INTERACTIONS, POEMS, interactions, poems, table
-from stanzaflow.sources import readers, tables
+from stanzaflow.sources import readers, tables, writes
 
 READER = 10
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,6 +247,45 @@ def lookup_by_ids(spark, d):
     return R.by_ids(poems(spark, d), [7, 3, 999999999, 120])
 
 
+def _published(spark: SparkSession, d: str) -> SparkSession:
+    """A session of its own, so that views, functions and the reader of one query are no other's."""
+    own = spark.newSession()
+    serving.publish(own, poems(own, d), interactions(own, d))
+    return own
+
+
+@query(_SQL["lookup_by_ids"])
+def sql_lookup_by_ids(spark, d):
+    return _published(spark, d).sql("select ord, id, title, author from get_poems_by_ids(array(7, 3, 999999999, 120))")
+
+
+@query(_SQL["recommend_full"])
+def sql_recommend(spark, d):
+    """``recommend_full`` as a SQL table function: one plan, no driver steps."""
+    return _published(spark, d).sql(f"select * from recommend_poems({READER}, 5)")
+
+
+@query(_SQL["recommend_random"])
+def sql_recommend_random(spark, d):
+    return _published(spark, d).sql(f"select * from recommend_poems({READER}, long => false, force_random => true)")
+
+
+@query(f"{BASE}, {UNSEEN}, pool as (select * from unseen order by {key_sql('s:random')}, id limit 1000) select id, ord, 0 as level from {level0_sql('pool', 9, 'p', where=chr(10).join(['author not in (', chr(39) + 'A00' + chr(39) + ')']))}")
+def sql_pick_diverse(spark, d):
+    """The picker as a table function in Python over a pool."""
+    own = _published(spark, d)
+    R.random_pool(R.unseen(poems(own, d), interactions(own, d), READER), "s:random").createOrReplaceTempView("pool")
+    return own.sql("select * from pick_diverse(table(select id, author, corpus from pool), 9, array('A00', null), 'p')")
+
+
+@query(f"{BASE} select id, user_id, poem_id, action from interactions where user_id = {READER}")
+def sql_own_rows(spark, d):
+    """A view on the session's reader: who asks can't leave the reader out."""
+    own = _published(spark, d)
+    serving.as_reader(own, READER)
+    return own.sql("select id, user_id, poem_id, action from my_interactions")
+
+
 @query(f"{BASE}, names as (select distinct coalesce(corpus, '__null__') as c, corpus is null as last from poems) select array_to_string(list(c order by last, c), ',') as corpora from names")
 def list_corpora(spark, d):
     return R.corpora(poems(spark, d)).select(F.array_join("corpora", ",").alias("corpora"))
@@ -995,3 +1034,101 @@ def archive_pages(spark, d):
     html = F.concat(F.lit("<blockquote><p><b>The Title</b></p>"), F.replace(_escaped(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit("<br>\n")), F.lit("<iframe></iframe>more</blockquote>"))
     made = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
     return sites.site_records(made, "archive").select(F.col("page_id").alias("doc_id"), "body")
+
+
+# ---- tables in buckets, counted writes ----
+
+
+@query("select doc_id as id, case when doc_id % 4 = 2 then source else 'new' end as source from documents")
+def ingest_batches(spark, d):
+    """Four batches of files are upserted; the one with a row that breaks the check is left out, the others go on."""
+    folder = tables.fresh_folder(spark, "ingest")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    writes.create(rows, f"{folder}/table")
+    for k in range(4):
+        rows.where(F.col("id") % 4 == k).withColumn("source", F.when(F.col("id") == 2, "broken").otherwise("new")).coalesce(1).write.mode("append").json(f"{folder}/in")
+    writes.ingest(spark, f"{folder}/in", "id long, source string", f"{folder}/table", f"{folder}/log", f"{folder}/seen", check=F.col("source") != "broken")
+    return writes.read(spark, f"{folder}/table")
+
+
+@query("""select 'orders' as t, o_orderkey as a, 0 as b from orders where o_orderpriority <> '1-URGENT' union all
+select 'lineitem', l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderpriority = '1-URGENT')""")
+def bucket_delete(spark, d):
+    """Orders and, before them, their lines go by a predicate; what is left in both tables."""
+    folder = tables.fresh_folder(spark, "delete")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    lines = table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber").alias("line"), "l_orderkey", "l_linenumber")
+    writes.create(o, f"{folder}/orders")
+    writes.create(lines, f"{folder}/lineitem", "line")
+    writes.delete_rows(spark, f"{folder}/orders", o.where("o_orderpriority = '1-URGENT'").select("id"), (f"{folder}/lineitem", "l_orderkey"))
+    left = writes.read(spark, f"{folder}/orders").select(F.lit("orders").alias("t"), F.col("id").alias("a"), F.lit(0).alias("b"))
+    return left.unionByName(writes.read(spark, f"{folder}/lineitem").select(F.lit("lineitem").alias("t"), F.col("l_orderkey").alias("a"), F.col("l_linenumber").cast("int").alias("b")))
+
+
+def _fixed_marks(spark: SparkSession, d: str):
+    changes = {"body": F.replace("body", F.lit(","), F.lit(";")), "title": F.replace("title", F.lit("."), F.lit("!"))}
+    return writes.update_counted(poems(spark, d).select("id", "title", "body"), changes, tables.fresh_folder(spark, "update"))
+
+
+@query(f"{BASE} select id, replace(title, '.', '!') as title, replace(body, ',', ';') as body from poems")
+def counted_update(spark, d):
+    return _fixed_marks(spark, d)[0]
+
+
+@query(f"{BASE} select count(*) as n_rows, count(*) filter (contains(body, ',')) as body, count(*) filter (contains(title, '.')) as title from poems")
+def counted_update_counts(spark, d):
+    """The counts observed in the pass that wrote ``counted_update``'s rows."""
+    n = _fixed_marks(spark, d)[1]
+    return spark.createDataFrame([tuple(n.values())], ", ".join(f"{c} long" for c in n))
+
+
+@query(f"""{BASE}, r as (select id, list_filter([case when corpus is null then 'no corpus' end, case when embedding is null then 'no embedding' end, case when line_count > 5 then 'long' end], lambda x: x is not null) as reasons from poems)
+select id, len(reasons) > 0 as removed, array_to_string(reasons, ',') as reasons from r""")
+def split_required(spark, d):
+    """Kept and removed rows, written in one pass, with the reasons."""
+    reasons = {"no corpus": F.col("corpus").isNull(), "no embedding": F.col("embedding").isNull(), "long": F.col("line_count") > 5}
+    kept, removed, _ = writes.split_counted(poems(spark, d), reasons, tables.fresh_folder(spark, "split"))
+    return kept.select("id", F.lit(False).alias("removed"), F.lit("").alias("reasons")).unionByName(removed.select("id", F.lit(True).alias("removed"), F.array_join("reasons", ",").alias("reasons")))
+
+
+_STEPS = [("mark", F.replace("body", F.lit("***"), F.lit("*"))), ("comma", F.replace("body", F.lit(", "), F.lit(","))), ("trim", F.trim("body"))]
+
+
+@query(f"""{BASE}, s as (select id, body as b0, replace(body, '***', '*') as b1, replace(replace(body, '***', '*'), ', ', ',') as b2, trim(replace(replace(body, '***', '*'), ', ', ','), ' ') as b3 from poems)
+select id, step, before, after from (select id, 'mark' as step, length(b0)::int as before, length(b1)::int as after, b0 <> b1 as c from s union all
+  select id, 'comma', length(b1)::int, length(b2)::int, b1 <> b2 from s union all select id, 'trim', length(b2)::int, length(b3)::int, b2 <> b3 from s) where c""")
+def change_log(spark, d):
+    """Which step of a cleaning chain changed which row, from the pass that cleaned them."""
+    return writes.clean_counted(poems(spark, d).select("id", "body"), _STEPS, "body", tables.fresh_folder(spark, "clean"))[1]
+
+
+# ---- taps, many patterns ----
+
+_TAPS = """taps as (select event_id as id, user_id, event_id % 5 as poem_id, case event_type when 'click' then 'like' when 'error' then 'dislike' when 'purchase' then 'save' end as what, ts as created_at
+  from events where event_type in ('click', 'error', 'purchase'))"""
+
+
+@query(f"""with recursive {_TAPS}, numbered as (select *, row_number() over (partition by user_id, poem_id, what = 'save' order by created_at, id) as k from taps),
+fold as (
+  select id, user_id, poem_id, what, created_at, k, what as state, ''::varchar as old from numbered where k = 1 union all
+  select n.id, n.user_id, n.poem_id, n.what, n.created_at, n.k, case when f.state = n.what then '' else n.what end, f.state
+  from fold f join numbered n on n.user_id = f.user_id and n.poem_id = f.poem_id and (n.what = 'save') = (f.what = 'save') and n.k = f.k + 1
+)
+select user_id, poem_id, created_at, id, 0 as n, 'un' || old as action from fold where old <> '' and old <> what union all
+select user_id, poem_id, created_at, id, 1, case when state = '' then 'un' || what else what end from fold""")
+def toggle_log(spark, d):
+    what = F.when(F.col("event_type") == "click", "like").when(F.col("event_type") == "error", "dislike").when(F.col("event_type") == "purchase", "save")
+    e = table(spark, d, "events")
+    return R.toggle_rows(e.select(F.col("event_id").alias("id"), "user_id", (F.col("event_id") % 5).alias("poem_id"), what.alias("what"), F.col("ts").alias("created_at")))
+
+
+_PATTERNS = [(1, "***"), (2, "$$$"), (3, "(c)"), (4, "\n\n"), (5, "that")]
+
+
+@query(f"""{BASE}, p(pattern_id, pattern) as (values {", ".join(f"({k}, '{x}')" if chr(10) not in x else f"({k}, chr(10) || chr(10))" for k, x in _PATTERNS)})
+select id, pattern_id, ((length(body) - length(replace(body, pattern, ''))) // length(pattern))::bigint as n, instr(body, pattern)::int as at,
+  substr(body, greatest(1, instr(body, pattern) - 20), instr(body, pattern) - greatest(1, instr(body, pattern) - 20) + length(pattern) + 20) as before
+from poems, p where contains(body, pattern)""")
+def pattern_hits(spark, d):
+    patterns = spark.createDataFrame(_PATTERNS, "pattern_id int, pattern string")
+    return curate.pattern_hits(poems(spark, d).select("id", "body"), patterns)
