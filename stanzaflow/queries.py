@@ -1091,15 +1091,13 @@ def split_required(spark, d):
     return kept.select("id", F.lit(False).alias("removed"), F.lit("").alias("reasons")).unionByName(removed.select("id", F.lit(True).alias("removed"), F.array_join("reasons", ",").alias("reasons")))
 
 
-_STEPS = [("mark", F.replace("body", F.lit("***"), F.lit("*"))), ("comma", F.replace("body", F.lit(", "), F.lit(","))), ("trim", F.trim("body"))]
-
-
 @query(f"""{BASE}, s as (select id, body as b0, replace(body, '***', '*') as b1, replace(replace(body, '***', '*'), ', ', ',') as b2, trim(replace(replace(body, '***', '*'), ', ', ','), ' ') as b3 from poems)
 select id, step, before, after from (select id, 'mark' as step, length(b0)::int as before, length(b1)::int as after, b0 <> b1 as c from s union all
   select id, 'comma', length(b1)::int, length(b2)::int, b1 <> b2 from s union all select id, 'trim', length(b2)::int, length(b3)::int, b2 <> b3 from s) where c""")
 def change_log(spark, d):
     """Which step of a cleaning chain changed which row, from the pass that cleaned them."""
-    return writes.clean_counted(poems(spark, d).select("id", "body"), _STEPS, "body", tables.fresh_folder(spark, "clean"))[1]
+    steps = [("mark", F.replace("body", F.lit("***"), F.lit("*"))), ("comma", F.replace("body", F.lit(", "), F.lit(","))), ("trim", F.trim("body"))]
+    return writes.clean_counted(poems(spark, d).select("id", "body"), steps, "body", tables.fresh_folder(spark, "clean"))[1]
 
 
 # ---- taps, many patterns ----
