@@ -37,7 +37,7 @@ def test_pattern_hits(spark):
     assert got == want and (1, "q") not in got and got[6, "p"][0] == 3000
     assert curate.pattern_hits(spark.createDataFrame(texts, "id long, body string"), spark.createDataFrame([], "pattern_id string, pattern string")).collect() == []
     with pytest.raises(ValueError):
-        curate.pattern_hits(spark.createDataFrame(texts, "id long, body string"), spark.createDataFrame(patterns, "pattern_id string, pattern string"), most=5)
+        curate.pattern_hits(spark.createDataFrame(texts, "id long, body string"), spark.createDataFrame(patterns, "pattern_id string, pattern string"), most=4)
 
 
 def test_containing_equals_every_pair(spark):
