@@ -18,7 +18,7 @@ return_memory()
 
 #: Buckets of the hashed 1-, 2- and 3-grams.
 FEATURES = 1 << 16
-#: Most training rows of each language, about: rows whose hashed id is below a threshold.
+#: Most training rows of each language, about: rows whose hashed id and text are below a threshold.
 TRAIN_ROWS = 5_000
 #: Characters handled at once, so that a very long text needs little memory.
 PIECE = 1 << 20
@@ -100,10 +100,10 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     """Fits the model on ``doc_id, text, lang``.
 
     Rows without text or lang don't count. At most about ``train_rows`` rows of each
-    language are read, chosen by a hash of doc_id, so that what reaches the driver
+    language are read, chosen by a hash of doc_id and text, so that what reaches the driver
     (counts of FEATURES x languages) doesn't grow with the corpus. The priors are the shares
     of all labelled rows. More than ``MOST_LANGUAGES`` languages are an error. Null or
-    repeated ids are rows like any other; an empty table gives a model without languages.
+    repeated ids are rows like any other (rows equal in id and text are read together or not at all); an empty table gives a model without languages.
     """
     rows = labelled.where("lang is not null and text is not null")
     held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
@@ -113,7 +113,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     if not languages:
         return LanguageModel([], np.zeros((FEATURES, 0), np.float32), np.zeros(0))
     limit = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, train_rows / held[k]) * (1 << 30)))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < limit[F.col("lang")])
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30)) < limit[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
