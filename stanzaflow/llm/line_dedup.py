@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: A line of more than this share of a host's pages is boilerplate.
 RATIO = 0.3
-#: Hosts with fewer pages keep all lines: a share says nothing there.
-LEAST_PAGES = 5
+#: A line on fewer pages of a host isn't boilerplate, whatever its share: on one page alone it repeats nothing.
+LEAST_COPIES = 2
 #: Parts that the pages of one host are dealt to.
 SALTS = 32
 
@@ -32,12 +32,12 @@ def page_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def line_dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, salts: int = SALTS, least_copies: int = 1) -> DataFrame:
+def line_dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = 1, salts: int = SALTS, least_copies: int = LEAST_COPIES) -> DataFrame:
     """One row for each row of ``pages(page_id, url, html)``: ``page_id, host, n_lines, n_removed, kept``.
 
-    A line goes if more than ``ratio`` of its host's pages hold it, on hosts of
-    ``least_pages`` pages or more, and at least ``least_copies`` do; 1 and 2 take every host
-    that has two pages, with no line gone for being on a single page. Repeats within a page count once. ``kept`` holds the
+    A line goes if more than ``ratio`` of its host's pages hold it and at least
+    ``least_copies`` do, on hosts of every size (``least_pages`` leaves smaller hosts alone
+    if a caller wants that). Repeats within a page count once. ``kept`` holds the
     remaining lines joined by newlines. A url without scheme and host, or null, belongs to
     the host ''; null html has no lines. Repeated rows count as pages of their own.
 

@@ -75,12 +75,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op10_line_dedup_every_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ratio on every host, small ones included; a line on one page alone stays."""
-    out = line_dedup.line_dedup(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_pages=1, least_copies=2)
-    return out.select("page_id", "host", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic_runs(plant_periods(_documents(spark, sf_dir)))
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
@@ -103,7 +97,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_suffix_dedup, op2_language_id, op3_vector_dedup, op4_exact_dedup, op5_mixing, op6_byte_bpe, op7_simhash_dedup, op8_substring_dedup, op9_token_files, op10_line_dedup, op10_line_dedup_every_host, op11_periodic_runs, op12_main_text, op13_hard_negatives]
+    made = [op1_suffix_dedup, op2_language_id, op3_vector_dedup, op4_exact_dedup, op5_mixing, op6_byte_bpe, op7_simhash_dedup, op8_substring_dedup, op9_token_files, op10_line_dedup, op11_periodic_runs, op12_main_text, op13_hard_negatives]
     return {f.__name__: f for f in made}
 
 
@@ -158,23 +152,6 @@ from each""",
         "op10_line_dedup": f"""
 with p as (
   select page_id, lower(coalesce(regexp_extract(url, '{line_dedup.HOST}', 1), '')) as host, {_lines_sql()} as lines from pages
-), totals as (
-  select host, count(*) as n_pages from p group by host having count(*) >= {line_dedup.LEAST_PAGES}
-), gone as (
-  select host, line from (select host, unnest(list_distinct(lines)) as line from p) join totals using (host)
-  group by host, line, n_pages having count(*) > 1 and count(*) > {line_dedup.RATIO} * n_pages
-), lists as (
-  select host, list(line) as gone from gone group by host
-), each as (
-  select page_id, p.host, lines, list_filter(lines, lambda x: gone is null or not list_contains(gone, x)) as stays
-  from p left join lists using (host)
-)
-select page_id, host, len(lines)::bigint as n_lines, (len(lines) - len(stays))::bigint as n_removed,
-  sha256(array_to_string(stays, chr(10))) as kept_sha256
-from each""",
-        "op10_line_dedup_every_host": f"""
-with p as (
-  select page_id, lower(coalesce(regexp_extract(url, '{line_dedup.HOST}', 1), '')) as host, {_lines_sql()} as lines from pages
 ), totals as (
   select host, count(*) as n_pages from p group by host
 ), gone as (

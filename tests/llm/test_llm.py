@@ -352,8 +352,8 @@ def test_line_dedup(spark):
     d = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
     got = {r.page_id: r for r in line_dedup.line_dedup(d).collect()}
     assert (got[0].host, got[0].n_lines, got[0].n_removed, got[0].kept) == ("big.example", 3, 2, "Own 0")
-    assert got[9].kept == "Home\nOwn 9\nx y" and got[10].n_lines == 0 and got[11].host == ""
-    assert [r.kept for r in line_dedup.line_dedup(d, ratio=0.1).where("host = 'big.example'").collect()] == [""] * 8
+    assert got[9].kept == "Own 9" and got[10].n_lines == 0 and got[11].host == ""
+    assert [r.kept for r in line_dedup.line_dedup(d, ratio=0.1, least_copies=1).where("host = 'big.example'").collect()] == [""] * 8
     assert line_dedup.line_dedup(d.where("false")).count() == 0
     assert not re.search("Python|Arrow|Pandas", line_dedup.line_dedup(d)._jdf.queryExecution().toString())
 
@@ -361,15 +361,14 @@ def test_line_dedup(spark):
 def test_line_dedup_takes_small_hosts(spark, sf):
     rows = [(i, f"http://{h}/{i}", f"<p>Home</p><p>Own {i}</p>") for i, h in enumerate("aaaabbc")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r.n_removed for r in line_dedup.line_dedup(d).collect()} == {0}
-    got = line_dedup.line_dedup(d, least_pages=1, least_copies=2).orderBy("page_id").collect()
+    got = line_dedup.line_dedup(d).orderBy("page_id").collect()
     assert [r.kept for r in got] == [f"Own {i}" for i in range(6)] + ["Home\nOwn 6"]
     lines, removed = {r.page_id: r for r in line_dedup.line_dedup(spark.read.parquet(f"{sf}/pages.parquet"), least_pages=10**9).collect()}, {}
     for h in {r.host for r in lines.values()}:
         own = [r for r in lines.values() if r.host == h]
         on = Counter(x for r in own for x in set(r.kept.split("\n")) - {""})
         removed |= {r.page_id: sum(on[x] > max(1, 0.3 * len(own)) for x in r.kept.split("\n") if x) for r in own}
-    assert {r.page_id: r.n_removed for r in queries.op10_line_dedup_every_host(spark, sf).collect()} == removed
+    assert {r.page_id: r.n_removed for r in queries.op10_line_dedup(spark, sf).collect()} == removed
 
 
 def test_components(spark):

@@ -19,6 +19,35 @@ def test_full_hashes_are_grouped_for_survivors_only(spark):
     assert sum("Join LeftSemi" in x for x in below) >= 2
 
 
+def test_full_hashes_are_made_for_survivors_only(spark):
+    plan = exact_dedup(frame(spark, corpus(6)).repartition(2))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    semi = [i for i, x in enumerate(plan) if "Join LeftSemi" in x]
+    assert len(semi) == 2
+    below = [x for i, x in enumerate(plan) if any(i > s and depth[i] > depth[s] for s in semi[:1])]
+    assert below and not any("sha2" in x for x in below)
+    assert not any("sha2" in x for x in plan if "Filter" in x)
+    assert sum("sha2(" in x for x in plan) == 2  # survivors, and every text for output
+
+
+@pytest.mark.parametrize("most_keys", [0, 3, 10**6])
+def test_exact_dedup_with_many_keys(spark, most_keys):
+    d = frame(spark, corpus(6))
+    assert sorted(map(tuple, exact_dedup(d, most_keys=most_keys).collect())) == sorted(map(tuple, exact_dedup(d).collect()))
+
+
+def test_training_rows_are_bounded_whatever_the_ids(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(language_id, "SMOOTHING", 0.0)
+    for ids in ([None] * 400, [7] * 400):
+        d = frame(spark, [f"text number {i}" for i in range(400)], ids=ids, langs=["en"] * 400)
+        with np.errstate(divide="ignore"):
+            read.append(np.exp(language_id.train(d, train_rows=40).logp).max())
+        chosen = d.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30)) < int(0.1 * (1 << 30))).count()
+        assert 15 <= chosen <= 80
+    assert all(0 < x < 1 for x in read)
+
+
 def test_exact_dedup_odd_rows(spark):
     rows = exact_dedup(frame(spark, ["a", "a", None, "", "b"], ids=[None, 3, 3, None, 3])).collect()
     assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in rows) == [(-1, 3, 2, False), (-1, 3, 2, False), (3, 3, 1, True), (3, 3, 2, True), (3, 3, 2, True)]
@@ -308,6 +337,6 @@ def test_every_host_against_sql(spark, sf):
 
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
-    want = sorted(con.sql(queries.oracle_sql()["op10_line_dedup_every_host"]).fetchall())
-    got = queries.op10_line_dedup_every_host(spark, sf)
+    want = sorted(con.sql(queries.oracle_sql()["op10_line_dedup"]).fetchall())
+    got = queries.op10_line_dedup(spark, sf)
     assert sorted(tuple(r) for r in got.collect()) == want and got.columns == ["page_id", "host", "n_lines", "n_removed", "kept_sha256"]
