@@ -270,9 +270,9 @@ def test_byte_bpe_is_the_rank_tokenizer(spark, monkeypatch):
     assert all(both[i].key == got[i].ids and bytes(both[i].spans) == bytes(got[i].decoded) for i in range(len(texts)))
 
 
-def brute_simhash(t):
+def brute_simhash(t, words=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    s = [" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] or ([" ".join(w)] if w else [])
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 

@@ -39,12 +39,26 @@ def test_exact(stages):
 
 def test_near(stages):
     before, after = (sorted(d.collect(), key=lambda r: r.doc_id) for d in stages[2])
-    fp, comp = [brute_simhash(r.text) for r in before], list(range(len(before)))
-    while (new := [min(comp[j] for j in range(len(fp)) if (fp[i] ^ fp[j]).bit_count() <= 2) for i in range(len(fp))]) != comp:
+    fp, comp = [brute_simhash(r.text, P.NEAR_WORDS) for r in before], list(range(len(before)))
+    while (new := [min(comp[j] for j in range(len(fp)) if (fp[i] ^ fp[j]).bit_count() <= P.NEAR_RADIUS) for i in range(len(fp))]) != comp:
         comp = new
     assert [r.doc_id for r in after] == [before[i].doc_id for i in sorted(set(comp))]
 
 
+def test_near_finds_planted_copies_and_leaves_clean_documents(spark):
+    rng = __import__("random").Random(6)
+    own = [[f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(rng.randrange(80, 500))] for _ in range(150)]
+    rows, planted = [(i, " ".join(w)) for i, w in enumerate(own)], 0
+    for i, w in enumerate(own[:100]):
+        copy = list(w)
+        for _ in range(max(1, len(w) // 60)):  # keeps a Jaccard similarity of five-word shingles above 0.8
+            copy[rng.randrange(len(copy))] = "edited"
+        rows.append((1000 + i, " ".join(copy)))
+    kept = {r.doc_id for r in P.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert set(range(150)) <= kept
+    assert sum(i not in kept for i in range(1000, 1100)) >= 90
+
+
 def test_mixed(stages):
     before, after = (d.collect() for d in stages[3])
     words = lambda rows: Counter({s: sum(len(r.text.split()) for r in rows if r.source == s) for s in {r.source for r in rows}})
