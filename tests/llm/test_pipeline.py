@@ -47,7 +47,8 @@ def test_near(stages):
 
 def test_near_finds_planted_copies_and_leaves_clean_documents(spark):
     rng = __import__("random").Random(6)
-    own = [[f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(rng.randrange(80, 500))] for _ in range(150)]
+    words, often = [f"w{k}" for k in range(5000)], [1 / (k + 2.7) for k in range(5000)]  # as often as words of prose
+    own = [rng.choices(words, often, k=rng.randrange(80, 500)) for _ in range(150)]
     rows, planted = [(i, " ".join(w)) for i, w in enumerate(own)], 0
     for i, w in enumerate(own[:100]):
         copy = list(w)
