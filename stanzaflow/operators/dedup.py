@@ -169,14 +169,24 @@ def near_dup_longest(rows: DataFrame, least: int = 50) -> DataFrame:
 
 
 def live_dupes(live: DataFrame, scraped: DataFrame, least: float = FUZZY) -> DataFrame:
-    """Scraped rows that agree with a live row of their author: ``rid, live_id, why`` (title, first line, else body ratio)."""
-    j = scraped.alias("s").join(live.alias("l"), "author_norm")
-    title = (F.col("s.title_norm") != "") & (F.col("s.title_norm") == F.col("l.title_norm"))
-    first = (F.length("s.first_line") > LEAST_LINE) & (F.col("s.first_line") == F.col("l.first_line"))
-    possible = (F.least(F.length("s.body_key"), F.length("l.body_key")) >= LEAST_BODY) & (S.ratio_bound(F.col("s.body_key"), F.col("l.body_key")) >= least)
-    cols = [F.col("s.rid").alias("rid"), F.col("l.rid").alias("live_id")]
-    exact = j.where(title | first).select(*cols, F.when(title, "title").otherwise("firstline").alias("why"))
-    fuzzy = j.where(~F.coalesce(title | first, F.lit(False)) & possible).select(*cols, S.sequence_ratio_from("s.body_key", "l.body_key", least).alias("r")).where("r is not null").select("rid", "live_id", F.lit("body").alias("why"))
+    """Scraped rows that agree with a live row of their author: ``rid, live_id, why`` (title, first line, else body ratio).
+
+    Titles and first lines are joined as keys. Bodies meet in bands of the logarithm of
+    their length, so a pair that the bound on the ratio excludes by length is never formed.
+    """
+    import math
+
+    s = scraped.select("rid", "author_norm", "title_norm", "first_line", "body_key")
+    l = live.select(F.col("rid").alias("live_id"), "author_norm", "title_norm", "first_line", F.col("body_key").alias("live_key"))
+    title = s.where("title_norm <> ''").join(l, ["author_norm", "title_norm"]).select("rid", "live_id", F.lit(0).alias("k"))
+    line = s.where(F.length("first_line") > LEAST_LINE).join(l, ["author_norm", "first_line"]).select("rid", "live_id", F.lit(1).alias("k"))
+    exact = title.unionByName(line).groupBy("rid", "live_id").agg(F.min("k").alias("k")).select("rid", "live_id", F.when(F.col("k") == 0, "title").otherwise("firstline").alias("why"))
+    step = math.log((2 - least) / least)
+    band = lambda c: F.floor(F.log(F.length(c)) / F.lit(step))
+    a = s.where(F.length("body_key") >= LEAST_BODY).select("rid", "author_norm", "body_key", band("body_key").alias("band"))
+    b = l.where(F.length("live_key") >= LEAST_BODY).select("live_id", "author_norm", "live_key", F.explode(F.array(band("live_key") - 1, band("live_key"), band("live_key") + 1)).alias("band"))
+    pairs = a.join(b, ["author_norm", "band"]).where(S.ratio_bound(F.col("body_key"), F.col("live_key")) >= least).join(exact, ["rid", "live_id"], "left_anti")
+    fuzzy = pairs.select("rid", "live_id", S.sequence_ratio_from("body_key", "live_key", least).alias("r")).where("r is not null").select("rid", "live_id", F.lit("body").alias("why"))
     return exact.unionByName(fuzzy)
 
 

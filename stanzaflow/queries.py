@@ -515,18 +515,6 @@ def merge_clusters_fuzzy(spark, d):
     return _merged(_clustered_whole(spark, d)[0])
 
 
-@query("select doc_id from documents where not exists (select 1 from benchmark b where lower(substr(b.text, 1, 30)) = lower(substr(documents.text, 1, 30)))")
-def live_antijoin(spark, d):
-    live = table(spark, d, "benchmark").select(F.lower(F.substring("text", 1, 30)).alias("k"))
-    return table(spark, d, "documents").withColumn("k", F.lower(F.substring("text", 1, 30))).join(live, "k", "left_anti").select("doc_id")
-
-
-@query("select doc_id from documents where lower(substr(text, 1, 20)) in (select lower(substr(text, 1, 20)) from documents where source = 'src7')")
-def deleted_titles(spark, d):
-    t = table(spark, d, "documents").withColumn("k", F.lower(F.substring("text", 1, 20)))
-    return t.join(t.where("source = 'src7'").select("k"), "k", "left_semi").select("doc_id")
-
-
 @query()
 def body_fuzzy_edges(spark, d):
     r = _dedup_rows(spark, d).withColumn("body_key", T.body_key(F.col("body")))
@@ -542,15 +530,9 @@ def live_dupes(spark, d):
     return dedup.live_dupes(r.where("live"), r.where("not live"))
 
 
-@query("select b.item_id as probe_id, d.doc_id as text_id from (select item_id, substr(text, 1, 40) as p from benchmark) b join documents d on contains(d.text, b.p)")
-def probe_join(spark, d):
-    probes = table(spark, d, "benchmark").select(F.col("item_id").alias("probe_id"), F.substring("text", 1, 40).alias("probe"))
-    return dedup.containing(probes, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.col("text").alias("body")))
-
-
 @query()
-def live_antijoin_whole(spark, d):
-    """Documents that agree with no benchmark text by title, first line or body ratio; ``live_antijoin`` compares 30 characters."""
+def live_antijoin(spark, d):
+    """Documents that agree with no benchmark text by title, first line or body ratio."""
     def rows(name, rid):
         body = F.coalesce("text", F.lit(""))
         return table(spark, d, name).select(
@@ -559,7 +541,7 @@ def live_antijoin_whole(spark, d):
         )
 
     docs = rows("documents", "doc_id")
-    found = dedup.live_dupes(F.broadcast(rows("benchmark", "item_id")), docs)
+    found = dedup.live_dupes(rows("benchmark", "item_id"), docs)
     return docs.join(found.select("rid"), "rid", "left_anti").select(F.col("rid").alias("doc_id"))
 
 
@@ -567,16 +549,16 @@ _TITLES = "titles as (select doc_id, source, lower(substr(string_split(text, chr
 
 
 @query(f"with {_TITLES} select doc_id from titles where t <> '' and t in (select t from titles where source = 'src7')")
-def deleted_titles_whole(spark, d):
-    """By the title of the poems view, the first line up to 40 characters; ``deleted_titles`` compares 20 of the text."""
+def deleted_titles(spark, d):
+    """By the title of the poems view, the first line up to 40 characters."""
     t = table(spark, d, "documents").select("doc_id", "source", F.lower(F.substring(F.split("text", "\n")[0], 1, 40)).alias("k")).where("k <> ''")
     return t.join(t.where("source = 'src7'").select("k"), "k", "left_semi").select("doc_id")
 
 
 @query("""with lines as (select item_id, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x))) as p from benchmark)
 select distinct item_id as probe_id, doc_id as text_id from lines join documents d on length(p) >= 20 and contains(d.text, p)""")
-def probe_join_whole(spark, d):
-    """Which documents hold any line of 20 characters or more of which benchmark text; ``probe_join`` looks for its first 40 characters."""
+def probe_join(spark, d):
+    """Which documents hold any line of 20 characters or more of which benchmark text."""
     lines = table(spark, d, "benchmark").select(F.col("item_id").alias("i"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("probe", F.trim("line"))
     probes = lines.where(F.length("probe") >= 20).select(F.struct("i", "pos").alias("probe_id"), "probe")
     found = dedup.containing(probes, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.col("text").alias("body")))
@@ -831,15 +813,9 @@ def stanza_transplant(spark, d):
     return repair.stanza_plan(_stanzas(spark, d).withColumn("grade", F.lit("near")))
 
 
-@query("select count(*) as n_before, count(*) as n_after from documents where length(text) > 0")
-def clean_chain(spark, d):
-    rows = table(spark, d, "documents").where(F.length("text") > 0).select("source", F.col("text").alias("body"))
-    return curate.clean_b(rows).agg(F.count("*").alias("n_before"), F.count("body").alias("n_after"))
-
-
 @query()
-def clean_chain_rows(spark, d):
-    """The cleaned bodies and change logs themselves, two sources standing for those with rules of their own; ``clean_chain`` counts rows."""
+def clean_chain(spark, d):
+    """The cleaned bodies and change logs themselves, two sources standing for those with rules of their own."""
     source = F.when(F.col("source") == "src1", "podcast").when(F.col("source") == "src2", "daily").otherwise(F.col("source")).alias("source")
     rows = table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", source, F.col("text").alias("body"))
     return curate.clean_b(rows).select("doc_id", F.sha2("body", 256).alias("body_sha256"), "changes")

@@ -73,12 +73,12 @@ def test_whole_forms_compare_more_than_openings(spark, tmp_path):
     spark.createDataFrame([(i, t, s) for i, (t, s) in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = lambda name: sorted(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect())
-    assert rows("live_antijoin") == [(1,), (2,), (3,), (4,), (5,)] and rows("live_antijoin_whole") == [(0,), (2,), (3,), (4,), (5,)]
-    assert rows("deleted_titles") == [(3,), (4,), (5,)] and rows("deleted_titles_whole") == [(3,), (5,)]
-    assert rows("probe_join") == [] and rows("probe_join_whole") == [(7, 1), (7, 2)]
+    assert rows("live_antijoin") == [(0,), (2,), (3,), (4,), (5,)]
+    assert rows("deleted_titles") == [(3,), (5,)]
+    assert rows("probe_join") == [(7, 1), (7, 2)]
 
 
-def test_clean_chain_rows_against_plain_python(spark, tmp_path):
+def test_clean_chain_against_plain_python(spark, tmp_path):
     import hashlib
 
     head, tail, memorial = "by A Poet\n\n", '\n\n"Song" from Book by A Poet. Copyright © 2001', "\n\n \n\n***\nIn Memoriam\nblurb"
@@ -102,5 +102,5 @@ def test_clean_chain_rows_against_plain_python(spark, tmp_path):
                 t, changes = new(t), [*changes, name]
         return hashlib.sha256(t.encode()).hexdigest(), changes
 
-    got = {r.doc_id: (r.body_sha256, r.changes) for r in queries()["clean_chain_rows"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.body_sha256, r.changes) for r in queries()["clean_chain"](spark, str(tmp_path)).collect()}
     assert got == {i: plain(t, s) for i, t, s in texts} and {c for _, cs in got.values() for c in cs} == {"encoding", "byline", "copyright", "memorial", "nbsp"}
