@@ -19,7 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Forest, components, cut, partitions, spread_hot
+from .shared import Forest, components, cut, partitions, return_memory, spread_hot
+
+return_memory()
 
 #: Fingerprints of one strip that one task lays into tiles; pairs of fingerprints that are compared at once.
 TILE, PAIRS = 8192, 1 << 20
@@ -53,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, digest: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t.as_py(), words, seed) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
     text = F.col("text").cast("string")
@@ -142,6 +144,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
         for p, q in compare(strip, side, fp, radius):
             edges += forest.connect(which[p], which[q])
         a, b = (np.array(x, np.int64) for x in (zip(*edges, strict=True) if edges else ([], [])))
+        pa.default_memory_pool().release_unused()
         return pa.table({"a": pa.array(names[a].view(np.int64)), "b": pa.array(names[b].view(np.int64))})
 
     return strips.select("part", "key", "tile", "side", "fp").groupBy("part").applyInArrow(run, "a long, b long")
