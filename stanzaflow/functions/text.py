@@ -238,12 +238,44 @@ def embedding_text(title: Column, author: Column, body: Column, summary: Column)
     return F.concat_ws("\n", title, author, body, summary)
 
 
+def prompt_text(title: Column, author: Column, body: Column, summary: Column | None = None) -> Column:
+    """What a scorer is given of a text, and with its summary what an embedder is given; null counts as empty."""
+    t, a, b = (F.coalesce(c, F.lit("")) for c in (title, author, body))
+    parts = [F.lit("TITLE: "), t, F.lit("\nAUTHOR: "), a, F.lit("\n\n"), b]
+    return F.concat(*parts, *([] if summary is None else [F.lit("\n\nSUMMARY: "), F.coalesce(summary, F.lit(""))]))
+
+
 def probes(c: Column, n: int = 5, least: int = 20) -> Column:
-    """The ``n`` longest lines of at least ``least`` characters, longest first, then in text order."""
-    made = F.transform(nonblank_lines(c), lambda x, i: F.struct((-F.length(strip(x))).alias("n"), i.alias("i"), strip(x).alias("line")))
+    """The ``n`` best lines of at least ``least`` characters to look a text up by: those without quotes, dashes and marks of markup first, then the longest, then in text order."""
+    made = F.transform(nonblank_lines(c), lambda x, i: F.struct(strip(x).rlike("['\"’“”—–…&<>]").alias("marked"), (-F.length(strip(x))).alias("n"), i.alias("i"), strip(x).alias("line")))
     return F.transform(F.slice(F.array_sort(F.filter(made, lambda s: s["n"] <= -least)), 1, n), lambda s: s["line"])
 
 
+#: How a character may be written in a page.
+SPELLINGS = {
+    "'": ("&#39;", "’", "&#146;", "&#8217;"),
+    "’": ("&#8217;", "'"),
+    '"': ("&#34;", "&quot;"),
+    "&": ("&amp;",),
+    "—": ("&#151;", "&#8212;"),
+    "–": ("&#150;", "&#8211;"),
+    "…": ("&#133;", "..."),
+}
+
+
+def escaped(c: Column) -> Column:
+    """The text with the five characters that markup reserves as references."""
+    for mark, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(mark), F.lit(reference))
+    return c
+
+
+def spellings(c: Column) -> Column:
+    """A line as a page may hold it: itself, with all of one character written in another way, escaped; each once, in this order."""
+    other = [F.when(F.contains(c, F.lit(mark)), F.replace(c, F.lit(mark), F.lit(way))) for mark, ways in SPELLINGS.items() for way in ways]
+    return F.array_distinct(F.array_compact(F.array(c, *other, escaped(c))))
+
+
 def padded_id(n: Column, prefix: str = "poem", width: int = 4) -> Column:
     return F.format_string(f"{prefix}_%0{width}d", n)
 

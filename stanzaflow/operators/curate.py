@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from stanzaflow.functions import similarity as S
 from stanzaflow.functions import text as T
+from stanzaflow.operators.dedup import near_dup_longest
 
 
 def length_profile(rows: DataFrame) -> DataFrame:
@@ -75,6 +76,50 @@ def clean_a(rows: DataFrame) -> DataFrame:
     return fixed.where(~T.prose_block(F.col("body")))
 
 
+def clean_first(rows: DataFrame) -> DataFrame:
+    """Every row with what the first cleaning chain makes of it, kept ones and removed ones.
+
+    ``rows(rid, title, author, body, ...)``, rid unique; title and body become the cleaned
+    ones (as they were, where a field is missing), ``changes`` names the steps that altered a
+    row, ``removed`` why it goes: missing (a field is null or blank), duplicate (the first 200
+    characters of a cleaned text agree with a longer one's, or an earlier one's as long),
+    prose; null for rows that stay. A row that goes as prose still is what others duplicate.
+    """
+    missing = T.nonempty(F.col("title")).isNull() | T.nonempty(F.col("author")).isNull() | T.nonempty(F.col("body")).isNull()
+    steps = (("editor", "body", T.drop_editor_line(F.col("body"))), ("marks", "body", T.plain_marks(F.col("body"))), ("footnote", "title", T.clean_title(F.col("title"))))
+    out = rows.withColumn("_missing", missing).withColumn("changes", F.array().cast("array<string>"))
+    for name, column, new in steps:
+        out = out.withColumn("_new", F.when(F.col("_missing"), F.col(column)).otherwise(new))
+        out = out.withColumn("changes", F.when(F.col(column).eqNullSafe(F.col("_new")), F.col("changes")).otherwise(F.array_append("changes", F.lit(name)))).withColumn(column, F.col("_new")).drop("_new")
+    best = near_dup_longest(out.where(~F.col("_missing")).select("rid", "body")).select("rid", F.lit(True).alias("_best"))
+    why = F.when(F.col("_missing"), "missing").when(F.col("_best").isNull(), "duplicate").when(T.prose_block(F.col("body")), "prose")
+    return out.join(best, "rid", "left").withColumn("removed", why).select(*rows.columns, "changes", "removed")
+
+
+def finalise(rows: DataFrame, listed: DataFrame, overrides: DataFrame | None = None, dropped: tuple[str, ...] = (), cap: int = 20, least: float = 85.0) -> DataFrame:
+    """The selection: the best ``cap`` rows of an author among those whose title is one of the author's listed ones.
+
+    ``rows(rid, author, title, body, line_count)``; ``listed(author, listed)`` and
+    ``overrides`` with the same columns, whose titles replace all that are listed of an
+    author; authors ``dropped`` have none. Adds ``score`` (the best token-sort ratio, from
+    ``least`` on), ``exact``, the place ``k`` and ``n_matched``, how many rows of the author
+    matched. Each different title of an author is compared once, however many rows have it.
+    """
+    titles = listed.select("author", "listed")
+    if overrides is not None:
+        titles = titles.join(overrides.select("author").distinct(), "author", "left_anti").unionByName(overrides.select("author", "listed"))
+    if dropped:
+        titles = titles.where(~F.col("author").isin(*dropped))
+    titles = titles.select("author", T.match_title(F.col("listed")).alias("_l")).distinct()
+    made = rows.withColumn("_t", T.match_title(F.col("title")))
+    pairs = made.select("author", "_t").distinct().join(titles, "author")
+    best = pairs.select("author", "_t", S.token_sort_ratio("_t", "_l").alias("s"), (F.col("_t") == F.col("_l")).alias("same")).groupBy("author", "_t").agg(F.max("s").alias("score"), F.bool_or("same").alias("exact"))
+    matched = made.join(best.where(F.col("score") >= least), ["author", "_t"]).drop("_t")
+    total = matched.groupBy("author").agg(F.count("*").alias("n_matched"))
+    kept = cap_per_author(matched, cap, F.col("exact"), F.col("score"))
+    return kept.join(total, "author").select(*rows.columns, "score", "exact", "k", "n_matched")
+
+
 def clean_b(rows: DataFrame) -> DataFrame:
     """The second chain with a log: ``changes`` names the rules that altered a text. ``rows(source, body, ...)``."""
     pod, daily = F.col("source") == "podcast", F.col("source") == "daily"

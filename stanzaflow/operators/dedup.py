@@ -192,6 +192,22 @@ def live_dupes(live: DataFrame, scraped: DataFrame, least: float = FUZZY) -> Dat
 
 #: Bytes of probes, about, up to which they are sent to every task.
 SMALL = 8 << 20
+#: Characters of the pieces by which many short probes are looked for.
+PIECE = 10
+
+
+def _containing_pieces(probes: DataFrame, texts: DataFrame) -> DataFrame:
+    """As ``containing`` for probes of 2 * PIECE - 1 characters or more, of any words.
+
+    A text is cut into pieces of PIECE characters; wherever it holds a probe, one of its
+    pieces lies within the probe's first 2 * PIECE - 1 characters, so both meet at its hash.
+    """
+    cuts = F.array(*[F.xxhash64(F.substring("probe", k + 1, PIECE)) for k in range(PIECE)])
+    p = probes.select("probe_id", "probe", F.explode(F.array_distinct(cuts)).alias("k"))
+    pieces = F.transform(F.regexp_extract_all("body", F.lit(f"(?s).{{{PIECE}}}"), F.lit(0)), lambda x: F.xxhash64(x))
+    places = texts.select("text_id", F.explode(F.array_distinct(pieces)).alias("k")).join(p.select("k").distinct(), "k", "left_semi")
+    pairs = places.join(p, "k").select("probe_id", "probe", "text_id").distinct()
+    return pairs.join(texts, "text_id").where(F.contains("body", "probe")).select("probe_id", "text_id")
 
 
 def containing(probes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -201,8 +217,9 @@ def containing(probes: DataFrame, texts: DataFrame) -> DataFrame:
     last word may be parts of words), the one that fewest texts hold. Only keys of probes
     are counted, and of a text only rows with a probe's rarest key are formed, so a key that
     is common in the corpus is joined only where a probe has no other. What is found is then
-    checked. Probes of fewer than five words are compared with all texts in blocks; they
-    are a small table, an error beyond ``SMALL`` bytes.
+    checked. Probes of fewer than five words are compared with all texts in blocks up to
+    ``SMALL`` bytes of them; beyond that those of 19 characters or more are found by pieces of
+    the texts, and shorter ones are an error beyond ``SMALL`` bytes.
     """
     p = probes.where("probe is not null").withColumn("w", F.split("probe", r"\s+"))
 
@@ -222,7 +239,10 @@ def containing(probes: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = places.join(wanted, "k").select("probe_id", "probe", "text_id")
     found = pairs.join(texts, "text_id").where(F.contains("body", "probe")).select("probe_id", "text_id")
     short = p.where(F.size("w") < 5).select("probe_id", "probe")
-    size = short.agg(F.coalesce(F.sum(F.octet_length("probe") + 16), F.lit(0))).first()[0]
-    if size > SMALL:
-        raise ValueError(f"{size} bytes of probes of fewer than five words; {SMALL} at most")
+    size = lambda d: d.agg(F.coalesce(F.sum(F.octet_length("probe") + 16), F.lit(0))).first()[0]
+    if size(short) > SMALL:
+        fits = F.length("probe") >= 2 * PIECE - 1
+        found, short = found.unionByName(_containing_pieces(short.where(fits), texts)), short.where(~fits)
+        if (n := size(short)) > SMALL:
+            raise ValueError(f"{n} bytes of probes of fewer than five words and {2 * PIECE - 1} characters; {SMALL} at most")
     return found.unionByName(texts.join(F.broadcast(short), F.contains(F.col("body"), F.col("probe"))).select("probe_id", "text_id"))

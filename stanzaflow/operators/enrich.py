@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stanzaflow.functions import text as T
+from stanzaflow.sources import tables
 
 RESULT = "struct<custom_id:string,response:struct<status_code:int,body:struct<choices:array<struct<message:struct<content:string>>>,data:array<struct<embedding:array<double>>>>>>"
 RUBRIC = "struct<mood:int,emotional_intensity:int,imagery:int,accessibility:int,formality:int,summary:string>"
@@ -99,6 +100,66 @@ def join_results(rows: DataFrame, results: DataFrame, key: str) -> DataFrame:
     return rows.join(good, key, "left")
 
 
+def merge_results(rows: DataFrame, scores: DataFrame, vectors: DataFrame, key: str = "id", width: int | None = None) -> DataFrame:
+    """Rows with ``rubric, summary, embedding`` from parsed results, and why one is lacking.
+
+    ``scores`` and ``vectors`` come from ``parse_results``. ``score_error`` is absent, status,
+    empty or parse, then rubric and summary are null; or missing or range, then they hold what
+    the result says. ``vector_error`` is absent, status or, for vectors of another length than
+    ``width``, width; the vector is null for the first two. Both are null where all is well.
+    """
+    s = scores.select(F.col("custom_id").alias(key), F.struct("status", "content").alias("_s"))
+    v = vectors.select(F.col("custom_id").alias(key), F.struct(F.col("status"), F.col("embedding").alias("vector")).alias("_v"))
+    why = F.when(F.col("_s").isNull(), "absent").otherwise(rubric_error(F.col("_s.status"), F.col("_s.content")))
+    said = F.when(F.col("score_error").isNull() | F.col("score_error").isin("missing", "range"), rubric(F.col("_s.content")))
+    failed = F.col("_v.status").isNull() | (F.col("_v.status") != 200) | F.col("_v.vector").isNull()
+    odd = F.lit(False) if width is None else F.size("_v.vector") != width
+    wrong = F.when(F.col("_v").isNull(), "absent").when(failed, "status").when(odd, "width")
+    out = rows.join(s, key, "left").join(v, key, "left").withColumn("score_error", why).withColumn("vector_error", wrong).withColumn("_r", said)
+    rubric_of = F.when(F.col("_r").isNotNull(), F.struct(*[F.col(f"_r.{c}").alias(c) for c in SCORES]))
+    summary = F.when(F.col("_r").isNotNull(), F.coalesce("_r.summary", F.lit("")))
+    vector = F.when(F.coalesce(F.col("vector_error"), F.lit("")).isin("", "width"), F.col("_v.vector"))
+    return out.select(*rows.columns, rubric_of.alias("rubric"), summary.alias("summary"), vector.alias("embedding"), "score_error", "vector_error")
+
+
+#: The names that title, author, text and corpus have in the three kinds of records that a table is loaded from.
+RECORDS = {"plain": ("Title", "Author", "text", None), "sourced": ("title", "author", "poem_text", "primary_source"), "scored": ("title", "author", "body", "corpus")}
+
+
+def table_rows(rows: DataFrame, kind: str, at: Column | None = None) -> DataFrame:
+    """Rows of the poems table from records of one of the kinds ``RECORDS``, with their ``id``.
+
+    Plain records have no results yet. Sourced and scored ones bring ``rubric, summary,
+    embedding``; a blank summary or corpus is null, a sourced record's corpus is trimmed and in
+    lower case, its translator '' where blank; only sourced records name translators.
+    """
+    title, author, body, corpus = RECORDS[kind]
+    out = [F.col("id"), F.col(title).alias("title"), F.col(author).alias("author"), F.col(body).alias("body"), T.line_count(F.coalesce(body, F.lit(""))).alias("line_count")]
+    if kind == "plain":
+        return rows.select(*out)
+    name = T.nonempty(F.lower(F.col(corpus)) if kind == "sourced" else F.col(corpus))
+    translator = F.coalesce(T.nonempty(F.col("translator")), F.lit("")) if kind == "sourced" else F.lit("")
+    out += [F.col("embedding"), name.alias("corpus"), translator.alias("translator"), T.nonempty(F.col("summary")).alias("summary")]
+    return rows.select(*out, *[F.col(f"rubric.{c}").alias(c) for c in SCORES], (F.current_timestamp() if at is None else at).alias("enriched_at"))
+
+
+def load_batch(table: DataFrame, merged: DataFrame, order: str, again: bool = False, at: Column | None = None) -> DataFrame:
+    """The table with a scored batch (``merge_results``) added, if no row of it lacks its score or its vector.
+
+    Ids go on from the table's largest number in the order given. ``again`` finishes a load
+    that broke off after its last row was written: the batch's ids then end at the largest
+    number, and only rows whose id isn't there are added. A batch that lacks a result is an error.
+    """
+    n = merged.agg(F.count("*").alias("n"), F.count_if(F.col("rubric").isNull()).alias("scores"), F.count_if(F.col("embedding").isNull()).alias("vectors")).first()
+    lacking = {what: n[what] for what in ("scores", "vectors") if n[what]}
+    if lacking:
+        raise ValueError("incomplete: " + ", ".join(f"{k} {what} are missing" for what, k in lacking.items()))
+    base = table.agg((F.coalesce(F.max(tables.numeric_suffix(F.col("id"))), F.lit(0)) - (n["n"] if again else 0)).alias("_base"))
+    numbered = tables.numbered_rows(merged, order, "_i").join(F.broadcast(base), F.lit(True))  # one row
+    batch = table_rows(numbered.withColumn("id", T.padded_id(F.col("_base") + F.col("_i"))), "scored", at)
+    return tables.insert_ignore(table, batch.select(*table.columns))
+
+
 def completeness(rows: DataFrame, **parts: tuple[DataFrame, str]) -> DataFrame:
     """``part, n_missing``: rows of ``rows(id)`` without a row in each part ``(table, key)``."""
     out = None

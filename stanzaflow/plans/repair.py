@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.functions import text as T
 from stanzaflow.functions.text import _fold
+from stanzaflow.operators import dedup
 
 
 def _flat(body: str) -> list[str]:
@@ -109,13 +110,122 @@ def backfill(poems: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def best_attempt(attempts: DataFrame) -> DataFrame:
-    """The attempt that counts for each poem: strict before near before the rest, then source order, then ratio. ``attempts(id, source_ord, grade, ratio)``."""
+    """The attempt that counts for each poem: the first strict one, else the near one of the largest ratio, else any of the largest ratio; ties go to the earlier.
+
+    ``attempts(id, source_ord, grade, ratio)``, and ``ord`` where a source is tried more than once; other columns are kept.
+    """
     rank = F.when(F.col("grade") == "strict", 2).when(F.col("grade") == "near", 1).otherwise(0)
-    return attempts.groupBy("id").agg(F.max_by(F.struct("source_ord", "grade", "ratio"), F.struct(rank, -F.col("source_ord"), F.col("ratio"))).alias("x")).select("id", "x.*")
+    place = [-F.col(c) for c in ("source_ord", "ord") if c in attempts.columns]
+    ratio = F.when(rank == 2, 0.0).otherwise(F.coalesce("ratio", F.lit(0.0)))  # a strict match ends the search
+    rest = [c for c in attempts.columns if c != "id"]
+    return attempts.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(rank, ratio, *place)).alias("x")).select("id", "x.*")
+
+
+def scope(poems: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Where each poem's stanzas can be had: ``id, category, source, ref, note``.
+
+    ``attempts(id, source_ord, ord, source, ref, n_fetched, ratio, grade, has_breaks)``: texts
+    that were found for a poem, graded; ``n_fetched`` is null or 0 where there was no text.
+    Categories are those of ``CATEGORIES``; source and ref are given where a text counts as
+    the poem's, else ``note`` tells the best of those that don't. Attempts for poems that aren't
+    there are passed over; one poem's attempts are never gathered.
+    """
+    best = best_attempt(attempts.withColumn("ratio", F.round("ratio", 3)))
+    found = attempts.groupBy("id").agg(F.max(F.coalesce("n_fetched", F.lit(0)) > 0).alias("_found"))
+    exact = best_attempt(attempts.where(F.col("grade").isin("strict", "near"))).select("id", *[F.col(c).alias(f"_{c}") for c in ("source", "ref", "grade", "has_breaks")])
+    r = poems.select("id").join(best.select("id", "source", "ratio", "grade"), "id", "left").join(found, "id", "left").join(exact, "id", "left")
+    kind = F.concat(F.when(F.col("_grade") == "strict", "FOUND").otherwise("FOUND_NEAR"), F.when(F.col("_has_breaks"), "_WITH_STANZAS").otherwise("_NO_STANZAS"))
+    category = F.when(F.col("_grade").isNotNull(), kind).when(F.col("_found"), "FOUND_MISMATCH").otherwise("NOT_FOUND")
+    note = F.when(F.col("category") == "FOUND_MISMATCH", F.concat(F.lit("best "), "source", F.lit(" ratio "), F.format_string("%.3f", "ratio"), F.lit(" ("), "grade", F.lit(")")))
+    return r.withColumn("category", category).select("id", "category", F.col("_source").alias("source"), F.col("_ref").alias("ref"), F.coalesce(note, F.lit("")).alias("note"))
+
+
+#: The categories of ``scope`` whose texts a stanza plan can use, and the grade that each stands for.
+USABLE = {"FOUND_WITH_STANZAS": "strict", "FOUND_NEAR_WITH_STANZAS": "near"}
+CATEGORIES = (*USABLE, "FOUND_NO_STANZAS", "FOUND_NEAR_NO_STANZAS", "FOUND_MISMATCH", "NOT_FOUND")
+
+
+def saved_scopes(cache: DataFrame, poems: DataFrame) -> DataFrame:
+    """The rows that ``stanza_plan`` takes, from saved scopes: ``id, stored, fetched, grade, skipped``.
+
+    ``cache(id, category, fetched_body)``, ``poems(id, body, corpus)``. Scopes that can't be used
+    and those of poems that are gone have no row; ``skipped`` says why a poem is left alone, else null.
+    """
+    grade = F.coalesce(*[F.when(F.col("category") == c, g) for c, g in USABLE.items()])
+    text = F.coalesce("fetched_body", F.lit(""))
+    why = (
+        F.when(F.col("corpus").isNotNull(), F.concat(F.lit("corpus "), "corpus")).when(T.has_stanza_breaks(F.coalesce("body", F.lit(""))), "has stanza breaks")
+        .when(text == "", "no text")
+    )
+    usable = cache.where(F.col("category").isin(*USABLE)).select("id", "category", "fetched_body")
+    return usable.join(poems.select("id", "body", "corpus"), "id").select("id", F.col("body").alias("stored"), text.alias("fetched"), grade.alias("grade"), why.alias("skipped"))
 
 
 def reparse_flags(old_lines, new_lines, old_stanzas, new_stanzas):
-    """What makes a re-parsed body implausible."""
-    return F.array_compact(F.array(
-        F.when(F.abs(new_lines - old_lines) > F.greatest(F.lit(2), old_lines * 0.2), "line-drift"), F.when(new_lines == 0, "empty"), F.when(new_stanzas < old_stanzas, "fewer-stanzas"),
-        F.when((new_lines > 3) & (new_stanzas >= new_lines), "every-line")))
+    """What makes a re-parsed body implausible: no lines; nearly every line a stanza, where that wasn't so before; over 40 % more or fewer lines."""
+    spread = (new_lines > 3) & (new_stanzas / new_lines > 0.7) & (old_stanzas / F.greatest(old_lines, F.lit(1)) < 0.5)
+    drift = (old_lines >= 3) & (F.abs(new_lines - old_lines) / old_lines > 0.4)
+    some = new_lines > 0
+    return F.array_compact(F.array(F.when(~some, "empty-body"), F.when(some & spread, "too-many-stanzas"), F.when(some & drift, "line-drift")))
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """``rows(id, old_body, new_body, ...)`` with lines and stanzas of both, ``flags`` and ``gained``: did it have one stanza and now more?"""
+    sizes = {}
+    for side in ("old", "new"):
+        body = F.coalesce(f"{side}_body", F.lit(""))
+        sizes |= {f"{side}_lines": T.line_count(body), f"{side}_stanzas": T.stanza_count(body)}
+    out = rows.withColumns(sizes)
+    flags = reparse_flags(*[F.col(c) for c in ("old_lines", "new_lines", "old_stanzas", "new_stanzas")])
+    return out.withColumn("flags", flags).withColumn("gained", F.expr("old_stanzas <= 1 and new_stanzas > 1"))
+
+
+def found_entries(poems: DataFrame, entries: DataFrame) -> DataFrame:
+    """``id, pos``: the page that each poem is on, of ``poems(id, body)`` and ``entries(pos, html)``.
+
+    The best lines of a poem are looked for one after the other, each in the spellings that a
+    page may have; the first that any page holds decides, and the first page that holds it.
+    Lines that many poems share are looked for once.
+    """
+    lines = poems.select("id", F.posexplode(T.probes(F.col("body"))).alias("i", "line"))
+    asked = lines.select("id", "i", F.posexplode(T.spellings(F.col("line"))).alias("j", "probe"))
+    wanted = asked.select("probe").distinct()
+    held = dedup.containing(wanted.select(F.col("probe").alias("probe_id"), "probe"), entries.select(F.col("pos").alias("text_id"), F.col("html").alias("body")))
+    first = held.groupBy(F.col("probe_id").alias("probe")).agg(F.min("text_id").alias("pos"))
+    return asked.join(first, "probe").groupBy("id").agg(F.min(F.struct("i", "j", "pos")).alias("m")).select("id", F.col("m.pos").alias("pos"))
+
+
+def reparse_plan(poems: DataFrame, entries: DataFrame, parse: Callable[[Column], Column]) -> DataFrame:
+    """A plan for new bodies from the pages that poems came from, as ``apply_plan`` takes it.
+
+    ``poems(id, body)``, ids unique; ``entries(pos, html)``, pos unique; ``parse`` makes the body of
+    a page, null or blank where it can't. Returns ``id, pos, status, new_body``, what ``compared``
+    adds, and ``skipped``; status is missed (no page holds a line of the poem), unparsed, flagged or ok.
+    Only pages that hold a poem are parsed, each once.
+    """
+    found = found_entries(poems, entries)
+    used = entries.join(found.select("pos").distinct(), "pos", "left_semi").select("pos", T.nonempty(parse(F.col("html"))).alias("new_body"))
+    rows = poems.select("id", F.col("body").alias("old_body")).join(found, "id", "left").join(used, "pos", "left")
+    out = compared(rows)
+    status = F.when(F.col("pos").isNull(), "missed").when(F.col("new_body").isNull(), "unparsed").when(F.size("flags") > 0, "flagged").otherwise("ok")
+    out = out.withColumn("status", status).withColumn("skipped", F.col("status") != "ok")
+    some = ~F.col("status").isin("missed", "unparsed")
+    cleared = {c: F.when(some, F.col(c)) for c in ("new_lines", "new_stanzas", "flags", "gained")}
+    return out.withColumns(cleared).select("id", "pos", "status", "new_body", "old_lines", "new_lines", "old_stanzas", "new_stanzas", "flags", "gained", "skipped")
+
+
+def backfill_chain(poems: DataFrame, sources: list[DataFrame]) -> DataFrame:
+    """Markup for poems from several parsed sources: ``id, html, status, n_sources``.
+
+    ``poems(id, author, body)``, each source ``(author, body, html)``. What a source gives by author
+    and body counts once however often it repeats; a poem that sources (or rows of one) give
+    different markup is a conflict and gets none.
+    """
+    said = None
+    for k, source in enumerate(sources):
+        part = source.select("author", "body", "html", F.lit(str(k)).alias("source"))
+        said = part if said is None else said.unionByName(part)
+    keys = [T.author_key(F.col("author")).alias("ak"), T.body_key(F.col("body")).alias("bk")]
+    n = said.select(*keys, "source").groupBy("ak", "bk").agg(F.count_distinct("source").alias("n_sources"))
+    per = poems.select("id", *keys).join(n, ["ak", "bk"], "left").select("id", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+    return backfill(poems, said).join(per, "id")

@@ -32,10 +32,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from stanzaflow import chain_queries  # noqa: F401  puts its own in
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from stanzaflow import chain_queries  # noqa: F401
+
     return dict(_SQL)
 
 

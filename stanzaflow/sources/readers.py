@@ -16,6 +16,15 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def json_by_file(spark: SparkSession, folder: str, schema: str, only: list[str] | None = None) -> DataFrame:
+    """One JSON object a file, with ``file_id``, the file's name without its ending; of the files named ``only``, if given, no other is opened."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    name = F.col("_metadata.file_name")
+    if only is not None:
+        rows = rows.where(name.isin([f"{x}.json" for x in only]))
+    return rows.select("*", F.regexp_replace(name, r"\.json$", "").alias("file_id"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank and broken lines are skipped."""
     raw = spark.read.text(path).where(~F.col("value").rlike(T.BLANK))

@@ -32,10 +32,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def _markdown(df: DataFrame) -> Column:
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
 def markdown_rows(df: DataFrame) -> DataFrame:
     """Each row as a line of a Markdown table."""
-    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    return df.select(_markdown(df).alias("line"))
+
+
+def write_listing(rows: DataFrame, order: str, folder: str) -> None:
+    """The rows in order as CSV with a header (``folder/csv``) and as one Markdown table (``folder/md``), in files whose names are in order."""
+    sorted_ = rows.orderBy(order)
+    write_csv(sorted_, f"{folder}/csv")
+    head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(rows.columns) + " |"), (1, "|" + "---|" * len(rows.columns))], "part int, line string")
+    lines = rows.select(F.lit(2).alias("part"), F.col(order).alias("at"), _markdown(rows).alias("line"))
+    head.select("part", F.lit(None).cast(rows.schema[order].dataType).alias("at"), "line").unionByName(lines).orderBy("part", "at").select("line").write.mode("overwrite").text(f"{folder}/md")
 
 
 def upsert(table: DataFrame, batch: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
