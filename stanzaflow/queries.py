@@ -364,9 +364,9 @@ _texts("typography_chain", r"""replace(regexp_replace(regexp_replace(regexp_repl
 _texts("accent_snippet", r"case when contains(body, 'é') then regexp_extract(body, '(?s).{0,40}(?:é).{0,40}', 0) end", lambda c: T.snippet(c, "é"))
 
 
-@query(f"{BASE} select id, regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(l)), '[^a-z0-9_]', ' ', 'g'), '\\s+', ' ', 'g')), 'x^', '') as value from (select id, coalesce(list_filter(string_split(body, chr(10)), lambda x: {views.NONBLANK} and not regexp_matches(x, '(?i)^\\s*by\\s+\\S'))[1], '') as l from poems) where not contains(l, 'ß')")
+@query(f"{BASE} select id, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(l)), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9_]', ' ', 'g'), '\\s+', ' ', 'g')) as value from (select id, coalesce(list_filter(string_split(body, chr(10)), lambda x: {views.NONBLANK} and not regexp_matches(x, '(?i)^\\s*by\\s+\\S'))[1], '') as l from poems)")
 def first_line_key(spark, d):
-    return poems(spark, d).where(~F.contains(F.coalesce(F.get(F.filter(T.nonblank_lines(F.col("body")), lambda x: ~x.rlike(r"(?i)^\s*by\s+\S")), F.lit(0)), F.lit("")), F.lit("ß"))).select("id", T.first_line(F.col("body")).alias("value"))
+    return poems(spark, d).select("id", T.first_line(F.col("body")).alias("value"))
 
 
 @query(f"""{BASE} select case when length(body) < 150 then '<150' when length(body) < 500 then '150-499' when length(body) < 2000 then '500-1999' when length(body) < 5000 then '2000-4999' else '>=5000' end as label, count(*) as n from poems group by all""")
@@ -602,15 +602,19 @@ def canonical_variant(spark, d):
     return authors.canonical(named).select(F.col("comp").alias("grp"), "canonical", "n_variants", "count")
 
 
-@query("""with w as (select doc_id, lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) as name from documents),
-u as (select name, min(doc_id) as rid, split_part(name, ' ', 2) as last_norm, replace(name, ' ', '') as full from w where regexp_full_match(name, '[a-z]+ [a-z]+') group by name)
-select a.rid as a, b.rid as b, a.name as name_a, b.name as name_b from u a join u b on a.rid < b.rid and a.last_norm <> b.last_norm and levenshtein(a.last_norm, b.last_norm) <= 2
+@query("""with w as (select doc_id, trim(array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:2], ' ')) as name from documents where text is not null),
+p as (select name, min(doc_id) as rid, string_split(rtrim(regexp_replace(name, '[’‘]', chr(39), 'g'), ' ,;('), ' ') as parts from w where name <> '' group by name),
+u as (select name, rid, regexp_replace(lower(strip_accents(parts[-1])), '[^a-z]', '', 'g') as last_norm,
+  trim(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(array_to_string(parts[1:-2], ' '), '([a-zA-Z])\\.', '\\1 ', 'g'))), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g')) as first_norm from p),
+f as (select *, first_norm || last_norm as full from u where last_norm <> '')
+select a.rid as a, b.rid as b, a.name as name_a, b.name as name_b from f a join f b on a.rid < b.rid and a.last_norm <> b.last_norm and abs(length(a.last_norm) - length(b.last_norm)) <= 2 and levenshtein(a.last_norm, b.last_norm) <= 2
   and 1 - levenshtein(a.full, b.full) / greatest(length(a.full), length(b.full), 1) >= 0.6""")
 def name_fuzzy_flags(spark, d):
-    w = F.split("text", " ")
-    t = table(spark, d, "documents").select("doc_id", F.lower(F.concat(F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)))).alias("name")).where(F.col("name").rlike("^[a-z]+ [a-z]+$"))
-    u = t.groupBy("name").agg(F.min("doc_id").alias("rid")).withColumn("last_norm", F.split("name", " ")[1]).withColumn("full", F.replace("name", F.lit(" "), F.lit("")))
-    return authors.fuzzy_flags(u, 0.6)
+    """Doubtful pairs of the first two words of every text, folded."""
+    w = F.split(T.collapse(F.col("text")), " ")
+    t = table(spark, d, "documents").select("doc_id", T.collapse(F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1)))).alias("name")).where("name <> ''")
+    u = t.groupBy("name").agg(F.min("doc_id").alias("rid")).withColumn("last_norm", authors.last_norm(F.col("name"))).withColumn("full", F.concat(authors.first_norm(F.col("name")), F.col("last_norm")))
+    return authors.fuzzy_flags(u.where("last_norm <> ''"), 0.6)
 
 
 @query("select p_partkey, case p_brand when 'Brand#1' then 'Brand#2' else p_brand end as author from part")
@@ -727,9 +731,12 @@ def cost_model(spark, d):
 # ---- pages ----
 
 
-@query(r"select page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') as title from pages where regexp_matches(html, '(?is)<h1[^>]*>.*?</h1>')")
+_SHOWN = lambda c: rf"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '{c}', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '')"
+
+
+@query(f"""select page_id, coalesce({_SHOWN("(?is)<h1[^>]*>(.*?)</h1>")}, {_SHOWN("(?is)<meta[^>]*property=.og:title.[^>]*content=.([^>]*?).[ /]*>")}, {_SHOWN("(?is)<title[^>]*>(.*?)</title>")}) as title from pages""")
 def page_title(spark, d):
-    return table(spark, d, "pages").where(F.col("html").rlike("(?is)<h1[^>]*>.*?</h1>")).select("page_id", pages.title(F.col("html")).alias("title"))
+    return table(spark, d, "pages").select("page_id", pages.title(F.col("html")).alias("title"))
 
 
 @query("""select page_id, (unnest(range(len(hs))))::int as pos, unnest(hs) as href from (select page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) as hs from pages)""")
@@ -883,14 +890,14 @@ def result_lines_parsed(spark, d):
     return enrich.parse_results(_result_lines(spark, d), order="event_id").select("custom_id", "status", "content")
 
 
-@query("""with last as (select user_id as chunk, arg_max(case event_type when 'click' then 'submitted' when 'view' then 'running' when 'purchase' then 'completed' when 'error' then 'failed' else 'downloaded' end, event_id) as state from events where user_id < 40 group by all),
-s as (select r.range as chunk, coalesce(state, 'pending') as state from range(50) r left join last on last.chunk = r.range),
+@query("""with last as (select user_id as chunk, arg_max(case event_type when 'click' then 'submitted' when 'view' then 'running' when 'purchase' then 'completed' when 'error' then 'failed' else 'downloaded' end, event_id) as state from events group by all),
+s as (select c_custkey as chunk, coalesce(state, 'pending') as state from customer left join last on last.chunk = c_custkey),
 f as (select max((state in ('submitted', 'running'))::int) as busy, min(case when state in ('pending', 'failed') then chunk end) as first from s)
 select chunk::bigint as chunk, state, case when state in ('submitted', 'running') then 'poll' when state = 'completed' then 'download' when state = 'downloaded' then 'done' when busy = 0 and chunk = first then 'submit' else 'wait' end as next from s, f""")
 def chunk_states(spark, d):
     named = F.element_at(F.create_map(*[F.lit(x) for x in ("click", "submitted", "view", "running", "purchase", "completed", "error", "failed", "signup", "downloaded")]), F.col("event_type"))
-    events = table(spark, d, "events").where("user_id < 40").select(F.col("user_id").alias("chunk"), F.col("event_id").alias("seq"), named.alias("state"))
-    return enrich.chunk_states(spark.range(50).withColumnRenamed("id", "chunk"), events)
+    events = table(spark, d, "events").select(F.col("user_id").alias("chunk"), F.col("event_id").alias("seq"), named.alias("state"))
+    return enrich.chunk_states(table(spark, d, "customer").select(F.col("c_custkey").alias("chunk")), events)
 
 
 @query("""select p_partkey as id, (ord - 1)::int as ord, guess from (select p_partkey, unnest(gs) as guess, generate_subscripts(gs, 1) as ord
@@ -950,27 +957,6 @@ def merge_chain(spark, d):
     return merged.select("winner", "n", "cls", F.array_join("provenance", ",").alias("provenance"))
 
 
-@query()
-def first_line_key_whole(spark, d):
-    """The key of every text; ``first_line_key`` leaves out those that SQL folds in another way."""
-    return poems(spark, d).select("id", T.first_line(F.col("body")).alias("value"))
-
-
-@query()
-def page_title_whole(spark, d):
-    """The title of every page, by heading or fallback; ``page_title`` reads those with a heading."""
-    return table(spark, d, "pages").select("page_id", pages.title(F.col("html")).alias("title"))
-
-
-@query()
-def name_fuzzy_flags_whole(spark, d):
-    """Doubtful pairs of the first two words of every text, folded; ``name_fuzzy_flags`` takes plain ASCII words."""
-    w = F.split(T.collapse(F.col("text")), " ")
-    t = table(spark, d, "documents").select("doc_id", T.collapse(F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1)))).alias("name")).where("name <> ''")
-    u = t.groupBy("name").agg(F.min("doc_id").alias("rid")).withColumn("last_norm", authors.last_norm(F.col("name"))).withColumn("full", F.concat(authors.first_norm(F.col("name")), F.col("last_norm")))
-    return authors.fuzzy_flags(u.where("last_norm <> ''"), 0.6)
-
-
 # ---- earlier forms of the recommender ----
 
 _LAST = "last as (select user_id, poem_id, arg_max(action, (created_at, id)) as a from interactions where action in ('save', 'super_like', 'dislike', 'unsave') group by all)"
