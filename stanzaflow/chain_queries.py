@@ -11,6 +11,7 @@ from stanzaflow.operators import authors, curate, dedup, enrich
 from stanzaflow.plans import repair
 from stanzaflow.plans.views import NONBLANK, poems, table
 from stanzaflow.queries import _KEY, BASE, NAMES, query
+from stanzaflow.sources import tables
 
 # ---- prompts, probes ----
 
@@ -178,7 +179,9 @@ def reparse_pages(spark, d):
     pages = table(spark, d, "pages").select(F.col("page_id").alias("pos"), "html")
     read = lambda c: T.page_text(T.balanced_block(c, "article"))
     flat = pages.select(F.col("pos").alias("id"), F.regexp_replace(F.coalesce(read(F.col("html")), F.lit("")), r"\n\s*\n", "\n").alias("body"))
-    plan = repair.reparse_plan(flat, pages, read)
+    folder = tables.fresh_folder(spark, "stored")
+    flat.write.parquet(f"{folder}/poems")  # they stand for a stored table
+    plan = repair.reparse_plan(spark.read.parquet(f"{folder}/poems"), pages, read)
     return plan.select(F.col("id").alias("page_id"), "pos", "status", "old_lines", "new_lines", "old_stanzas", "new_stanzas", F.array_join("flags", ",").alias("flags"), "gained", F.sha2("new_body", 256).alias("body_sha256"))
 
 

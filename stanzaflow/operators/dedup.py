@@ -217,9 +217,9 @@ def containing(probes: DataFrame, texts: DataFrame) -> DataFrame:
     last word may be parts of words), the one that fewest texts hold. Only keys of probes
     are counted, and of a text only rows with a probe's rarest key are formed, so a key that
     is common in the corpus is joined only where a probe has no other. What is found is then
-    checked. Probes of fewer than five words are compared with all texts in blocks up to
-    ``SMALL`` bytes of them; beyond that those of 19 characters or more are found by pieces of
-    the texts, and shorter ones are an error beyond ``SMALL`` bytes.
+    checked. Probes of fewer than five words are found by pieces of the texts if they have 19
+    characters or more; shorter ones are compared with all texts in blocks, a small table, an
+    error beyond ``SMALL`` bytes. Probe ids are unique.
     """
     p = probes.where("probe is not null").withColumn("w", F.split("probe", r"\s+"))
 
@@ -229,20 +229,19 @@ def containing(probes: DataFrame, texts: DataFrame) -> DataFrame:
         places = F.slice(F.arrays_zip(*shifted), F.lit(first), F.greatest(F.lit(0), F.size(w) - 1 - first - less))
         return F.transform(places, lambda e: F.xxhash64(e["w0"], e["w1"], e["w2"]))
 
-    long = p.where(F.size("w") >= 5).select("probe_id", "probe", F.explode_outer(F.array_distinct(keys(F.col("w"), 2, 1))).alias("k"))
+    long = p.where(F.size("w") >= 5).select("probe_id", F.explode_outer(F.array_distinct(keys(F.col("w"), 2, 1))).alias("k"))
     asked = long.select("k").distinct()
     places = texts.select("text_id", F.explode_outer(keys(F.split("body", r"\s+"), 1, 0)).alias("k")).join(asked, "k", "left_semi").dropDuplicates(["k", "text_id"]).repartition("k")
     held = places.groupBy("k").agg(F.count("*").alias("held"))
     rarest = long.join(held, "k").groupBy("probe_id").agg(F.min(F.struct("held", "k")).alias("r"), F.count("*").alias("found"))
     # a probe with a key that no text holds is in no text
-    wanted = long.groupBy("probe_id").agg(F.count("*").alias("all"), F.first("probe").alias("probe")).join(rarest, "probe_id").where("found = all").select("probe_id", "probe", F.col("r.k").alias("k"))
-    pairs = places.join(wanted, "k").select("probe_id", "probe", "text_id")
+    wanted = long.groupBy("probe_id").agg(F.count("*").alias("all")).join(rarest, "probe_id").where("found = all").select("probe_id", F.col("r.k").alias("k"))
+    pairs = places.join(wanted, "k").select("probe_id", "text_id").join(p.select("probe_id", "probe"), "probe_id")
     found = pairs.join(texts, "text_id").where(F.contains("body", "probe")).select("probe_id", "text_id")
     short = p.where(F.size("w") < 5).select("probe_id", "probe")
-    size = lambda d: d.agg(F.coalesce(F.sum(F.octet_length("probe") + 16), F.lit(0))).first()[0]
-    if size(short) > SMALL:
-        fits = F.length("probe") >= 2 * PIECE - 1
-        found, short = found.unionByName(_containing_pieces(short.where(fits), texts)), short.where(~fits)
-        if (n := size(short)) > SMALL:
-            raise ValueError(f"{n} bytes of probes of fewer than five words and {2 * PIECE - 1} characters; {SMALL} at most")
+    fits = F.length("probe") >= 2 * PIECE - 1
+    found, short = found.unionByName(_containing_pieces(short.where(fits), texts)), short.where(~fits)
+    size = short.agg(F.coalesce(F.sum(F.octet_length("probe") + 16), F.lit(0))).first()[0]
+    if size > SMALL:
+        raise ValueError(f"{size} bytes of probes of fewer than five words and {2 * PIECE - 1} characters; {SMALL} at most")
     return found.unionByName(texts.join(F.broadcast(short), F.contains(F.col("body"), F.col("probe"))).select("probe_id", "text_id"))

@@ -187,12 +187,20 @@ def found_entries(poems: DataFrame, entries: DataFrame) -> DataFrame:
     page may have; the first that any page holds decides, and the first page that holds it.
     Lines that many poems share are looked for once.
     """
+    keep = (lambda d: d.checkpoint()) if poems.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
     lines = poems.select("id", F.posexplode(T.probes(F.col("body"))).alias("i", "line"))
-    asked = lines.select("id", "i", F.posexplode(T.spellings(F.col("line"))).alias("j", "probe"))
-    wanted = asked.select("probe").distinct()
-    held = dedup.containing(wanted.select(F.col("probe").alias("probe_id"), "probe"), entries.select(F.col("pos").alias("text_id"), F.col("html").alias("body")))
-    first = held.groupBy(F.col("probe_id").alias("probe")).agg(F.min("text_id").alias("pos"))
-    return asked.join(first, "probe").groupBy("id").agg(F.min(F.struct("i", "j", "pos")).alias("m")).select("id", F.col("m.pos").alias("pos"))
+    pages = entries.select(F.col("pos").alias("text_id"), F.col("html").alias("body"))
+
+    def held(asked: DataFrame) -> DataFrame:
+        wanted = asked.select("probe").distinct().withColumn("probe_id", F.unhex(F.md5("probe")))
+        first = dedup.containing(wanted, pages).groupBy("probe_id").agg(F.min("text_id").alias("pos"))
+        best = asked.withColumn("probe_id", F.unhex(F.md5("probe"))).join(first, "probe_id").groupBy("id").agg(F.min(F.struct("i", "j", "pos")).alias("m"))
+        return best.select("id", F.col("m.pos").alias("pos"))
+
+    # most poems are found by their best line as it stands; only the others are looked for by all lines and spellings
+    early = keep(held(lines.where("i = 0").select("id", "i", F.lit(0).alias("j"), F.col("line").alias("probe"))))
+    rest = lines.join(early.select("id"), "id", "left_anti").select("id", "i", F.posexplode(T.spellings(F.col("line"))).alias("j", "probe"))
+    return early.unionByName(held(rest))
 
 
 def reparse_plan(poems: DataFrame, entries: DataFrame, parse: Callable[[Column], Column]) -> DataFrame:
