@@ -198,3 +198,11 @@ def test_markup_of_several_sources(spark):
     frame = lambda rows: spark.createDataFrame(rows, "author string, body string, html string")
     got = repair.backfill_chain(poems, [frame([("a", "xy", "<1>"), ("a", "XY", "<1>"), ("B", "w", "<3>")]), frame([("A", "X Y", "<1>"), ("b", "w", "<other>"), ("A", "q", "<2>")])])
     assert {r.id: (r.html, r.status, r.n_sources) for r in got.collect()} == {1: ("<1>", "one", 2), 2: ("<2>", "one", 1), 3: (None, "conflict", 2), 4: (None, "none", 0)}
+
+
+def test_numbers_of_rows_beyond_the_sample(spark):
+    n = 40_000
+    rows = spark.range(n, numPartitions=8).select("id", F.struct((F.col("id") * 7919 % 10_007).alias("k"), "id").alias("by"), F.lit("x").alias("rest"))
+    got = tables.numbered_rows(rows, "by", "place").select("id", "place").collect()
+    order = sorted(range(n), key=lambda i: (i * 7919 % 10_007, i))
+    assert {r["id"]: r["place"] for r in got} == {i: k + 1 for k, i in enumerate(order)}
