@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,10 +65,40 @@ def cap_per_author(rows: DataFrame, cap: int = 20, exact: Column | None = None,
     return kept.withColumn("k", F.row_number().over(Window.partitionBy("author").orderBy(*order))).where(F.col("k") <= cap)
 
 
+#: Different titles of a tile: a pair of tiles is one task's work.
+TITLES = 4096
+
+
+def _best_titles(titles: DataFrame, listed: DataFrame) -> DataFrame:
+    """``author, _t, score, exact`` for ``titles(author, _t)``: the best token-sort ratio with one of ``listed(author, _l)``, and whether one is the same.
+
+    Different titles of an author meet in tiles, so that there is no row for each pair.
+    """
+    a, b = titles.select("author", F.col("_t").alias("s")).where("author is not null and s is not null").distinct(), listed.select("author", F.col("_l").alias("s")).where("author is not null and s is not null").distinct()
+    parts = lambda d, name: d.groupBy("author").agg(F.ceil(F.count("*") / TITLES).cast("int").alias(name))
+    grid = parts(a, "n_a").join(parts(b, "n_b"), "author")
+    mine = lambda n: F.pmod(F.xxhash64("s"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = a.join(grid, "author").withColumn("ta", mine("n_a")).withColumn("tb", all_("n_b")).withColumn("side", F.lit(0))
+    right = b.join(grid, "author").withColumn("tb", mine("n_b")).withColumn("ta", all_("n_a")).withColumn("side", F.lit(1))
+    kind = titles.schema["author"].dataType
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        own, other = (table.filter(pc.equal(table["side"], i))["s"].to_pylist() for i in (0, 1))
+        own = own if other else []
+        same = set(other)
+        return pa.table({"author": pa.array([key[0].as_py()] * len(own), key[0].type), "_t": pa.array(own, pa.string()), "score": pa.array(S.best_token_sort(own, other) if own else [], pa.float64()), "exact": pa.array([s in same for s in own], pa.bool_())})
+
+    cells = left.unionByName(right).select("author", "ta", "tb", "side", "s").groupBy("author", "ta", "tb")
+    found = cells.applyInArrow(compare, f"author {kind.simpleString()}, _t string, score double, exact boolean")
+    return found.groupBy("author", "_t").agg(F.max("score").alias("score"), F.bool_or("exact").alias("exact"))
+
+
 def title_matches(rows: DataFrame, titles: DataFrame, least: float = 85.0) -> DataFrame:
     """``rid, score``: the best token-sort ratio of a row's title among its author's listed titles, from ``least`` on. ``titles(author, listed)``."""
-    p = rows.select("rid", "author", T.match_title(F.col("title")).alias("t")).join(titles.select("author", T.match_title(F.col("listed")).alias("l")), "author")
-    return p.select("rid", S.token_sort_ratio("t", "l").alias("score")).groupBy("rid").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+    p = rows.select("rid", "author", T.match_title(F.col("title")).alias("_t"))
+    best = _best_titles(p, titles.select("author", T.match_title(F.col("listed")).alias("_l")))
+    return p.join(best.where(F.col("score") >= least), ["author", "_t"]).groupBy("rid").agg(F.max("score").alias("score"))
 
 
 def clean_a(rows: DataFrame) -> DataFrame:
@@ -112,8 +144,7 @@ def finalise(rows: DataFrame, listed: DataFrame, overrides: DataFrame | None = N
         titles = titles.where(~F.col("author").isin(*dropped))
     titles = titles.select("author", T.match_title(F.col("listed")).alias("_l")).distinct()
     made = rows.withColumn("_t", T.match_title(F.col("title")))
-    pairs = made.select("author", "_t").distinct().join(titles, "author")
-    best = pairs.select("author", "_t", S.token_sort_ratio("_t", "_l").alias("s"), (F.col("_t") == F.col("_l")).alias("same")).groupBy("author", "_t").agg(F.max("s").alias("score"), F.bool_or("same").alias("exact"))
+    best = _best_titles(made, titles)
     matched = made.join(best.where(F.col("score") >= least), ["author", "_t"]).drop("_t")
     total = matched.groupBy("author").agg(F.count("*").alias("n_matched"))
     kept = cap_per_author(matched, cap, F.col("exact"), F.col("score"))
