@@ -23,6 +23,8 @@ return_memory()
 
 #: Anchors and rows of a block; a tile of scores has the product of both, 4 MB.
 ANCHORS, ROWS = 256, 2048
+#: Tiles of a file: writer and reader of Parquet hold up to all rows of one at once (pages are cut after 100 rows, batches after 4,096).
+TILES = 8
 #: Dimensions of a chunk at least, and chunks of a vector at most.
 CHUNK, CHUNKS = 32, 8
 #: Sums below this are exact in double precision.
@@ -119,7 +121,7 @@ def _score_tiles(anchors: DataFrame, rows: DataFrame) -> DataFrame:
 
     parts = cells.select("a_block", "r_block", *names, "a_body", "body", F.size("a_ids").alias("n_anchors"), F.size("ids").alias("n_rows")).mapInArrow(partial, schema)
     out = fresh_dir(anchors.sparkSession, "score-tiles")
-    parts.groupBy("a_block", "r_block").applyInArrow(add, schema).write.parquet(out)
+    parts.groupBy("a_block", "r_block").applyInArrow(add, schema).write.option("maxRecordsPerFile", TILES).parquet(out)
     return anchors.sparkSession.read.parquet(out)
 
 

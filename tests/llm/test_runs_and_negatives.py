@@ -165,3 +165,16 @@ def test_ties_by_id(spark):
     df = spark.createDataFrame([rows[i] for i in random.Random(1).sample(range(30), 30)], "vec_id long, label string, q array<long>")
     got = negatives.hard_negatives(df, F.col("vec_id") == 4).collect()
     assert sorted((r["positive_id"], r["rank"], r["negative_id"]) for r in got) == sorted((p, k + 1, 9 + k) for p, k in itertools.product([0, 1, 2, 3, 5], range(10)))
+
+
+def test_files_of_score_tiles_are_bounded(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from stanzaflow.llm import hard_negatives as H
+
+    monkeypatch.setattr(H, "ROWS", 4)
+    monkeypatch.setattr(H, "ANCHORS", 2)
+    rows = spark.range(400).select("id", F.lit("a").alias("label"), F.array(F.col("id"), F.lit(1).cast("long")).alias("q"))
+    tiles = H._score_tiles(H._packed(rows.where("id % 50 = 0"), 8, 2).cache(), H._packed(rows, 400, 4).cache())
+    per_file = [r["n"] for r in tiles.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_file) >= 400 and max(per_file) <= 8
