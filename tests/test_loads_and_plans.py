@@ -206,3 +206,13 @@ def test_numbers_of_rows_beyond_the_sample(spark):
     got = tables.numbered_rows(rows, "by", "place").select("id", "place").collect()
     order = sorted(range(n), key=lambda i: (i * 7919 % 10_007, i))
     assert {r["id"]: r["place"] for r in got} == {i: k + 1 for k, i in enumerate(order)}
+
+
+def test_backfill_shuffles_no_bodies(spark):
+    body = "Ein Vers, der lang ist. " * 50
+    poems = spark.createDataFrame([(1, "A", body), (2, "B", None), (3, "A", "x")], "id long, author string, body string")
+    source = spark.createDataFrame([(" a", body.upper(), "<p>1"), ("B", None, "<p>2")], "author string, body string, html string")
+    out = repair.backfill_chain(poems, [source, source])
+    assert sorted(map(tuple, out.select("id", "html", "status", "n_sources").collect())) == [(1, "<p>1", "one", 2), (3, None, "none", 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" in plan and "regexp_replace(lower(body" not in plan.replace("sha2(cast(regexp_replace(lower(body", "")
