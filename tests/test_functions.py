@@ -141,3 +141,9 @@ def test_ratio_by_automaton_is_that_of_difflib(monkeypatch):
         for x in a:
             row = [0, *accumulate((row[j] + 1 if x == y else row[j + 1] for j, y in enumerate(b)), max)]
         assert S._subsequence(a, b) == row[-1]
+
+
+def test_aligned_lines_are_plain_numbers():
+    assert repair.aligned(["A", "b", "x"], ["a", "b", "y"]) == {0: 0, 1: 1}
+    assert repair.aligned(["Á", "b"], ["a", "B"]) == {0: 0, 1: 1}
+    assert repair.breaks_after("\n\na\n\n\nb\n") == [0, 1]
