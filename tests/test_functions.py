@@ -147,3 +147,17 @@ def test_aligned_lines_are_plain_numbers():
     assert repair.aligned(["A", "b", "x"], ["a", "b", "y"]) == {0: 0, 1: 1}
     assert repair.aligned(["Á", "b"], ["a", "B"]) == {0: 0, 1: 1}
     assert repair.breaks_after("\n\na\n\n\nb\n") == [0, 1]
+
+
+def test_arrow_functions_take_slices(monkeypatch):
+    import pyarrow as pa
+
+    from stanzaflow.functions import sliced
+
+    monkeypatch.setattr(sliced, "STEP", 4)
+    back = []
+    monkeypatch.setattr(sliced, "give_back", lambda: back.append(1))
+    texts = ["abc", None, "", "defgh", "i"]
+    assert sliced._strings((pa.array(texts),), str.upper).to_pylist() == ["ABC", None, "", "DEFGH", "I"]
+    assert sliced._strings((pa.array(texts), pa.array(["x", "y", None, "z", ""])), str.__add__).to_pylist() == ["abcx", None, None, "defghz", "i"]
+    assert sliced._strings((pa.array([], pa.string()),), str.upper).to_pylist() == [] and len(back) == 3
