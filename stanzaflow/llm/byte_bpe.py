@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .shared import return_memory
+from .shared import give_back, return_memory
 
 return_memory()
 
@@ -174,6 +174,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
                 made = _encode_slice(coder, part, text)
                 part = _put(part, ids, made)
                 yield _put(part, decoded, _decode_column(coder, made)) if decoded else part
+            give_back()
 
     docs = docs.withColumn(text, F.col(text).cast("string"))
     return docs.mapInArrow(run, _schema(docs, **{ids: "array<int>"}, **({decoded: "binary"} if decoded else {})))

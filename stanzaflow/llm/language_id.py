@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import free_names, return_memory
+from .shared import free_names, give_back, return_memory
 
 return_memory()
 
@@ -164,6 +164,8 @@ def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", sco
                     for k, best, top in zip(at, p.argmax(1).tolist(), (1 / np.exp(p).sum(1)).tolist(), strict=True):
                         out[k] = (m.languages[best], top)
                     rows, at, size = [], [], 0
+            del texts, text
+            give_back()
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Forest, components, cut, partitions, return_memory, spread_hot
+from .shared import Forest, components, cut, give_back, partitions, return_memory, spread_hot
 
 return_memory()
 
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, digest: bool =
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), words, seed) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
+            give_back()
 
     text = F.col("text").cast("string")
     more = [F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_sha256")] if digest else []
@@ -131,7 +132,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = prints.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    strips = spread_hot(rows.join(shared, "key"), "key", "fp", TILE).withColumn("part", F.pmod(F.xxhash64("key", "tile"), F.lit(4 * partitions(spark))).cast("int"))
+    strips = spread_hot(rows.join(shared.hint("merge"), "key"), "key", "fp", TILE).withColumn("part", F.pmod(F.xxhash64("key", "tile"), F.lit(4 * partitions(spark))).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         key, tile, side = (table[c].to_numpy() for c in ("key", "tile", "side"))
@@ -144,7 +145,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
         for p, q in compare(strip, side, fp, radius):
             edges += forest.connect(which[p], which[q])
         a, b = (np.array(x, np.int64) for x in (zip(*edges, strict=True) if edges else ([], [])))
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.table({"a": pa.array(names[a].view(np.int64)), "b": pa.array(names[b].view(np.int64))})
 
     return strips.select("part", "key", "tile", "side", "fp").groupBy("part").applyInArrow(run, "a long, b long")
@@ -159,16 +160,17 @@ def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = 2, seed: int =
     fewer words than a shingle is one shingle. Rows that repeat a doc_id are separate rows
     with one id. A null doc_id keeps its row; a component of null ids alone has a null id.
     A very long text is hashed in pieces; an empty table gives an empty result; other columns
-    are ignored. ``by_row`` adds ``text_sha256`` and ``root``, which tell rows of one doc_id and
+    are ignored. Tables that grow with the corpus are joined by sorting, so none comes to the
+    driver as a broadcast. ``by_row`` adds ``text_sha256`` and ``root``, which tell rows of one doc_id and
     components of one id apart.
     """
     prints = cut(fingerprints(docs, words, seed, by_row))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = components(links(least.select("fp"), radius))
-    each = least.join(comp, least.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    each = least.join(comp.hint("merge"), least.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = each.groupBy("root").agg(F.min("least").alias("component_id"))
     more = ["text_sha256", "root"] if by_row else []
-    each = each.join(named, "root").select("fp", "component_id", *more[1:])
-    return prints.join(each, "fp").select(
+    each = each.join(named.hint("merge"), "root").select("fp", "component_id", *more[1:])
+    return prints.join(each.hint("merge"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *more
     )

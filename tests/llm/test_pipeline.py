@@ -124,3 +124,12 @@ def test_mixed_shares_copies_between_rows_of_one_id(spark):
     after = P.mixed(spark, docs, SF).collect()
     total, got = (sum(len(r[1].split()) for r in x) for x in (rows, after))
     assert abs(got - 1.5 * total) < 20 and set(Counter(r.text for r in after).values()) == {1, 2}
+
+
+def test_near_copies_broadcast_nothing_that_grows(spark):
+    from stanzaflow.llm.simhash_dedup import simhash_dedup
+
+    docs = spark.createDataFrame([(i, f"one two three four {i // 2}") for i in range(20)], "doc_id long, text string")
+    out = simhash_dedup(docs, by_row=True)
+    assert out.count() == 20
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 3
