@@ -29,6 +29,10 @@ SAMPLE, MOST_CELLS = 65_536, 2_048
 MEASURED, NEIGHBOURS, RECALL = 48, 1_000, 0.97
 #: Vectors in a file of a cell, about; a larger cell has several.
 FILE = 65_536
+#: Rows and queries that a task holds, about; a query with what it has seen is the larger.
+SHARD, BLOCK = 65_536, 16_384
+#: Queries and rows of one matrix product, and candidates held before their distances are taken.
+QUERIES, ROWS, MOST_HELD = 1_024, 4_096, 1 << 20
 
 
 # ---- sums ----
@@ -236,53 +240,158 @@ def nearest(spark: SparkSession, index: VectorIndex, vector: list[float], k: int
 def nearest_all(index: VectorIndex, queries: DataFrame, k: int, seen: DataFrame | None = None, probes: int | None = None, column: str = "embedding") -> DataFrame:
     """``query_id, id, dist, rank``: the ``k`` indexed rows nearest to each row of ``queries(query_id, vector)``, without its rows of ``seen(query_id, id)``.
 
-    Each query goes to its probed cells. A task holds up to FILE rows of a cell and takes
-    the queries of that cell as matrix products; it keeps ``k`` rows of a query, so scores
-    are never rows. Zero vectors find nothing. Both ids are longs.
+    Cells lie in shards of about SHARD rows (a cell with more is dealt to several), queries in
+    blocks of about BLOCK; a query goes once to each shard with cells that it probes. A task
+    holds one block and one shard however many queries and rows there are, and takes a cell's
+    queries as matrix products; it keeps ``k`` rows of a query, so scores are never rows. Zero
+    vectors find nothing. Both ids are longs, ``query_id`` is unique.
     """
     spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast(index.centroids)
     n_probes = probes or index.probes
+    rows = index.rows(spark).select(F.col("id").cast("long").alias("id"), F.col(column).alias("v"), "cell")
+    # a row for each cell, MOST_CELLS at most; of a cell dealt to several shards each has an even part
+    places, at = {}, 0
+    for r in rows.groupBy("cell").count().orderBy("cell").collect():
+        parts = -(-r["count"] // SHARD)
+        places[r["cell"]] = [(at + i * r["count"] // parts) // SHARD for i in range(parts)]
+        at += r["count"]
+    shared = spark.sparkContext.broadcast((index.centroids, places))
+    dealt = spark.createDataFrame(list(places.items()), "cell int, shards array<int>")
+    rows = rows.join(F.broadcast(dealt), "cell").withColumn("shard", F.get("shards", F.pmod(F.xxhash64("id"), F.size("shards")).cast("int")))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b.column(1))
-            cells = _near(shared.value, x, n_probes)
-            cells = [c if norm else [] for c, norm in zip(cells.tolist(), np.linalg.norm(x, axis=1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "vector", "cells"])
+        centroids, places = shared.value
+        for whole in batches:
+            for b in (whole.slice(i, 1024) for i in range(0, len(whole), 1024)):
+                x = _matrix(b.column(1))
+                cells = _near(centroids, x, n_probes)
+                of, shards, lists = [], [], []
+                for i, (probed, norm) in enumerate(zip(cells.tolist(), np.linalg.norm(x, axis=1).tolist(), strict=True)):
+                    wanted: dict[int, list[int]] = {}
+                    for c in probed if norm else []:
+                        for shard in set(places.get(c, [])):
+                            wanted.setdefault(shard, []).append(c)
+                    of += [i] * len(wanted)
+                    shards += wanted.keys()
+                    lists += wanted.values()
+                kept = b.take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(shards, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "vector", "seen", "block", "shard", "cells"])
 
     q = queries.where("vector is not null").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"))
+    q = q.checkpoint() if spark.sparkContext.getCheckpointDir() else q.persist()
+    blocks = max(1, -(-q.count() // BLOCK))
     if seen is not None:
-        q = q.join(seen.groupBy("query_id").agg(F.collect_set("id").alias("seen")), "query_id", "left")
+        q = q.join(seen.groupBy("query_id").agg(F.collect_set(F.col("id").cast("long")).alias("seen")), "query_id", "left")
     else:
         q = q.withColumn("seen", F.lit(None).cast("array<long>"))
-    asked = q.select("query_id", "vector").mapInArrow(ask, "query_id long, vector array<double>, cells array<int>")
-    rows = index.rows(spark).select(F.col("id").cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), "norm", "cell")
-    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / FILE).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))  # a row for each cell, MOST_CELLS at most
-    wanted = asked.select("query_id", F.explode("cells").alias("cell")).join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = wanted.join(q, "query_id").select("cell", "part", "query_id", "vector", "seen")
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    asked = q.select("query_id", "vector", "seen", "block").mapInArrow(ask, "query_id long, vector array<double>, seen array<long>, block int, shard int, cells array<int>")
+    # a shard meets every block
+    rows = rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v", "cell")
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if a.num_rows and b.num_rows:
-            ids = b["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x, norm = ids[order], _matrix(b["v"])[order], b["norm"].to_numpy()[order]
-            for at in range(0, a.num_rows, 64):
-                part = a.slice(at, 64)
-                y = _matrix(part["vector"])
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    dist = np.round(1 - (y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * norm), 6)
-                dist[~np.isfinite(dist)] = np.inf
-                for query, d, gone in zip(part["query_id"].to_pylist(), dist, part["seen"].to_pylist(), strict=True):
-                    open_ = np.flatnonzero(np.isfinite(d) & ~np.isin(ids, gone or []))
-                    limit = np.partition(d[open_], k - 1)[k - 1] if len(open_) > k else np.inf
-                    open_ = open_[d[open_] <= limit]
-                    best = open_[np.argsort(d[open_], kind="stable")[:k]]
-                    out.append((np.full(len(best), query), ids[best], d[best]))
-        q_, i_, d_ = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": pa.array(q_.astype(np.int64)), "id": pa.array(i_.astype(np.int64)), "dist": pa.array(d_.astype(np.float64))})
-
-    found = left.groupBy("cell", "part").cogroup(rows.select("cell", "part", "id", "v", "norm").groupBy("cell", "part")).applyInArrow(score, "query_id long, id long, dist double")
+        if not a.num_rows or not b.num_rows:
+            return nearest_rows([], [], k, np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0, np.int64), [])
+        b = b.sort_by("cell")
+        cell = b["cell"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        lists = a["cells"].combine_chunks()
+        who, probed = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy()
+        order = np.argsort(probed, kind="stable")
+        who, probed = who[order], probed[order]
+        sections = []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
+            i, j = np.searchsorted(probed, [cell[lo], cell[lo] + 1])
+            sections.append((lo, hi, np.sort(who[i:j])))
+        return nearest_rows(a["query_id"], a["seen"], k, _matrix(a["vector"]), _matrix(b["v"]), b["id"].to_numpy(), sections)
+
+    found = asked.groupBy("block", "shard").cogroup(rows.groupBy("block", "shard")).applyInArrow(score, "query_id long, id long, dist double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k)
+
+
+def nearest_rows(query_ids: pa.ChunkedArray, seen: pa.ChunkedArray, k: int, y: np.ndarray, x: np.ndarray, ids: np.ndarray, sections: list[tuple[int, int, np.ndarray | None]], undefined: bool = False) -> pa.Table:
+    """``query_id, id, dist``: for each row of ``y`` the ``k`` rows of ``x`` nearest by cosine (6 digits, ties by id), without the ids in its list of ``seen``.
+
+    ``sections`` are stretches ``lo, hi`` of ``x`` with the sorted places of the queries that ask
+    them, None for all. Products in single precision tell which rows may be among the ``k``;
+    their distances are then taken in double precision, so the result is that of a whole scan.
+    Distances that are undefined are left out, or come last as NaN where ``undefined`` is set.
+    """
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(y) and len(x):
+        y_norm, x_norm = np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1)
+        some_y, some_x = (np.isfinite(n) & (n > 0) for n in (y_norm, x_norm))
+        u, v = (np.where(some[:, None], z, 0) / np.where(some, n, 1)[:, None] for z, n, some in ((y, y_norm, some_y), (x, x_norm, some_x)))
+        u, v = u.astype(np.float32), v.astype(np.float32)
+        slack = 1.1e-6 + 2 * (x.shape[1] + 4) * 6e-8  # a step of the rounding and what single precision may be off
+        lists = seen.combine_chunks() if isinstance(seen, pa.ChunkedArray) else seen
+        gone_q, gone_id = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        by_id = np.argsort(ids, kind="stable")
+        first, end = (np.searchsorted(ids, gone_id, side, sorter=by_id) for side in ("left", "right"))
+        times = end - first
+        gone_q, gone_at = np.repeat(gone_q, times), by_id[np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())]
+
+        def exact(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            d = np.empty(len(q))
+            for i in range(0, len(q), 1 << 15):
+                a, b = q[i : i + (1 << 15)], c[i : i + (1 << 15)]
+                d[i : i + (1 << 15)] = np.round(1 - np.einsum("ij,ij->i", y[a], x[b]) / (y_norm[a] * x_norm[b]), 6)
+            order = np.lexsort((ids[c], d, q))
+            q, c, d = q[order], c[order], d[order]
+            best = _places(q) < k
+            return q[best], c[best], d[best]
+
+        for lo_q in range(0, len(y), QUERIES):
+            n = min(QUERIES, len(y) - lo_q)
+            least = np.where(some_y[lo_q : lo_q + n], np.float32(-2), np.float32(np.inf))
+            mine = slice(*np.searchsorted(gone_q, [lo_q, lo_q + n]))
+            order = np.argsort(gone_at[mine], kind="stable")
+            g_q, g_at = gone_q[mine][order] - lo_q, gone_at[mine][order]
+            q, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+            for lo, hi, who in sections:
+                asked = np.arange(n) if who is None else who[slice(*np.searchsorted(who, [lo_q, lo_q + n]))] - lo_q
+                if not len(asked):
+                    continue
+                row = np.full(n, -1)
+                row[asked] = np.arange(len(asked))
+                for at in range(lo, hi, ROWS):
+                    end = min(at + ROWS, hi)
+                    scores = u[lo_q + asked] @ v[at:end].T
+                    scores[:, ~some_x[at:end]] = -np.inf
+                    i, j = np.searchsorted(g_at, [at, end])
+                    r = row[g_q[i:j]]
+                    scores[r[r >= 0], g_at[i:j][r >= 0] - at] = -np.inf
+                    new = np.flatnonzero(least[asked] == -2)
+                    if len(new) and end - at > k:
+                        least[asked[new]] = np.maximum(np.partition(scores[new], -k, axis=1)[:, -k] - np.float32(slack), np.float32(-2))
+                    r, col = np.nonzero(scores >= least[asked][:, None])
+                    if not len(r):
+                        continue
+                    q, c, s = np.r_[q, asked[r]], np.r_[c, col + at], np.r_[s, scores[r, col]]
+                    if len(q) > MOST_HELD:  # very many at one distance
+                        q, c, d = exact(q + lo_q, c)
+                        q, s = q - lo_q, (1 - d).astype(np.float32)
+                    order = np.lexsort((-s, q))
+                    q, c, s = q[order], c[order], s[order]
+                    last = np.flatnonzero(_places(q) == k - 1)
+                    least[q[last]] = np.maximum(least[q[last]], s[last] - np.float32(slack))
+                    kept = s >= least[q]
+                    q, c, s = q[kept], c[kept], s[kept]
+            out.append(exact(q + lo_q, c))
+        if undefined:
+            had = np.bincount(np.concatenate([q for q, _, _ in out]), minlength=len(y))
+            rest = by_id[~some_x[by_id]]
+            for i in np.flatnonzero(had < k).tolist():
+                more = rest if some_y[i] else by_id
+                more = more[~np.isin(more, gone_at[slice(*np.searchsorted(gone_q, [i, i + 1]))])][: k - had[i]]
+                out.append((np.full(len(more), i), more, np.full(len(more), np.nan)))
+    q, c, d = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    names = query_ids.to_numpy() if len(query_ids) else np.zeros(0, np.int64)
+    return pa.table({"query_id": pa.array(names[q].astype(np.int64)), "id": pa.array(ids[c].astype(np.int64)), "dist": pa.array(d.astype(np.float64))})
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    """The place of each of the sorted keys among its equals, from 0."""
+    new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    starts = np.flatnonzero(new)
+    return np.arange(len(keys)) - np.repeat(starts, np.diff(np.r_[starts, len(keys)]))

@@ -121,3 +121,42 @@ def test_recommend_on_the_index_is_the_exact_one_when_all_cells_are_probed(spark
     assert {(r["user_id"], r["rank"]): r["id"] for r in R.recommend_all_indexed(whole, p, log).collect()} == want
     held = [r["id"] in {i for (u, _), i in want.items() if u == r["user_id"]} for r in R.recommend_all_indexed(index, p, log).collect()]
     assert np.mean(held) >= 0.9
+
+
+def test_blocks_of_queries_and_shards_of_cells_give_the_same_rows(spark, big, monkeypatch):
+    index, x = big
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 120)] + [(777, [0.0] * x.shape[1])], "query_id long, vector array<double>")
+    seen = spark.createDataFrame([(i, i) for i in range(0, 120)] + [(5, j) for j in range(300)], "query_id long, id long")
+    for probes in (1, 7, len(index.centroids)):
+        one = set(map(tuple, V.nearest_all(index, asked, 4, seen, probes=probes).collect()))
+        monkeypatch.setattr(V, "BLOCK", 25)
+        monkeypatch.setattr(V, "SHARD", 30)  # cells are cut as well
+        many = V.nearest_all(index, asked, 4, seen, probes=probes)
+        assert set(map(tuple, many.collect())) == one
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("held", [V.MOST_HELD, 50] if hasattr(V, "MOST_HELD") else [0])
+def test_nearest_rows_are_those_of_a_whole_scan(held, monkeypatch):
+    import pyarrow as pa
+
+    for name, size in (("MOST_HELD", held), ("QUERIES", 16), ("ROWS", 64)):
+        monkeypatch.setattr(V, name, size)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8))
+    x[100:250] = x[3] * rng.choice([1, 2, 3], 150)[:, None]  # a large group at one distance
+    x[250:260], x[260, 2] = 0, np.nan
+    ids = rng.permutation(400) * 3
+    y = np.concatenate([rng.normal(size=(40, 8)), x[[3, 100]], np.zeros((1, 8))])
+    gone = [rng.choice(ids, 6).tolist() + [999_999] for _ in y]
+    gone[4] = ids[:395].tolist()
+    gone[5] = None
+    names = np.arange(len(y)) + 1000
+    for undefined in (False, True):
+        got = V.nearest_rows(pa.chunked_array([names]), pa.array(gone, pa.list_(pa.int64())), 9, y, x, ids, [(0, 70, np.arange(len(y))), (70, 400, None)], undefined=undefined).to_pandas()
+        for q in range(len(y)):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                d = np.round(1 - (x @ y[q]) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y[q])), 6)
+            open_ = [(np.inf if np.isnan(a) else a, i) for a, i in zip(d.tolist(), ids.tolist()) if i not in (gone[q] or []) and (undefined or not np.isnan(a))]
+            mine = got[got["query_id"] == q + 1000]
+            assert sorted(zip(mine["dist"].fillna(np.inf).tolist(), mine["id"].tolist())) == sorted(open_)[:9], (q, undefined)
