@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stanzaflow.functions.similarity import cosine_distance
-from stanzaflow.operators.vectors import VectorIndex, nearest, nearest_all, vector_sum, write_index
+from stanzaflow.operators.vectors import BLOCK, SHARD, VectorIndex, _matrix, nearest, nearest_all, nearest_rows, vector_sum, write_index
 
 POSITIVE = ("save", "super_like", "like", "share")
 NULL_CORPUS, NO_CORPUS = "__null__", "__none__"
@@ -216,37 +215,24 @@ def taste_topk(poems: DataFrame, log: DataFrame, user: int, k: int = 20) -> Data
     return taste_pool(unseen(poems, log, user), row["taste"], k).select("id", "dist")
 
 
-def recommend_all(poems: DataFrame, log: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+def recommend_all(poems: DataFrame, log: DataFrame, k: int = 5, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """For every reader with a taste, the ``k`` nearest unseen poems: ``user_id, id, dist, rank`` (an extension).
 
-    Readers and poems are dealt into blocks of about ``block`` rows; each pair of blocks is one
-    matrix product that keeps ``k`` rows of a reader, so scores of all pairs are never rows.
+    Readers are dealt into blocks of about ``block`` rows, poems into shards of about ``shard``;
+    a block meets a shard in one task, which keeps ``k`` rows of a reader, so scores of all pairs are never rows.
     """
     log_ = log.select("user_id", "poem_id").distinct().groupBy("user_id").agg(F.collect_list("poem_id").alias("seen"))
     taste = taste_vector(poem_weights(log), poems).join(log_, "user_id")
     known = poems.where("embedding is not null").select("id", "embedding")
-    n_u, n_p = (max(1, -(-d.count() // block)) for d in (log_, known))
+    n_u, n_p = (max(1, -(-d.count() // size)) for d, size in ((log_, block), (known, shard)))
     deal = lambda d, key, n, other, own, copy: d.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
     readers, items = deal(taste, "user_id", n_u, n_p, "ub", "pb"), deal(known, "id", n_p, n_u, "pb", "ub")
 
     def score(u: pa.Table, p: pa.Table) -> pa.Table:
-        out = []
-        if u.num_rows and p.num_rows:
-            ids = p["id"].to_numpy()
-            order = np.argsort(ids)
-            ids, e = ids[order], np.stack(p["embedding"].to_pylist()).astype(np.float64)[order]
-            norm = np.linalg.norm(e, axis=1)
-            for user, t, seen in zip(u["user_id"].to_pylist(), u["taste"].to_pylist(), u["seen"].to_pylist()):
-                t = np.array(t)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    dist = np.round(1 - (e @ t) / (norm * np.linalg.norm(t)), 6)
-                new = np.flatnonzero(~np.isin(ids, seen))
-                best = new[np.argsort(dist[new], kind="stable")[:k]]
-                out += [(user, int(ids[i]), float(dist[i])) for i in best]
-        cols = list(zip(*out)) or [[], [], []]
-        return pa.table({"user_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
-
-    best = readers.groupBy("ub", "pb").cogroup(items.groupBy("ub", "pb")).applyInArrow(score, "user_id long, id long, dist double")
+        x = _matrix(p["embedding"])
+        return nearest_rows(u["user_id"], u["seen"], k, _matrix(u["taste"]), x, p["id"].to_numpy(), [(0, len(x), None)], undefined=True)
+
+    best = readers.groupBy("ub", "pb").cogroup(items.groupBy("ub", "pb")).applyInArrow(score, "query_id long, id long, dist double").withColumnRenamed("query_id", "user_id")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("dist", "id"))).where(F.col("rank") <= k)
 
 

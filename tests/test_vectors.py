@@ -160,3 +160,9 @@ def test_nearest_rows_are_those_of_a_whole_scan(held, monkeypatch):
             open_ = [(np.inf if np.isnan(a) else a, i) for a, i in zip(d.tolist(), ids.tolist()) if i not in (gone[q] or []) and (undefined or not np.isnan(a))]
             mine = got[got["query_id"] == q + 1000]
             assert sorted(zip(mine["dist"].fillna(np.inf).tolist(), mine["id"].tolist())) == sorted(open_)[:9], (q, undefined)
+
+
+def test_recommend_all_is_the_same_in_small_blocks(spark, sf):
+    p, log = Q.poems(spark, sf), Q.interactions(spark, sf)
+    whole = set(map(tuple, R.recommend_all(p, log).collect()))
+    assert whole and set(map(tuple, R.recommend_all(p, log, block=4, shard=33).collect())) == whole
