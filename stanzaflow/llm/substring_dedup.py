@@ -12,7 +12,8 @@
    places.
 3. Locate. A block compiles its passages with confirmed phrases into Aho-Corasick automata,
    words as a few characters each, one for every ``CHUNK`` words of text or so, and streams
-   all its documents whole through them. Every phrase in an occurrence that an automaton finds
+   its documents whole through them; a document without a confirmed phrase among those that it
+   nominated has none at all and is left out. Every phrase in an occurrence that an automaton finds
    is marked, but for the first one in the block where the phrase stands first.
 4. Words that a marked occurrence covers are removed.
 
@@ -29,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import blocks as B
 from .blocks import mix
@@ -75,18 +75,19 @@ class _Block:
         self.docs, self.length, self.buckets = B.unpack(table), length, buckets
         self.names = [word_names(body)[0] for _, body in self.docs]
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self) -> np.ndarray:
+        """The names of all windows, in order."""
         found = [np.zeros(0, np.uint64)]
         for names in self.names:
             if len(names) >= self.length:
                 found.append(B.split_buckets(window_names(names, self.length), self.buckets, NAME_BITS))
-        return np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        return np.concatenate(found)
 
-    def passages(self, replies: pa.Table, shards: int) -> Iterator[tuple[int, int, bytes]]:
-        """(document, shard, passage) of each nominated passage."""
-        keys, which, _ = self.windows()
+    def passages(self, replies: pa.Table, shards: int) -> np.ndarray:
+        """Document, first word, number of words and shard of each nominated passage, in order."""
+        keys, which = np.unique(self.windows(), return_inverse=True)
         named = B.heard(replies, keys, self.buckets, NAME_BITS)[which]
-        at = 0
+        at, out = 0, [np.zeros((4, 0), np.int64)]
         for doc, names in enumerate(self.names):
             n = len(names) - self.length + 1
             if n <= 0:
@@ -100,9 +101,29 @@ class _Block:
             stop = np.flatnonzero(np.r_[on[:-1] & (~on[1:] | (place[1:] != place[:-1])), on[-1]]) + 1
             anchor = g[place[turn]]  # least of its neighbours, so hashed once more
             shard = ((mix(anchor, anchor) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-            words = self.docs[doc][1].split()
-            for s, t, k in zip(turn.tolist(), stop.tolist(), shard.tolist(), strict=True):
-                yield doc, k, b" ".join(words[s : t + self.length - 1])
+            out.append(np.stack([np.full(len(turn), doc), turn, stop - turn + self.length - 1, shard.astype(np.int64)]))
+        return np.concatenate(out, axis=1)
+
+
+def _texts(docs: list[tuple[int | None, bytes]], found: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(document, shard, passage) of what ``passages`` found."""
+    last, words = -1, []
+    for doc, start, n, shard in zip(*found.tolist(), strict=True):
+        if doc != last:
+            last, words = doc, docs[doc][1].split()
+        yield doc, shard, b" ".join(words[start : start + n])
+
+
+def _notes(sizes: np.ndarray, found: np.ndarray) -> bytes:
+    """Words of each document of a block and its passages, as the block sends them to itself."""
+    flat = np.concatenate([[len(sizes)], sizes, np.diff(found, axis=1, prepend=0).ravel()])
+    return zstandard.ZstdCompressor(level=3).compress(flat.astype("<i8").tobytes())
+
+
+def _noted(notes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(notes, max_output_size=1 << 31), "<i8").astype(np.int64)
+    n = int(flat[0]) + 1
+    return flat[1:n], np.cumsum(flat[n:].reshape(4, -1), axis=1)
 
 
 def window_numbers(words: np.ndarray, length: int) -> np.ndarray:
@@ -269,35 +290,45 @@ def substring_dedup(docs: DataFrame, length: int = 20, chunk: int = CHUNK) -> Da
     shards = max(8, base.total_bytes // SHARD_BYTES)
 
     def name(key: tuple, table: pa.Table) -> pa.Table:
-        keys, _, n = _Block(table, length, buckets).windows()
+        keys, n = np.unique(_Block(table, length, buckets).windows(), return_counts=True)
         return B.cells(key[0].as_py(), keys, n > 1, buckets, NAME_BITS)
 
     def send(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         mine: dict[int, dict[bytes, bool]] = {}
+        number, notes = key[0].as_py(), []
         if table.num_rows:
-            for _, shard, p in _Block(table, length, buckets).passages(replies, shards):
+            block = _Block(table, length, buckets)
+            found = block.passages(replies, shards)
+            for _, shard, p in _texts(block.docs, found):
                 cell = mine.setdefault(shard, {})
                 cell[p] = p in cell
+            notes = [_notes(np.array([len(x) for x in block.names], np.int64), found)]
+        # what the block found goes to itself past the shards, in a group of its own
         return pa.table({
-            "shard": pa.array(list(mine), pa.int32()), "block": pa.array([key[0].as_py()] * len(mine), pa.int32()),
-            "body": pa.array([_pack(x) for x in mine.values()], pa.binary()),
+            "shard": pa.array([*mine, *[-1 - number for _ in notes]], pa.int32()), "block": pa.array([number] * (len(mine) + len(notes)), pa.int32()),
+            "body": pa.array([*(_pack(x) for x in mine.values()), *notes], pa.binary()),
         })
 
     def check(table: pa.Table) -> pa.Table:
+        if table["shard"][0].as_py() < 0:
+            return pa.table({"block": table["block"], "bucket": table["shard"], "bits": table["body"]})
         table = table.sort_by("block")
         bits = [np.packbits(np.concatenate(x)).tobytes() for x in confirm([_unpack(x.as_py()) for x in table["body"]], length)]
         return pa.table({"block": table["block"], "bucket": table["shard"], "bits": pa.array(bits, pa.binary())})
 
     def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        block = _Block(table, length, buckets)
-        about = replies["about"].to_numpy()
-        found = list(block.passages(replies.filter(pa.array(about == 0)), shards))
+        docs = B.unpack(table)
+        own = replies["bucket"].to_numpy() < 0
+        sizes, found = np.zeros(0, np.int64), []
+        for x in replies.filter(pa.array(own))["bits"]:  # one at most
+            sizes, found = _noted(x.as_py())
+            found = list(_texts(docs, found))
         sent: dict[int, dict[bytes, int]] = {}
         for _, shard, p in found:
             sent.setdefault(shard, {}).setdefault(p, p.count(b" ") + 2 - length)
         automata = Phrases(length, (w for cell in sent.values() for p in cell for w in p.split(b" ")))
         said: dict[bytes, tuple[str, np.ndarray, np.ndarray]] = {}  # equal passages are of one shard
-        answers = replies.filter(pa.array(about == 1))
+        answers = replies.filter(pa.array(~own))
         for shard, x in zip(answers["bucket"].to_pylist(), answers["bits"], strict=True):
             total = sum(sent[shard].values())
             bits, at = np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=2 * total).astype(bool), 0
@@ -306,37 +337,38 @@ def substring_dedup(docs: DataFrame, length: int = 20, chunk: int = CHUNK) -> Da
                 if confirmed.any():
                     said[p] = automata.spell(p), np.flatnonzero(confirmed & ~fresh), np.flatnonzero(confirmed & fresh)
                 at += n
+        busy = {doc for doc, _, p in found if p in said}
         rows, turn = [], 0
-        for part in _chunks(block, chunk):
+        for part in _chunks(sizes.tolist(), chunk):
             passages: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             while turn < len(found) and found[turn][0] < part.stop:
                 if found[turn][2] in said:
                     text, gone, fresh = said[found[turn][2]]
                     passages[text] = gone, fresh
                 turn += 1
-            documents = [block.docs[k][1].split() for k in part]
-            for k, words, s in zip(part, documents, automata.locate(passages, documents), strict=True):
+            documents = [docs[k][1].split() for k in part]
+            for k, words, s in zip(part, documents, automata.locate(passages, [w if k in busy else [] for k, w in zip(part, documents)]), strict=True):
                 edge = np.flatnonzero(np.concatenate([[True], s[1:] > s[:-1] + length])) if len(s) else s
                 spans = list(zip(s[edge].tolist(), (s[np.append(edge[1:], len(s)) - 1] + length).tolist())) if len(s) else []
                 ends = [0, *(x for span in spans for x in span), len(words)]
                 kept = b" ".join([w for a, b in zip(ends[::2], ends[1::2]) for w in words[a:b]]).decode()
-                rows.append((block.docs[k][0], len(words), [{"start": a, "stop": b} for a, b in spans], kept))
+                rows.append((docs[k][0], len(words), [{"start": a, "stop": b} for a, b in spans], kept))
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_words": pa.array(cols[1], pa.int64()), "spans": pa.array(cols[2], kind), "kept": pa.array(cols[3], pa.string())})
 
     by_block = base.rows.groupBy("block")
-    named = B.answer(by_block.applyInArrow(name, B.CELL), B.recurring).withColumn("about", F.lit(0))
+    named = B.answer(by_block.applyInArrow(name, B.CELL), B.recurring)
     passages = by_block.cogroup(named.groupBy("block")).applyInArrow(send, CELL)
-    replies = named.unionAll(passages.groupBy("shard").applyInArrow(check, B.REPLY).withColumn("about", F.lit(1)))
+    replies = passages.groupBy("shard").applyInArrow(check, B.REPLY)
     return by_block.cogroup(replies.groupBy("block")).applyInArrow(remove, OUT)
 
 
-def _chunks(block: _Block, chunk: int) -> Iterator[range]:
+def _chunks(sizes: list[int], chunk: int) -> Iterator[range]:
     """Numbers of neighbouring documents of about ``chunk`` words together."""
-    at = size = 0
-    for k, names in enumerate(block.names):
-        size += len(names)
-        if size >= chunk or k + 1 == len(block.names):
+    at = total = 0
+    for k, size in enumerate(sizes):
+        total += size
+        if total >= chunk or k + 1 == len(sizes):
             yield range(at, k + 1)
-            at, size = k + 1, 0
+            at, total = k + 1, 0

@@ -340,3 +340,15 @@ def test_every_host_against_sql(spark, sf):
     want = sorted(con.sql(queries.oracle_sql()["op10_line_dedup"]).fetchall())
     got = queries.op10_line_dedup(spark, sf)
     assert sorted(tuple(r) for r in got.collect()) == want and got.columns == ["page_id", "host", "n_lines", "n_removed", "kept_sha256"]
+
+
+def test_substring_dedup_finds_its_passages_once_and_leaves_out_documents_without_any(spark, monkeypatch):
+    found = np.array([[0, 0, 3, 3], [4, 90, 2, 2**33], [20, 25, 2**20, 21], [7, 0, 5, 7]])
+    sizes, again = substring_dedup._noted(substring_dedup._notes(np.array([24, 0, 5, 2**34]), found))
+    assert sizes.tolist() == [24, 0, 5, 2**34] and (again == found).all()
+    none = substring_dedup._noted(substring_dedup._notes(np.zeros(1, np.int64), np.zeros((4, 0), np.int64)))
+    assert none[0].tolist() == [0] and none[1].shape == (4, 0)
+    shared = " ".join(f"w{i}" for i in range(30))
+    texts = [f"{shared} only here", "a b c " * 30, " ".join(f"u{i}" for i in range(50)), f"before {shared}", None, ""]
+    got = {r.doc_id: (r.n_words, [(s.start, s.stop) for s in r.spans]) for r in substring_dedup.substring_dedup(frame(spark, texts)).collect()}
+    assert got == {0: (32, []), 1: (90, [(3, 90)]), 2: (50, []), 3: (31, [(1, 31)]), 4: (0, []), 5: (0, [])}
