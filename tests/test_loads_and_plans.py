@@ -216,3 +216,19 @@ def test_backfill_shuffles_no_bodies(spark):
     assert sorted(map(tuple, out.select("id", "html", "status", "n_sources").collect())) == [(1, "<p>1", "one", 2), (3, None, "none", 0)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "sha2(" in plan and "regexp_replace(lower(body" not in plan.replace("sha2(cast(regexp_replace(lower(body", "")
+
+
+def test_lines_to_look_poems_up_by_are_picked_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(body):
+        calls.add(1)
+        return body
+
+    line = "the quiet river number {} carries the evening home"
+    poems = spark.createDataFrame([(i, f"{line.format(i)}\nshort") for i in range(40)], "id long, body string")
+    entries = spark.createDataFrame([(100 + i, f"<p>so {line.format(i)} again</p>") for i in range(30)], "pos long, html string")
+    found = repair.found_entries(poems.select("id", counted("body").alias("body")), entries)
+    assert {(r["id"], r["pos"]) for r in found.collect()} == {(i, 100 + i) for i in range(30)}
+    assert 40 <= calls.value <= 80
