@@ -36,7 +36,8 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, most_keys: int = MOST_KEY
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("len"))
-    head, digest = F.xxhash64(F.substring("text", 1, prefix)), F.sha2("text", 256)
+    # never null, and said to be so: else the join on it filters by a digest of every text, below the steps that drop rows
+    head, digest = F.xxhash64(F.substring("text", 1, prefix)), F.coalesce(F.sha2("text", 256), F.lit(""))
 
     def recurring(found: DataFrame, *by: str) -> tuple[DataFrame, bool]:
         again = cut(found.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
