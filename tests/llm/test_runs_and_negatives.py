@@ -178,3 +178,22 @@ def test_files_of_score_tiles_are_bounded(spark, monkeypatch):
     tiles = H._score_tiles(H._packed(rows.where("id % 50 = 0"), 8, 2).cache(), H._packed(rows, 400, 4).cache())
     per_file = [r["n"] for r in tiles.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
     assert sum(per_file) >= 400 and max(per_file) <= 8
+
+
+def test_scores_of_anchors_and_rows_are_neither_shuffled_nor_written(spark, monkeypatch):
+    from stanzaflow.llm import hard_negatives as H
+
+    monkeypatch.setattr(H, "_score_tiles", lambda *_: pytest.fail("tiles are written"))
+    rows = [(i, "ab"[i % 2], [i % 5, 1 + i % 7]) for i in range(60)]
+    got = H.hard_negatives(spark.createDataFrame(rows, "vec_id long, label string, q array<long>"), F.col("vec_id") % 10 == 0)
+    assert sorted(map(tuple, got.collect())) == brute_negatives(rows, lambda r: r[0] % 10 == 0, 5, 10, 30, 90)
+    shuffled = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+    assert shuffled and not any("scores" in x for x in shuffled)
+
+
+def test_blocks_hold_numbers_as_narrow_as_they_are(spark):
+    from stanzaflow.llm import hard_negatives as H
+
+    for most, width in ((127, 1), (128, 2), (32768, 4), (2**31, 8)):
+        rows = spark.range(5).select("id", F.lit("a").alias("label"), F.array(-F.col("id"), F.lit(most)).alias("q"))
+        assert [len(r["body"]) for r in H._packed(rows, 5, 8).collect()] == [5 * 2 * width]
